@@ -98,6 +98,9 @@ def j2_nearest_panel(spark, sf_dir):
     return panel(spark, sf_dir)
 
 
+from . import q_study  # noqa: E402,F401  (registers its queries)
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

@@ -100,3 +100,76 @@ month(o_orderdate) AS month, least(4, CAST(ceil(day(o_orderdate) / 7) AS INTEGER
 p_name AS name, format('{{:,}}', {cents('l_extendedprice')}) AS price,
 p_brand AS category
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey"""
+
+
+# ---------------------------------------------------------------------------
+# study panels
+
+
+def pct_sql(src: str, cols: list[str], key: str = "Date", first_zero: bool = False) -> str:
+    def one(c):
+        v = f"(({c} / lag({c}) OVER (ORDER BY {key})) - 1.0) * 100.0"
+        return f"COALESCE({v}, 0.0) AS {c}" if first_zero else f"{v} AS {c}"
+    return f"SELECT {key}, " + ", ".join(one(c) for c in cols) + f" FROM {src}"
+
+
+def minmax_sql(src: str, cols: list[str], key: str = "Date") -> str:
+    parts = []
+    for c in cols:
+        lo, hi = f"min({c}) OVER ()", f"max({c}) OVER ()"
+        parts.append(f"({c} - {lo}) / (CASE WHEN {hi} = {lo} THEN 1.0 ELSE {hi} - {lo} END) AS {c}")
+    return f"SELECT {key}, " + ", ".join(parts) + f" FROM {src}"
+
+
+def standard_sql(src: str, cols: list[str], key: str = "Date") -> str:
+    parts = []
+    for c in cols:
+        sd = f"stddev_pop({c}) OVER ()"
+        parts.append(f"({c} - avg({c}) OVER ()) / (CASE WHEN {sd} = 0 THEN 1.0 ELSE {sd} END) AS {c}")
+    return f"SELECT {key}, " + ", ".join(parts) + f" FROM {src}"
+
+
+def split_sql(src: str, key: str = "Date", seed: int = 42, frac: float = 0.2) -> str:
+    return (f"SELECT *, row_number() OVER (ORDER BY md5(CAST({key} AS VARCHAR) || '|{seed}')) "
+            f"<= ceil(count(*) OVER () * {frac} - 1e-9) AS is_test FROM {src}")
+
+
+def gram3_sql(src: str, xs: list[str], y: str | None) -> str:
+    """n, means and population (co)variances of 3 features (and y) over complete rows."""
+    cols = xs + ([y] if y else [])
+    where = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+    sel = ["count(*) AS n"] + [f"avg({c}) AS m{i}" for i, c in enumerate(xs)]
+    for i in range(3):
+        for j in range(i, 3):
+            sel.append(f"covar_pop({xs[i]}, {xs[j]}) AS s{i}{j}")
+    if y:
+        sel += [f"avg({y}) AS my", f"var_pop({y}) AS syy"]
+        sel += [f"covar_pop({x}, {y}) AS t{i}" for i, x in enumerate(xs)]
+    return f"SELECT {', '.join(sel)} FROM {src} WHERE {where}"
+
+
+def inv3_sql(src: str) -> str:
+    """Adds det and the symmetric inverse i00..i22 of the 3×3 matrix s00..s22."""
+    s = {f"{i}{j}": f"s{min(i, j)}{max(i, j)}" for i in range(3) for j in range(3)}
+    det = (f"({s['00']}*({s['11']}*{s['22']}-{s['12']}*{s['12']})"
+           f"-{s['01']}*({s['01']}*{s['22']}-{s['12']}*{s['02']})"
+           f"+{s['02']}*({s['01']}*{s['12']}-{s['11']}*{s['02']}))")
+    cof = {
+        "i00": f"({s['11']}*{s['22']}-{s['12']}*{s['12']})",
+        "i01": f"({s['02']}*{s['12']}-{s['01']}*{s['22']})",
+        "i02": f"({s['01']}*{s['12']}-{s['02']}*{s['11']})",
+        "i11": f"({s['00']}*{s['22']}-{s['02']}*{s['02']})",
+        "i12": f"({s['01']}*{s['02']}-{s['00']}*{s['12']})",
+        "i22": f"({s['00']}*{s['11']}-{s['01']}*{s['01']})",
+    }
+    body = ", ".join(f"{v} / {det} AS {k}" for k, v in cof.items())
+    return f"SELECT *, {det} AS det, {body} FROM {src}"
+
+
+def ols3_coef_sql(inv: str) -> str:
+    """β = S⁻¹t and the intercept, from a row of ``inv3_sql`` with y moments."""
+    inv_ = {"00": "i00", "01": "i01", "02": "i02", "10": "i01", "11": "i11", "12": "i12",
+            "20": "i02", "21": "i12", "22": "i22"}
+    b = [" + ".join(f"{inv_[f'{i}{j}']} * t{j}" for j in range(3)) for i in range(3)]
+    return (f"SELECT *, {b[0]} AS b0, {b[1]} AS b1, {b[2]} AS b2, "
+            f"my - (({b[0]}) * m0 + ({b[1]}) * m1 + ({b[2]}) * m2) AS b_const FROM {inv}")
