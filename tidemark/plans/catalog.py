@@ -99,6 +99,7 @@ def j2_nearest_panel(spark, sf_dir):
 
 
 from . import q_study  # noqa: E402,F401  (registers its queries)
+from . import q_facts  # noqa: E402,F401
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
