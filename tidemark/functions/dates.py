@@ -99,10 +99,15 @@ def tick_offsets(max_days, step: int = 180) -> Column:
     return F.sequence(F.lit(0), _c(max_days).cast("int") + F.lit(step - 1), F.lit(step))
 
 
+def _int_piece(x: Column) -> Column:
+    """Python ``int(piece)``: surrounding Unicode whitespace is ignored."""
+    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "").try_cast("int")
+
+
 def split_year_month(c) -> tuple[Column, Column]:
-    """``2021年2月`` → (2021, 2)."""
-    parts = F.split(F.regexp_replace(_c(c), r"(?U)\s", ""), "[年月]")
-    return parts.getItem(0).try_cast("int"), parts.getItem(1).try_cast("int")
+    """``2021年2月`` → (2021, 2) — split on 年/月, pieces 0 and 1."""
+    parts = F.split(_c(c), "[年月]")
+    return _int_piece(F.get(parts, 0)), _int_piece(F.get(parts, 1))
 
 
 def heisei_year_month(c) -> tuple[Column, Column]:
@@ -111,18 +116,17 @@ def heisei_year_month(c) -> tuple[Column, Column]:
     Split on 平, 成, 年, 月 and braces, drop empty pieces, lower-case (F13, no effect on
     digits); a year below 2000 is a Heisei year and gets +1988.
     """
-    parts = F.filter(F.split(F.regexp_replace(_c(c), r"(?U)\s", ""), "[{平成}年月]"),
-                     lambda x: x != "")
+    parts = F.filter(F.split(_c(c), "[{平成}年月]"), lambda x: x != "")
     parts = F.transform(parts, lambda x: F.lower(x))
-    y = parts.getItem(0).try_cast("int")
-    m = parts.getItem(1).try_cast("int")
+    y = _int_piece(F.get(parts, 0))
+    m = _int_piece(F.get(parts, 1))
     return F.when(y < 2000, y + 1988).otherwise(y), m
 
 
 def fixed_year_month(c) -> tuple[Column, Column]:
-    """year = characters 1–4, month = characters 7–8, after stripping Unicode spaces."""
-    s = F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "")
-    return F.substring(s, 1, 4).try_cast("int"), F.substring(s, 7, 2).try_cast("int")
+    """year = characters 1–4, month = characters 7–8 (``date[0:4]``, ``date[6:8]``)."""
+    s = _c(c)
+    return _int_piece(F.substring(s, 1, 4)), _int_piece(F.substring(s, 7, 2))
 
 
 __all__ = [n for n in dir() if not n.startswith("_")] + ["USPACE"]

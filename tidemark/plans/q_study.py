@@ -355,3 +355,128 @@ def a2_monthly_panel_means(spark, sf_dir):
 def a10_corr_monthly_panel(spark, sf_dir):
     p = panel(spark, sf_dir).withColumns({"Y": F.year("Date"), "Mo": F.month("Date")})
     return rnd(ST.corr_long(ST.mean_by(p, ["Y", "Mo"], COLS4), COLS4), {"pearson_r": 6})
+
+
+# ---------------------------------------------------------------------------
+# The model grid of the item-level study (jukaiki.py)
+
+GRID_FEATS = Q.RATE_NAMES + ["Gasoline"]
+
+
+def grid_inputs(spark, sf_dir):
+    """Complete item rows with the price clipped to its IQR fences, split 80/20.
+
+    The split table feeds several aggregations (two Grams, the score pass), so it is
+    checkpointed into the shared checkpoint folder once.
+    """
+    from ..session import cut_lineage
+    from .q_facts import merged_all
+    d = M.complete_rows(merged_all(spark, sf_dir), GRID_FEATS + ["price"]).select(
+        "l_orderkey", "l_linenumber", *GRID_FEATS, F.col("price").cast("double").alias("price"))
+    b = ST.iqr_bounds(d, "price").first()
+    d = ST.clip(d, "price", b["lower"], b["upper"])
+    std = SC.fit_standard(d, GRID_FEATS)
+    rob = SC.fit_robust(d, GRID_FEATS)
+    d = rob.apply(std.apply(d, "_std"), "_rob")
+    d = M.train_test_split(d, ["l_orderkey", "l_linenumber"], 0.2, 42)
+    return cut_lineage(d), std, rob
+
+
+def grid_fits(spark, sf_dir):
+    d, std, rob = grid_inputs(spark, sf_dir)
+    train = d.where(~F.col("is_test"))
+    fits = []
+    for suffix in ("_std", "_rob"):
+        xs = [c + suffix for c in GRID_FEATS]
+        g = M.gram(train, xs, "price")
+        fits += [M.ols(train, xs, "price", g), M.ridge(train, xs, "price", 1.0, g),
+                 M.lasso(train, xs, "price", 0.1, g)]
+    return d, std, rob, fits
+
+
+@query("m14_model_grid_scores")
+def m14_model_grid_scores(spark, sf_dir):
+    """Six models (OLS, ridge α=1, lasso α=0.1 × standard/robust scaling) scored on the
+    test rows in one pass."""
+    d, _, _, fits = grid_fits(spark, sf_dir)
+    sc = M.scores(d, fits, "price", where=F.col("is_test"))
+    names = {i: f"{f.model}{'_standard' if f.xs[0].endswith('_std') else '_robust'}"
+             for i, f in enumerate(fits)}
+    label = F.create_map(*[x for i, n in names.items() for x in (F.lit(i), F.lit(n))])
+    return sc.withColumn("model", label[F.col("model_no")])
+
+
+@query("o5_best_model")
+def o5_best_model(spark, sf_dir):
+    return ST.best_by(m14_model_grid_scores(spark, sf_dir), "r2", "model_no")
+
+
+@query("m13_raw_unit_coefficients")
+def m13_raw_unit_coefficients(spark, sf_dir):
+    """Each grid model's coefficients expressed back in the features' raw units."""
+    d, std, rob, fits = grid_fits(spark, sf_dir)
+    rows = []
+    for i, f in enumerate(fits):
+        sc = std if f.xs[0].endswith("_std") else rob
+        suffix = "_std" if sc is std else "_rob"
+        center = {c + suffix: sc.center[c] for c in GRID_FEATS}
+        scale = {c + suffix: sc.scale[c] for c in GRID_FEATS}
+        b0, coef = M.raw_units(f, center, scale)
+        rows.append((i, "const", float(b0)))
+        rows += [(i, c, float(v)) for c, v in zip(GRID_FEATS, coef)]
+    return spark.createDataFrame(rows, "model_no int, feature string, coef double")
+
+
+@query("m12_vif_no_const_items")
+def m12_vif_no_const_items(spark, sf_dir):
+    from .q_facts import merged_all
+    d = M.complete_rows(merged_all(spark, sf_dir), GRID_FEATS)
+    return M.vif_df(spark, M.vif(d, GRID_FEATS, constant=False))
+
+
+# ---------------------------------------------------------------------------
+# M15, M17, M18 (v.py / pairplots)
+
+
+def _surface_sql(k: int = 20):
+    st = ("SELECT min(CNY_JPY) AS lx, max(CNY_JPY) AS hx, min(PHP_JPY) AS ly, max(PHP_JPY) AS hy, "
+          "avg(VND_JPY) AS mv FROM mm")
+    grid = (f"SELECT CAST(id // {k} AS INTEGER) AS i, CAST(id % {k} AS INTEGER) AS j, "
+            f"lx + (id // {k}) * ((hx - lx) / {k - 1}) AS CNY_JPY, "
+            f"ly + (id % {k}) * ((hy - ly) / {k - 1}) AS PHP_JPY, mv AS VND_JPY FROM st, range({k * k}) t(id)")
+    return (_SPLIT_MM.rstrip() + f",\nst AS ({st}),\ngr AS ({grid})\n"
+            "SELECT i, j, round(gr.CNY_JPY, 6) AS CNY_JPY, round(gr.PHP_JPY, 6) AS PHP_JPY, "
+            "round(gr.VND_JPY, 6) AS VND_JPY, round(b_const + b0 * gr.CNY_JPY + b1 * gr.PHP_JPY "
+            "+ b2 * gr.VND_JPY, 6) AS y_pred FROM gr, co")
+
+
+@query("m15_regression_surface", _surface_sql())
+def m15_regression_surface(spark, sf_dir):
+    s = mm_split(spark, sf_dir)
+    fit = M.ols(s.where(~F.col("is_test")), X3, "price")
+    g = M.surface_grid(mm_panel(spark, sf_dir), fit, "CNY_JPY", "PHP_JPY", 20)
+    return rnd(g, {c: 6 for c in ("CNY_JPY", "PHP_JPY", "VND_JPY", "y_pred")})
+
+
+@query("m17_regression_band")
+def m17_regression_band(spark, sf_dir):
+    return M.reg_band(mm_panel(spark, sf_dir), "CNY_JPY", "price")
+
+
+def _pair_bins_sql(bins: int = 10):
+    st = "SELECT " + ", ".join(f"min({c}) AS lo_{i}, max({c}) AS hi_{i}" for i, c in enumerate(COLS4)) + " FROM mm"
+    cells = []
+    for i, a in enumerate(COLS4):
+        for j, b in enumerate(COLS4):
+            ca = (f"CAST(least({bins - 1}, floor(({a} - lo_{i}) * {bins} / "
+                  f"(CASE WHEN hi_{i} = lo_{i} THEN 1.0 ELSE hi_{i} - lo_{i} END))) AS INTEGER)")
+            cb = (f"CAST(least({bins - 1}, floor(({b} - lo_{j}) * {bins} / "
+                  f"(CASE WHEN hi_{j} = lo_{j} THEN 1.0 ELSE hi_{j} - lo_{j} END))) AS INTEGER)")
+            cells.append(f"SELECT '{a}' AS x_name, '{b}' AS y_name, {ca} AS x_bin, {cb} AS y_bin FROM mm, st")
+    return (_MM_SQL.rstrip() + f",\nst AS ({st}),\ncells AS ({' UNION ALL '.join(cells)})\n"
+            "SELECT x_name, y_name, x_bin, y_bin, count(*) AS count FROM cells GROUP BY 1, 2, 3, 4")
+
+
+@query("m18_pair_bins", _pair_bins_sql())
+def m18_pair_bins(spark, sf_dir):
+    return M.pair_bins(mm_panel(spark, sf_dir), COLS4, 10)

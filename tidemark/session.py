@@ -69,3 +69,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh folder under the shared checkpoint folder for files a job writes and re-reads."""
+    import uuid
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/tidemark-io/{label}-{uuid.uuid4().hex[:12]}"
