@@ -56,37 +56,47 @@ def numeric_key(df: DataFrame, name: str) -> Column:
     return c.cast("double")
 
 
+ROWS_PER_BUCKET = 4_000_000
+
+
 def default_buckets(spark) -> int:
-    """Buckets for ordered operators: the shuffle width, capped so that the bucket
-    lookup expression stays short."""
-    return max(1, min(256, int(spark.conf.get("spark.sql.shuffle.partitions", "8"))))
+    """Most buckets an ordered operator may use: the shuffle width, capped so that the
+    bucket lookup expression stays short."""
+    return max(1, min(512, int(spark.conf.get("spark.sql.shuffle.partitions", "8"))))
 
 
 def range_buckets(df: DataFrame, by: Sequence[str], order: Sequence[str],
-                  buckets: int | None = None) -> DataFrame:
+                  buckets: int | None = None, rows_per_bucket: int | None = None) -> DataFrame:
     """Tag each row with a range bucket of its primary order key.
 
-    Bucket bounds are approximate quantiles of the key (one sampling pass; the
-    bounds, at most ``buckets - 1`` numbers, are the only thing that reaches the
-    driver).  Buckets are therefore balanced by row count even when the keys are
-    skewed, contiguous and ascending: every key of bucket i sorts before every key of
-    bucket i+1.  The bucket is a plain column expression, so the window that follows
-    (partitioned by ``by`` and the bucket) costs exactly one hash shuffle, and a hot
-    ``by`` group is split across buckets by key range.
+    One aggregation returns the row count and approximate quantiles of the key; only
+    those numbers reach the driver.  The number of buckets is ceil(rows /
+    ``rows_per_bucket``), at most ``buckets``; the bounds are the matching quantiles,
+    so buckets are balanced by row count even when keys are skewed, contiguous and
+    ascending: every key of bucket i sorts before every key of bucket i+1.  The
+    bucket is a plain column expression, so the window that follows (partitioned by
+    ``by`` and the bucket) costs exactly one hash shuffle, and a hot ``by`` group is
+    split across buckets by key range.  A small input gets a single bucket.
     """
     n = buckets or default_buckets(df.sparkSession)
     order = _as_list(order)
     if n <= 1 or not order:
         return df.withColumn(_B, F.lit(0))
-    key = numeric_key(df, order[0])
+    key = numeric_key(df, order[0]).cast("double")
     probs = [i / n for i in range(1, n)]
-    bounds = df.select(key.alias(_K)).approxQuantile(_K, probs, 1.0 / (4 * n))
-    bounds = sorted({float(b) for b in bounds if b is not None})
+    r = df.agg(F.count(F.lit(1)).alias("n"),
+               F.percentile_approx(key, F.array(*[F.lit(p) for p in probs]), 4 * n).alias("b")).first()
+    per = rows_per_bucket or ROWS_PER_BUCKET
+    want = min(n, max(1, -(-int(r["n"]) // max(1, per))))
+    if want <= 1 or not r["b"]:
+        return df.withColumn(_B, F.lit(0))
+    step = n / want
+    picked = [r["b"][int(round(k * step)) - 1] for k in range(1, want)]
+    bounds = sorted({float(b) for b in picked if b is not None})
     if not bounds:
         return df.withColumn(_B, F.lit(0))
     arr = F.array(*[F.lit(b) for b in bounds])
-    k = key.cast("double")
-    return df.withColumn(_B, F.coalesce(F.size(F.filter(arr, lambda x: x <= k)), F.lit(0)))
+    return df.withColumn(_B, F.coalesce(F.size(F.filter(arr, lambda x: x <= key)), F.lit(0)))
 
 
 def _join_back(df: DataFrame, carry: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -38,10 +38,18 @@ def sql_round(cols: dict[str, int]) -> str:
 # the daily panel (entry 2 of the reference: daily price ⟗ rates → fill → nearest)
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def panel(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
+    """The daily study panel (Date, price, CNY_JPY, PHP_JPY, VND_JPY).
+
+    One row per calendar day, whatever the size of the facts behind it.  Studies run
+    many aggregations over it, so it is checkpointed once into the shared checkpoint
+    folder (lineage cut; a lost executor re-reads it instead of recomputing).
+    """
     from ..operators.align import asof_nearest, fill_both
+    from ..session import cut_lineage
     rates = fill_both(TB.rates_wide_one_scan(spark, sf_dir), "Date")
-    return asof_nearest(TB.daily_price(spark, sf_dir), rates, on="Date")
+    p = asof_nearest(TB.daily_price(spark, sf_dir), rates, on="Date")
+    return cut_lineage(p) if materialize else p
 
 
 _PANEL_SQL = Q.cte(**Q.panel_ctes())

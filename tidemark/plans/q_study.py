@@ -24,8 +24,9 @@ COLS4 = Q.PANEL_COLS
 
 def pct_panel(spark, sf_dir):
     """MRAnalyze: percentage change ×100 in date order, first row dropped."""
+    from ..session import cut_lineage
     p = AL.pct_change(panel(spark, sf_dir), "Date", COLS4)
-    return p.dropna(subset=COLS4)
+    return cut_lineage(p.dropna(subset=COLS4))
 
 
 def mm_panel(spark, sf_dir):
@@ -163,7 +164,8 @@ _SPLIT_MM = Q.cte(**Q.panel_ctes(), mm=Q.minmax_sql("panel", COLS4), sp=Q.split_
 
 
 def mm_split(spark, sf_dir):
-    return M.train_test_split(mm_panel(spark, sf_dir), ["Date"], 0.2, 42)
+    from ..session import cut_lineage
+    return cut_lineage(M.train_test_split(mm_panel(spark, sf_dir), ["Date"], 0.2, 42))
 
 
 @query("m4_split_sizes",
@@ -373,6 +375,7 @@ def grid_inputs(spark, sf_dir):
     from .q_facts import merged_all
     d = M.complete_rows(merged_all(spark, sf_dir), GRID_FEATS + ["price"]).select(
         "l_orderkey", "l_linenumber", *GRID_FEATS, F.col("price").cast("double").alias("price"))
+    d = cut_lineage(d)  # read by the quartile, scaler and split passes below
     b = ST.iqr_bounds(d, "price").first()
     d = ST.clip(d, "price", b["lower"], b["upper"])
     std = SC.fit_standard(d, GRID_FEATS)
