@@ -76,12 +76,13 @@ def range_buckets(df: DataFrame, by: Sequence[str], order: Sequence[str],
     ascending: every key of bucket i sorts before every key of bucket i+1.  The
     bucket is a plain column expression, so the window that follows (partitioned by
     ``by`` and the bucket) costs exactly one hash shuffle, and a hot ``by`` group is
-    split across buckets by key range.  A small input gets a single bucket.
+    split across buckets by key range.  A small input gets a single bucket, and the
+    callers then skip the cross-bucket carry entirely.  Returns (frame, buckets).
     """
     n = buckets or default_buckets(df.sparkSession)
     order = _as_list(order)
     if n <= 1 or not order:
-        return df.withColumn(_B, F.lit(0))
+        return df.withColumn(_B, F.lit(0)), 1
     key = numeric_key(df, order[0]).cast("double")
     probs = [i / n for i in range(1, n)]
     r = df.agg(F.count(F.lit(1)).alias("n"),
@@ -89,14 +90,14 @@ def range_buckets(df: DataFrame, by: Sequence[str], order: Sequence[str],
     per = rows_per_bucket or ROWS_PER_BUCKET
     want = min(n, max(1, -(-int(r["n"]) // max(1, per))))
     if want <= 1 or not r["b"]:
-        return df.withColumn(_B, F.lit(0))
+        return df.withColumn(_B, F.lit(0)), 1
     step = n / want
     picked = [r["b"][int(round(k * step)) - 1] for k in range(1, want)]
     bounds = sorted({float(b) for b in picked if b is not None})
     if not bounds:
-        return df.withColumn(_B, F.lit(0))
+        return df.withColumn(_B, F.lit(0)), 1
     arr = F.array(*[F.lit(b) for b in bounds])
-    return df.withColumn(_B, F.coalesce(F.size(F.filter(arr, lambda x: x <= key)), F.lit(0)))
+    return df.withColumn(_B, F.coalesce(F.size(F.filter(arr, lambda x: x <= key)), F.lit(0))), len(bounds) + 1
 
 
 def _join_back(df: DataFrame, carry: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -111,7 +112,7 @@ def _fill(df: DataFrame, order: Sequence[str], cols: Sequence[str], by: Sequence
     order = _as_list(order)
     by = _as_list(by)
     cols = list(cols)
-    b = range_buckets(df, by, order, buckets)
+    b, nb = range_buckets(df, by, order, buckets)
     okey = F.struct(*[F.col(o) for o in order])
     w = Window.partitionBy(*by, _B).orderBy(*order)
     ws = Window.partitionBy(*by).orderBy(_B)
@@ -132,16 +133,18 @@ def _fill(df: DataFrame, order: Sequence[str], cols: Sequence[str], by: Sequence
         carry_expr += [F.first(f"_tm_f_{c}", ignorenulls=True)
                        .over(ws.rowsBetween(1, Window.unboundedFollowing)).alias(f"_tm_cb_{c}")
                        for c in cols]
-    summary = b.groupBy(*by, _B).agg(*edge)
-    carry = summary.select(*by, _B, *carry_expr)
-    out = _join_back(b.withColumns(inner), carry, by)
+    out = b.withColumns(inner)
+    if nb > 1:
+        summary = b.groupBy(*by, _B).agg(*edge)
+        carry = summary.select(*by, _B, *carry_expr)
+        out = _join_back(out, carry, by)
     res = {}
     for c in cols:
         parts = []
         if forward:
-            parts += [F.col(f"_tm_ff_{c}"), F.col(f"_tm_cf_{c}")]
+            parts += [F.col(f"_tm_ff_{c}")] + ([F.col(f"_tm_cf_{c}")] if nb > 1 else [])
         if backward:
-            parts += [F.col(f"_tm_bf_{c}"), F.col(f"_tm_cb_{c}")]
+            parts += [F.col(f"_tm_bf_{c}")] + ([F.col(f"_tm_cb_{c}")] if nb > 1 else [])
         res[c] = F.coalesce(*parts)
     return out.withColumns(res).select(*df.columns)
 
@@ -186,18 +189,21 @@ def pct_change(df: DataFrame, order, cols=None, by=(), scale: float = 100.0,
     order = _as_list(order)
     by = _as_list(by)
     cols = _value_cols(df, order, by, cols)
-    b = range_buckets(df, by, order, buckets)
+    b, nb = range_buckets(df, by, order, buckets)
     okey = F.struct(*[F.col(o) for o in order])
     w = Window.partitionBy(*by, _B).orderBy(*order)
     wrun = w.rowsBetween(Window.unboundedPreceding, 0)
     filled = b.withColumns({f"_tm_f_{c}": F.last(c, ignorenulls=True).over(wrun) for c in cols})
     filled = filled.withColumns({f"_tm_p_{c}": F.lag(f"_tm_f_{c}", 1).over(w) for c in cols})
-    summary = b.groupBy(*by, _B).agg(*[
-        F.max_by(F.col(c), F.when(F.col(c).isNotNull(), okey)).alias(c) for c in cols])
-    ws = Window.partitionBy(*by).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(*by, _B, *[F.last(c, ignorenulls=True).over(ws).alias(f"_tm_carry_{c}")
-                                      for c in cols])
-    out = _join_back(filled, carry, by)
+    if nb > 1:
+        summary = b.groupBy(*by, _B).agg(*[
+            F.max_by(F.col(c), F.when(F.col(c).isNotNull(), okey)).alias(c) for c in cols])
+        ws = Window.partitionBy(*by).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+        carry = summary.select(*by, _B, *[F.last(c, ignorenulls=True).over(ws).alias(f"_tm_carry_{c}")
+                                          for c in cols])
+        out = _join_back(filled, carry, by)
+    else:
+        out = filled.withColumns({f"_tm_carry_{c}": F.lit(None).cast("double") for c in cols})
     res = {}
     for c in cols:
         cur = F.coalesce(F.col(f"_tm_f_{c}"), F.col(f"_tm_carry_{c}"))
@@ -283,24 +289,28 @@ def nearest_key_map(left_keys: DataFrame, right_keys: DataFrame, by: Sequence[st
     by = list(by)
     u = (left_keys.withColumn(_SIDE, F.lit(1))
          .unionByName(right_keys.withColumn(_SIDE, F.lit(0))))
-    b = range_buckets(u, by, [_K, _SIDE], buckets)
+    b, nb = range_buckets(u, by, [_K, _SIDE], buckets)
     rkey = F.when(F.col(_SIDE) == 0, F.col(_K))
     w = Window.partitionBy(*by, _B).orderBy(_K, _SIDE)
     prev_in = F.last(rkey, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     next_in = F.first(rkey, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    summary = b.groupBy(*by, _B).agg(F.max(rkey).alias("_tm_last"), F.min(rkey).alias("_tm_first"))
-    ws = Window.partitionBy(*by).orderBy(_B)
-    carry = summary.select(
-        *by, _B,
-        F.last("_tm_last", ignorenulls=True).over(ws.rowsBetween(Window.unboundedPreceding, -1))
-        .alias("_tm_cprev"),
-        F.first("_tm_first", ignorenulls=True).over(ws.rowsBetween(1, Window.unboundedFollowing))
-        .alias("_tm_cnext"),
-    )
     cand = b.select(*by, _B, _K, _SIDE, prev_in.alias("_tm_pi"), next_in.alias("_tm_ni"))
-    cand = _join_back(cand.where(F.col(_SIDE) == 1), carry, by)
-    prev = F.coalesce(F.col("_tm_pi"), F.col("_tm_cprev"))
-    nxt = F.coalesce(F.col("_tm_ni"), F.col("_tm_cnext"))
+    cand = cand.where(F.col(_SIDE) == 1)
+    if nb > 1:
+        summary = b.groupBy(*by, _B).agg(F.max(rkey).alias("_tm_last"), F.min(rkey).alias("_tm_first"))
+        ws = Window.partitionBy(*by).orderBy(_B)
+        carry = summary.select(
+            *by, _B,
+            F.last("_tm_last", ignorenulls=True).over(ws.rowsBetween(Window.unboundedPreceding, -1))
+            .alias("_tm_cprev"),
+            F.first("_tm_first", ignorenulls=True).over(ws.rowsBetween(1, Window.unboundedFollowing))
+            .alias("_tm_cnext"),
+        )
+        cand = _join_back(cand, carry, by)
+        prev = F.coalesce(F.col("_tm_pi"), F.col("_tm_cprev"))
+        nxt = F.coalesce(F.col("_tm_ni"), F.col("_tm_cnext"))
+    else:
+        prev, nxt = F.col("_tm_pi"), F.col("_tm_ni")
     k = F.col(_K)
     choose = (F.when(nxt.isNull(), prev)
               .when(prev.isNull(), nxt)

@@ -48,19 +48,23 @@ def global_rank(df: DataFrame, order: str, by=(), buckets: int | None = None,
     src = df
     if numeric is not None:
         src = df.withColumn("_tm_num", numeric)
-        b = range_buckets(src, by, ["_tm_num"], buckets)
+        b, nb = range_buckets(src, by, ["_tm_num"], buckets)
     else:
-        b = range_buckets(src, by, [order], buckets)
+        b, nb = range_buckets(src, by, [order], buckets)
     w = Window.partitionBy(*by, _B).orderBy(order)
     ranked = b.withColumn("_tm_rn", F.row_number().over(w) - 1)
-    counts = b.groupBy(*by, _B).agg(F.count(F.lit(1)).alias("_tm_c"))
-    ws = Window.partitionBy(*by).orderBy(_B)
-    offs = counts.select(
-        *by, _B,
-        F.coalesce(F.sum("_tm_c").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        .alias("_tm_off"),
-        F.sum("_tm_c").over(Window.partitionBy(*by)).alias("_n"))
-    out = ranked.join(offs, by + [_B]).withColumn("_rank", F.col("_tm_off") + F.col("_tm_rn"))
+    if nb > 1:
+        counts = b.groupBy(*by, _B).agg(F.count(F.lit(1)).alias("_tm_c"))
+        ws = Window.partitionBy(*by).orderBy(_B)
+        offs = counts.select(
+            *by, _B,
+            F.coalesce(F.sum("_tm_c").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            .alias("_tm_off"),
+            F.sum("_tm_c").over(Window.partitionBy(*by)).alias("_n"))
+        out = ranked.join(offs, by + [_B]).withColumn("_rank", F.col("_tm_off") + F.col("_tm_rn"))
+    else:
+        out = ranked.withColumns({"_tm_off": F.lit(0), "_rank": F.col("_tm_rn"),
+                                  "_n": F.count(F.lit(1)).over(Window.partitionBy(*by, _B))})
     return out.drop("_tm_off", "_tm_rn", _B, *(["_tm_num"] if numeric is not None else []))
 
 
@@ -236,14 +240,18 @@ def successive_diff_sq(df: DataFrame, order, col: str, buckets: int | None = Non
     Returns the value as a one-row aggregation result (float on the driver).
     """
     order = _as_list(order)
-    b = range_buckets(df.select(*order, col), [], order, buckets)
+    b, nb = range_buckets(df.select(*order, col), [], order, buckets)
     okey = F.struct(*[F.col(o) for o in order])
     w = Window.partitionBy(_B).orderBy(*order)
     inner = b.withColumn("_tm_prev", F.lag(col, 1).over(w))
-    last = b.groupBy(_B).agg(F.max_by(F.col(col), okey).alias("_tm_last"))
-    carry = last.select(_B, F.lag("_tm_last", 1).over(Window.orderBy(_B)).alias("_tm_carry"))
-    j = inner.join(carry, _B, "left")
-    prev = F.coalesce(F.col("_tm_prev"), F.col("_tm_carry"))
+    if nb > 1:
+        last = b.groupBy(_B).agg(F.max_by(F.col(col), okey).alias("_tm_last"))
+        # one row per bucket: the window over this summary is tiny by construction
+        carry = last.select(_B, F.lag("_tm_last", 1).over(Window.orderBy(_B)).alias("_tm_carry"))
+        j = inner.join(carry, _B, "left")
+        prev = F.coalesce(F.col("_tm_prev"), F.col("_tm_carry"))
+    else:
+        j, prev = inner, F.col("_tm_prev")
     d = F.col(col) - prev
     return j.agg(F.sum(d * d).alias("ssd")).first()["ssd"]
 

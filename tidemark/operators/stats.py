@@ -106,17 +106,21 @@ def quantiles(df: DataFrame, cols, probs: Sequence[float], by=(), method: str =
         return agg.select(*keys, "n", *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
     if method != "rank":
         raise ValueError(method)
-    b = range_buckets(long, keys, ["value"], buckets)
+    b, nb = range_buckets(long, keys, ["value"], buckets)
     w = Window.partitionBy(*keys, _B).orderBy("value")
     ranked = b.withColumn("_rn", F.row_number().over(w) - 1)
-    counts = b.groupBy(*keys, _B).agg(F.count(F.lit(1)).alias("_c"))
-    ws = Window.partitionBy(*keys).orderBy(_B)
-    offsets = counts.select(
-        *keys, _B,
-        F.coalesce(F.sum("_c").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        .alias("_off"),
-        F.sum("_c").over(Window.partitionBy(*keys)).alias("n"))
-    r = ranked.join(offsets, keys + [_B]).withColumn("_r", F.col("_off") + F.col("_rn"))
+    if nb > 1:
+        counts = b.groupBy(*keys, _B).agg(F.count(F.lit(1)).alias("_c"))
+        ws = Window.partitionBy(*keys).orderBy(_B)
+        offsets = counts.select(
+            *keys, _B,
+            F.coalesce(F.sum("_c").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            .alias("_off"),
+            F.sum("_c").over(Window.partitionBy(*keys)).alias("n"))
+        r = ranked.join(offsets, keys + [_B]).withColumn("_r", F.col("_off") + F.col("_rn"))
+    else:
+        r = ranked.withColumns({"_r": F.col("_rn"),
+                                "n": F.count(F.lit(1)).over(Window.partitionBy(*keys, _B))})
     nm1 = F.col("n") - 1
     wanted = None
     for p in probs:

@@ -47,9 +47,12 @@ def panel(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFra
     """
     from ..operators.align import asof_nearest, fill_both
     from ..session import cut_lineage
-    rates = fill_both(TB.rates_wide_one_scan(spark, sf_dir), "Date")
-    p = asof_nearest(TB.daily_price(spark, sf_dir), rates, on="Date")
-    return cut_lineage(p) if materialize else p
+    keep = cut_lineage if materialize else (lambda d: d)
+    # the fact tables are scanned once each, down to one row per day; the ordered
+    # steps then read those small day-grain tables several times
+    daily = keep(TB.daily_price(spark, sf_dir))
+    rates = fill_both(keep(TB.rates_wide_one_scan(spark, sf_dir)), "Date")
+    return keep(asof_nearest(daily, rates, on="Date"))
 
 
 _PANEL_SQL = Q.cte(**Q.panel_ctes())
