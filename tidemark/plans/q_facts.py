@@ -433,7 +433,9 @@ def o2_sorted_side_monthly(spark, sf_dir):
 
 @query("o6_head5_items", _ITEMS + "SELECT * FROM it ORDER BY Date, l_orderkey, l_linenumber LIMIT 5")
 def o6_head5_items(spark, sf_dir):
-    return TB.item_facts(spark, sf_dir).orderBy("Date", "l_orderkey", "l_linenumber").limit(5)
+    """head(5) after an explicit order."""
+    from ..sources.sinks import preview
+    return preview(TB.item_facts(spark, sf_dir), 5, ["Date", "l_orderkey", "l_linenumber"])
 
 
 @query("u1_union_rate_files",

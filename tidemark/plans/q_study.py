@@ -483,3 +483,50 @@ def _pair_bins_sql(bins: int = 10):
 @query("m18_pair_bins", _pair_bins_sql())
 def m18_pair_bins(spark, sf_dir):
     return M.pair_bins(mm_panel(spark, sf_dir), COLS4, 10)
+
+
+# ---------------------------------------------------------------------------
+# K4 reports and small column operators
+
+
+@query("k4_minmax_study_report")
+def k4_minmax_study_report(spark, sf_dir):
+    from .studies import study_report
+    return study_report(spark, mm_panel(spark, sf_dir), "min-max scaled daily panel")
+
+
+@query("k4_pct_change_study_report")
+def k4_pct_change_study_report(spark, sf_dir):
+    from .studies import study_report
+    return study_report(spark, pct_panel(spark, sf_dir), "percentage-change daily panel")
+
+
+@query("p10_backup_then_scale",
+       Q.cte(**Q.panel_ctes(), mm=Q.minmax_sql("panel", COLS4))
+       + "SELECT mm.*, " + ", ".join(f"panel.{c} AS {c}_original" for c in COLS4)
+       + " FROM mm JOIN panel ON mm.Date = panel.Date")
+def p10_backup_then_scale(spark, sf_dir):
+    """mm.py: keep each column's raw value as ``<col>_original`` before scaling it."""
+    from ..functions.clean import backup_columns
+    p = backup_columns(panel(spark, sf_dir), COLS4)
+    return SC.fit_minmax(p, COLS4).apply(p)
+
+
+@query("p11p12_drop_by_position",
+       Q.cte(rates=Q.RATES) + "SELECT PHP_JPY AS php FROM rates")
+def p11p12_drop_by_position(spark, sf_dir):
+    """heatmap.py-style: drop columns 0, 1 and 3 by position, then rename what is left."""
+    from ..functions.clean import drop_by_position, project_rename
+    r = drop_by_position(TB.rates_wide(spark, sf_dir), [0, 1, 3])
+    return project_rename(r, {"PHP_JPY": "php"})
+
+
+@query("p14_price_bands",
+       Q.cte(daily=Q.DAILY) + "SELECT CASE WHEN price BETWEEN 6000000 AND 1e12 THEN 'high' "
+       "WHEN price BETWEEN 0 AND 2500000 THEN 'low' END AS band, count(*) AS n FROM daily GROUP BY 1")
+def p14_price_bands(spark, sf_dir):
+    """hakohige.py's broken axis: label each daily mean with the band that shows it."""
+    from ..functions.clean import value_band
+    d = TB.daily_price(spark, sf_dir)
+    b = d.select(value_band("price", {"high": (6_000_000, 1e12), "low": (0, 2_500_000)}).alias("band"))
+    return b.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
