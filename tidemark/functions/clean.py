@@ -13,8 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Python's str.strip()/split() treat these as spaces (U+3000 ideographic space
-# included); Java's \s and Spark's trim() do not, so a Unicode-aware class is used.
-USPACE = r"(?U)\s"
+# included); Java's \s and Spark's default trim() do not.  Fixed value: the characters
+# for which Python's str.isspace() is true.
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003"
+                 "\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+# The same set as a regex character class (Java and RE2 syntax).
+USPACE = (r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
+          r"\x{202F}\x{205F}\x{3000}]")
 
 
 def _c(c) -> Column:
@@ -22,8 +27,8 @@ def _c(c) -> Column:
 
 
 def ustrip(c) -> Column:
-    """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "")
+    """Python ``str.strip()``: remove leading/trailing Unicode whitespace (no regex)."""
+    return F.trim(_c(c), F.lit(PY_WHITESPACE))
 
 
 def to_number(c, strip_commas: bool = False) -> Column:
@@ -34,7 +39,7 @@ def to_number(c, strip_commas: bool = False) -> Column:
     """
     s = ustrip(_c(c).cast("string"))
     if strip_commas:
-        s = F.regexp_replace(s, ",", "")
+        s = F.replace(s, F.lit(","), F.lit(""))
     return s.try_cast("double")
 
 
@@ -42,7 +47,7 @@ def to_long(c, strip_commas: bool = True) -> Column:
     """``int(s.replace(",", ""))`` — integral text only; anything else → null."""
     s = ustrip(_c(c).cast("string"))
     if strip_commas:
-        s = F.regexp_replace(s, ",", "")
+        s = F.replace(s, F.lit(","), F.lit(""))
     return s.try_cast("long")
 
 

@@ -21,9 +21,9 @@ def _c(c) -> Column:
 def safe_make_date(y, m, d) -> Column:
     """``make_date`` raises in ANSI mode on impossible parts; this returns null instead."""
     y, m, d = _c(y), _c(m), _c(d)
-    txt = F.format_string("%04d-%02d-%02d", y.cast("int"), m.cast("int"), d.cast("int"))
-    ok = y.isNotNull() & m.between(1, 12) & d.between(1, 31) & y.between(1, 9999)
-    return F.when(ok, F.try_to_timestamp(txt, F.lit("yyyy-MM-dd")).cast("date"))
+    ts = F.try_make_timestamp_ntz(y.cast("int"), m.cast("int"), d.cast("int"),
+                                  F.lit(0), F.lit(0), F.lit(0))
+    return ts.cast("date")
 
 
 def first_monday(y, m) -> Column:
@@ -101,7 +101,8 @@ def tick_offsets(max_days, step: int = 180) -> Column:
 
 def _int_piece(x: Column) -> Column:
     """Python ``int(piece)``: surrounding Unicode whitespace is ignored."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "").try_cast("int")
+    from .clean import ustrip
+    return ustrip(x).try_cast("int")
 
 
 def split_year_month(c) -> tuple[Column, Column]:

@@ -36,8 +36,10 @@ def basename(path) -> Column:
 
 def drop_blank_lines(c) -> Column:
     """F16: remove lines that hold only whitespace (Unicode-aware)."""
+    from .clean import USPACE
     lines = F.split(_c(c), "\n")
-    return F.array_join(F.filter(lines, lambda l: l.rlike(r"(?U)\S")), "\n")
+    non_space = "[^" + USPACE[1:-1] + "]"
+    return F.array_join(F.filter(lines, lambda l: l.rlike(non_space)), "\n")
 
 
 def after_equals(url) -> Column:
@@ -72,5 +74,5 @@ def mean_count_label(mean, count) -> Column:
 
 def whitespace_fields(c) -> Column:
     """Strip, then split on runs of Unicode whitespace (Python ``str.split()``)."""
-    s = F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "")
-    return F.split(s, r"(?U)\s+")
+    from .clean import USPACE, ustrip
+    return F.split(ustrip(_c(c)), USPACE + "+")

@@ -193,7 +193,7 @@ def f10f11f12_survey_date_cells(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # whitespace text
 
-_WS = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_WS = CL.USPACE
 
 
 def _ws_sql():

@@ -89,7 +89,7 @@ def read_whitespace_text(spark: SparkSession, path) -> DataFrame:
     """Lines of whitespace-separated text → (file, line, fields); blank lines dropped.
 
     Python's ``strip()``/``split()`` treat U+3000 and other Unicode spaces as blanks;
-    the split here is ``(?U)\\s+`` for the same reason (Q12).
+    the split here uses the same character set as Python for the same reason (Q12).
     """
     df = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"),
                                       F.col("value").alias("line"))

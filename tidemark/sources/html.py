@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.clean import ustrip
 from ..functions.text import RESTOCK_TEXT, after_equals
 from ..operators.align import fill_forward
 
@@ -176,8 +177,8 @@ def schedule_items(blocks: DataFrame, page_order: str, url_col: str = "url") ->
       in the page URL.
     """
     b = blocks.withColumns({
-        "month_i": F.regexp_replace("month", r"(?U)^\s+|\s+$", "").try_cast("int"),
-        "week_i": F.coalesce(F.regexp_replace("week", r"(?U)^\s+|\s+$", "").try_cast("int"), F.lit(0)),
+        "month_i": ustrip("month").try_cast("int"),
+        "week_i": F.coalesce(ustrip("week").try_cast("int"), F.lit(0)),
     })
     per_block = b.select(page_order, "block_no", "month_i").distinct()
     filled = fill_forward(per_block, [page_order, "block_no"], ["month_i"])
