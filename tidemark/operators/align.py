@@ -56,7 +56,7 @@ def numeric_key(df: DataFrame, name: str) -> Column:
     return c.cast("double")
 
 
-ROWS_PER_BUCKET = 4_000_000
+ROWS_PER_BUCKET = 1_000_000
 
 
 def default_buckets(spark) -> int:
@@ -346,6 +346,10 @@ def asof_nearest(left: DataFrame, right: DataFrame, on: str, right_on: str | Non
 
     lk = left.select(*by, numeric_key(left, on).alias(_K)).where(F.col(_K).isNotNull()).distinct()
     rk = r.select(*by, _K)
+    if buckets is None and not by and isinstance(left.schema[on].dataType, T.DateType):
+        # distinct calendar days are bounded by the date range, not by the data:
+        # one bucket, no sampling pass
+        buckets = 1
     mapping = nearest_key_map(lk, rk, by, buckets)
 
     rr = r.select(*by, F.col(_K).alias("_tm_rkey"), *[F.col(c) for c in payload],

@@ -307,7 +307,8 @@ class OLSSummary:
                         "ci_low double, ci_high double")
 
 
-def ols_summary(df: DataFrame, xs, y: str, order=None, fit: LinearFit | None = None) -> OLSSummary:
+def ols_summary(df: DataFrame, xs, y: str, order=None, fit: LinearFit | None = None,
+                buckets: int | None = None) -> OLSSummary:
     """M8: the OLS summary numbers.
 
     R², adj. R², F and p(F), log-likelihood, AIC, BIC, coefficients with standard
@@ -350,7 +351,7 @@ def ols_summary(df: DataFrame, xs, y: str, order=None, fit: LinearFit | None = N
     omni, omni_p = omnibus(skew, kurt, n)
     dw = float("nan")
     if order is not None:
-        ssd = successive_diff_sq(d.select(*_as_list(order), e.alias("_e")), order, "_e")
+        ssd = successive_diff_sq(d.select(*_as_list(order), e.alias("_e")), order, "_e", buckets)
         dw = float(ssd) / sse if sse else float("nan")
     eig = np.linalg.eigvalsh(g.xtx_with_const())
     cond = math.sqrt(eig.max() / eig.min()) if eig.min() > 0 else float("inf")

@@ -59,11 +59,15 @@ def fit_minmax(df: DataFrame, cols) -> Scaling:
     return Scaling("minmax", center, scale)
 
 
-def fit_robust(df: DataFrame, cols, method: str = "rank") -> Scaling:
-    """M3: (x - median) / (Q3 - Q1) with exact quartiles; a zero IQR divides by 1."""
+def fit_robust(df: DataFrame, cols, method: str = "rank", quartiles: dict | None = None) -> Scaling:
+    """M3: (x - median) / (Q3 - Q1) with exact quartiles; a zero IQR divides by 1.
+
+    ``quartiles`` (variable → row with q25, q50, q75) lets a caller reuse quartiles it
+    already computed in a shared pass.
+    """
     cols = _as_list(cols)
-    q = {r["variable"]: r for r in
-         quantiles(df, cols, [0.25, 0.5, 0.75], method=method).collect()}  # p rows
+    q = quartiles or {r["variable"]: r for r in
+                      quantiles(df, cols, [0.25, 0.5, 0.75], method=method).collect()}  # p rows
     center, scale = {}, {}
     for c in cols:
         r = q[c]

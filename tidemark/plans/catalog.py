@@ -51,7 +51,8 @@ def panel(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFra
     # the fact tables are scanned once each, down to one row per day; the ordered
     # steps then read those small day-grain tables several times
     daily = keep(TB.daily_price(spark, sf_dir))
-    rates = fill_both(keep(TB.rates_wide_one_scan(spark, sf_dir)), "Date")
+    # one row per calendar day: a single bucket by construction
+    rates = fill_both(keep(TB.rates_wide_one_scan(spark, sf_dir)), "Date", buckets=1)
     return keep(asof_nearest(daily, rates, on="Date"))
 
 

@@ -25,7 +25,7 @@ COLS4 = Q.PANEL_COLS
 def pct_panel(spark, sf_dir):
     """MRAnalyze: percentage change ×100 in date order, first row dropped."""
     from ..session import cut_lineage
-    p = AL.pct_change(panel(spark, sf_dir), "Date", COLS4)
+    p = AL.pct_change(panel(spark, sf_dir), "Date", COLS4, buckets=1)  # one row per day
     return cut_lineage(p.dropna(subset=COLS4))
 
 
@@ -165,7 +165,7 @@ _SPLIT_MM = Q.cte(**Q.panel_ctes(), mm=Q.minmax_sql("panel", COLS4), sp=Q.split_
 
 def mm_split(spark, sf_dir):
     from ..session import cut_lineage
-    return cut_lineage(M.train_test_split(mm_panel(spark, sf_dir), ["Date"], 0.2, 42))
+    return cut_lineage(M.train_test_split(mm_panel(spark, sf_dir), ["Date"], 0.2, 42, buckets=1))
 
 
 @query("m4_split_sizes",
@@ -289,7 +289,7 @@ _CORE_STATS = ["n", "r2", "adj_r2", "f_stat", "log_likelihood", "aic", "bic", "s
 def _mm_summary(spark, sf_dir):
     s = mm_split(spark, sf_dir)
     train = s.where(~F.col("is_test"))
-    return M.ols_summary(train, X3, "price", order="Date")
+    return M.ols_summary(train, X3, "price", order="Date", buckets=1)
 
 
 @query("m8_ols_summary_core", _summary_core_sql())
@@ -376,10 +376,13 @@ def grid_inputs(spark, sf_dir):
     d = M.complete_rows(merged_all(spark, sf_dir), GRID_FEATS + ["price"]).select(
         "l_orderkey", "l_linenumber", *GRID_FEATS, F.col("price").cast("double").alias("price"))
     d = cut_lineage(d)  # read by the quartile, scaler and split passes below
-    b = ST.iqr_bounds(d, "price").first()
-    d = ST.clip(d, "price", b["lower"], b["upper"])
+    # one exact-quartile pass for the price fences and the robust scaler's features
+    q = {r["variable"]: r for r in
+         ST.quantiles(d, GRID_FEATS + ["price"], [0.25, 0.5, 0.75]).collect()}
+    q1, q3 = q["price"]["q25"], q["price"]["q75"]
+    d = ST.clip(d, "price", q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
     std = SC.fit_standard(d, GRID_FEATS)
-    rob = SC.fit_robust(d, GRID_FEATS)
+    rob = SC.fit_robust(d, GRID_FEATS, quartiles=q)
     d = rob.apply(std.apply(d, "_std"), "_rob")
     d = M.train_test_split(d, ["l_orderkey", "l_linenumber"], 0.2, 42)
     return cut_lineage(d), std, rob

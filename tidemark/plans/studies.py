@@ -40,14 +40,14 @@ def study_report(spark: SparkSession, data: DataFrame, title: str) -> DataFrame:
     parts.append(corr.select(F.lit("correlation").alias("section"), F.col("var_x").alias("row_name"),
                              F.col("var_y").alias("col_name"), F.col("pearson_r").alias("value"),
                              F.lit(None).cast("string").alias("text")))
-    split = cut_lineage(M.train_test_split(data, ["Date"], 0.2, 42))
+    split = cut_lineage(M.train_test_split(data, ["Date"], 0.2, 42, buckets=1))  # one row per day
     train = split.where(~F.col("is_test"))
     fit = M.ols(train, X3, "price")
     parts.append(_long(fit.coef_df(spark), "coefficients", "feature", ["coef"]))
     sc = M.scores(split, [fit], "price", where=F.col("is_test"))
     parts.append(_long(sc, "test_scores", "model", ["mse", "r2"]))
     parts.append(_long(M.vif_df(spark, M.vif(data, X3, constant=True)), "vif", "feature", ["vif"]))
-    sm = M.ols_summary(train, X3, "price", order="Date", fit=fit)
+    sm = M.ols_summary(train, X3, "price", order="Date", fit=fit, buckets=1)
     parts.append(_long(sm.stats_df(spark), "ols_summary", "stat", ["value"]))
     parts.append(_long(sm.coef_table_df(spark), "ols_coefficients", "term",
                        ["coef", "std_err", "t", "p_value", "ci_low", "ci_high"]))
