@@ -198,3 +198,20 @@ def test_linregress_matches_numpy(spark, xy):
     assert abs(r.stderr - se) < 1e-10
     t = rr * math.sqrt(298 / (1 - rr ** 2))
     assert abs(r.pvalue - 2 * float(dist.t_sf(abs(t), 298))) < 1e-12
+
+
+def test_gram_fits_match_spark_ml(spark, xy):
+    """Cross-check the Gram solves with Spark ML's normal-equation and elastic-net fits."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    df, _ = xy
+    xs = ["a", "b", "c"]
+    v = VectorAssembler(inputCols=xs, outputCol="f").transform(df)
+    ml = LinearRegression(featuresCol="f", labelCol="y", solver="normal", regParam=0.0).fit(v)
+    fit = M.ols(df, xs, "y")
+    np.testing.assert_allclose(ml.coefficients.toArray(), fit.coef, rtol=1e-8)
+    assert abs(ml.intercept - fit.intercept) < 1e-8
+    las_ml = LinearRegression(featuresCol="f", labelCol="y", regParam=0.1, elasticNetParam=1.0,
+                              standardization=False, tol=1e-12, maxIter=1000).fit(v)
+    las = M.lasso(df, xs, "y", 0.1, fit.gram)
+    np.testing.assert_allclose(las_ml.coefficients.toArray(), las.coef, atol=1e-6)

@@ -173,3 +173,23 @@ def ols3_coef_sql(inv: str) -> str:
     b = [" + ".join(f"{inv_[f'{i}{j}']} * t{j}" for j in range(3)) for i in range(3)]
     return (f"SELECT *, {b[0]} AS b0, {b[1]} AS b1, {b[2]} AS b2, "
             f"my - (({b[0]}) * m0 + ({b[1]}) * m1 + ({b[2]}) * m2) AS b_const FROM {inv}")
+
+
+def _horner_sql(coefs, x: str) -> str:
+    out = repr(coefs[0])
+    for c in coefs[1:]:
+        out = f"(({out}) * {x} + {c!r})"
+    return out
+
+
+def norm_ppf_sql(p: str) -> str:
+    """Inverse standard-normal CDF with the same rational approximation as the Spark side."""
+    from ..operators.models import _ACK_A, _ACK_B, _ACK_C, _ACK_D
+    ql = f"sqrt(-2 * ln({p}))"
+    lo = f"({_horner_sql(_ACK_C, ql)} / ({_horner_sql(_ACK_D, ql)} * {ql} + 1))"
+    q = f"({p} - 0.5)"
+    r = f"({q} * {q})"
+    mid = f"({_horner_sql(_ACK_A, r)} * {q} / ({_horner_sql(_ACK_B, r)} * {r} + 1))"
+    qh = f"sqrt(-2 * ln(1 - {p}))"
+    hi = f"(-({_horner_sql(_ACK_C, qh)} / ({_horner_sql(_ACK_D, qh)} * {qh} + 1)))"
+    return f"CASE WHEN {p} < 0.02425 THEN {lo} WHEN {p} > 1 - 0.02425 THEN {hi} ELSE {mid} END"

@@ -16,10 +16,11 @@ def daily_bars(ticks: DataFrame, key: str, ts: str, value: str, tick_id: str,
                start: str | None = None, end: str | None = None) -> DataFrame:
     """(key, Date, Open, High, Low, Close, Volume) for ticks with start ≤ ts < end."""
     t = ticks.select(key, ts, value, tick_id)
+    ts_type = ticks.schema[ts].dataType  # bounds in the column's own type (no zone shift)
     if start is not None:
-        t = t.where(F.col(ts) >= F.lit(start).cast("timestamp"))
+        t = t.where(F.col(ts) >= F.lit(start).cast(ts_type))
     if end is not None:
-        t = t.where(F.col(ts) < F.lit(end).cast("timestamp"))
+        t = t.where(F.col(ts) < F.lit(end).cast(ts_type))
     order = F.struct(F.col(ts), F.col(tick_id))
     return (t.groupBy(key, F.to_date(ts).alias("Date"))
             .agg(F.min_by(value, order).alias("Open"), F.max(value).alias("High"),
