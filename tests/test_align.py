@@ -115,3 +115,16 @@ def test_full_outer_on_union_equals_joins(spark):
     u = sorted(AL.full_outer_on([a, b], "k").collect())
     j = sorted(AL.full_outer_on([a, b], "k", unique_keys=False).select("k", "a", "b").collect())
     assert u == j
+
+
+def test_nearest_numeric_keys_many_buckets(spark, many_buckets):
+    """Non-date keys take the distinct-left-keys path with bucket carries."""
+    rng = np.random.default_rng(3)
+    rk = sorted(set(rng.integers(0, 500, 60).tolist()))
+    lk = rng.integers(-20, 520, 200).tolist()
+    right = spark.createDataFrame([(int(k), f"v{k}") for k in rk], "k long, v string")
+    left = spark.createDataFrame([(i, int(k)) for i, k in enumerate(lk)], "id long, k long")
+    got = {r.id: r.m for r in AL.asof_nearest(left, right, "k", matched_as="m").collect()}
+    arr = np.array(rk)
+    for i, k in enumerate(lk):
+        assert got[i] == arr[np.argmin(np.abs(arr - k))]  # first minimum = smaller key on ties

@@ -321,7 +321,8 @@ def nearest_key_map(left_keys: DataFrame, right_keys: DataFrame, by: Sequence[st
 
 def asof_nearest(left: DataFrame, right: DataFrame, on: str, right_on: str | None = None,
                  by=(), payload: Sequence[str] | None = None, right_order=None,
-                 matched_as: str | None = None, buckets: int | None = None) -> DataFrame:
+                 matched_as: str | None = None, buckets: int | None = None,
+                 max_calendar_days: int = 1_000_000) -> DataFrame:
     """Attach to every left row the right row with the nearest key.
 
     * an exact key match wins; otherwise the smallest |distance|; a tie goes to the
@@ -330,8 +331,11 @@ def asof_nearest(left: DataFrame, right: DataFrame, on: str, right_on: str | Non
     * a matched right row with null payload still counts (no skipping of nulls);
     * left rows with a null key get null payload.
 
-    Only distinct keys enter the ordered step; the fact rows meet the result through
-    two equi-joins whose small side AQE broadcasts when its measured size allows.
+    Only keys enter the ordered step.  With date keys (and no ``by``), the mapping is
+    built for every day of the right side's range (at most ``max_calendar_days`` rows,
+    checked) and broadcast; the facts are scanned once.  Otherwise the distinct left
+    keys are resolved, and the fact rows meet the result through equi-joins whose
+    small side AQE broadcasts when its measured size allows.
     """
     by = _as_list(by)
     rkey_name = right_on or on
@@ -344,18 +348,34 @@ def asof_nearest(left: DataFrame, right: DataFrame, on: str, right_on: str | Non
     r = dedupe_first(r, by + [rkey_name], r_order or None).select(*r_cols)
     r = r.withColumn(_K, numeric_key(r, rkey_name))
 
-    lk = left.select(*by, numeric_key(left, on).alias(_K)).where(F.col(_K).isNotNull()).distinct()
     rk = r.select(*by, _K)
-    if buckets is None and not by and isinstance(left.schema[on].dataType, T.DateType):
-        # distinct calendar days are bounded by the date range, not by the data:
-        # one bucket, no sampling pass
-        buckets = 1
-    mapping = nearest_key_map(lk, rk, by, buckets)
-
     rr = r.select(*by, F.col(_K).alias("_tm_rkey"), *[F.col(c) for c in payload],
                   *([F.col(rkey_name).alias(matched_as)] if matched_as else []))
     lo = left.withColumn(_K, numeric_key(left, on))
-    out = lo.join(mapping, by + [_K], "left").join(rr, by + ["_tm_rkey"], "left")
+
+    dense = None
+    if not by and isinstance(left.schema[on].dataType, T.DateType) \
+            and isinstance(r.schema[rkey_name].dataType, T.DateType):
+        span = rk.agg(F.min(_K).alias("lo"), F.max(_K).alias("hi")).first()
+        if span["lo"] is not None and span["hi"] - span["lo"] < max_calendar_days:
+            dense = (int(span["lo"]), int(span["hi"]))
+    if dense is not None:
+        # Calendar path: resolve every day of the right side's [first, last] range once
+        # (a table whose size is the checked day count), and clamp left days into the
+        # range — before the first right day the first one is nearest, after the last
+        # the last one.  The facts are read once and meet the mapping in one
+        # broadcast equi-join.
+        d0, d1 = dense
+        days = left.sparkSession.range(d0, d1 + 1).select(F.col("id").alias(_K))
+        mapping = nearest_key_map(days, rk, [], 1)
+        clamped = F.when(F.col(_K).isNotNull(), F.least(F.greatest(F.col(_K), F.lit(d0)), F.lit(d1)))
+        lo = lo.withColumn("_tm_kc", clamped)
+        mapping = F.broadcast(mapping.withColumnRenamed(_K, "_tm_kc"))
+        out = lo.join(mapping, ["_tm_kc"], "left").join(rr, ["_tm_rkey"], "left")
+    else:
+        lk = left.select(*by, numeric_key(left, on).alias(_K)).where(F.col(_K).isNotNull()).distinct()
+        mapping = nearest_key_map(lk, rk, by, buckets)
+        out = lo.join(mapping, by + [_K], "left").join(rr, by + ["_tm_rkey"], "left")
     keep = list(left.columns) + payload + ([matched_as] if matched_as else [])
     return out.select(*keep)
 
