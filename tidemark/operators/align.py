@@ -367,7 +367,7 @@ def asof_nearest(left: DataFrame, right: DataFrame, on: str, right_on: str | Non
         # broadcast equi-join.
         d0, d1 = dense
         days = left.sparkSession.range(d0, d1 + 1).select(F.col("id").alias(_K))
-        mapping = nearest_key_map(days, rk, [], 1)
+        mapping = nearest_key_map(days, rk, [], 1 if d1 - d0 < 200_000 else None)
         clamped = F.when(F.col(_K).isNotNull(), F.least(F.greatest(F.col(_K), F.lit(d0)), F.lit(d1)))
         lo = lo.withColumn("_tm_kc", clamped)
         mapping = F.broadcast(mapping.withColumnRenamed(_K, "_tm_kc"))

@@ -394,8 +394,10 @@ def m21_merged_all(spark, sf_dir):
 
 
 def merged_all(spark, sf_dir):
+    from ..session import cut_lineage
     it = TB.item_facts(spark, sf_dir)
-    rates = TB.rates_wide_one_scan(spark, sf_dir)
+    # day-grain rates: read twice below (keys and payload), so materialised once
+    rates = cut_lineage(TB.rates_wide_one_scan(spark, sf_dir))
     j = AL.asof_nearest(it, rates, on="Date", payload=Q.RATE_NAMES)
     j = j.withColumns({"year": F.year("Date"), "month": F.month("Date")})
     j = AL.first_match(j, side_two_files(spark, sf_dir), ["year", "month"], ["Gasoline"], order="file")
