@@ -215,3 +215,11 @@ def test_gram_fits_match_spark_ml(spark, xy):
                               standardization=False, tol=1e-12, maxIter=1000).fit(v)
     las = M.lasso(df, xs, "y", 0.1, fit.gram)
     np.testing.assert_allclose(las_ml.coefficients.toArray(), las.coef, atol=1e-6)
+
+
+def test_kth_smallest_radix_select(spark):
+    vals = [5] * 100 + list(range(1000)) + [999_999] * 3
+    df = spark.createDataFrame([(v,) for v in vals], "v long")
+    srt = sorted(vals)
+    for k in (1, 50, 101, 106, 600, len(vals)):
+        assert M.kth_smallest(df, F.col("v"), k, lo=0, hi=1 << 20, bins=4) == srt[k - 1]

@@ -164,8 +164,8 @@ _SPLIT_MM = Q.cte(**Q.panel_ctes(), mm=Q.minmax_sql("panel", COLS4), sp=Q.split_
 
 
 def mm_split(spark, sf_dir):
-    from ..session import cut_lineage
-    return cut_lineage(M.train_test_split(mm_panel(spark, sf_dir), ["Date"], 0.2, 42, buckets=1))
+    # the panel is checkpointed; scaling and the split flag are column expressions over it
+    return M.train_test_split(mm_panel(spark, sf_dir), ["Date"], 0.2, 42)
 
 
 @query("m4_split_sizes",
@@ -368,8 +368,8 @@ GRID_FEATS = Q.RATE_NAMES + ["Gasoline"]
 def grid_inputs(spark, sf_dir):
     """Complete item rows with the price clipped to its IQR fences, split 80/20.
 
-    The split table feeds several aggregations (two Grams, the score pass), so it is
-    checkpointed into the shared checkpoint folder once.
+    The complete rows feed several aggregations (quartiles, scalers, two Grams, the
+    score pass), so they are checkpointed into the shared checkpoint folder once.
     """
     from ..session import cut_lineage
     from .q_facts import merged_all
@@ -384,8 +384,9 @@ def grid_inputs(spark, sf_dir):
     std = SC.fit_standard(d, GRID_FEATS)
     rob = SC.fit_robust(d, GRID_FEATS, quartiles=q)
     d = rob.apply(std.apply(d, "_std"), "_rob")
+    # the split flag is a column predicate over the checkpointed rows: no second checkpoint
     d = M.train_test_split(d, ["l_orderkey", "l_linenumber"], 0.2, 42)
-    return cut_lineage(d), std, rob
+    return d, std, rob
 
 
 def grid_fits(spark, sf_dir):
