@@ -218,8 +218,10 @@ def test_gram_fits_match_spark_ml(spark, xy):
 
 
 def test_kth_smallest_radix_select(spark):
-    vals = [5] * 100 + list(range(1000)) + [999_999] * 3
-    df = spark.createDataFrame([(v,) for v in vals], "v long")
+    import hashlib
+    vals = [hashlib.md5(str(i).encode()).hexdigest() for i in range(3000)]
+    vals += ["00" + "a" * 30] * 5          # a hot prefix
+    df = spark.createDataFrame([(v,) for v in vals], "h string")
     srt = sorted(vals)
-    for k in (1, 50, 101, 106, 600, len(vals)):
-        assert M.kth_smallest(df, F.col("v"), k, lo=0, hi=1 << 20, bins=4) == srt[k - 1]
+    for k in (1, 3, 6, 50, 1500, len(vals)):
+        assert M.kth_smallest_hex(df, "h", k, step=1, fetch_max=4) == srt[k - 1]

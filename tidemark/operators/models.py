@@ -68,42 +68,41 @@ def global_rank(df: DataFrame, order: str, by=(), buckets: int | None = None,
     return out.drop("_tm_off", "_tm_rn", _B, *(["_tm_num"] if numeric is not None else []))
 
 
-_HASH_DIGITS = 15          # leading hex digits of the md5 used as a 60-bit order number
-_RADIX_BINS = 1 << 16
+SPLIT_HASH = "_split_hash"
 
 
-def _hash_number(hexcol: Column) -> Column:
-    return F.conv(F.substring(hexcol, 1, _HASH_DIGITS), 16, 10).cast("long")
+def with_split_hash(df: DataFrame, key_cols, seed: int = 42) -> DataFrame:
+    """Add the split order key as a column, so a caller that materialises its rows
+    hashes each row once."""
+    return df.withColumn(SPLIT_HASH, split_hash(key_cols, seed))
 
 
-def kth_smallest(df: DataFrame, num: Column, k: int, lo: int = 0, hi: int = 16 ** _HASH_DIGITS,
-                 bins: int = _RADIX_BINS) -> int | None:
-    """Exact k-th smallest (1-based) of an integer column by radix selection.
+def kth_smallest_hex(df: DataFrame, col: str, k: int, step: int = 4, fetch_max: int = 1 << 16):
+    """Exact k-th smallest (1-based) of a fixed-length hex string column, by radix selection.
 
-    Each pass is one grouped count over equal-width bins of the current range (at
-    most ``bins`` numbers come back); the bin holding the k-th value becomes the new
-    range.  Once a bin holds at most ``bins`` values they are fetched and the answer
-    is read off.  No sort and no shuffle of the rows; the number of passes is
-    logarithmic in the key range (two for uniform hashes at any realistic size).
+    Each pass counts rows per next ``step``-character prefix inside the current prefix
+    (at most 16^step numbers come back); the prefix holding the k-th value is kept.
+    When it holds at most ``fetch_max`` rows they are fetched and the answer read off.
+    No sort and no shuffle of the rows; uniform hashes need two passes at any size
+    below 16^(2·step)·fetch_max rows.
     """
-    x = df.select(num.alias("_h")).where(F.col("_h").isNotNull())
+    c = F.col(col)
+    prefix = ""
+    x = df.select(c.alias("_h")).where(F.col("_h").isNotNull())
     while True:
-        rng = x.where((F.col("_h") >= lo) & (F.col("_h") < hi))
-        width = max(1, -(-(hi - lo) // bins))
-        counts = sorted((r["b"], r["c"]) for r in rng.groupBy(
-            ((F.col("_h") - F.lit(lo)) / F.lit(width)).cast("long").alias("b"))
-            .agg(F.count(F.lit(1)).alias("c")).collect())
+        cur = x.where(F.col("_h").startswith(prefix)) if prefix else x
+        plen = len(prefix) + step
+        counts = sorted((r["p"], r["n"]) for r in cur.groupBy(
+            F.substring("_h", 1, plen).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
         seen = 0
-        for b, c in counts:
-            if seen + c >= k:
-                blo, bhi = lo + b * width, min(hi, lo + (b + 1) * width)
-                if c <= bins or width == 1:
-                    vals = sorted(r["_h"] for r in rng.where(
-                        (F.col("_h") >= blo) & (F.col("_h") < bhi)).select("_h").collect())
+        for p, n in counts:
+            if seen + n >= k:
+                if n <= fetch_max or len(p) < plen:
+                    vals = sorted(r["_h"] for r in cur.where(F.col("_h").startswith(p)).collect())
                     return vals[k - seen - 1]
-                lo, hi, k = blo, bhi, k - seen
+                prefix, k = p, k - seen
                 break
-            seen += c
+            seen += n
         else:
             return None
 
@@ -112,19 +111,22 @@ def train_test_split(df: DataFrame, key_cols, test_size: float = 0.2, seed: int
                      flag: str = "is_test", buckets: int | None = None) -> DataFrame:
     """M4: shuffled 80/20 split with exactly ceil(test_size · n) test rows.
 
-    Rows are ordered by ``split_hash(key, seed)`` and the first ceil(0.2 n) are the
-    test rows (scikit-learn's count rule).  The cut-off hash is found by radix
-    selection (``kth_smallest``: a count and two small histogram passes), so the flag
-    is a plain column predicate — no sort, no window, no join.  The permutation is
-    not NumPy's, so the rows chosen differ from the reference's; the sizes are equal.
+    Rows are ordered by ``split_hash(key, seed)`` (taken from the ``_split_hash``
+    column when the caller materialised it with ``with_split_hash``) and the first
+    ceil(0.2 n) are the test rows (scikit-learn's count rule).  The cut-off hash is
+    found by radix selection (``kth_smallest_hex``: a count and two small histogram
+    passes), so the flag is a plain column predicate — no sort, no window, no join.
+    The permutation is not NumPy's, so the rows chosen differ from the reference's;
+    the sizes are equal.
     """
-    num = _hash_number(split_hash(key_cols, seed))
-    n = df.count()
+    src = df if SPLIT_HASH in df.columns else with_split_hash(df, key_cols, seed)
+    n = src.count()
     k = math.ceil(n * float(test_size) - 1e-9)
     if k <= 0:
-        return df.withColumn(flag, F.lit(False))
-    cut = kth_smallest(df, num, k)
-    return df.withColumn(flag, num <= F.lit(cut))
+        return src.withColumn(flag, F.lit(False))
+    cut = kth_smallest_hex(src, SPLIT_HASH, k)
+    out = src.withColumn(flag, F.col(SPLIT_HASH) <= F.lit(cut))
+    return out if SPLIT_HASH in df.columns else out.drop(SPLIT_HASH)
 
 
 # ---------------------------------------------------------------------------

@@ -375,7 +375,9 @@ def grid_inputs(spark, sf_dir):
     from .q_facts import merged_all
     d = M.complete_rows(merged_all(spark, sf_dir), GRID_FEATS + ["price"]).select(
         "l_orderkey", "l_linenumber", *GRID_FEATS, F.col("price").cast("double").alias("price"))
-    d = cut_lineage(d)  # read by the quartile, scaler and split passes below
+    # read by the quartile, scaler, split and fit passes below; the split key is hashed
+    # once, here
+    d = cut_lineage(M.with_split_hash(d, ["l_orderkey", "l_linenumber"], 42))
     # one exact-quartile pass for the price fences and the robust scaler's features
     q = {r["variable"]: r for r in
          ST.quantiles(d, GRID_FEATS + ["price"], [0.25, 0.5, 0.75]).collect()}
