@@ -225,3 +225,18 @@ def test_kth_smallest_radix_select(spark):
     srt = sorted(vals)
     for k in (1, 3, 6, 50, 1500, len(vals)):
         assert M.kth_smallest_hex(df, "h", k, step=1, fetch_max=4) == srt[k - 1]
+
+
+def test_quantiles_select_skewed_and_duplicates(spark, monkeypatch):
+    monkeypatch.setattr(ST, "_SELECT_FETCH", 8)     # force several narrowing passes
+    rng = np.random.default_rng(11)
+    vals = np.concatenate([rng.lognormal(0, 3, 3000), np.full(500, 7.0), [1e12, -1e9]])
+    df = spark.createDataFrame([(float(v), "g" + str(i % 2)) for i, v in enumerate(vals)], "x double, g string")
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = ST.quantiles(df, ["x"], probs, method="select").first()
+    exp = np.percentile(vals, [p * 100 for p in probs])
+    np.testing.assert_allclose([got[ST._pname(p)] for p in probs], exp, rtol=1e-12)
+    byg = ST.quantiles(df, ["x"], [0.5], by=["g"], method="select").toPandas().set_index("g")
+    for g in ("g0", "g1"):
+        sub = vals[np.arange(len(vals)) % 2 == int(g[1])]
+        assert abs(byg.loc[g, "q50"] - np.percentile(sub, 50)) <= 1e-12 * abs(np.percentile(sub, 50))

@@ -59,7 +59,7 @@ def fit_minmax(df: DataFrame, cols) -> Scaling:
     return Scaling("minmax", center, scale)
 
 
-def fit_robust(df: DataFrame, cols, method: str = "rank", quartiles: dict | None = None) -> Scaling:
+def fit_robust(df: DataFrame, cols, method: str = "auto", quartiles: dict | None = None) -> Scaling:
     """M3: (x - median) / (Q3 - Q1) with exact quartiles; a zero IQR divides by 1.
 
     ``quartiles`` (variable → row with q25, q50, q75) lets a caller reuse quartiles it
@@ -78,7 +78,7 @@ def fit_robust(df: DataFrame, cols, method: str = "rank", quartiles: dict | None
 
 
 def scale_columns(df: DataFrame, cols, kind: str, suffix: str | None = None,
-                  method: str = "rank") -> DataFrame:
+                  method: str = "auto") -> DataFrame:
     fit = {"standard": fit_standard, "minmax": fit_minmax}.get(kind)
     s = fit(df, cols) if fit else fit_robust(df, cols, method)
     return s.apply(df, suffix)

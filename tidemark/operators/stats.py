@@ -84,12 +84,111 @@ def _pname(p: float) -> str:
     return f"q{s}"
 
 
-def quantiles(df: DataFrame, cols, probs: Sequence[float], by=(), method: str = "rank",
+SELECT_MAX_GROUPS = 64
+_SELECT_BINS = 1024
+_SELECT_FETCH = 4096
+
+
+def _select_quantiles(long: DataFrame, keys: list, probs: list, names: list,
+                      groups: list) -> DataFrame:
+    """Exact order statistics by histogram narrowing (no sort, no shuffle of the values).
+
+    ``groups``: the collected (keys..., n, lo, hi) rows.  Every wanted rank (floor and
+    ceil of (n−1)p) starts with the group's [min, max]; each pass counts the values of
+    every open range in ``_SELECT_BINS`` equal-width bins (with each bin's own min and
+    max) through a broadcast join with the small range table, and the bin holding
+    the rank becomes the new range.  A range whose values are all equal, or that holds
+    at most ``_SELECT_FETCH`` values, is resolved on the driver.  Each pass shrinks a
+    range about a thousandfold, so a handful of passes suffice at any size.
+    """
+    spark = long.sparkSession
+    targets = {}                       # (gi, rank) -> state
+    for gi, g in enumerate(groups):
+        n = int(g["n"])
+        for p in probs:
+            h = (n - 1) * p
+            for r in {math.floor(h), math.ceil(h)}:
+                targets[(gi, r)] = {"lo": g["lo"], "hi": g["hi"], "below": 0, "value": None}
+    key_types = {k: long.schema[k].dataType.simpleString() for k in keys}
+    while True:
+        open_t = {t: st for t, st in targets.items() if st["value"] is None}
+        if not open_t:
+            break
+        ranges = {}
+        for (gi, r), st in open_t.items():
+            if st["lo"] == st["hi"]:
+                st["value"] = st["lo"]
+                continue
+            ranges.setdefault((gi, st["lo"], st["hi"]), len(ranges))
+        if not ranges:
+            continue
+        rows = [tuple(groups[gi][k] for k in keys) + (rid, float(lo), float(hi))
+                for (gi, lo, hi), rid in ranges.items()]
+        schema = ", ".join([f"`{k}` {t}" for k, t in key_types.items()]
+                           + ["_rid int", "_lo double", "_hi double"])
+        rt = F.broadcast(spark.createDataFrame(rows, schema))  # one row per open range
+        m = long.join(rt, keys).where((F.col("value") >= F.col("_lo")) & (F.col("value") <= F.col("_hi")))
+        width = (F.col("_hi") - F.col("_lo")) / F.lit(_SELECT_BINS)
+        b = F.least(F.lit(_SELECT_BINS - 1), F.floor((F.col("value") - F.col("_lo")) / width)).cast("int")
+        hist = m.groupBy("_rid", b.alias("_b")).agg(
+            F.count(F.lit(1)).alias("c"), F.min("value").alias("mn"), F.max("value").alias("mx")).collect()
+        per_range = {}
+        for h in hist:
+            per_range.setdefault(h["_rid"], []).append((h["_b"], h["c"], h["mn"], h["mx"]))
+        fetch = {}
+        for (gi, r), st in open_t.items():
+            if st["value"] is not None:
+                continue
+            rid = ranges[(gi, st["lo"], st["hi"])]
+            want = r - st["below"]     # 0-based rank inside the range
+            seen = 0
+            for _, c, mn, mx in sorted(per_range[rid]):
+                if seen + c > want:
+                    st["lo"], st["hi"], st["below"] = mn, mx, st["below"] + seen
+                    if mn == mx:
+                        st["value"] = mn
+                    elif c <= _SELECT_FETCH:
+                        fetch[(gi, r)] = st
+                    break
+                seen += c
+        if fetch:
+            franges = {}
+            for (gi, r), st in fetch.items():
+                franges.setdefault((gi, st["lo"], st["hi"]), len(franges))
+            rows = [tuple(groups[gi][k] for k in keys) + (rid, float(lo), float(hi))
+                    for (gi, lo, hi), rid in franges.items()]
+            rt = F.broadcast(spark.createDataFrame(rows, schema))
+            vals = {}
+            for v in (long.join(rt, keys).where((F.col("value") >= F.col("_lo"))
+                                                & (F.col("value") <= F.col("_hi")))
+                      .select("_rid", "value").collect()):
+                vals.setdefault(v["_rid"], []).append(v["value"])
+            for (gi, r), st in fetch.items():
+                vs = sorted(vals[franges[(gi, st["lo"], st["hi"])]])
+                st["value"] = vs[r - st["below"]]
+    out = []
+    for gi, g in enumerate(groups):
+        n = int(g["n"])
+        row = [g[k] for k in keys] + [n]
+        for p in probs:
+            h = (n - 1) * p
+            lo_v = targets[(gi, math.floor(h))]["value"]
+            hi_v = targets[(gi, math.ceil(h))]["value"]
+            row.append(float(lo_v + (hi_v - lo_v) * (h - math.floor(h))))
+        out.append(tuple(row))
+    schema = ", ".join([f"`{k}` {t}" for k, t in key_types.items()] + ["n long"]
+                       + [f"{nm} double" for nm in names])
+    return spark.createDataFrame(out, schema)
+
+
+def quantiles(df: DataFrame, cols, probs: Sequence[float], by=(), method: str = "auto",
               buckets: int | None = None, accuracy: int = 10000) -> DataFrame:
     """Quantiles with linear interpolation (pandas/NumPy default, DuckDB quantile_cont).
 
     Returns one row per (by..., variable) with columns ``q25``, ``q50`` … named by
-    ``_pname``; ``n`` is the non-null count.
+    ``_pname``; ``n`` is the non-null count.  ``method="auto"`` selects by histogram
+    narrowing when there are at most ``SELECT_MAX_GROUPS`` groups (a few aggregation
+    passes, values never shuffled) and ranks in range buckets otherwise.
     """
     by = _as_list(by)
     cols = _as_list(cols)
@@ -97,6 +196,17 @@ def quantiles(df: DataFrame, cols, probs: Sequence[float], by=(), method: str =
     names = [_pname(p) for p in probs]
     long = _long_values(df, cols, by)
     keys = by + ["variable"]
+    if method in ("auto", "select"):
+        groups = (long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"),
+                                          F.max("value").alias("hi"))
+                  .limit(SELECT_MAX_GROUPS + 1).collect())
+        if len(groups) <= SELECT_MAX_GROUPS:
+            if not groups:
+                return long.sparkSession.createDataFrame(
+                    [], ", ".join([f"`{k}` {long.schema[k].dataType.simpleString()}" for k in keys]
+                                  + ["n long"] + [f"{nm} double" for nm in names]))
+            return _select_quantiles(long, keys, probs, names, groups)
+        method = "rank"
     if method in ("percentile", "approx"):
         if method == "percentile":
             q = F.percentile(F.col("value"), F.array(*[F.lit(p) for p in probs]))
@@ -138,7 +248,7 @@ def quantiles(df: DataFrame, cols, probs: Sequence[float], by=(), method: str =
     return picked.groupBy(*keys, "n").agg(*aggs).select(*keys, "n", *names)
 
 
-def describe(df: DataFrame, cols, method: str = "rank", by=()) -> DataFrame:
+def describe(df: DataFrame, cols, method: str = "auto", by=()) -> DataFrame:
     """Pandas ``describe()`` as a long table.
 
     One row per (by..., variable): count, mean, std (ddof 1), min, q25, q50, q75, max.
@@ -156,7 +266,7 @@ def describe(df: DataFrame, cols, method: str = "rank", by=()) -> DataFrame:
             .select(*keys, "count", "mean", "std", "min", "q25", "q50", "q75", "max"))
 
 
-def iqr_bounds(df: DataFrame, col: str, k: float = 1.5, method: str = "rank") -> DataFrame:
+def iqr_bounds(df: DataFrame, col: str, k: float = 1.5, method: str = "auto") -> DataFrame:
     """Q1, Q3, IQR, fences and the number / share of rows outside them.
 
     The two quartiles (two numbers) come back to the driver and enter the counting
@@ -278,7 +388,7 @@ def distinct_first_seen(df: DataFrame, col: str, order) -> DataFrame:
             .select(col, "_first"))
 
 
-def box_stats(df: DataFrame, col: str, by=(), whis: float = 1.5, method: str = "rank") -> DataFrame:
+def box_stats(df: DataFrame, col: str, by=(), whis: float = 1.5, method: str = "auto") -> DataFrame:
     """Box-plot numbers per group: quartiles, whisker ends, outlier count.
 
     Whiskers follow matplotlib: the most extreme data points inside the fences.
@@ -325,7 +435,7 @@ def auto_bins(n: int, lo: float, hi: float, q1: float, q3: float) -> int:
     return max(1, int(math.ceil(rng / width)))
 
 
-def histogram(df: DataFrame, col: str, bins: int | None = None, method: str = "rank") -> DataFrame:
+def histogram(df: DataFrame, col: str, bins: int | None = None, method: str = "auto") -> DataFrame:
     """Equal-width histogram counts (bin, lo, hi, count), empty bins included.
 
     The bin count comes from one moments+quartiles pass (NumPy 'auto' rule unless
