@@ -536,3 +536,26 @@ def p14_price_bands(spark, sf_dir):
     d = TB.daily_price(spark, sf_dir)
     b = d.select(value_band("price", {"high": (6_000_000, 1e12), "low": (0, 2_500_000)}).alias("band"))
     return b.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _coef_se_sql():
+    # Sxx = n·S (population covariance), so inv(Sxx) = inv(S)/n; σ² = SSE/(n − 4)
+    ii = {(0, 0): "i00", (0, 1): "i01", (0, 2): "i02", (1, 0): "i01", (1, 1): "i11",
+          (1, 2): "i12", (2, 0): "i02", (2, 1): "i12", (2, 2): "i22"}
+    quad = " + ".join(f"co.m{i} * {ii[(i, j)]} * co.m{j}" for i in range(3) for j in range(3))
+    sig = "(cm.sse / (cm.n - 4))"
+    parts = [f"SELECT 'const' AS term, round(b_const, 6) AS coef, "
+             f"round(sqrt({sig} * (1.0 / cm.n + ({quad}) / cm.n)), 6) AS std_err, "
+             f"round(b_const / sqrt({sig} * (1.0 / cm.n + ({quad}) / cm.n)), 6) AS t FROM co, cm"]
+    for i, c in enumerate(X3):
+        parts.append(f"SELECT '{c}' AS term, round(b{i}, 6) AS coef, round(sqrt({sig} * i{i}{i} / cm.n), 6) "
+                     f"AS std_err, round(b{i} / sqrt({sig} * i{i}{i} / cm.n), 6) AS t FROM co, cm")
+    return _summary_ctes() + "\nUNION ALL\n".join(parts)
+
+
+@query("m8_coef_std_err_t", _coef_se_sql())
+def m8_coef_std_err_t(spark, sf_dir):
+    """The OLS coefficient table's coef, standard error and t (p-values and intervals,
+    which need the t distribution, are in ``m8_ols_coef_table``)."""
+    t = _mm_summary(spark, sf_dir).coef_table_df(spark).select("term", "coef", "std_err", "t")
+    return rnd(t, {"coef": 6, "std_err": 6, "t": 6})

@@ -1,0 +1,7 @@
+"""No streaming operators.
+
+The reference has no stream, watermark, trigger or state anywhere: every script runs
+once, top to bottom, over finite files.  Everything in this library is a batch
+DataFrame operator; a Structured Streaming job can still call the column functions
+(``tidemark.functions``) inside its own ``foreachBatch``.
+"""
