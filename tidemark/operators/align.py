@@ -371,7 +371,9 @@ def asof_nearest(left: DataFrame, right: DataFrame, on: str, right_on: str | Non
         clamped = F.when(F.col(_K).isNotNull(), F.least(F.greatest(F.col(_K), F.lit(d0)), F.lit(d1)))
         lo = lo.withColumn("_tm_kc", clamped)
         mapping = F.broadcast(mapping.withColumnRenamed(_K, "_tm_kc"))
-        out = lo.join(mapping, ["_tm_kc"], "left").join(rr, ["_tm_rkey"], "left")
+        # the de-duplicated right side has at most one row per day of the same checked
+        # range, so it is broadcast as well
+        out = lo.join(mapping, ["_tm_kc"], "left").join(F.broadcast(rr), ["_tm_rkey"], "left")
     else:
         lk = left.select(*by, numeric_key(left, on).alias(_K)).where(F.col(_K).isNotNull()).distinct()
         mapping = nearest_key_map(lk, rk, by, buckets)
@@ -381,11 +383,18 @@ def asof_nearest(left: DataFrame, right: DataFrame, on: str, right_on: str | Non
 
 
 def first_match(left: DataFrame, right: DataFrame, keys, payload: Sequence[str] | None = None,
-                order=None) -> DataFrame:
-    """Left join that keeps only the first right row per key (missing → null)."""
+                order=None, max_right_rows: int | None = None) -> DataFrame:
+    """Left join that keeps only the first right row per key (missing → null).
+
+    With ``max_right_rows`` the caller states a bound on the distinct right keys (e.g.
+    calendar months); it is checked with one count and, when it holds, the
+    de-duplicated right side is broadcast so the left rows are never shuffled.
+    """
     keys = _as_list(keys)
     if payload is None:
         payload = [c for c in right.columns if c not in keys]
     sel = keys + list(payload) + [c for c in _as_list(order) if c not in keys and c not in payload]
     r = dedupe_first(right.select(*sel), keys, order).select(*keys, *payload)
+    if max_right_rows is not None and r.count() <= max_right_rows:
+        r = F.broadcast(r)
     return left.join(r, keys, "left")

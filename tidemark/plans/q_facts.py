@@ -400,7 +400,9 @@ def merged_all(spark, sf_dir):
     rates = cut_lineage(TB.rates_wide_one_scan(spark, sf_dir))
     j = AL.asof_nearest(it, rates, on="Date", payload=Q.RATE_NAMES)
     j = j.withColumns({"year": F.year("Date"), "month": F.month("Date")})
-    j = AL.first_match(j, side_two_files(spark, sf_dir), ["year", "month"], ["Gasoline"], order="file")
+    # one row per calendar month after de-duplication: checked, then broadcast
+    j = AL.first_match(j, side_two_files(spark, sf_dir), ["year", "month"], ["Gasoline"], order="file",
+                       max_right_rows=100_000)
     return j.drop("year", "month")
 
 
