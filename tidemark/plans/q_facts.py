@@ -383,11 +383,14 @@ def j3_first_match_side(spark, sf_dir):
     return j.select("Date", "Gasoline")
 
 
-@query("m21_merged_all",
-       Q.cte(it=Q.ITEMS, rates=Q.RATES, side2=_SIDE2_SQL, sf=_SIDE_FIRST_SQL,
-             nr=Q.nearest("it", "rates", "l.l_orderkey, l.l_linenumber, l.Date, l.name, l.price, l.category",
-                          Q.RATE_NAMES))
-       + "SELECT nr.*, sf.Gasoline FROM nr LEFT JOIN sf ON sf.year = year(nr.Date) AND sf.month = month(nr.Date)")
+_M21_SQL = Q.cte(it=Q.ITEMS, rates=Q.RATES, side2=_SIDE2_SQL, sf=_SIDE_FIRST_SQL,
+                nr=Q.nearest("it", "rates", "l.l_orderkey, l.l_linenumber, l.Date, l.name, l.price, l.category",
+                             Q.RATE_NAMES),
+                m21="SELECT nr.*, sf.Gasoline FROM nr LEFT JOIN sf ON sf.year = year(nr.Date) "
+                    "AND sf.month = month(nr.Date)")
+
+
+@query("m21_merged_all", _M21_SQL + "SELECT * FROM m21")
 def m21_merged_all(spark, sf_dir):
     """a.py: every item with the nearest day's (unfilled) rates and its month's side value."""
     return merged_all(spark, sf_dir)

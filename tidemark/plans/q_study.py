@@ -436,11 +436,32 @@ def m13_raw_unit_coefficients(spark, sf_dir):
     return spark.createDataFrame(rows, "model_no int, feature string, coef double")
 
 
-@query("m12_vif_no_const_items")
+def _vif_noconst4_sql():
+    from .q_facts import _M21_SQL
+    feats = GRID_FEATS
+    where = " AND ".join(f"{c} IS NOT NULL" for c in feats)
+    parts = []
+    ctes = _M21_SQL.rstrip() + f",\ncr AS (SELECT * FROM m21 WHERE {where})"
+    for j, fj in enumerate(feats):
+        o = [c for c in feats if c != fj]
+        sel = [f"avg({fj} * {fj}) AS q"]
+        for a in range(3):
+            for b in range(a, 3):
+                sel.append(f"avg({o[a]} * {o[b]}) AS s{a}{b}")
+        sel += [f"avg({o[a]} * {fj}) AS t{a}" for a in range(3)]
+        ctes += f",\nu{j} AS (SELECT {', '.join(sel)} FROM cr),\nv{j} AS ({Q.inv3_sql(f'u{j}')})"
+        ii = {(0, 0): "i00", (0, 1): "i01", (0, 2): "i02", (1, 0): "i01", (1, 1): "i11",
+              (1, 2): "i12", (2, 0): "i02", (2, 1): "i12", (2, 2): "i22"}
+        quad = " + ".join(f"t{a} * {ii[(a, b)]} * t{b}" for a in range(3) for b in range(3))
+        parts.append(f"SELECT '{fj}' AS feature, round(q / (q - ({quad})), 6) AS vif FROM v{j}")
+    return ctes + "\n" + "\nUNION ALL\n".join(parts)
+
+
+@query("m12_vif_no_const_items", _vif_noconst4_sql())
 def m12_vif_no_const_items(spark, sf_dir):
     from .q_facts import merged_all
     d = M.complete_rows(merged_all(spark, sf_dir), GRID_FEATS)
-    return M.vif_df(spark, M.vif(d, GRID_FEATS, constant=False))
+    return rnd(M.vif_df(spark, M.vif(d, GRID_FEATS, constant=False)), {"vif": 6})
 
 
 # ---------------------------------------------------------------------------
