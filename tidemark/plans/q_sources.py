@@ -18,6 +18,10 @@ from . import sqlkit as Q
 from . import tables as TB
 from .catalog import query, rnd
 
+# Largest number of data rows one written fixture file may hold; keys with more rows
+# are split into several files (each repeating the preamble) so no task writes a hot key alone.
+FILE_ROWS = 50_000
+
 _WEEKLY_RESELL = ("SELECT year, month, week, name, price, category, "
                   "CASE WHEN l_linenumber > 4 THEN 'True' ELSE 'False' END AS is_resell FROM w")
 
@@ -53,7 +57,7 @@ def k2s2s5_weekly_files(spark, sf_dir):
                     (F.lit(10) + F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"),
                     F.to_csv(F.struct("name", "price", "category", "is_resell")).alias("line"))
     path = sinks.write_with_preamble(pre.unionByName(rows), scratch_path(spark, "weekly-files"),
-                                     "name", "pos")
+                                     "name", "pos", preamble_until=3, max_rows_per_file=FILE_ROWS)
     df = delimited.read_keyed_files(
         spark, path, r"^20(\d{2})(\d{2})_(\d)\.csv$", ["year", "month", "week"], skip=2,
         names=["name", "price", "category", "is_resell"],
@@ -86,7 +90,8 @@ def s2s4p4_fx_files_full_outer(spark, sf_dir):
     """mm.py's input path: three daily-bar files with a 3-line preamble (S2), renamed by
     position (S4), dates parsed strictly (P4), closes leniently (P1), one series per
     file (P12), full outer joined on Date (J1)."""
-    path = sinks.write_with_preamble(_fx_lines(spark, sf_dir), scratch_path(spark, "fx"), "name", "pos")
+    path = sinks.write_with_preamble(_fx_lines(spark, sf_dir), scratch_path(spark, "fx"), "name", "pos",
+                                     preamble_until=3, max_rows_per_file=FILE_ROWS)
     df = delimited.read_with_preamble(spark, path, skip=3, header=False,
                                       names=["Date", "Close", "High", "Low", "Open", "Volume"],
                                       name_col="name")
@@ -155,7 +160,7 @@ _SURVEY_SQL = (f"SELECT CASE WHEN year(o_orderdate) <= 1996 THEN 'gs' WHEN year(
 
 def _survey_rows(spark, sf_dir):
     path = sinks.write_with_preamble(_survey_lines(spark, sf_dir), scratch_path(spark, "survey"),
-                                     "name", "pos")
+                                     "name", "pos", preamble_until=100, max_rows_per_file=FILE_ROWS)
     return surveys.read_survey_folder(spark, path, name_col="name")
 
 
@@ -164,14 +169,21 @@ def s6s7a6_survey_folder(spark, sf_dir):
     """merge_gasoline_data.py: one file per month in three layouts; dispatch by name (S6),
     date cell by (row, col) (S7), mean price per file (A6)."""
     rows, _ = _survey_rows(spark, sf_dir)
-    return rows.drop("file")
+    # a month written as several chunk files comes back as several rows; their sums
+    # (of whole cents, exact) recombine into the month's mean
+    return (rows.groupBy("layout", "year", "month")
+            .agg((F.sum("price_sum") / F.sum("n_prices")).alias("price_mean"),
+                 F.sum("n_prices").alias("n_prices")))
 
 
 @query("a18_survey_ingest_tally",
-       f"SELECT 'ok' AS status, count(*) AS files FROM ({_SURVEY_SQL})")
+       f"SELECT 'ok' AS status, count(*) AS months FROM ({_SURVEY_SQL})")
 def a18_survey_ingest_tally(spark, sf_dir):
+    """Success / error tally of the folder job, counted per survey month (a month may
+    be written as several chunk files)."""
     rows, errors = _survey_rows(spark, sf_dir)
-    return surveys.ingest_tally(rows, errors)
+    t = surveys.ingest_tally(rows.dropDuplicates(["file"]), errors.dropDuplicates(["file"]))
+    return t.withColumnRenamed("files", "months")
 
 
 @query("f10f11f12_survey_date_cells",

@@ -40,7 +40,9 @@ def read_csv_strings(spark: SparkSession, path, names: Sequence[str] | None = No
 
 
 def _lines(spark: SparkSession, path, name_col: str | None = None) -> DataFrame:
-    """(file, pos, line) for every line of every file under ``path`` (files read whole)."""
+    """(file, path, pos, line) for every line of every file under ``path`` (files read
+    whole).  ``file`` is the logical name (the file name, or a partition folder value
+    with ``name_col``); ``path`` identifies the physical file."""
     raw = spark.read.text(path, wholetext=True)
     name = F.col(name_col) if name_col else F.col("_metadata.file_name")
     files = raw.select(name.alias("file"), F.col("_metadata.file_path").alias("path"), "value")

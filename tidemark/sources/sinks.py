@@ -43,17 +43,36 @@ def write_delimited_fields(df: DataFrame, path: str, fields: str, sep: str,
 
 
 def write_with_preamble(lines: DataFrame, path: str, name_col: str, pos_col: str,
-                        line_col: str = "line", mode: str = "overwrite") -> str:
+                        line_col: str = "line", mode: str = "overwrite",
+                        preamble_until: int | None = None,
+                        max_rows_per_file: int | None = None) -> str:
     """Text files whose exact line order matters (preamble, header, rows).
 
-    ``lines`` holds (name, pos, line); each name becomes one folder ``name=<value>``
-    holding one file with the lines in ``pos`` order.  All lines of one name go to
-    one task, so this is meant for files of bounded size (survey sheets, one series
-    per file).
+    ``lines`` holds (name, pos, line); each name becomes the folder ``name=<value>``
+    and its lines are written in ``pos`` order.  Without ``max_rows_per_file`` one
+    task writes each name's single file.  With it (and ``preamble_until``: lines with
+    ``pos`` below it are the preamble), a name with many rows is split into
+    ceil(rows / max_rows_per_file) files under ``chunk=<i>`` sub-folders: rows are
+    spread by a hash of their position, and every chunk repeats the preamble, so a
+    hot name is written by many tasks and every file reads like the original.
     """
-    (lines.repartition(name_col).sortWithinPartitions(name_col, pos_col)
-     .select(F.col(line_col).alias("value"), name_col)
-     .write.mode(mode).partitionBy(name_col).text(path))
+    if max_rows_per_file is None or preamble_until is None:
+        (lines.repartition(name_col).sortWithinPartitions(name_col, pos_col)
+         .select(F.col(line_col).alias("value"), name_col)
+         .write.mode(mode).partitionBy(name_col).text(path))
+        return path
+    is_pre = F.col(pos_col) < F.lit(preamble_until)
+    chunks = (lines.where(~is_pre).groupBy(name_col)
+              .agg(F.count(F.lit(1)).alias("_rows"))
+              .select(name_col, F.greatest(F.lit(1), F.ceil(F.col("_rows") / F.lit(max_rows_per_file)))
+                      .cast("int").alias("_chunks")))
+    x = lines.join(chunks, name_col, "left").withColumn("_chunks", F.coalesce("_chunks", F.lit(1)))
+    pre = x.where(is_pre).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+    rows = x.where(~is_pre).withColumn("chunk", F.pmod(F.xxhash64(F.col(pos_col)), F.col("_chunks")).cast("int"))
+    allx = pre.unionByName(rows).drop("_chunks")
+    (allx.repartition(name_col, "chunk").sortWithinPartitions(name_col, "chunk", pos_col)
+     .select(F.col(line_col).alias("value"), name_col, "chunk")
+     .write.mode(mode).partitionBy(name_col, "chunk").text(path))
     return path
 
 

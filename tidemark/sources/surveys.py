@@ -57,8 +57,8 @@ def _by_layout(attr: str) -> Column:
 
 def read_survey_folder(spark: SparkSession, path, name_col: str | None = None,
                        width: int = 16) -> tuple[DataFrame, DataFrame]:
-    """(file, layout, year, month, price_mean, n_prices) per readable file,
-    plus (file, layout, reason) for files that fail."""
+    """(path, file, layout, year, month, price_mean, n_prices, price_sum) per
+    readable file, plus (path, file, layout, reason) for files that fail."""
     ln = _lines(spark, path, name_col)
     ln = ln.withColumn("layout", layout_of(F.col("file"))).where(F.col("layout").isNotNull())
     ln = ln.withColumns({a: _by_layout(a) for a in ("skip", "price_col", "date_row", "date_col")})
@@ -69,9 +69,9 @@ def read_survey_folder(spark: SparkSession, path, name_col: str | None = None,
     is_data = (F.col("pos") > F.col("skip")) & (F.length(F.trim("line")) > 0)
     price = F.when(is_data, to_number(cell(F.col("price_col"))))
     date_cell = F.when(F.col("pos") == F.col("date_row"), cell(F.col("date_col")))
-    per_file = ln.groupBy("file", "layout").agg(
+    per_file = ln.groupBy("path", "file", "layout").agg(
         F.avg(price).alias("price_mean"), F.count(price).alias("n_prices"),
-        F.max(date_cell).alias("date_cell"))
+        F.sum(price).alias("price_sum"), F.max(date_cell).alias("date_cell"))
     y_k, m_k = split_year_month(F.col("date_cell"))
     y_f, m_f = fixed_year_month(F.col("date_cell"))
     y_h, m_h = heisei_year_month(F.col("date_cell"))
@@ -79,9 +79,10 @@ def read_survey_folder(spark: SparkSession, path, name_col: str | None = None,
                             .when(F.col("layout") == "gsb", f).otherwise(h))
     per_file = per_file.withColumns({"year": pick(y_k, y_f, y_h), "month": pick(m_k, m_f, m_h)})
     ok = F.col("year").isNotNull() & F.col("month").between(1, 12)
-    rows = per_file.where(ok).select("file", "layout", "year", "month", "price_mean", "n_prices")
+    rows = per_file.where(ok).select("path", "file", "layout", "year", "month", "price_mean", "n_prices",
+                                     "price_sum")
     errors = per_file.where(~ok).select(
-        "file", "layout",
+        "path", "file", "layout",
         F.when(F.col("date_cell").isNull(), F.lit("date cell missing"))
         .otherwise(F.concat(F.lit("bad date cell: "), F.col("date_cell"))).alias("reason"))
     return rows, errors
