@@ -6,6 +6,8 @@ import pytest
 from oracle_check import digest, duck
 
 SF = "/root/testdata/sf0.001"
+_SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                  "date": "DATE", "boolean": "BOOLEAN"}
 
 
 @pytest.fixture(scope="module")
@@ -34,6 +36,10 @@ def test_query_matches_oracle(spark, con, name):
     if sql is None:
         assert df.columns  # rows-only query: it runs and has a schema
         return
+    rel = con.sql(sql)
+    types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    assert {f.name: _SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+            for f in df.schema.fields} == types
     cur = con.execute(sql)
     cols = [d[0] for d in cur.description]
     drows = cur.fetchall()

@@ -69,7 +69,7 @@ def f3_week_date_block_rule(spark, sf_dir):
 @query("p1p2_price_parse",
        _WEEKLY + "SELECT category, count(*) AS n, "
        "count(TRY_CAST(trim(price) AS DOUBLE)) AS n_lenient, "
-       f"count({_PRICE_SQL}) AS n_stripped, sum({_PRICE_SQL}) AS sum_stripped FROM w GROUP BY category")
+       f"count({_PRICE_SQL}) AS n_stripped, CAST(sum({_PRICE_SQL}) AS BIGINT) AS sum_stripped FROM w GROUP BY category")
 def p1p2_price_parse(spark, sf_dir):
     w = TB.weekly_items(spark, sf_dir)
     return w.groupBy("category").agg(
@@ -99,9 +99,9 @@ def p3_lenient_date_parse(spark, sf_dir):
 
 
 @query("p5u2_category_splits",
-       _WEEKLY + "SELECT 'merged' AS output, count(*) AS n, sum(" + _PRICE_SQL + ") AS total FROM w "
-       "UNION ALL SELECT 'only_brand1', count(*), sum(" + _PRICE_SQL + ") FROM w WHERE category = 'Brand#1' "
-       "UNION ALL SELECT 'without_brand2', count(*), sum(" + _PRICE_SQL + ") FROM w "
+       _WEEKLY + "SELECT 'merged' AS output, count(*) AS n, CAST(sum(" + _PRICE_SQL + ") AS BIGINT) AS total FROM w "
+       "UNION ALL SELECT 'only_brand1', count(*), CAST(sum(" + _PRICE_SQL + ") AS BIGINT) FROM w WHERE category = 'Brand#1' "
+       "UNION ALL SELECT 'without_brand2', count(*), CAST(sum(" + _PRICE_SQL + ") AS BIGINT) FROM w "
        "WHERE category <> 'Brand#2' OR category IS NULL")
 def p5u2_category_splits(spark, sf_dir):
     """merge.py: one input, three outputs (all, == X, != Y keeping null categories)."""
@@ -227,7 +227,7 @@ def a16_kde_items(spark, sf_dir):
 
 
 @query("a3_mean_count_by_year",
-       _ITEMS + "SELECT year(Date) AS year, avg(price) AS mean, count(price) AS count FROM it "
+       _ITEMS + "SELECT CAST(year(Date) AS INTEGER) AS year, avg(price) AS mean, count(price) AS count FROM it "
        "WHERE Date IS NOT NULL GROUP BY 1")
 def a3_mean_count_by_year(spark, sf_dir):
     it = TB.item_facts(spark, sf_dir).withColumn("year", F.year("Date"))
@@ -269,7 +269,7 @@ def _linregress_sql(src: str, group: str = "") -> str:
     g_by = f" GROUP BY {group}" if group else ""
     r = "(regr_sxy(y, x) / sqrt(regr_sxx(y, x) * regr_syy(y, x)))"
     se = f"sqrt((1 - {r} * {r}) * regr_syy(y, x) / (regr_sxx(y, x) * (regr_count(y, x) - 2)))"
-    return (f"SELECT {g_sel}regr_count(y, x) AS n, round(regr_slope(y, x), 9) AS slope, "
+    return (f"SELECT {g_sel}CAST(regr_count(y, x) AS BIGINT) AS n, round(regr_slope(y, x), 9) AS slope, "
             f"round(regr_avgy(y, x) - regr_slope(y, x) * regr_avgx(y, x), 6) AS intercept, "
             f"round({r}, 9) AS rvalue, round({se}, 9) AS stderr, "
             f"round({se} * sqrt(sum(x * x) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) / regr_count(y, x)), 6) "
@@ -365,7 +365,7 @@ def side_two_files(spark, sf_dir):
             .agg((F.avg(TB.cents("o_totalprice")) / 100.0).alias("Gasoline")))
 
 
-_SIDE2_SQL = (f"SELECT year(o_orderdate) AS year, month(o_orderdate) AS month, "
+_SIDE2_SQL = (f"SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month, "
               f"CASE WHEN o_orderpriority = '{TB.SIDE_PRIORITY}' THEN 'gasoline_b1.csv' ELSE 'gasoline_gs2.csv' END AS file, "
               f"AVG({Q.cents('o_totalprice')}) / 100.0 AS Gasoline FROM orders "
               f"WHERE o_orderpriority IN ('{TB.SIDE_PRIORITY}', '4-NOT SPECIFIED') GROUP BY 1, 2, 3")

@@ -153,7 +153,8 @@ def _survey_lines(spark, sf_dir):
 
 
 _SURVEY_SQL = (f"SELECT CASE WHEN year(o_orderdate) <= 1996 THEN 'gs' WHEN year(o_orderdate) <= 1998 "
-               f"THEN 'gsb' ELSE 'b' END AS layout, year(o_orderdate) AS year, month(o_orderdate) AS month, "
+               f"THEN 'gsb' ELSE 'b' END AS layout, CAST(year(o_orderdate) AS INTEGER) AS year, "
+               f"CAST(month(o_orderdate) AS INTEGER) AS month, "
                f"avg({Q.cents('o_totalprice')}) AS price_mean, count(*) AS n_prices FROM orders "
                f"WHERE o_orderpriority = '{TB.SIDE_PRIORITY}' GROUP BY 1, 2, 3")
 
@@ -232,7 +233,7 @@ def s9a17_whitespace_text(spark, sf_dir):
 
 
 @query("k3_delimited_rewrite",
-       f"SELECT count(*) AS n_lines, sum(len(regexp_split_to_array(s, '{_WS}+'))) AS n_fields FROM ("
+       f"SELECT count(*) AS n_lines, CAST(sum(len(regexp_split_to_array(s, '{_WS}+'))) AS BIGINT) AS n_fields FROM ("
        f"SELECT regexp_replace(line, '^{_WS}+|{_WS}+$', '', 'g') AS s FROM (SELECT unnest("
        f"regexp_split_to_array(text, '\\r\\n|\\r|\\n')) AS line FROM documents)) WHERE length(s) > 0")
 def k3_delimited_rewrite(spark, sf_dir):
@@ -298,7 +299,7 @@ def s11_article_titles(spark, sf_dir):
 
 
 @query("f14_urls_in_pages",
-       f"SELECT page_id, len(regexp_extract_all(html, '{TX.URL_PATTERN}')) AS n_urls, "
+       f"SELECT page_id, CAST(len(regexp_extract_all(html, '{TX.URL_PATTERN}')) AS INTEGER) AS n_urls, "
        f"coalesce(list_aggregate(regexp_extract_all(html, '{TX.URL_PATTERN}'), 'string_agg', ' '), '') AS urls FROM pages")
 def f14_urls_in_pages(spark, sf_dir):
     p = TB.table(spark, sf_dir, "pages").select("page_id", TX.find_urls("html").alias("u"))
@@ -314,15 +315,15 @@ def f15f17_url_parts(spark, sf_dir):
 
 
 @query("f16_drop_blank_lines_docs",
-       f"SELECT doc_id, length(array_to_string(list_filter(string_split(text, chr(10)), "
-       f"lambda l: regexp_matches(l, '[^{_WS[1:-1]}]')), chr(10))) AS n_chars_kept FROM documents")
+       f"SELECT doc_id, CAST(length(array_to_string(list_filter(string_split(text, chr(10)), "
+       f"lambda l: regexp_matches(l, '[^{_WS[1:-1]}]')), chr(10))) AS INTEGER) AS n_chars_kept FROM documents")
 def f16_drop_blank_lines_docs(spark, sf_dir):
     d = TB.table(spark, sf_dir, "documents")
     return d.select("doc_id", F.length(TX.drop_blank_lines("text")).alias("n_chars_kept"))
 
 
 @query("f19_price_before_yen",
-       Q.cte(w=Q.WEEKLY_ITEMS) + "SELECT category, sum(TRY_CAST(replace(price, ',', '') AS BIGINT)) AS total "
+       Q.cte(w=Q.WEEKLY_ITEMS) + "SELECT category, CAST(sum(TRY_CAST(replace(price, ',', '') AS BIGINT)) AS BIGINT) AS total "
        "FROM w GROUP BY category")
 def f19_price_before_yen(spark, sf_dir):
     """Older page layout: price text '1,200円' → the part before 円 → number."""

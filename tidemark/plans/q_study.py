@@ -323,7 +323,7 @@ def m20_verdict(spark, sf_dir):
 @query("a12_polyfit_per_feature",
        _PANEL_SQL + "\nUNION ALL\n".join(
            f"SELECT '{c}' AS feature, round(regr_slope(price, {c}), 9) AS slope, "
-           f"round(regr_intercept(price, {c}), 6) AS intercept, regr_count(price, {c}) AS n FROM panel"
+           f"round(regr_intercept(price, {c}), 6) AS intercept, CAST(regr_count(price, {c}) AS BIGINT) AS n FROM panel"
            for c in X3))
 def a12_polyfit_per_feature(spark, sf_dir):
     return rnd(ST.polyfit_per_feature(panel(spark, sf_dir), X3, "price"),
@@ -339,9 +339,10 @@ def o4_top_abs_corr(spark, sf_dir):
 
 
 @query("a2_monthly_panel_means",
-       _PANEL_SQL + "SELECT year(Date) AS Year, month(Date) AS Month, "
+       _PANEL_SQL + "SELECT CAST(year(Date) AS INTEGER) AS Year, CAST(month(Date) AS INTEGER) AS Month, "
        + ", ".join(f"round(avg({c}), 6) AS {c}" for c in COLS4)
-       + ", make_date(year(Date), month(Date), 1) AS Date FROM panel GROUP BY 1, 2")
+       + ", make_date(CAST(year(Date) AS INTEGER), CAST(month(Date) AS INTEGER), 1) AS Date "
+       "FROM panel GROUP BY 1, 2")
 def a2_monthly_panel_means(spark, sf_dir):
     from ..functions.dates import month_start
     p = panel(spark, sf_dir).withColumns({"Year": F.year("Date"), "Month": F.month("Date")})

@@ -88,15 +88,15 @@ def corr_long(src: str, cols: list[str], digits: int = 9, name: str = "pearson_r
     return "\nUNION ALL\n".join(parts)
 
 
-SIDE_MONTHLY = f"""SELECT year(o_orderdate) AS year, month(o_orderdate) AS month,
+SIDE_MONTHLY = f"""SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month,
 AVG({cents('o_totalprice')}) / 100.0 AS Gasoline FROM orders WHERE o_orderpriority = '{SIDE_PRIORITY}' GROUP BY 1, 2"""
 
 ITEMS = f"""SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS Date, p_name AS name,
 {cents('l_extendedprice')} AS price, p_brand AS category
 FROM lineitem JOIN part ON l_partkey = p_partkey"""
 
-WEEKLY_ITEMS = f"""SELECT l_orderkey, l_linenumber, year(o_orderdate) - 1995 + 14 AS year,
-month(o_orderdate) AS month, least(4, CAST(ceil(day(o_orderdate) / 7) AS INTEGER)) AS week,
+WEEKLY_ITEMS = f"""SELECT l_orderkey, l_linenumber, CAST(year(o_orderdate) - 1995 + 14 AS INTEGER) AS year,
+CAST(month(o_orderdate) AS INTEGER) AS month, least(4, CAST(ceil(day(o_orderdate) / 7) AS INTEGER)) AS week,
 p_name AS name, format('{{:,}}', {cents('l_extendedprice')}) AS price,
 p_brand AS category
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey"""
