@@ -24,6 +24,7 @@ never all meet in one task.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,7 +57,8 @@ def numeric_key(df: DataFrame, name: str) -> Column:
     return c.cast("double")
 
 
-ROWS_PER_BUCKET = 1_000_000
+# Target rows per range bucket of the ordered operators (override for experiments).
+ROWS_PER_BUCKET = int(os.environ.get("TIDEMARK_ROWS_PER_BUCKET", "1000000"))
 
 
 def default_buckets(spark) -> int:

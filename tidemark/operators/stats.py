@@ -16,6 +16,7 @@ feature-by-feature matrix.  Exact quantiles have two strategies:
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Sequence
 
 import numpy as np
@@ -84,7 +85,7 @@ def _pname(p: float) -> str:
     return f"q{s}"
 
 
-SELECT_MAX_GROUPS = 64
+SELECT_MAX_GROUPS = int(os.environ.get("TIDEMARK_SELECT_MAX_GROUPS", "64"))
 _SELECT_BINS = 1024
 _SELECT_FETCH = 4096
 
