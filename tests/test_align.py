@@ -107,6 +107,9 @@ def test_first_match_takes_first_file(spark):
     got = {(r.year, r.month): r.g for r in
            AL.first_match(left, right, ["year", "month"], ["g"], order="file").collect()}
     assert got == {(2020, 1): 2.0, (2020, 3): None}
+    z = {(r.year, r.month): r.g for r in
+         AL.first_match(left, right, ["year", "month"], ["g"], order="file", default=0.0).collect()}
+    assert z == {(2020, 1): 2.0, (2020, 3): 0.0}
 
 
 def test_full_outer_on_union_equals_joins(spark):

@@ -385,12 +385,14 @@ def asof_nearest(left: DataFrame, right: DataFrame, on: str, right_on: str | Non
 
 
 def first_match(left: DataFrame, right: DataFrame, keys, payload: Sequence[str] | None = None,
-                order=None, max_right_rows: int | None = None) -> DataFrame:
-    """Left join that keeps only the first right row per key (missing → null).
-
-    With ``max_right_rows`` the caller states a bound on the distinct right keys (e.g.
-    calendar months); it is checked with one count and, when it holds, the
-    de-duplicated right side is broadcast so the left rows are never shuffled.
+                order=None, max_right_rows: int | None = None, default=None) -> DataFrame:
+    """Left join that keeps only the first right row per key.
+
+    A missing match gives null, or ``default`` when given (the reference uses both
+    conventions).  With ``max_right_rows`` the caller states a bound on the distinct
+    right keys (e.g. calendar months); it is checked with one count and, when it
+    holds, the de-duplicated right side is broadcast so the left rows are never
+    shuffled.
     """
     keys = _as_list(keys)
     if payload is None:
@@ -399,4 +401,7 @@ def first_match(left: DataFrame, right: DataFrame, keys, payload: Sequence[str]
     r = dedupe_first(right.select(*sel), keys, order).select(*keys, *payload)
     if max_right_rows is not None and r.count() <= max_right_rows:
         r = F.broadcast(r)
-    return left.join(r, keys, "left")
+    out = left.join(r, keys, "left")
+    if default is not None:
+        out = out.withColumns({c: F.coalesce(F.col(c), F.lit(default)) for c in payload})
+    return out
