@@ -460,7 +460,8 @@ def histogram(df: DataFrame, col: str, bins: int | None = None, method: str = "a
     counts = x.groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     width = (hi_v - lo_v) / bins
     grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return (grid.join(counts, "bin", "left")
+    # every bin appears, empty ones with 0; the grid (``bins`` rows) is the broadcast side
+    return (counts.join(F.broadcast(grid), "bin", "right")
             .select("bin", (F.lit(lo_v) + F.col("bin") * F.lit(width)).alias("lo"),
                     (F.lit(lo_v) + (F.col("bin") + 1) * F.lit(width)).alias("hi"),
                     F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count")))

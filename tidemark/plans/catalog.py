@@ -86,7 +86,7 @@ def j1_full_outer_one_scan(spark, sf_dir):
        + ", ".join(f"{Q.ffill(c)} AS {c}" for c in Q.RATE_NAMES) + " FROM rates")
 def w1_fill_forward_rates(spark, sf_dir):
     from ..operators.align import fill_forward
-    return fill_forward(TB.rates_wide(spark, sf_dir), "Date")
+    return fill_forward(TB.rates_wide_one_scan(spark, sf_dir), "Date")
 
 
 @query("w2_fill_backward_rates",
@@ -94,7 +94,7 @@ def w1_fill_forward_rates(spark, sf_dir):
        + ", ".join(f"{Q.bfill(c)} AS {c}" for c in Q.RATE_NAMES) + " FROM rates")
 def w2_fill_backward_rates(spark, sf_dir):
     from ..operators.align import fill_backward
-    return fill_backward(TB.rates_wide(spark, sf_dir), "Date")
+    return fill_backward(TB.rates_wide_one_scan(spark, sf_dir), "Date")
 
 
 @query("w1w2_fill_both_rates",
@@ -102,7 +102,7 @@ def w2_fill_backward_rates(spark, sf_dir):
        + "SELECT * FROM filled")
 def w1w2_fill_both_rates(spark, sf_dir):
     from ..operators.align import fill_both
-    return fill_both(TB.rates_wide(spark, sf_dir), "Date")
+    return fill_both(TB.rates_wide_one_scan(spark, sf_dir), "Date")
 
 
 @query("j2_nearest_panel", _PANEL_SQL + "SELECT * FROM panel")

@@ -419,8 +419,11 @@ def merged_all(spark, sf_dir):
        + "SELECT * FROM nr")
 def j5_nearest_levels_and_changes(spark, sf_dir):
     """cl.py: one nearest lookup returning both the levels and the changes."""
-    rates = AL.fill_both(TB.rates_wide(spark, sf_dir), "Date")
-    both = AL.pct_change(rates, "Date", Q.RATE_NAMES, first_zero=True, suffix="_pct")
+    from ..session import cut_lineage
+    # day-grain levels and changes, read twice by the nearest join: materialised once
+    rates = AL.fill_both(TB.rates_wide_one_scan(spark, sf_dir), "Date", buckets=1)
+    both = cut_lineage(AL.pct_change(rates, "Date", Q.RATE_NAMES, first_zero=True, suffix="_pct",
+                                     buckets=1))
     return AL.asof_nearest(TB.daily_price(spark, sf_dir), both, on="Date")
 
 

@@ -55,7 +55,7 @@ def w3_pct_change_panel(spark, sf_dir):
        Q.cte(rates=Q.RATES, filled=Q.filled(),
              ch=Q.pct_sql("filled", X3, first_zero=True)) + "SELECT * FROM ch")
 def w4_pct_change_first_zero(spark, sf_dir):
-    rates = AL.fill_both(TB.rates_wide(spark, sf_dir), "Date")
+    rates = AL.fill_both(TB.rates_wide_one_scan(spark, sf_dir), "Date")
     return AL.pct_change(rates, "Date", X3, first_zero=True)
 
 
@@ -133,7 +133,9 @@ def _variants_sql():
 @query("m19_corr_variants", _variants_sql())
 def m19_corr_variants(spark, sf_dir):
     """cl.py: the rates' correlation raw, standardised, min-max and as changes."""
-    rates = AL.fill_both(TB.rates_wide(spark, sf_dir), "Date")
+    from ..session import cut_lineage
+    # one row per day, read by four variants: filled once and materialised
+    rates = cut_lineage(AL.fill_both(TB.rates_wide_one_scan(spark, sf_dir), "Date", buckets=1))
     variants = {
         "raw": rates,
         "standard": SC.fit_standard(rates, X3).apply(rates),
