@@ -179,7 +179,8 @@ def _select_quantiles(long: DataFrame, keys: list, probs: list, names: list,
         out.append(tuple(row))
     schema = ", ".join([f"`{k}` {t}" for k, t in key_types.items()] + ["n long"]
                        + [f"{nm} double" for nm in names])
-    return spark.createDataFrame(out, schema)
+    # at most SELECT_MAX_GROUPS rows: safe to broadcast wherever it is joined back
+    return F.broadcast(spark.createDataFrame(out, schema))
 
 
 def quantiles(df: DataFrame, cols, probs: Sequence[float], by=(), method: str = "auto",
@@ -460,8 +461,8 @@ def histogram(df: DataFrame, col: str, bins: int | None = None, method: str = "a
     counts = x.groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     width = (hi_v - lo_v) / bins
     grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
-    # every bin appears, empty ones with 0; the grid (``bins`` rows) is the broadcast side
-    return (counts.join(F.broadcast(grid), "bin", "right")
+    # every bin appears, empty ones with 0; the counts (at most ``bins`` rows) are broadcast
+    return (grid.join(F.broadcast(counts), "bin", "left")
             .select("bin", (F.lit(lo_v) + F.col("bin") * F.lit(width)).alias("lo"),
                     (F.lit(lo_v) + (F.col("bin") + 1) * F.lit(width)).alias("hi"),
                     F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count")))
