@@ -61,9 +61,9 @@ def global_rank(df: DataFrame, order: str, by=(), buckets: int | None = None,
             F.coalesce(F.sum("_tm_c").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
             .alias("_tm_off"),
             F.sum("_tm_c").over(Window.partitionBy(*by)).alias("_n"))
-        out = ranked.join(offs, by + [_B]).withColumn("_rank", F.col("_tm_off") + F.col("_tm_rn"))
+        out = ranked.join(offs, by + [_B]).withColumn("_rank", (F.col("_tm_off") + F.col("_tm_rn")).cast("long"))
     else:
-        out = ranked.withColumns({"_tm_off": F.lit(0), "_rank": F.col("_tm_rn"),
+        out = ranked.withColumns({"_tm_off": F.lit(0), "_rank": F.col("_tm_rn").cast("long"),
                                   "_n": F.count(F.lit(1)).over(Window.partitionBy(*by, _B))})
     return out.drop("_tm_off", "_tm_rn", _B, *(["_tm_num"] if numeric is not None else []))
 

@@ -214,8 +214,8 @@ def _ws_sql():
     lines = (f"SELECT source, {strip} AS s FROM (SELECT source, unnest(regexp_split_to_array(text, "
              f"'\\r\\n|\\r|\\n')) AS line FROM documents)")
     return (f"SELECT source AS file, count(*) AS n_lines, count(DISTINCT len(regexp_split_to_array(s, '{_WS}+'))) "
-            f"AS n_widths, min(len(regexp_split_to_array(s, '{_WS}+'))) AS min_fields, "
-            f"max(len(regexp_split_to_array(s, '{_WS}+'))) AS max_fields, "
+            f"AS n_widths, CAST(min(len(regexp_split_to_array(s, '{_WS}+'))) AS INTEGER) AS min_fields, "
+            f"CAST(max(len(regexp_split_to_array(s, '{_WS}+'))) AS INTEGER) AS max_fields, "
             f"count(DISTINCT len(regexp_split_to_array(s, '{_WS}+'))) > 1 AS inconsistent "
             f"FROM ({lines}) WHERE length(s) > 0 GROUP BY source")
 
