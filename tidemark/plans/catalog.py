@@ -48,9 +48,10 @@ def panel(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFra
     from ..operators.align import asof_nearest, fill_both
     from ..session import cut_lineage
     keep = cut_lineage if materialize else (lambda d: d)
-    # the fact tables are scanned once each, down to one row per day; the ordered
-    # steps then read those small day-grain tables several times
-    daily = keep(TB.daily_price(spark, sf_dir))
+    # the fact tables are scanned once each, down to one row per day.  The rates are
+    # read twice by the nearest join (calendar keys and payload), so they are
+    # materialised; the daily prices stream through the join once.
+    daily = TB.daily_price(spark, sf_dir)
     # one row per calendar day: a single bucket by construction
     rates = fill_both(keep(TB.rates_wide_one_scan(spark, sf_dir)), "Date", buckets=1)
     return keep(asof_nearest(daily, rates, on="Date"))
