@@ -16,7 +16,7 @@ from ..session import scratch_path
 from ..sources import bars, delimited, html, sinks, surveys
 from . import sqlkit as Q
 from . import tables as TB
-from .catalog import query, rnd
+from .catalog import query
 
 # Largest number of data rows one written fixture file may hold; keys with more rows
 # are split into several files (each repeating the preamble) so no task writes a hot key alone.

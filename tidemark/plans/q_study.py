@@ -7,7 +7,6 @@ where quantiles are needed.  Fact-level queries live in ``q_facts``.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import align as AL
