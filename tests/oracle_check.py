@@ -34,7 +34,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return repr(round(v, 9))
+        return repr(v) if os.environ.get("STRICT_FLOATS") == "1" else repr(round(v, 9))
     if hasattr(v, "isoformat"):
         return v.isoformat()[:10] if type(v).__name__ == "date" else v.isoformat()
     if isinstance(v, (list, tuple)):
@@ -56,7 +56,14 @@ def main(argv):
     names = [a for a in argv[1:] if not a.startswith("/")]
     import __spark_entry__ as E
     from tidemark.session import local_session
-    spark = local_session(8, 8)
+    if os.environ.get("PLAIN_SESSION") == "1":   # a session without any of our settings
+        from pyspark.sql import SparkSession
+        b = SparkSession.builder.master("local[8]")
+        if os.environ.get("SESSION_TZ"):
+            b = b.config("spark.sql.session.timeZone", os.environ["SESSION_TZ"])
+        spark = b.getOrCreate()
+    else:
+        spark = local_session(8, 8)
     qs, sqls = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
     report = {}
