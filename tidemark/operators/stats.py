@@ -197,6 +197,11 @@ def quantiles(df: DataFrame, cols, probs: Sequence[float], by=(), method: str =
     names = [_pname(p) for p in probs]
     long = _long_values(df, cols, by)
     keys = by + ["variable"]
+    if method in ("auto", "select", "rank"):
+        # these read the values several times: a derived input is materialised once
+        # (keys and one value column only) instead of being recomputed per pass
+        from ..session import materialize_if_derived
+        long = materialize_if_derived(long)
     if method in ("auto", "select"):
         groups = (long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"),
                                           F.max("value").alias("hi"))

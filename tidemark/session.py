@@ -78,3 +78,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     import uuid
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tidemark-io/{label}-{uuid.uuid4().hex[:12]}"
+
+
+_DERIVED = ("Join", "Aggregate", "Window", "Repartition", "Generate", "Sort")
+
+
+def materialize_if_derived(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` when recomputing it would redo shuffles (joins, aggregations,
+    windows); return it as is when it is a plain scan with projections and filters.
+
+    For operators that read their input several times (exact quantile selection).
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(f"{op}" in plan for op in _DERIVED):
+        return cut_lineage(df)
+    return df
