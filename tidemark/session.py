@@ -80,7 +80,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base}/tidemark-io/{label}-{uuid.uuid4().hex[:12]}"
 
 
-_DERIVED = ("Join", "Aggregate", "Window", "Repartition", "Generate", "Sort")
+_DERIVED = ("Join", "Aggregate", "Window", "Repartition")
 
 
 def materialize_if_derived(df: DataFrame) -> DataFrame:
