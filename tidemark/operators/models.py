@@ -108,7 +108,8 @@ def kth_smallest_hex(df: DataFrame, col: str, k: int, step: int = 4, fetch_max:
 
 
 def train_test_split(df: DataFrame, key_cols, test_size: float = 0.2, seed: int = 42,
-                     flag: str = "is_test", buckets: int | None = None) -> DataFrame:
+                     flag: str = "is_test", buckets: int | None = None,
+                     n_rows: int | None = None) -> DataFrame:
     """M4: shuffled 80/20 split with exactly ceil(test_size · n) test rows.
 
     Rows are ordered by ``split_hash(key, seed)`` (taken from the ``_split_hash``
@@ -120,7 +121,7 @@ def train_test_split(df: DataFrame, key_cols, test_size: float = 0.2, seed: int
     the sizes are equal.
     """
     src = df if SPLIT_HASH in df.columns else with_split_hash(df, key_cols, seed)
-    n = src.count()
+    n = n_rows if n_rows is not None else src.count()   # a caller may already know it
     k = math.ceil(n * float(test_size) - 1e-9)
     if k <= 0:
         return src.withColumn(flag, F.lit(False))
@@ -148,6 +149,12 @@ class Gram:
     def p(self) -> int:
         return len(self.xs)
 
+    def subset(self, cols) -> "Gram":
+        """The Gram of a subset of the features (same rows, same target)."""
+        idx = [self.xs.index(c) for c in cols]
+        return Gram(list(cols), self.y, self.n, self.xbar[idx], self.ybar,
+                    self.Sxx[np.ix_(idx, idx)], self.Sxy[idx], self.Syy)
+
     def xtx_with_const(self) -> np.ndarray:
         """Uncentred [1, X]ᵀ[1, X]."""
         n, m = self.n, self.xbar

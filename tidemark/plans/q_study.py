@@ -388,8 +388,9 @@ def grid_inputs(spark, sf_dir):
     std = SC.fit_standard(d, GRID_FEATS)
     rob = SC.fit_robust(d, GRID_FEATS, quartiles=q)
     d = rob.apply(std.apply(d, "_std"), "_rob")
-    # the split flag is a column predicate over the checkpointed rows: no second checkpoint
-    d = M.train_test_split(d, ["l_orderkey", "l_linenumber"], 0.2, 42)
+    # the split flag is a column predicate over the checkpointed rows: no second
+    # checkpoint; the row count comes from the quartile pass
+    d = M.train_test_split(d, ["l_orderkey", "l_linenumber"], 0.2, 42, n_rows=int(q["price"]["n"]))
     return d, std, rob
 
 
@@ -398,6 +399,8 @@ def grid_fits(spark, sf_dir):
     train = d.where(~F.col("is_test"))
     fits = []
     for suffix in ("_std", "_rob"):
+        # one Gram per scaling: two 4-feature aggregations generate compact code, where a
+        # single 8-feature one (45 covariances) is several times slower
         xs = [c + suffix for c in GRID_FEATS]
         g = M.gram(train, xs, "price")
         fits += [M.ols(train, xs, "price", g), M.ridge(train, xs, "price", 1.0, g),
