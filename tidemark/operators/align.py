@@ -7,7 +7,6 @@ Operators (SURVEY §2.4, §2.6):
 * ``fill_backward``   W2  next non-null value
 * ``fill_both``       W1 then W2 (pandas ``ffill().bfill()``)
 * ``pct_change``      W3/W4 padded percentage change
-* ``lag_diff_stats``  W8 building block (sum of squared successive differences)
 * ``asof_nearest``    J2/J5 nearest-key join, exact match wins, ties go to the earlier key
 * ``first_match``     J3 left lookup that keeps only the first right row per key
 

@@ -1,15 +1,19 @@
 """Descriptive statistics and simple fits.
 
-Every function is one or two aggregations; what returns to the driver is at most a
-feature-by-feature matrix.  Exact quantiles have two strategies:
-
+Every function is one or a few aggregations; what returns to the driver is bounded
+(a feature-by-feature matrix, a few quantile bounds).  Exact quantiles have these
+strategies:
+
+* ``method="select"`` (``auto`` with at most ``SELECT_MAX_GROUPS`` groups) — histogram
+  narrowing: each pass is an aggregation that counts the values of every open range
+  in equal-width bins; values are never shuffled or sorted.
+* ``method="rank"`` (``auto`` with more groups) — values are bucketed by range, ranked
+  inside each bucket, given global ranks from per-bucket counts, and only the two
+  order statistics around each requested position are kept.  No group's values are
+  ever gathered in one place.
 * ``method="percentile"`` — Spark's exact ``percentile`` aggregate.  It keeps a
   value→count map per group, so it is meant for tables whose size is bounded by
   construction (a daily panel: one row per day).
-* ``method="rank"`` (default) — exact and distributed: values are bucketed by range,
-  ranked inside each bucket, given global ranks from per-bucket counts, and only the
-  two order statistics around each requested position are kept.  No group's values
-  are ever gathered in one place.
 * ``method="approx"`` — ``percentile_approx`` for when exactness is not needed.
 """
 
