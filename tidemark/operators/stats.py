@@ -453,11 +453,15 @@ def histogram(df: DataFrame, col: str, bins: int | None = None, method: str = "a
     right, as in NumPy.
     """
     x = df.select(F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    st = x.agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi")).first()
-    n, lo, hi = st["n"], st["lo"], st["hi"]
     if bins is None:
-        qr = quantiles(x, ["_x"], [0.25, 0.75], method=method).first()
+        # one quantile call gives the count, the extremes (q0, q100) and the quartiles
+        qr = quantiles(x, ["_x"], [0.0, 0.25, 0.75, 1.0], method=method).first()
+        n = qr["n"] if qr else 0
+        lo, hi = (qr["q0"], qr["q100"]) if qr else (None, None)
         bins = auto_bins(n, lo, hi, qr["q25"] if qr else None, qr["q75"] if qr else None)
+    else:
+        st = x.agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi")).first()
+        n, lo, hi = st["n"], st["lo"], st["hi"]
     spark = df.sparkSession
     if n == 0:
         return spark.createDataFrame([], "bin int, lo double, hi double, count long")
