@@ -131,3 +131,12 @@ def test_nearest_numeric_keys_many_buckets(spark, many_buckets):
     arr = np.array(rk)
     for i, k in enumerate(lk):
         assert got[i] == arr[np.argmin(np.abs(arr - k))]  # first minimum = smaller key on ties
+
+
+def test_bucket_of_matches_bisect(spark):
+    import bisect
+    bounds = [1.0, 2.0, 2.5, 7.0, 10.0, 11.0, 50.0]
+    xs = [-3.0, 1.0, 1.5, 2.0, 2.4, 2.5, 6.9, 7.0, 10.5, 11.0, 49.0, 50.0, 99.0, None]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = [r[0] for r in df.select(AL.bucket_of(F.col("x"), bounds)).collect()]
+    assert got == [bisect.bisect_right(bounds, x) if x is not None else 0 for x in xs]

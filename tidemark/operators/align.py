@@ -97,8 +97,18 @@ def range_buckets(df: DataFrame, by: Sequence[str], order: Sequence[str],
     bounds = sorted({float(b) for b in picked if b is not None})
     if not bounds:
         return df.withColumn(_B, F.lit(0)), 1
-    arr = F.array(*[F.lit(b) for b in bounds])
-    return df.withColumn(_B, F.coalesce(F.size(F.filter(arr, lambda x: x <= key)), F.lit(0))), len(bounds) + 1
+    return df.withColumn(_B, bucket_of(key, bounds)), len(bounds) + 1
+
+
+def bucket_of(key: Column, bounds: Sequence[float]) -> Column:
+    """Number of ``bounds`` (sorted) that are <= ``key`` — a balanced CASE tree, so a row
+    costs about log2(len(bounds)) comparisons inside generated code.  A null key → 0."""
+    def rec(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi + 1) // 2
+        return F.when(key >= F.lit(bounds[mid - 1]), rec(mid, hi)).otherwise(rec(lo, mid - 1))
+    return rec(0, len(bounds))
 
 
 def _join_back(df: DataFrame, carry: DataFrame, by: Sequence[str]) -> DataFrame:
