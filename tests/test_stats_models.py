@@ -240,3 +240,10 @@ def test_quantiles_select_skewed_and_duplicates(spark, monkeypatch):
     for g in ("g0", "g1"):
         sub = vals[np.arange(len(vals)) % 2 == int(g[1])]
         assert abs(byg.loc[g, "q50"] - np.percentile(sub, 50)) <= 1e-12 * abs(np.percentile(sub, 50))
+
+
+def test_scalers_all_null_column(spark):
+    df = spark.createDataFrame([(1.0, None), (3.0, None)], "x double, z double")
+    for fit in (SC.fit_minmax, SC.fit_standard):
+        out = fit(df, ["x", "z"]).apply(df).toPandas()
+        assert out.z.isna().all() and out.x.notna().all()

@@ -41,7 +41,8 @@ def fit_standard(df: DataFrame, cols) -> Scaling:
     cols = _as_list(cols)
     r = df.agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)],
                *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(cols)]).first()
-    center = {c: float(r[f"m_{i}"]) for i, c in enumerate(cols)}
+    # an all-null column has no mean: centre 0, scale 1 (it stays null)
+    center = {c: float(r[f"m_{i}"]) if r[f"m_{i}"] is not None else 0.0 for i, c in enumerate(cols)}
     scale = {c: (float(r[f"s_{i}"]) if r[f"s_{i}"] else 1.0) for i, c in enumerate(cols)}
     return Scaling("standard", center, scale)
 
@@ -53,6 +54,9 @@ def fit_minmax(df: DataFrame, cols) -> Scaling:
                *[F.max(c).alias(f"hi_{i}") for i, c in enumerate(cols)]).first()
     center, scale = {}, {}
     for i, c in enumerate(cols):
+        if r[f"lo_{i}"] is None:          # all null: the column stays null
+            center[c], scale[c] = 0.0, 1.0
+            continue
         lo, hi = float(r[f"lo_{i}"]), float(r[f"hi_{i}"])
         center[c] = lo
         scale[c] = (hi - lo) if hi != lo else 1.0
