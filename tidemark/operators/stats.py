@@ -282,6 +282,8 @@ def iqr_bounds(df: DataFrame, col: str, k: float = 1.5, method: str = "auto") ->
     The two quartiles (two numbers) come back to the driver and enter the counting
     pass as literals.
     """
+    from ..session import materialize_if_derived
+    df = materialize_if_derived(df.select(col))   # read by the quartile and counting passes
     q = quantiles(df, [col], [0.25, 0.75], method=method).first()
     spark = df.sparkSession
     if q is None:
@@ -404,7 +406,10 @@ def box_stats(df: DataFrame, col: str, by=(), whis: float = 1.5, method: str = "
     Whiskers follow matplotlib: the most extreme data points inside the fences.
     Grouped: the per-group quartile table (one row per group) is equi-joined back.
     """
+    from ..session import materialize_if_derived
     by = _as_list(by)
+    # read by the quartile passes and the whisker pass: a derived input is materialised once
+    df = materialize_if_derived(df.select(*by, col))
     q = quantiles(df, [col], [0.25, 0.5, 0.75], by=by, method=method).select(
         *by, "n", F.col("q25").alias("q1"), F.col("q50").alias("median"), F.col("q75").alias("q3"))
     x = df.select(*by, F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
@@ -452,7 +457,9 @@ def histogram(df: DataFrame, col: str, bins: int | None = None, method: str = "a
     given).  Each row's bin is a column expression; the last bin is closed on the
     right, as in NumPy.
     """
+    from ..session import materialize_if_derived
     x = df.select(F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    x = materialize_if_derived(x)   # read by the quantile passes and the counting pass
     if bins is None:
         # one quantile call gives the count, the extremes (q0, q100) and the quartiles
         qr = quantiles(x, ["_x"], [0.0, 0.25, 0.75, 1.0], method=method).first()
