@@ -8,7 +8,9 @@ materialisation helpers the studies use.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,8 +50,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint folder, setting a scratch one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is.
-    Only when nothing is configured (a bare local test session) do we pick a fresh
-    temporary folder, so lineage cutting works in tests too.
+    Only when nothing is configured and the master is local (tests) do we pick a fresh
+    temporary folder; on a cluster every executor would write its own disk there, so
+    that raises.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -57,6 +60,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tidemark-ckpt-")
     sc.setCheckpointDir(configured)
     return configured
@@ -93,3 +98,28 @@ def materialize_if_derived(df: DataFrame) -> DataFrame:
     if any(f"{op}" in plan for op in _DERIVED):
         return cut_lineage(df)
     return df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, wherever the driver was started from.
+
+    Functions of the package travel to workers by name, so a worker must be able to
+    import it; a zip of its sources goes along once for each application.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    top = os.path.basename(here)
+    path = os.path.join(tempfile.mkdtemp(prefix=f"{top}-zip-"), f"{top}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(here):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join(top, os.path.relpath(full, here)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
