@@ -39,3 +39,30 @@ def op6_pack_power_of_two(spark, sf_dir):
                                seq_len=4096, end_id=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
                          "sequence_id", "offset")
+
+
+@query
+def op9_piece_round_trip(spark, sf_dir):
+    from .piece_bpe import piece_round_trip
+    rows = piece_round_trip(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return rows.select("doc_id", F.expr("length(ids) div 4").alias("n_tokens"),
+                       F.sha2(F.col("ids"), 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op1_language_profiles(spark, sf_dir):
+    from .lang_id import language_table
+    return language_table(read_table(spark, sf_dir, "documents")) \
+        .select("doc_id", "held_out", "lang_pred", "score", "margin")
+
+
+@query
+def op10_license_sentence_rules(spark, sf_dir):
+    from .license_rules import scan_licenses
+    found = scan_licenses(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_sentences", "n_known", F.size("matches").cast("long").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct("matches.license")), ",").alias("licenses"),
+        F.expr("array_join(transform(matches, m -> concat_ws(':', m.license, cast(m.start as string), "
+               "cast(m.end as string))), ',')").alias("spans"))
