@@ -34,7 +34,7 @@ _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _OPEN: dict[str, "PieceModel"] = {}
 
 SCHEMA = "doc_id long, ids binary, decoded string"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.large_string())])
+_ARROW = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 
 
 class PieceModel:

@@ -24,6 +24,13 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op2_bloom_language_model(spark, sf_dir):
+    from .lm_score import score_table
+    return score_table(read_table(spark, sf_dir, "documents")) \
+        .select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op5_directly_addressable_ids(spark, sf_dir):
     from .dac_ids import token_file_round_trip
