@@ -73,3 +73,30 @@ def op10_license_sentence_rules(spark, sf_dir):
         F.array_join(F.array_sort(F.array_distinct("matches.license")), ",").alias("licenses"),
         F.expr("array_join(transform(matches, m -> concat_ws(':', m.license, cast(m.start as string), "
                "cast(m.end as string))), ',')").alias("spans"))
+
+
+@query
+def op4_small_world_neighbours(spark, sf_dir):
+    from .hnsw import nearest_neighbours
+    return nearest_neighbours(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query
+def op7_maxscore_top10(spark, sf_dir):
+    from .maxscore import top_inner_products
+    return top_inner_products(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+SQL["op7_maxscore_top10"] = """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+        FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+        SELECT q.vec_id AS query_id, c.vec_id,
+               CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id <> c.vec_id
+        WHERE q.vec_id % 100 = 0),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
