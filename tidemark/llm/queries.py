@@ -100,3 +100,34 @@ SQL["op7_maxscore_top10"] = """
     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
     SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
+
+
+@query
+def op8_toccurrence_join(spark, sf_dir):
+    from .toccur_join import similarity_groups
+    return similarity_groups(read_table(spark, sf_dir, "documents"))
+
+
+SQL["op8_toccurrence_join"] = r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x20\x09-\x0D]+') AS words
+        FROM documents),
+    s AS (
+        SELECT doc_id, list_distinct(CASE WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+                   ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS items
+        FROM w WHERE len(words) > 0),
+    n AS (SELECT doc_id, len(items) AS n FROM s),
+    e AS (SELECT doc_id, unnest(items) AS item FROM s),
+    o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_
+          FROM e a JOIN e b ON a.item = b.item AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    l AS (SELECT o.a, o.b FROM o JOIN n x ON x.doc_id = o.a JOIN n y ON y.doc_id = o.b
+          WHERE 100 * o.both_ >= 85 * (x.n + y.n - o.both_)),
+    r(doc_id, root) AS (
+        SELECT doc_id, doc_id FROM documents
+        UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id WHERE r.root < l.b)
+    SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(r.root) AS component_id
+    FROM documents d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+    GROUP BY d.doc_id, n.n
+"""
