@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, map_rows, pick
+from .common import crc_remainder, map_rows, pick, with_columns
 
 #: Longest n-gram (three letters fit one 64-bit code) and length of a profile.
 N_MAX = 3
@@ -159,6 +159,28 @@ def identify_languages(docs: DataFrame, profiles: dict[str, list[int]], size: in
     return map_rows(rows, make, _PRED, "doc_id long, lang_pred string, score double, margin double")
 
 
+#: Below this score a text resembles none of the learned languages (their texts score 0.4 and more).
+LEAST_SCORE = 0.2
+
+
+def keep_known_languages(docs: DataFrame, least: float = LEAST_SCORE, size: int = PROFILE_SIZE) -> DataFrame:
+    """The rows whose text is in a learned language, columns as they are; a null lang is filled in.
+
+    Profiles are learned from the rows that have text and lang.  Rows without a letter, or
+    that resemble no learned language, go.
+    """
+    profiles = learn_profiles(docs, size)
+
+    def make():
+        ranker = Ranker(profiles, size)
+        return lambda texts: [ranker.identify(t)[:2] for t in texts]
+
+    names = docs.columns
+    found = with_columns(docs, make, [("_lang_pred", pa.string(), "string"), ("_lang_score", pa.float64(), "double")])
+    return found.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least)) \
+        .withColumn("lang", F.coalesce("lang", "_lang_pred")).select(*names)
+
+
 def held_out():
     """The documents kept from learning: crc32 of doc_id as text leaves 2 modulo 4 (a null id is not)."""
     return F.coalesce(crc_remainder(F.col("doc_id"), 4) == 2, F.lit(False))

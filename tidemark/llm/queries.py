@@ -131,3 +131,17 @@ SQL["op8_toccurrence_join"] = r"""
     FROM documents d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
     GROUP BY d.doc_id, n.n
 """
+
+
+@query
+def op3_skip_chain_personal_data(spark, sf_dir):
+    from .pii_crf import KINDS, find_personal_data, learn_field
+    docs = read_table(spark, sf_dir, "documents")
+    found = find_personal_data(docs, learn_field(docs))
+    order = F.array(*[F.lit(k) for k in KINDS])
+    joined = lambda spans: F.array_join(F.transform(
+        F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], F.array_position(order, s["kind"]), s["end"], s["kind"].alias("kind")))),
+        lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    many = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *many, F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
+                        joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))

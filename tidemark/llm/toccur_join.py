@@ -353,3 +353,21 @@ def similarity_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     of_node = low.join(least, "comp").select("node", "component_id")
     return meta.join(of_node, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one_of_each_group(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of the smallest doc_id of every group; repeated rows once, rows without an id as they are.
+
+    Only the ids that go (those of near copies) meet the texts.
+    """
+    groups = similarity_groups(docs, **settings)
+    path = scratch_path(docs.sparkSession, "groups")
+    groups.write.parquet(path)
+    groups = docs.sparkSession.read.parquet(path)
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    again = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1").select("doc_id")
+    kept = docs.join(gone, "doc_id", "left_anti")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns) \
+        .union(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
