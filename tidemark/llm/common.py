@@ -57,29 +57,26 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list], Iterator[tuple]]
     return df.mapInArrow(run, spark_schema)
 
 
-def with_columns(df: DataFrame, make: Callable[[], Callable[[list], list[tuple]]], fields: list[tuple[str, pa.DataType, str]],
-                 text_column: str = "text") -> DataFrame:
-    """All rows and columns of ``df`` with new columns from its text: ``make()`` runs once per
-    task and returns a function from a list of texts to one tuple per text.
-
-    The new columns' names must not be among the frame's own.
-    """
+def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
+    """Rows changed or left out, columns as they are: ``make()`` runs once per task and returns a
+    function from a record batch to one of the same columns.  Columns are told by place, so their
+    names may clash with anything."""
     ship_package(df.sparkSession)
-    at = df.columns.index(text_column)
-    if {n for n, *_ in fields} & set(df.columns):
-        raise ValueError(f"columns {[n for n, *_ in fields]} are to be added")
 
     def run(batches):
         fn = make()
         for b in batches:
             for first in range(0, b.num_rows, 2000):
-                part = b.slice(first, 2000)
-                new = list(zip(*fn(part.column(at).to_pylist())))
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, type=t) for c, (_, t, _) in zip(new, fields))],
-                                                 names=[*part.schema.names, *(n for n, *_ in fields)])
+                yield fn(b.slice(first, 2000))
+
+    return df.mapInArrow(run, df.schema)
+
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, schema + "".join(f", `{n}` {t}" for n, _, t in fields))
+def replace(b: pa.RecordBatch, at: int, values: list) -> pa.RecordBatch:
+    """The batch with one column's values replaced."""
+    cols = list(b.columns)
+    cols[at] = pa.array(values, type=cols[at].type)
+    return pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
 
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, map_rows, pick, with_columns
+from .common import crc_remainder, map_rows, map_slices, pick, replace
 
 #: Longest n-gram (three letters fit one 64-bit code) and length of a profile.
 N_MAX = 3
@@ -170,15 +170,19 @@ def keep_known_languages(docs: DataFrame, least: float = LEAST_SCORE, size: int
     that resemble no learned language, go.
     """
     profiles = learn_profiles(docs, size)
+    text_at, lang_at = docs.columns.index("text"), docs.columns.index("lang")
 
     def make():
         ranker = Ranker(profiles, size)
-        return lambda texts: [ranker.identify(t)[:2] for t in texts]
 
-    names = docs.columns
-    found = with_columns(docs, make, [("_lang_pred", pa.string(), "string"), ("_lang_score", pa.float64(), "double")])
-    return found.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least)) \
-        .withColumn("lang", F.coalesce("lang", "_lang_pred")).select(*names)
+        def run(b):
+            found = [ranker.identify(t) for t in b.column(text_at).to_pylist()]
+            lang = [old if old is not None else new for old, (new, *_) in zip(b.column(lang_at).to_pylist(), found)]
+            keep = [name != UNKNOWN and score >= least for name, score, _ in found]
+            return replace(b, lang_at, lang).filter(pa.array(keep))
+        return run
+
+    return map_slices(docs, make)
 
 
 def held_out():

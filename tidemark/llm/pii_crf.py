@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, pick, with_columns
+from .common import map_rows, map_slices, pick, replace
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents whose mentions are fitted; widest gap at which mentions are chain neighbours.
@@ -312,11 +312,13 @@ def mask(text: str | None, field: Field) -> str | None:
 
 def mask_personal_data(docs: DataFrame) -> DataFrame:
     """All rows with personal data masked in text, and n_chars counted anew; other columns as they are."""
-    field, names = learn_field(docs), docs.columns
+    field = learn_field(docs)
+    text_at, size_at = docs.columns.index("text"), docs.columns.index("n_chars")
 
     def make():
-        return lambda texts: [(mask(t, field),) for t in texts]
+        def run(b):
+            masked = [mask(t, field) for t in b.column(text_at).to_pylist()]
+            return replace(replace(b, text_at, masked), size_at, [None if t is None else len(t) for t in masked])
+        return run
 
-    masked = with_columns(docs, make, [("_masked", pa.string(), "string")])
-    return masked.withColumn("text", F.col("_masked")) \
-        .withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*names)
+    return map_slices(docs, make)

@@ -138,10 +138,13 @@ def op3_skip_chain_personal_data(spark, sf_dir):
     from .pii_crf import KINDS, find_personal_data, learn_field
     docs = read_table(spark, sf_dir, "documents")
     found = find_personal_data(docs, learn_field(docs))
-    order = F.array(*[F.lit(k) for k in KINDS])
-    joined = lambda spans: F.array_join(F.transform(
-        F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], F.array_position(order, s["kind"]), s["end"], s["kind"].alias("kind")))),
-        lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    many = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *many, F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
-                        joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
+    listed = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
+
+    def joined(spans: str):
+        """kind:start:end by start, then kind as listed."""
+        keyed = f"transform({spans}, s -> struct(s.start as a, array_position({listed}, s.kind) as k, s.end as b, s.kind as kind))"
+        return F.expr(f"array_join(transform(array_sort({keyed}), s -> concat_ws(':', s.kind, cast(s.a as string), cast(s.b as string))), ',')")
+
+    many = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *many, F.sha2(joined("base"), 256).alias("base_sha256"),
+                        joined("concat(base, added)").alias("spans"), F.size("added").cast("long").alias("n_added"))

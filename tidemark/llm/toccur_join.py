@@ -366,8 +366,10 @@ def keep_one_of_each_group(docs: DataFrame, **settings) -> DataFrame:
     groups = docs.sparkSession.read.parquet(path)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     again = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    if again.isEmpty():
-        return kept.select(*docs.columns)
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns) \
-        .union(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    key, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    kept = plain.join(gone, plain[key] == gone.doc_id, "left_anti")
+    if not again.isEmpty():
+        kept = kept.join(again, kept[key] == again.doc_id, "left_anti").union(
+            kept.join(again, kept[key] == again.doc_id, "left_semi").dropDuplicates([key, text]))
+    return kept.toDF(*docs.columns)
