@@ -115,7 +115,7 @@ def test_first_match_takes_first_file(spark):
 def test_full_outer_on_union_equals_joins(spark):
     a = spark.createDataFrame([(1, 1.0), (2, None)], "k int, a double")
     b = spark.createDataFrame([(2, 5.0), (3, 6.0)], "k int, b double")
-    u = sorted(AL.full_outer_on([a, b], "k").collect())
+    u = sorted(AL.full_outer_on([a, b], "k", unique_keys=True).collect())
     j = sorted(AL.full_outer_on([a, b], "k", unique_keys=False).select("k", "a", "b").collect())
     assert u == j
 

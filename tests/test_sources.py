@@ -84,7 +84,7 @@ def test_survey_folder_with_errors(spark, tmp_dir):
     assert got["gsb202102.csv"] == ("gsb", 2021, 3, 15.0, 2)
     assert got["gs201612.csv"] == ("gs", 2016, 12, 7.0, 1)
     assert [r.file for r in errors.collect()] == ["gs_broken.csv"]
-    tally = {r.status: r.files for r in surveys.ingest_tally(rows, errors).collect()}
+    tally = {r.status: r.files for r in surveys.ingest_tally(surveys.survey_files(spark, tmp_dir)).collect()}
     assert tally == {"ok": 4, "error": 1}
 
 

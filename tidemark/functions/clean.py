@@ -31,6 +31,9 @@ def ustrip(c) -> Column:
     return F.trim(_c(c), F.lit(PY_WHITESPACE))
 
 
+_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?|\.[0-9]+([eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
+
+
 def to_number(c, strip_commas: bool = False) -> Column:
     """Lenient number (``to_numeric(errors="coerce")``); bad text → null.
 
@@ -40,7 +43,8 @@ def to_number(c, strip_commas: bool = False) -> Column:
     s = ustrip(_c(c).cast("string"))
     if strip_commas:
         s = F.replace(s, F.lit(","), F.lit(""))
-    return s.try_cast("double")
+    # only decimal text and infinities: Java's parser also takes "NaN", "1d" or "0x1p3"
+    return F.when(s.rlike(_NUMBER), s.try_cast("double"))
 
 
 def to_long(c, strip_commas: bool = True) -> Column:
@@ -51,7 +55,7 @@ def to_long(c, strip_commas: bool = True) -> Column:
     return s.try_cast("long")
 
 
-def to_date_lenient(c, fmt: str = "yyyy-MM-dd") -> Column:
+def to_date_lenient(c, fmt: str = "yyyy-M-d") -> Column:
     """``to_datetime(format=…, errors="coerce")`` — bad text, month or day → null."""
     return F.try_to_timestamp(_c(c).cast("string"), F.lit(fmt)).cast("date")
 

@@ -13,43 +13,35 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
+
 _EPS = 1e-15
 _TINY = 1e-300
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 
 
-def _betacf(a, b, x, iters: int = 300):
+def _beta_fraction(a, b, x, most: int = 300):
+    """The continued fraction of DLMF 8.17.22, 1/(1+ d₁/(1+ d₂/(1+ ...))), by the modified Lentz
+    method: numerators and denominators of successive convergents enter as ratios only."""
     a, b, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(b, float), np.asarray(x, float))
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c = np.ones_like(x)
-    d = 1.0 - qab * x / qap
-    d = np.where(np.abs(d) < _TINY, _TINY, d)
-    d = 1.0 / d
-    h = d.copy()
-    for m in range(1, iters + 1):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = np.where(np.abs(d) < _TINY, _TINY, d)
-        c = 1.0 + aa / c
-        c = np.where(np.abs(c) < _TINY, _TINY, c)
-        d = 1.0 / d
-        h = h * d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = np.where(np.abs(d) < _TINY, _TINY, d)
-        c = 1.0 + aa / c
-        c = np.where(np.abs(c) < _TINY, _TINY, c)
-        d = 1.0 / d
-        de = d * c
-        h = h * de
-        if np.all(np.abs(de - 1.0) < _EPS):
+    away = lambda v: np.where(np.abs(v) < _TINY, _TINY, v)
+    value, above, below = np.ones_like(x), np.ones_like(x), np.zeros_like(x)
+    for j in range(1, most + 1):
+        m = j // 2
+        if j % 2:
+            d = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        else:
+            d = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        above, below = away(1.0 + d / above), 1.0 / away(1.0 + d * below)
+        step = above * below
+        value = value * step
+        if np.all(np.abs(step - 1.0) < _EPS):
             break
-    return h
+    return 1.0 / value
 
 
 def betainc(a, b, x):
@@ -68,10 +60,10 @@ def betainc(a, b, x):
         direct = xm < (am + 1.0) / (am + bm + 2.0)
         res = np.empty_like(xm)
         if np.any(direct):
-            res[direct] = bt[direct] * _betacf(am[direct], bm[direct], xm[direct]) / am[direct]
+            res[direct] = bt[direct] * _beta_fraction(am[direct], bm[direct], xm[direct]) / am[direct]
         if np.any(~direct):
             nd = ~direct
-            res[nd] = 1.0 - bt[nd] * _betacf(bm[nd], am[nd], 1.0 - xm[nd]) / bm[nd]
+            res[nd] = 1.0 - bt[nd] * _beta_fraction(bm[nd], am[nd], 1.0 - xm[nd]) / bm[nd]
         out[mid] = res
     return out
 
@@ -137,4 +129,5 @@ def _t_sf_udf(t: pd.Series, dof: pd.Series) -> pd.Series:
 
 def t_sf_col(t: Column, dof: Column) -> Column:
     """Column form of ``t_sf`` (Arrow-batched; used on per-group fit rows only)."""
+    ship_package(SparkSession.active())
     return _t_sf_udf(t.cast("double"), dof.cast("double"))

@@ -23,6 +23,7 @@ never all meet in one task.
 
 from __future__ import annotations
 
+import math
 import os
 from collections.abc import Sequence
 
@@ -50,7 +51,12 @@ def numeric_key(df: DataFrame, name: str) -> Column:
     if isinstance(dtype, T.DateType):
         return F.unix_date(c).cast("long")
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp"))
+        if isinstance(dtype, T.TimestampNTZType):
+            # wall-clock fields, so that no session zone's clock changes reorder keys
+            seconds = F.hour(c) * 3600 + F.minute(c) * 60
+            return (F.unix_date(c.cast("date")).cast("long") * 86_400_000_000 + seconds.cast("long") * 1_000_000
+                    + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long"))
+        return F.unix_micros(c)
     if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return c.cast("long")
     return c.cast("double")
@@ -60,49 +66,50 @@ def numeric_key(df: DataFrame, name: str) -> Column:
 ROWS_PER_BUCKET = int(os.environ.get("TIDEMARK_ROWS_PER_BUCKET", "1000000"))
 
 
-def default_buckets(spark) -> int:
-    """Most buckets an ordered operator may use: the shuffle width, capped so that the
-    bucket lookup expression stays short."""
-    return max(1, min(512, int(spark.conf.get("spark.sql.shuffle.partitions", "8"))))
-
-
 def range_buckets(df: DataFrame, by: Sequence[str], order: Sequence[str],
                   buckets: int | None = None, rows_per_bucket: int | None = None) -> DataFrame:
     """Tag each row with a range bucket of its primary order key.
 
-    One aggregation returns the row count and approximate quantiles of the key; only
-    those numbers reach the driver.  The number of buckets is ceil(rows /
-    ``rows_per_bucket``), at most ``buckets``; the bounds are the matching quantiles,
-    so buckets are balanced by row count even when keys are skewed, contiguous and
-    ascending: every key of bucket i sorts before every key of bucket i+1.  The
-    bucket is a plain column expression, so the window that follows (partitioned by
-    ``by`` and the bucket) costs exactly one hash shuffle, and a hot ``by`` group is
-    split across buckets by key range.  A small input gets a single bucket, and the
-    callers then skip the cross-bucket carry entirely.  Returns (frame, buckets).
+    The number of buckets follows the rows: ceil(rows / ``rows_per_bucket``), or just
+    ``buckets`` when given.  One aggregation returns the matching approximate quantiles
+    of the key as bounds; only those numbers reach the driver.  Buckets are contiguous
+    and ascending (every key of bucket i sorts before every key of bucket i+1) and
+    balanced by row count, but rows that share one key value share a bucket.  The bucket
+    is a plain column expression, so the window that follows (partitioned by ``by`` and
+    the bucket) costs exactly one hash shuffle, and a hot ``by`` group is split across
+    buckets by key range.  A small input gets a single bucket, and the callers then skip
+    the cross-bucket carry entirely.  Returns (frame, buckets).
     """
-    n = buckets or default_buckets(df.sparkSession)
     order = _as_list(order)
-    if n <= 1 or not order:
+    if not order or buckets == 1:
         return df.withColumn(_B, F.lit(0)), 1
-    key = numeric_key(df, order[0]).cast("double")
-    probs = [i / n for i in range(1, n)]
-    r = df.agg(F.count(F.lit(1)).alias("n"),
-               F.percentile_approx(key, F.array(*[F.lit(p) for p in probs]), 4 * n).alias("b")).first()
-    per = rows_per_bucket or ROWS_PER_BUCKET
-    want = min(n, max(1, -(-int(r["n"]) // max(1, per))))
-    if want <= 1 or not r["b"]:
+    n = buckets or -(-df.count() // (rows_per_bucket or ROWS_PER_BUCKET))
+    if n <= 1:
         return df.withColumn(_B, F.lit(0)), 1
-    step = n / want
-    picked = [r["b"][int(round(k * step)) - 1] for k in range(1, want)]
-    bounds = sorted({float(b) for b in picked if b is not None})
+    key = numeric_key(df, order[0]).cast("double")
+    probs = F.array(*[F.lit(i / n) for i in range(1, n)])
+    found = df.agg(F.percentile_approx(key, probs, 4 * n).alias("b")).first()["b"]
+    bounds = sorted({float(b) for b in found or [] if b is not None})
     if not bounds:
         return df.withColumn(_B, F.lit(0)), 1
     return df.withColumn(_B, bucket_of(key, bounds)), len(bounds) + 1
 
 
 def bucket_of(key: Column, bounds: Sequence[float]) -> Column:
-    """Number of ``bounds`` (sorted) that are <= ``key`` — a balanced CASE tree, so a row
-    costs about log2(len(bounds)) comparisons inside generated code.  A null key → 0."""
+    """Number of ``bounds`` (sorted) that are <= ``key``; a null key → 0.
+
+    Up to 256 bounds are a balanced CASE tree (about log2(len(bounds)) comparisons inside
+    generated code).  More are looked up in two steps, a block of bounds and a place in
+    it, about 2 sqrt(len(bounds)) comparisons.
+    """
+    if len(bounds) > 256:
+        size = math.isqrt(len(bounds)) + 1
+        blocks = [list(bounds[i:i + size]) for i in range(0, len(bounds), size)]
+        below = lambda a: F.coalesce(F.size(F.filter(a, lambda b: b <= key)), F.lit(0))
+        block = F.greatest(below(F.lit([b[0] for b in blocks])) - 1, F.lit(0))
+        inside = F.array(*[F.lit(b) for b in blocks])[block]
+        return F.when(key.isNull(), F.lit(0)).otherwise(block * size + below(inside))
+
     def rec(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
@@ -111,10 +118,21 @@ def bucket_of(key: Column, bounds: Sequence[float]) -> Column:
     return rec(0, len(bounds))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on equal ``keys`` where null equals null: a null group is a group of its own in
+    every operator, as it is in ``groupBy`` and ``partitionBy``.  The left keys stay."""
+    keys = list(keys)
+    r = right.withColumnsRenamed({k: f"_tm_r_{k}" for k in keys})
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & left[k].eqNullSafe(r[f"_tm_r_{k}"])
+    return left.join(r, cond, how).drop(*[f"_tm_r_{k}" for k in keys])
+
+
 def _join_back(df: DataFrame, carry: DataFrame, by: Sequence[str]) -> DataFrame:
     # carry has one row per (by, bucket); Spark/AQE choose broadcast or shuffle from
     # its measured size.
-    return df.join(carry, list(by) + [_B], "left")
+    return null_safe_join(df, carry, list(by) + [_B])
 
 
 def _fill(df: DataFrame, order: Sequence[str], cols: Sequence[str], by: Sequence[str],
@@ -228,14 +246,15 @@ def pct_change(df: DataFrame, order, cols=None, by=(), scale: float = 100.0,
     return out.select(*keep)
 
 
-def full_outer_on(frames: Sequence[DataFrame], on, unique_keys: bool = True) -> DataFrame:
+def full_outer_on(frames: Sequence[DataFrame], on, unique_keys: bool = False) -> DataFrame:
     """Full outer equi-join of several series on ``on``.
 
-    With ``unique_keys`` (each input holds at most one row per key, as with daily
-    series) the join is computed as a union followed by one grouped aggregation: one
-    shuffle with map-side combining instead of one sort-merge join per input.  Value
-    columns must not repeat across inputs.  ``unique_keys=False`` falls back to
-    chained full outer joins (exact for duplicate keys: it forms their products).
+    By default chained full outer joins, which form the products of duplicate keys.  With
+    ``unique_keys`` the caller states that each input holds at most one row per key (as
+    daily series do): the join is then a union and one grouped aggregation, one shuffle
+    with map-side combining instead of one sort-merge join per input, and the query
+    fails with a clear error where a key comes twice in one input.  Value columns must
+    not repeat across inputs.
     """
     keys = _as_list(on)
     frames = list(frames)
@@ -268,7 +287,10 @@ def full_outer_on(frames: Sequence[DataFrame], on, unique_keys: bool = True) ->
     for n, _ in value_cols:
         owner = next(i for i, f in enumerate(frames) if n in f.columns)
         aggs.append(F.max(F.when(F.col("_tm_src") == owner, F.col(n))).alias(n))
-    return u.groupBy(*keys).agg(*aggs)
+    twice = [F.count_if(F.col("_tm_src") == i).alias(f"_tm_n{i}") for i in range(len(frames))]
+    most = F.greatest(*[F.col(f"_tm_n{i}") for i in range(len(frames))], F.lit(0))
+    checked = F.when(most > 1, F.raise_error(F.lit("full_outer_on: a key comes twice in one input"))).otherwise(F.lit(True))
+    return u.groupBy(*keys).agg(*aggs, *twice).where(checked.cast("boolean")).select(*keys, *names)
 
 
 def dedupe_first(df: DataFrame, keys, order=None) -> DataFrame:
@@ -388,7 +410,7 @@ def asof_nearest(left: DataFrame, right: DataFrame, on: str, right_on: str | Non
     else:
         lk = left.select(*by, numeric_key(left, on).alias(_K)).where(F.col(_K).isNotNull()).distinct()
         mapping = nearest_key_map(lk, rk, by, buckets)
-        out = lo.join(mapping, by + [_K], "left").join(rr, by + ["_tm_rkey"], "left")
+        out = null_safe_join(null_safe_join(lo, mapping, by + [_K]), rr.where(F.col("_tm_rkey").isNotNull()), by + ["_tm_rkey"])
     keep = list(left.columns) + payload + ([matched_as] if matched_as else [])
     return out.select(*keep)
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dist import chi2_sf_2dof, f_sf, t_ppf, t_sf
-from .align import _B, _as_list, range_buckets
+from .align import _B, _as_list, null_safe_join, range_buckets
 
 # ---------------------------------------------------------------------------
 # M4 train/test split
@@ -61,7 +61,7 @@ def global_rank(df: DataFrame, order: str, by=(), buckets: int | None = None,
             F.coalesce(F.sum("_tm_c").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
             .alias("_tm_off"),
             F.sum("_tm_c").over(Window.partitionBy(*by)).alias("_n"))
-        out = ranked.join(offs, by + [_B]).withColumn("_rank", (F.col("_tm_off") + F.col("_tm_rn")).cast("long"))
+        out = null_safe_join(ranked, offs, by + [_B], "inner").withColumn("_rank", (F.col("_tm_off") + F.col("_tm_rn")).cast("long"))
     else:
         out = ranked.withColumns({"_tm_off": F.lit(0), "_rank": F.col("_tm_rn").cast("long"),
                                   "_n": F.count(F.lit(1)).over(Window.partitionBy(*by, _B))})
@@ -227,10 +227,19 @@ def predict_col(xs, intercept: float, coef) -> Column:
     return out
 
 
+def to_corr(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(d, S / d dᵀ) with d the square roots of the diagonal (1 for a constant column)."""
+    d = np.sqrt(np.diag(s))
+    d = np.where(d > 0, d, 1.0)
+    return d, s / np.outer(d, d)
+
+
 def ols(df: DataFrame, xs, y: str, g: Gram | None = None) -> LinearFit:
     """M5: least squares with intercept, β = Sxx⁻¹Sxy, β₀ = ȳ − x̄ᵀβ."""
     g = g or gram(df, xs, y)
-    beta = np.linalg.lstsq(g.Sxx, g.Sxy, rcond=None)[0] if g.p else np.zeros(0)
+    # solved on the correlation scale: features of very different units keep their directions
+    d, corr = to_corr(g.Sxx)
+    beta = np.linalg.lstsq(corr, g.Sxy / d, rcond=None)[0] / d if g.p else np.zeros(0)
     return LinearFit("ols", list(g.xs), y, float(g.ybar - g.xbar @ beta), beta, g)
 
 
@@ -271,8 +280,12 @@ def lasso(df: DataFrame, xs, y: str, alpha: float = 0.1, g: Gram | None = None,
 
 
 def scores(df: DataFrame, fits: list[LinearFit], y: str, where: Column | None = None) -> DataFrame:
-    """MSE and R² (R² with the scored rows' own mean) for several fits in one pass."""
-    d = df.where(where) if where is not None else df
+    """MSE and R² (R² with the scored rows' own mean) for several fits in one pass.
+
+    Scored rows are those with the target and every feature of the fits present.
+    """
+    d = complete_rows(df.where(where) if where is not None else df,
+                      [*dict.fromkeys(c for f in fits for c in f.xs), y])
     aggs = [F.count(F.lit(1)).alias("n"), F.var_pop(F.col(y)).alias("vy")]
     for i, f in enumerate(fits):
         e = F.col(y) - predict_col(f.xs, f.intercept, f.coef)
@@ -308,38 +321,34 @@ def successive_diff_sq(df: DataFrame, order, col: str, buckets: int | None = Non
     return j.agg(F.sum(d * d).alias("ssd")).first()["ssd"]
 
 
-def _skewtest_z(b2: float, n: int) -> float:
-    y = b2 * math.sqrt(((n + 1) * (n + 3)) / (6.0 * (n - 2)))
-    beta2 = (3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3)
-             / ((n - 2.0) * (n + 5) * (n + 7) * (n + 9)))
-    w2 = -1 + math.sqrt(2 * (beta2 - 1))
-    delta = 1 / math.sqrt(0.5 * math.log(w2))
-    alpha = math.sqrt(2.0 / (w2 - 1))
-    if y == 0:
-        y = 1
-    return delta * math.log(y / alpha + math.sqrt((y / alpha) ** 2 + 1))
-
-
-def _kurtosistest_z(b2: float, n: int) -> float:
-    e = 3.0 * (n - 1) / (n + 1)
-    varb2 = 24.0 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1.0) * (n + 3) * (n + 5))
-    x = (b2 - e) / math.sqrt(varb2)
-    sqrtbeta1 = (6.0 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9))
-                 * math.sqrt((6.0 * (n + 3) * (n + 5)) / (n * (n - 2) * (n - 3))))
-    a = 6.0 + 8.0 / sqrtbeta1 * (2.0 / sqrtbeta1 + math.sqrt(1 + 4.0 / (sqrtbeta1 ** 2)))
-    term1 = 1 - 2 / (9.0 * a)
-    denom = 1 + x * math.sqrt(2 / (a - 4.0))
-    if denom == 0:
+def _z_of_skewness(root_b1: float, n: int) -> float:
+    """D'Agostino's (1970) normal score of a sample skewness √b₁: a Johnson S_U curve with the
+    null distribution's variance and kurtosis."""
+    variance = 6.0 * (n - 2) / ((n + 1) * (n + 3))
+    kurtosis = 3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
+    w_squared = math.sqrt(2.0 * kurtosis - 2.0) - 1.0
+    return math.asinh(root_b1 / math.sqrt(variance) * math.sqrt((w_squared - 1.0) / 2.0)) / math.sqrt(math.log(w_squared) / 2.0)
+
+
+def _z_of_kurtosis(b2: float, n: int) -> float:
+    """Anscombe and Glynn's (1983) normal score of a sample kurtosis b₂: the cube root of a
+    reciprocal gamma with the null distribution's first three moments."""
+    mean = 3.0 * (n - 1) / (n + 1)
+    variance = 24.0 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5))
+    skewness = 6.0 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * math.sqrt(6.0 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
+    degrees = 6.0 + 8.0 / skewness * (2.0 / skewness + math.hypot(1.0, 2.0 / skewness))
+    spread = 2.0 / (9.0 * degrees)
+    base = 1.0 + (b2 - mean) / math.sqrt(variance) * math.sqrt(2.0 / (degrees - 4.0))
+    if base == 0:
         return float("nan")
-    term2 = math.copysign(1.0, denom) * ((1 - 2.0 / a) / abs(denom)) ** (1 / 3.0)
-    return (term1 - term2) / math.sqrt(2 / (9.0 * a))
+    return (1.0 - spread - math.cbrt((1.0 - 2.0 / degrees) / base)) / math.sqrt(spread)
 
 
 def omnibus(skew: float, kurt: float, n: int) -> tuple[float, float]:
     """D'Agostino–Pearson K² from sample skewness and (Pearson) kurtosis."""
     if n < 8:
         return float("nan"), float("nan")
-    k2 = _skewtest_z(skew, n) ** 2 + _kurtosistest_z(kurt, n) ** 2
+    k2 = _z_of_skewness(skew, n) ** 2 + _z_of_kurtosis(kurt, n) ** 2
     return k2, float(chi2_sf_2dof(k2))
 
 
@@ -386,17 +395,19 @@ def ols_summary(df: DataFrame, xs, y: str, order=None, fit: LinearFit | None = N
     adj = 1.0 - (1.0 - r2) * (n - 1) / dof if dof > 0 else float("nan")
     fstat = (r2 / p) / ((1.0 - r2) / dof) if dof > 0 and p > 0 and r2 < 1 else float("nan")
     fp = float(f_sf(fstat, p, dof)) if not math.isnan(fstat) else float("nan")
-    llf = -n / 2.0 * (math.log(2 * math.pi) + math.log(sse / n) + 1.0)
+    # a perfect fit has no finite likelihood
+    llf = -n / 2.0 * (math.log(2 * math.pi) + math.log(sse / n) + 1.0) if sse > 0 else float("inf")
     aic = -2 * llf + 2 * k
     bic = -2 * llf + k * math.log(n)
     sigma2 = sse / dof if dof > 0 else float("nan")
-    inv = np.linalg.pinv(g.Sxx)
+    d_x, corr = to_corr(g.Sxx)
+    inv = np.linalg.pinv(corr) / np.outer(d_x, d_x)
     se_b = np.sqrt(sigma2 * np.diag(inv))
     se_0 = math.sqrt(sigma2 * (1.0 / n + g.xbar @ inv @ g.xbar))
     tq = t_ppf(0.975, dof)
     table = []
     for term, b, s in [("const", fit.intercept, se_0)] + list(zip(xs, fit.coef, se_b)):
-        t = b / s if s else float("nan")
+        t = b / s if s else math.copysign(float("inf"), b) if b else float("nan")
         pv = float(2 * t_sf(abs(t), dof)) if not math.isnan(t) else float("nan")
         table.append((term, float(b), float(s), float(t), pv, float(b - tq * s), float(b + tq * s)))
     jb = n / 6.0 * (skew ** 2 + (kurt - 3.0) ** 2 / 4.0)
@@ -438,10 +449,9 @@ def vif(df: DataFrame, xs, constant: bool = True, g: Gram | None = None) -> list
     if constant:
         S = g.Sxx / n
         try:
-            Sinv = np.linalg.inv(S)
-            out.append(("const", float(1.0 + g.xbar @ Sinv @ g.xbar)))
-            d = np.sqrt(np.diag(S))
-            corr = S / np.outer(d, d)
+            d, corr = to_corr(S)
+            z = g.xbar / d
+            out.append(("const", float(1.0 + z @ np.linalg.inv(corr) @ z)))
             v = vif_from_corr(corr)
             out += [(c, float(x)) for c, x in zip(xs, v)]
         except np.linalg.LinAlgError:
@@ -449,8 +459,7 @@ def vif(df: DataFrame, xs, constant: bool = True, g: Gram | None = None) -> list
         return out
     xtx = g.Sxx + n * np.outer(g.xbar, g.xbar)
     try:
-        inv = np.linalg.inv(xtx)
-        return [(c, float(xtx[i, i] * inv[i, i])) for i, c in enumerate(xs)]
+        return [(c, float(x)) for c, x in zip(xs, vif_from_corr(to_corr(xtx)[1]))]
     except np.linalg.LinAlgError:
         return [(c, float("inf")) for c in xs]
 

@@ -74,7 +74,10 @@ def fit_robust(df: DataFrame, cols, method: str = "auto", quartiles: dict | None
                       quantiles(df, cols, [0.25, 0.5, 0.75], method=method).collect()}  # p rows
     center, scale = {}, {}
     for c in cols:
-        r = q[c]
+        r = q.get(c)
+        if r is None:                     # all null: the column stays null
+            center[c], scale[c] = 0.0, 1.0
+            continue
         center[c] = float(r["q50"])
         iqr = float(r["q75"]) - float(r["q25"])
         scale[c] = iqr if iqr != 0 else 1.0

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .align import _B, _as_list, range_buckets
+from .align import _B, _as_list, null_safe_join, range_buckets
 
 # ---------------------------------------------------------------------------
 # A1-A6 grouped and global means
@@ -69,7 +69,7 @@ def min_across(frames: Sequence[DataFrame], col: str) -> DataFrame:
 
 
 def _long_values(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Unpivot numeric columns into (by..., variable, value) without nulls."""
+    """Unpivot numeric columns into (by..., variable, value) without nulls and NaNs."""
     cols = list(cols)
     if len(cols) == 1:
         out = df.select(*by, F.lit(cols[0]).alias("variable"),
@@ -80,7 +80,8 @@ def _long_values(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataF
             F.explode(F.array(*[F.struct(F.lit(c).alias("variable"),
                                          F.col(c).cast("double").alias("value")) for c in cols]))
             .alias("_s")).select("_s.*")
-    return out.where(F.col("value").isNotNull())
+    # NaN is missing, as in pandas: every method then sees the same values
+    return out.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
 def _pname(p: float) -> str:
@@ -131,7 +132,7 @@ def _select_quantiles(long: DataFrame, keys: list, probs: list, names: list,
         schema = ", ".join([f"`{k}` {t}" for k, t in key_types.items()]
                            + ["_rid int", "_lo double", "_hi double"])
         rt = F.broadcast(spark.createDataFrame(rows, schema))  # one row per open range
-        m = long.join(rt, keys).where((F.col("value") >= F.col("_lo")) & (F.col("value") <= F.col("_hi")))
+        m = null_safe_join(long, rt, keys, "inner").where((F.col("value") >= F.col("_lo")) & (F.col("value") <= F.col("_hi")))
         width = (F.col("_hi") - F.col("_lo")) / F.lit(_SELECT_BINS)
         b = F.least(F.lit(_SELECT_BINS - 1), F.floor((F.col("value") - F.col("_lo")) / width)).cast("int")
         hist = m.groupBy("_rid", b.alias("_b")).agg(
@@ -163,7 +164,7 @@ def _select_quantiles(long: DataFrame, keys: list, probs: list, names: list,
                     for (gi, lo, hi), rid in franges.items()]
             rt = F.broadcast(spark.createDataFrame(rows, schema))
             vals = {}
-            for v in (long.join(rt, keys).where((F.col("value") >= F.col("_lo"))
+            for v in (null_safe_join(long, rt, keys, "inner").where((F.col("value") >= F.col("_lo"))
                                                 & (F.col("value") <= F.col("_hi")))
                       .select("_rid", "value").collect()):
                 vals.setdefault(v["_rid"], []).append(v["value"])
@@ -226,33 +227,38 @@ def quantiles(df: DataFrame, cols, probs: Sequence[float], by=(), method: str =
         return agg.select(*keys, "n", *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
     if method != "rank":
         raise ValueError(method)
-    b, nb = range_buckets(long, keys, ["value"], buckets)
-    w = Window.partitionBy(*keys, _B).orderBy("value")
-    ranked = b.withColumn("_rn", F.row_number().over(w) - 1)
+    # equal values are counted before anything is ordered, so a value that many rows share is
+    # one row here: _r is the first rank it takes, _e the first rank after it
+    values = materialize_if_derived(long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_v")))
+    b, nb = range_buckets(values, keys, ["value"], buckets)
+    w = Window.partitionBy(*keys, _B).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = b.withColumn("_rn", F.sum("_v").over(w) - F.col("_v"))
     if nb > 1:
-        counts = b.groupBy(*keys, _B).agg(F.count(F.lit(1)).alias("_c"))
+        counts = b.groupBy(*keys, _B).agg(F.sum("_v").alias("_c"))
         ws = Window.partitionBy(*keys).orderBy(_B)
         offsets = counts.select(
             *keys, _B,
             F.coalesce(F.sum("_c").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
             .alias("_off"),
             F.sum("_c").over(Window.partitionBy(*keys)).alias("n"))
-        r = ranked.join(offsets, keys + [_B]).withColumn("_r", F.col("_off") + F.col("_rn"))
+        r = null_safe_join(ranked, offsets, keys + [_B], "inner").withColumn("_r", F.col("_off") + F.col("_rn"))
     else:
         r = ranked.withColumns({"_r": F.col("_rn"),
-                                "n": F.count(F.lit(1)).over(Window.partitionBy(*keys, _B))})
+                                "n": F.sum("_v").over(Window.partitionBy(*keys, _B))})
+    r = r.withColumn("_e", F.col("_r") + F.col("_v"))
     nm1 = F.col("n") - 1
+    holds = lambda rank: (F.col("_r") <= rank) & (rank < F.col("_e"))
     wanted = None
     for p in probs:
         h = nm1 * F.lit(p)
-        cond = (F.col("_r") == F.floor(h)) | (F.col("_r") == F.ceil(h))
+        cond = holds(F.floor(h)) | holds(F.ceil(h))
         wanted = cond if wanted is None else (wanted | cond)
-    picked = r.where(wanted).select(*keys, "n", "_r", "value")
+    picked = r.where(wanted).select(*keys, "n", "_r", "_e", "value")
     aggs = []
     for p, nm in zip(probs, names):
         h = nm1 * F.lit(p)
-        lo = F.max(F.when(F.col("_r") == F.floor(h), F.col("value")))
-        hi = F.max(F.when(F.col("_r") == F.ceil(h), F.col("value")))
+        lo = F.max(F.when(holds(F.floor(h)), F.col("value")))
+        hi = F.max(F.when(holds(F.ceil(h)), F.col("value")))
         frac = F.max(h - F.floor(h))
         aggs.append((lo + (hi - lo) * frac).alias(nm))
     return picked.groupBy(*keys, "n").agg(*aggs).select(*keys, "n", *names)
@@ -272,7 +278,7 @@ def describe(df: DataFrame, cols, method: str = "auto", by=()) -> DataFrame:
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
         F.max("value").alias("max"))
     q = quantiles(df, cols, [0.25, 0.5, 0.75], by=by, method=method).drop("n")
-    return (moments.join(q, keys, "left")
+    return (null_safe_join(moments, q, keys)
             .select(*keys, "count", "mean", "std", "min", "q25", "q50", "q75", "max"))
 
 
@@ -365,6 +371,8 @@ def linregress(df: DataFrame, x: str, y: str, by=()) -> DataFrame:
         F.sum(F.when(X.isNotNull() & Y.isNotNull(), X * X)).alias("sx2"))
     slope = F.try_divide(F.col("sxy"), F.col("sxx"))
     r = safe_corr_value(F.col("sxx"), F.col("syy"), F.col("sxy"))
+    # rounding may carry a perfect fit past 1
+    r = F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
     dof = F.col("n") - 2
     stderr = F.sqrt(F.try_divide((1 - r * r) * F.col("syy"), F.col("sxx") * dof))
     tstat = F.try_divide(r * F.sqrt(dof.cast("double")), F.sqrt(1 - r * r))
@@ -375,7 +383,9 @@ def linregress(df: DataFrame, x: str, y: str, by=()) -> DataFrame:
         (stderr * F.sqrt(F.try_divide(F.col("sx2"), F.col("n").cast("double")))).alias(
             "intercept_stderr"),
         tstat.alias("_t"), dof.alias("_dof"))
-    return out.withColumn("pvalue", F.lit(2.0) * t_sf_col(F.abs(F.col("_t")), F.col("_dof"))) \
+    perfect = (F.abs("rvalue") == 1.0) & (F.col("_dof") > 0)
+    return out.withColumn("pvalue", F.when(perfect, F.lit(0.0)).otherwise(
+        F.lit(2.0) * t_sf_col(F.abs(F.col("_t")), F.col("_dof")))) \
         .select(*by, "n", "slope", "intercept", "rvalue", "pvalue", "stderr", "intercept_stderr")
 
 
@@ -414,7 +424,7 @@ def box_stats(df: DataFrame, col: str, by=(), whis: float = 1.5, method: str = "
         *by, "n", F.col("q25").alias("q1"), F.col("q50").alias("median"), F.col("q75").alias("q3"))
     x = df.select(*by, F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
     if by:
-        j = x.join(q, by)
+        j = null_safe_join(x, q, by, "inner")
     else:
         r = q.first()
         if r is None:
@@ -451,7 +461,8 @@ def auto_bins(n: int, lo: float, hi: float, q1: float, q3: float) -> int:
 
 
 def histogram(df: DataFrame, col: str, bins: int | None = None, method: str = "auto") -> DataFrame:
-    """Equal-width histogram counts (bin, lo, hi, count), empty bins included.
+    """Equal-width histogram counts (bin, n_bins, lo, hi, count); bins without values
+    are left out (a long tail can make millions of them), ``n_bins`` counts them all.
 
     The bin count comes from one moments+quartiles pass (NumPy 'auto' rule unless
     given).  Each row's bin is a column expression; the last bin is closed on the
@@ -471,32 +482,32 @@ def histogram(df: DataFrame, col: str, bins: int | None = None, method: str = "a
         n, lo, hi = st["n"], st["lo"], st["hi"]
     spark = df.sparkSession
     if n == 0:
-        return spark.createDataFrame([], "bin int, lo double, hi double, count long")
+        return spark.createDataFrame([], "bin long, n_bins long, lo double, hi double, count long")
     lo_v, hi_v = float(lo), float(hi)
     if hi_v == lo_v:
         lo_v, hi_v = lo_v - 0.5, hi_v + 0.5
-    idx = F.least(F.lit(bins - 1), F.floor((F.col("_x") - F.lit(lo_v)) * F.lit(bins)
-                                           / F.lit(hi_v - lo_v)).cast("int"))
+    idx = F.least(F.lit(bins - 1).cast("long"), F.floor((F.col("_x") - F.lit(lo_v)) * F.lit(bins)
+                                                          / F.lit(hi_v - lo_v)))
     counts = x.groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     width = (hi_v - lo_v) / bins
-    grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
-    # every bin appears, empty ones with 0; the counts (at most ``bins`` rows) are broadcast
-    return (grid.join(F.broadcast(counts), "bin", "left")
-            .select("bin", (F.lit(lo_v) + F.col("bin") * F.lit(width)).alias("lo"),
-                    (F.lit(lo_v) + (F.col("bin") + 1) * F.lit(width)).alias("hi"),
-                    F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count")))
+    return counts.select("bin", F.lit(bins).cast("long").alias("n_bins"),
+                         (F.lit(lo_v) + F.col("bin") * F.lit(width)).alias("lo"),
+                         (F.lit(lo_v) + (F.col("bin") + 1) * F.lit(width)).alias("hi"), "count")
 
 
 def kde_grid(df: DataFrame, col: str, grid_size: int = 200, cut: float = 0.0,
              bw: float | None = None) -> DataFrame:
     """Gaussian kernel density on an even grid (Scott's bandwidth by default).
 
-    bandwidth = std(ddof 1) · n^(-1/5) (SciPy's 'scott' factor).  Each task sums the
-    kernel over its own rows for every grid point with NumPy (``mapInPandas``) and
-    emits ``grid_size`` partial sums; one grouped sum adds the partials.  No row is
-    replicated across the grid and no pair of rows meets.
+    bandwidth = std(ddof 1) · n^(-1/5) (SciPy's 'scott' factor).  Equal values are counted
+    first; each task then sums the weighted kernel over its own values for every grid
+    point with NumPy (``mapInPandas``) and emits ``grid_size`` partial sums; one grouped
+    sum adds the partials.  No row is replicated across the grid and no pair of rows
+    meets.
     """
-    x = df.select(F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    from ..session import materialize_if_derived, ship_package
+    ship_package(df.sparkSession)
+    x = materialize_if_derived(df.select(F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull()))
     st = x.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("_x").alias("sd"),
                F.min("_x").alias("lo"), F.max("_x").alias("hi")).first()
     n = st["n"]
@@ -511,14 +522,13 @@ def kde_grid(df: DataFrame, col: str, grid_size: int = 200, cut: float = 0.0,
     def partial(batches):
         acc = np.zeros(grid_size)
         for pdf in batches:
-            v = pdf["_x"].to_numpy(dtype=float)
+            v, many = pdf["_x"].to_numpy(dtype=float), pdf["count"].to_numpy(dtype=float)
             for start in range(0, len(v), 4096):
-                chunk = v[start:start + 4096]
-                z = (grid[:, None] - chunk[None, :]) / h
-                acc += np.exp(-0.5 * z * z).sum(axis=1)
+                z = (grid[:, None] - v[None, start:start + 4096]) / h
+                acc += np.exp(-0.5 * z * z) @ many[start:start + 4096]
         yield pd.DataFrame({"i": np.arange(grid_size, dtype=np.int32), "s": acc})
 
-    sums = x.mapInPandas(partial, "i int, s double").groupBy("i").agg(F.sum("s").alias("s"))
+    sums = x.groupBy("_x").count().mapInPandas(partial, "i int, s double").groupBy("i").agg(F.sum("s").alias("s"))
     norm = 1.0 / (n * h * math.sqrt(2 * math.pi))
     step = (hi - lo) / (grid_size - 1) if grid_size > 1 else 0.0
     return sums.select("i", (F.lit(lo) + F.col("i") * F.lit(step)).alias("x"),

@@ -39,7 +39,7 @@ _PRICE_SQL = "TRY_CAST(replace(trim(price), ',', '') AS BIGINT)"
 
 
 def _weekly_daily(spark, sf_dir, rule: str, legacy_before: int):
-    w = TB.weekly_items(spark, sf_dir)
+    w = TB.weekly_prices(spark, sf_dir)
     d = w.select(DT.week_to_date("year", "month", "week", rule, legacy_before).alias("Date"),
                  CL.to_long("price").alias("price"))
     return d.where(F.col("Date").isNotNull()).groupBy("Date").agg(
@@ -106,13 +106,13 @@ def p3_lenient_date_parse(spark, sf_dir):
 def p5u2_category_splits(spark, sf_dir):
     """merge.py: one input, three outputs (all, == X, != Y keeping null categories)."""
     w = TB.weekly_items(spark, sf_dir).withColumn("p", CL.to_long("price"))
-    outs = {"merged": w, "only_brand1": w.where(CL.eq("category", "Brand#1")),
-            "without_brand2": w.where(CL.ne_keep_null("category", "Brand#2"))}
-    res = None
-    for name, d in outs.items():
-        a = d.agg(F.lit(name).alias("output"), F.count(F.lit(1)).alias("n"), F.sum("p").alias("total"))
-        res = a if res is None else res.unionByName(a)
-    return res
+    outs = {"merged": F.lit(True), "only_brand1": CL.eq("category", "Brand#1"),
+            "without_brand2": CL.ne_keep_null("category", "Brand#2")}
+    # one pass: each output is a condition on the same rows
+    sums = w.agg(*[x for k, cond in outs.items() for x in (
+        F.count_if(cond).alias(f"n_{k}"), F.sum(F.when(cond, F.col("p"))).alias(f"t_{k}"))])
+    return sums.select(F.inline(F.array(*[
+        F.struct(F.lit(k).alias("output"), F.col(f"n_{k}").alias("n"), F.col(f"t_{k}").alias("total")) for k in outs])))
 
 
 # ---------------------------------------------------------------------------
@@ -137,7 +137,7 @@ def a8_quantiles_by_category(spark, sf_dir):
        + ", ".join(f"round(quantile_cont(price, {p}), 4) AS q{int(p * 100)}" for p in (0.25, 0.5, 0.75))
        + " FROM it")
 def a8_quantiles_global(spark, sf_dir):
-    it = TB.item_facts(spark, sf_dir)
+    it = TB.price_facts(spark, sf_dir)
     return rnd(ST.quantiles(it, ["price"], [0.25, 0.5, 0.75]),
                {c: 4 for c in ("q25", "q50", "q75")})
 
@@ -153,7 +153,7 @@ _IQR_SQL = (_ITEMS.rstrip() + ",\nb AS (SELECT quantile_cont(price, 0.25) AS q1,
        "count(*) AS n, round(100.0 * count(*) FILTER (WHERE price < q1 - 1.5 * (q3 - q1) "
        "OR price > q3 + 1.5 * (q3 - q1)) / count(*), 6) AS outlier_pct FROM it, b GROUP BY q1, q3")
 def a9_iqr_outliers_items(spark, sf_dir):
-    it = TB.item_facts(spark, sf_dir)
+    it = TB.price_facts(spark, sf_dir)
     return rnd(ST.iqr_bounds(it, "price"), {"q1": 4, "q3": 4, "iqr": 4, "lower": 4, "upper": 4,
                                             "outlier_pct": 6})
 
@@ -194,16 +194,16 @@ st AS (SELECT count(*) AS n, min(v) AS lo, max(v) AS hi, quantile_cont(v, 0.25)
        quantile_cont(v, 0.75) AS q3 FROM x),
 bw AS (SELECT *, (hi - lo) / (log2(n) + 1.0) AS sturges, 2.0 * (q3 - q1) * pow(n, -1.0 / 3.0) AS fd FROM st),
 nb AS (SELECT *, CAST(ceil((hi - lo) / (CASE WHEN fd > 0 THEN least(fd, sturges) ELSE sturges END)) AS INTEGER) AS bins FROM bw),
-c AS (SELECT CAST(least(bins - 1, floor((v - lo) * bins / (hi - lo))) AS INTEGER) AS bin, count(*) AS cnt FROM x, nb GROUP BY 1)
-SELECT CAST(g.i AS INTEGER) AS bin, round(lo + g.i * ((hi - lo) / bins), 4) AS lo,
-       round(lo + (g.i + 1) * ((hi - lo) / bins), 4) AS hi, CAST(coalesce(c.cnt, 0) AS BIGINT) AS count
-FROM nb, range(0, (SELECT bins FROM nb)) g(i) LEFT JOIN c ON c.bin = g.i
+c AS (SELECT CAST(least(bins - 1, floor((v - lo) * bins / (hi - lo))) AS BIGINT) AS bin, count(*) AS cnt FROM x, nb GROUP BY 1)
+SELECT c.bin, CAST(bins AS BIGINT) AS n_bins, round(lo + c.bin * ((hi - lo) / bins), 4) AS lo,
+       round(lo + (c.bin + 1) * ((hi - lo) / bins), 4) AS hi, CAST(c.cnt AS BIGINT) AS count
+FROM nb, c
 """)
 
 
 @query("a15_histogram_items", _HIST_SQL)
 def a15_histogram_items(spark, sf_dir):
-    it = TB.item_facts(spark, sf_dir)
+    it = TB.price_facts(spark, sf_dir)
     return rnd(ST.histogram(it, "price"), {"lo": 4, "hi": 4})
 
 
@@ -218,7 +218,7 @@ FROM g, x, st GROUP BY g.i, gx, n, h
 
 @query("a16_kde_items", _KDE_SQL)
 def a16_kde_items(spark, sf_dir):
-    it = TB.item_facts(spark, sf_dir)
+    it = TB.price_facts(spark, sf_dir)
     return rnd(ST.kde_grid(it, "price"), {"x": 4, "density": 15})
 
 
@@ -230,14 +230,14 @@ def a16_kde_items(spark, sf_dir):
        _ITEMS + "SELECT CAST(year(Date) AS INTEGER) AS year, avg(price) AS mean, count(price) AS count FROM it "
        "WHERE Date IS NOT NULL GROUP BY 1")
 def a3_mean_count_by_year(spark, sf_dir):
-    it = TB.item_facts(spark, sf_dir).withColumn("year", F.year("Date"))
+    it = TB.price_facts(spark, sf_dir).withColumn("year", F.year("Date"))
     return ST.mean_count_by(it, "year", "price")
 
 
 @query("a4_global_summary_items",
        _ITEMS + "SELECT min(price) AS min, max(price) AS max, avg(price) AS mean, count(*) AS n FROM it")
 def a4_global_summary_items(spark, sf_dir):
-    return ST.global_summary(TB.item_facts(spark, sf_dir), "price")
+    return ST.global_summary(TB.price_facts(spark, sf_dir), "price")
 
 
 @query("a5_min_date_across_tables",

@@ -98,7 +98,7 @@ def s2s4p4_fx_files_full_outer(spark, sf_dir):
     df = df.withColumns({"Date": CL.to_date_strict("Date"), "Close": CL.to_number("Close")})
     series = [CL.project_rename(df.where(F.col("file") == f"{n}=X.csv"), {"Close": n}, keep=["Date"])
               for n in TB.RATE_SERIES]
-    return AL.full_outer_on(series, "Date")
+    return AL.full_outer_on(series, "Date", unique_keys=True)
 
 
 def _layout_by_year():
@@ -159,10 +159,13 @@ _SURVEY_SQL = (f"SELECT CASE WHEN year(o_orderdate) <= 1996 THEN 'gs' WHEN year(
                f"WHERE o_orderpriority = '{TB.SIDE_PRIORITY}' GROUP BY 1, 2, 3")
 
 
-def _survey_rows(spark, sf_dir):
-    path = sinks.write_with_preamble(_survey_lines(spark, sf_dir), scratch_path(spark, "survey"),
+def _survey_path(spark, sf_dir):
+    return sinks.write_with_preamble(_survey_lines(spark, sf_dir), scratch_path(spark, "survey"),
                                      "name", "pos", preamble_until=100, max_rows_per_file=FILE_ROWS)
-    return surveys.read_survey_folder(spark, path, name_col="name")
+
+
+def _survey_rows(spark, sf_dir):
+    return surveys.read_survey_folder(spark, _survey_path(spark, sf_dir), name_col="name")
 
 
 @query("s6s7a6_survey_folder", _SURVEY_SQL)
@@ -182,9 +185,9 @@ def s6s7a6_survey_folder(spark, sf_dir):
 def a18_survey_ingest_tally(spark, sf_dir):
     """Success / error tally of the folder job, counted per survey month (a month may
     be written as several chunk files)."""
-    rows, errors = _survey_rows(spark, sf_dir)
-    t = surveys.ingest_tally(rows.dropDuplicates(["file"]), errors.dropDuplicates(["file"]))
-    return t.withColumnRenamed("files", "months")
+    files = surveys.survey_files(spark, _survey_path(spark, sf_dir), name_col="name")
+    months = files.groupBy("file").agg(F.min("year").alias("year"), F.min("month").alias("month"))
+    return surveys.ingest_tally(months).withColumnRenamed("files", "months")
 
 
 @query("f10f11f12_survey_date_cells",
@@ -258,12 +261,16 @@ _URL_CELL_SQL = "'参照先：' || url || ' 。予備 ' || url"
        f"unnest(urls) WITH ORDINALITY AS u(url, i)")
 def s10_url_list_shift_jis(spark, sf_dir):
     """scraping.py's URL list: a Shift_JIS CSV whose 2nd column holds notes with URLs."""
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    # the list is written once, here and now; the switch for its charset is set back after
+    switch = "spark.sql.legacy.javaCharsets"
+    before = spark.conf.get(switch, None)
+    spark.conf.set(switch, "true")
     p = TB.table(spark, sf_dir, "pages").select("page_id", "url")
     cell = F.concat(F.lit("参照先："), F.col("url"), F.lit(" 。予備 "), F.col("url"))
     path = scratch_path(spark, "urls")
     (p.select(F.col("page_id").cast("string"), cell.alias("note")).write.mode("overwrite")
      .option("encoding", "Shift_JIS").option("header", False).csv(path))
+    spark.conf.unset(switch) if before is None else spark.conf.set(switch, before)
     urls = delimited.extract_urls(spark, path, column_index=1, key_index=0)
     return urls.select(F.col("key").cast("long").alias("page_id"), "url_no", "url")
 

@@ -312,12 +312,16 @@ def m8_ols_coef_table(spark, sf_dir):
     return _mm_summary(spark, sf_dir).coef_table_df(spark)
 
 
-@query("m20_verdict", _summary_ctes() +
-    "SELECT round(r2, 6) AS r2, CASE WHEN r2 < 0.3 THEN 'weak' WHEN r2 >= 0.7 THEN 'strong' "
-    "ELSE 'moderate' END AS verdict FROM st")
+@query("m20_verdict",
+       _SPLIT_MM.rstrip() + f""",
+st AS (SELECT 1 - avg((sp.price - {_pred_sql('sp')}) ^ 2) / var_pop(sp.price) AS r2 FROM sp, co WHERE sp.is_test)
+SELECT round(r2, 6) AS r2, CASE WHEN r2 < 0.3 THEN 'weak' WHEN r2 >= 0.7 THEN 'strong'
+ELSE 'moderate' END AS verdict FROM st""")
 def m20_verdict(spark, sf_dir):
-    sm = _mm_summary(spark, sf_dir)
-    df = spark.createDataFrame([(float(sm.stats["r2"]),)], "r2 double")
+    """The verdict is on the test rows' R² (M10), not on the fit's own."""
+    s = mm_split(spark, sf_dir)
+    fit = M.ols(s.where(~F.col("is_test")), X3, "price")
+    df = M.scores(s, [fit], "price", where=F.col("is_test")).select("r2")
     return rnd(df.withColumn("verdict", M.verdict("r2")), {"r2": 6})
 
 

@@ -51,7 +51,7 @@ def study_report(spark: SparkSession, data: DataFrame, title: str) -> DataFrame:
     parts.append(_long(sm.stats_df(spark), "ols_summary", "stat", ["value"]))
     parts.append(_long(sm.coef_table_df(spark), "ols_coefficients", "term",
                        ["coef", "std_err", "t", "p_value", "ci_low", "ci_high"]))
-    r2 = float(sm.stats["r2"])
+    r2 = float(sc.first()["r2"])            # of the test rows
     verdict = spark.createDataFrame([(r2,)], "r2 double").select(
         F.lit("remarks").alias("section"), F.lit("r2").alias("row_name"), F.lit("verdict").alias("col_name"),
         F.col("r2").alias("value"), M.verdict("r2").alias("text"))

@@ -37,6 +37,12 @@ def cents(col: str):
     return F.round(F.col(col) * 100).cast("long")
 
 
+def price_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(Date, price) of every line item: what the price statistics need, without the part join."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.to_date("l_shipdate").alias("Date"), cents("l_extendedprice").alias("price"))
+
+
 def item_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(l_orderkey, l_linenumber, Date, name, price, category) — one row per line item.
 
@@ -73,7 +79,7 @@ def rate_series(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def rates_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J1 over the three series: (Date, CNY_JPY, PHP_JPY, VND_JPY), nulls where a series has no day."""
-    return full_outer_on([rate_series(spark, sf_dir, n) for n in RATE_SERIES], "Date")
+    return full_outer_on([rate_series(spark, sf_dir, n) for n in RATE_SERIES], "Date", unique_keys=True)
 
 
 def rates_wide_one_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +103,19 @@ def side_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg((F.avg(cents("o_totalprice")) / 100.0).alias("Gasoline")))
 
 
+def weekly_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(year 2-digit, month, week, price) of the weekly items: no part join."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    return li.join(o, li.l_orderkey == o.o_orderkey).select(
+        *_week_key(F.col("o_orderdate")), F.format_number(cents("l_extendedprice"), 0).alias("price"))
+
+
+def _week_key(d) -> list:
+    return [(F.year(d) - 1995 + 14).alias("year"), F.month(d).alias("month"),
+            F.least(F.lit(4), F.ceil(F.dayofmonth(d) / 7).cast("int")).alias("week")]
+
+
 def weekly_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items keyed like the scraped weekly files: (year 2-digit, month, week, name, price, category).
 
@@ -108,12 +127,8 @@ def weekly_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     pa = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
     j = li.join(o, li.l_orderkey == o.o_orderkey).join(pa, li.l_partkey == pa.p_partkey)
-    d = F.col("o_orderdate")
     return j.select(
-        "l_orderkey", "l_linenumber",
-        (F.year(d) - 1995 + 14).alias("year"),
-        F.month(d).alias("month"),
-        F.least(F.lit(4), F.ceil(F.dayofmonth(d) / 7).cast("int")).alias("week"),
+        "l_orderkey", "l_linenumber", *_week_key(F.col("o_orderdate")),
         F.col("p_name").alias("name"),
         F.format_number(cents("l_extendedprice"), 0).alias("price"),
         F.col("p_brand").alias("category"),

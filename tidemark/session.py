@@ -85,17 +85,27 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base}/tidemark-io/{label}-{uuid.uuid4().hex[:12]}"
 
 
-_DERIVED = ("Join", "Aggregate", "Window", "Repartition")
+#: Plan nodes that make recomputing a frame dear: shuffles, generators and Python stages.
+_DERIVED = ("Join", "Aggregate", "Window", "Repartition", "Rebalance", "Generate", "Sort", "Expand",
+            "Python", "Pandas", "Arrow", "Groups", "Distinct", "Except", "Intersect")
+
+
+def _plan_nodes(plan):
+    yield plan.getClass().getSimpleName()
+    children = plan.children()
+    for i in range(children.size()):
+        yield from _plan_nodes(children.apply(i))
 
 
 def materialize_if_derived(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` when recomputing it would redo shuffles (joins, aggregations,
-    windows); return it as is when it is a plain scan with projections and filters.
+    windows), generators or Python stages; return it as is when it is a plain scan with
+    projections and filters.
 
     For operators that read their input several times (exact quantile selection).
     """
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    if any(f"{op}" in plan for op in _DERIVED):
+    nodes = _plan_nodes(df._jdf.queryExecution().optimizedPlan())
+    if any(op in node for node in nodes for op in _DERIVED):
         return cut_lineage(df)
     return df
 

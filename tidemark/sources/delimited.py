@@ -2,9 +2,10 @@
 
 * ``read_csv_strings``   S1 (+S3 projection, S4 rename): header CSV, every column a string
 * ``read_with_preamble`` S2: files whose first N lines are a preamble (Spark's CSV
-  reader cannot skip lines); each file is read whole, its lines are numbered with
-  ``posexplode`` and parsed with ``from_csv``.  Files are the unit of work: many small
-  files are packed into few tasks by Spark's file splitting.
+  reader cannot skip lines); each file is read whole, its records (a quoted field may
+  hold line ends) are numbered with ``posexplode`` and parsed with ``from_csv``.  Files
+  are the unit of work: many small files are packed into few tasks by Spark's file
+  splitting.
 * ``read_keyed_files``   S5: keys taken from the file name by a regex on ``_metadata``
 * ``read_whitespace_text`` S9: whitespace-separated text, Unicode-aware split
 * ``field_count_check``  A17: files whose rows do not all have the same field count
@@ -15,22 +16,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clean import ustrip
 from ..functions.text import find_urls, whitespace_fields
+from ..session import ship_package
 
 
 def read_csv_strings(spark: SparkSession, path, names: Sequence[str] | None = None,
                      columns: Sequence | None = None, sep: str = ",",
-                     encoding: str = "UTF-8") -> DataFrame:
+                     encoding: str = "UTF-8", multi_line: bool = True) -> DataFrame:
     """``read_csv(path)`` with every value kept as text (casts come later, leniently).
 
     ``columns`` selects by name or position (``usecols``); ``names`` renames by position.
+    Quoted fields may hold line ends, as in pandas, so a file is one task's work; with
+    ``multi_line=False`` the caller states that none does and large files are split.
     """
     df = (spark.read.option("header", True).option("inferSchema", False).option("sep", sep)
-          .option("encoding", encoding).option("mode", "PERMISSIVE").csv(path))
+          .option("encoding", encoding).option("mode", "PERMISSIVE").option("multiLine", multi_line).csv(path))
     if columns is not None:
         cols = [df.columns[c] if isinstance(c, int) else c for c in columns]
         df = df.select(*cols)
@@ -39,14 +43,23 @@ def read_csv_strings(spark: SparkSession, path, names: Sequence[str] | None = No
     return df
 
 
+#: A record: anything up to a line end outside double quotes.
+_RECORD = r'((?:[^"\n]++|"[^"]*+"?)*+)(?:\n|$)'
+
+
+def records(text) -> Column:
+    """The records of a whole delimited text, without their line ends."""
+    return F.transform(F.regexp_extract_all(text, F.lit(_RECORD), F.lit(1)), lambda r: F.regexp_replace(r, r"\r$", ""))
+
+
 def _lines(spark: SparkSession, path, name_col: str | None = None) -> DataFrame:
-    """(file, path, pos, line) for every line of every file under ``path`` (files read
+    """(file, path, pos, line) for every record of every file under ``path`` (files read
     whole).  ``file`` is the logical name (the file name, or a partition folder value
     with ``name_col``); ``path`` identifies the physical file."""
     raw = spark.read.text(path, wholetext=True)
     name = F.col(name_col) if name_col else F.col("_metadata.file_name")
     files = raw.select(name.alias("file"), F.col("_metadata.file_path").alias("path"), "value")
-    return files.select("file", "path", F.posexplode(F.split(F.col("value"), r"\r?\n")).alias("pos", "line"))
+    return files.select("file", "path", F.posexplode(records(F.col("value"))).alias("pos", "line"))
 
 
 def _csv_schema(width: int) -> str:
@@ -65,7 +78,7 @@ def read_with_preamble(spark: SparkSession, path, skip: int, names: Sequence[str
     ln = _lines(spark, path, name_col)
     first = skip + 1 if header else skip
     data = ln.where((F.col("pos") >= first) & (F.length(F.trim("line")) > 0))
-    parsed = F.from_csv(F.col("line"), _csv_schema(len(names)), {"sep": sep, "mode": "PERMISSIVE"})
+    parsed = F.from_csv(F.col("line"), _csv_schema(len(names)), {"sep": sep, "mode": "PERMISSIVE", "multiLine": "true"})
     return data.select("file", F.col("pos").alias("line_no"), parsed.alias("_r")).select(
         "file", "line_no", *[F.col(f"_r.c{i}").alias(n) for i, n in enumerate(names)])
 
@@ -109,19 +122,25 @@ def field_count_check(df: DataFrame, key: str = "file", fields: str = "fields")
 
 
 def extract_urls(spark: SparkSession, path, column_index: int, encoding: str = "Shift_JIS",
-                 width: int = 64, key_index: int | None = None) -> DataFrame:
+                 key_index: int | None = None) -> DataFrame:
     """URLs found in column ``column_index`` of every row of CSV files.
 
-    Files are read as bytes and decoded (``decode(content, 'Shift_JIS')`` needs
-    ``spark.sql.legacy.javaCharsets``, set here for the session); rows too short to
-    have the column are skipped; every match of the URL pattern is kept, in order.
+    Files are read as bytes and decoded in Python (Spark's own ``decode`` takes Shift_JIS
+    only under a session switch, and the session is the caller's); bad bytes become
+    U+FFFD; rows too short to have the column are skipped; every match of the URL
+    pattern is kept, in order.
     """
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    b = spark.read.format("binaryFile").load(path)
-    text = F.decode(F.col("content"), encoding)
-    lines = b.select(F.col("path"), F.posexplode(F.split(text, r"\r?\n")).alias("row_no", "line"))
+    ship_package(spark)
+
+    def decoded(batches):
+        for b in batches:
+            yield b.assign(content=[bytes(c).decode(encoding, "replace") for c in b["content"]])
+
+    b = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decoded, "path string, content string")
+    lines = b.select(F.col("path"), F.posexplode(records(F.col("content"))).alias("row_no", "line"))
     lines = lines.where(F.length("line") > 0)
-    parsed = F.from_csv(F.col("line"), _csv_schema(width), {"mode": "PERMISSIVE"})
+    width = max(column_index, key_index if key_index is not None else 0) + 1
+    parsed = F.from_csv(F.col("line"), _csv_schema(width), {"mode": "PERMISSIVE", "multiLine": "true"})
     key = [parsed.getField(f"c{key_index}").alias("key")] if key_index is not None else []
     cell = lines.select("path", "row_no", *key, parsed.getField(f"c{column_index}").alias("cell"))
     keep = ["path", "row_no"] + (["key"] if key else [])

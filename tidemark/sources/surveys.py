@@ -55,10 +55,33 @@ def _by_layout(attr: str) -> Column:
     return out
 
 
-def read_survey_folder(spark: SparkSession, path, name_col: str | None = None,
-                       width: int = 16) -> tuple[DataFrame, DataFrame]:
+def survey_files(spark: SparkSession, path, name_col: str | None = None) -> DataFrame:
+    """One row per recognised file: its layout, means and date cell, year and month (null when
+    the cell can't be read)."""
+    width = max(max(lay.price_col, lay.date_col) for lay in LAYOUTS) + 1
+    return _survey_files(spark, path, name_col, width)
+
+
+def read_survey_folder(spark: SparkSession, path, name_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(path, file, layout, year, month, price_mean, n_prices, price_sum) per
     readable file, plus (path, file, layout, reason) for files that fail."""
+    per_file = survey_files(spark, path, name_col)
+    ok = readable()
+    rows = per_file.where(ok).select("path", "file", "layout", "year", "month", "price_mean", "n_prices",
+                                     "price_sum")
+    errors = per_file.where(~ok).select(
+        "path", "file", "layout",
+        F.when(F.col("date_cell").isNull(), F.lit("date cell missing"))
+        .otherwise(F.concat(F.lit("bad date cell: "), F.col("date_cell"))).alias("reason"))
+    return rows, errors
+
+
+def readable() -> Column:
+    """Whether a row of ``survey_files`` has a year and a month."""
+    return F.coalesce(F.col("year").isNotNull() & F.col("month").between(1, 12), F.lit(False))
+
+
+def _survey_files(spark: SparkSession, path, name_col: str | None, width: int) -> DataFrame:
     ln = _lines(spark, path, name_col)
     ln = ln.withColumn("layout", layout_of(F.col("file"))).where(F.col("layout").isNotNull())
     ln = ln.withColumns({a: _by_layout(a) for a in ("skip", "price_col", "date_row", "date_col")})
@@ -77,22 +100,12 @@ def read_survey_folder(spark: SparkSession, path, name_col: str | None = None,
     y_h, m_h = heisei_year_month(F.col("date_cell"))
     pick = lambda k, f, h: (F.when(F.col("layout") == "b", k)
                             .when(F.col("layout") == "gsb", f).otherwise(h))
-    per_file = per_file.withColumns({"year": pick(y_k, y_f, y_h), "month": pick(m_k, m_f, m_h)})
-    ok = F.col("year").isNotNull() & F.col("month").between(1, 12)
-    rows = per_file.where(ok).select("path", "file", "layout", "year", "month", "price_mean", "n_prices",
-                                     "price_sum")
-    errors = per_file.where(~ok).select(
-        "path", "file", "layout",
-        F.when(F.col("date_cell").isNull(), F.lit("date cell missing"))
-        .otherwise(F.concat(F.lit("bad date cell: "), F.col("date_cell"))).alias("reason"))
-    return rows, errors
+    return per_file.withColumns({"year": pick(y_k, y_f, y_h), "month": pick(m_k, m_f, m_h)})
 
 
-def ingest_tally(rows: DataFrame, errors: DataFrame) -> DataFrame:
-    """Success / error counts of a folder job."""
-    return (rows.select(F.lit("ok").alias("status"))
-            .unionByName(errors.select(F.lit("error").alias("status")))
-            .groupBy("status").agg(F.count(F.lit(1)).alias("files")))
+def ingest_tally(files: DataFrame) -> DataFrame:
+    """Success / error counts of a folder job, from ``survey_files`` in one pass."""
+    return files.groupBy(F.when(readable(), "ok").otherwise("error").alias("status")).agg(F.count(F.lit(1)).alias("files"))
 
 
 def monthly_series(rows: DataFrame) -> DataFrame:
