@@ -176,16 +176,53 @@ def gram(df: DataFrame, xs, y: str | None = None) -> Gram:
     xs = _as_list(xs)
     cols = xs + ([y] if y else [])
     d = complete_rows(df.select(*[F.col(c).cast("double").alias(c) for c in cols]), cols)
+    r = d.agg(*_moments(cols)).first()
+    if not r["n"]:
+        raise ValueError("no complete rows")
+    return _gram_of(r, xs, y)
+
+
+def gram_by(df: DataFrame, xs, y: str, by: str) -> dict:
+    """{value of ``by``: Gram} from one grouped aggregation; for keys of few values, such as
+    the split flag."""
+    xs = _as_list(xs)
+    cols = xs + [y]
+    d = complete_rows(df.select(by, *[F.col(c).cast("double").alias(c) for c in cols]), cols)
+    return {r[by]: _gram_of(r, xs, y) for r in d.groupBy(by).agg(*_moments(cols)).collect()}
+
+
+def pooled(parts: list[Gram]) -> Gram:
+    """The Gram of several row sets together."""
+    n = sum(g.n for g in parts)
+    z = [np.append(g.xbar, g.ybar) for g in parts]
+    mean = sum(g.n * v for g, v in zip(parts, z)) / n
+    s = sum(np.block([[g.Sxx, g.Sxy[:, None]], [g.Sxy[None, :], np.array([[g.Syy]])]])
+            + g.n * np.outer(v - mean, v - mean) for g, v in zip(parts, z))
+    p = parts[0].p
+    return Gram(parts[0].xs, parts[0].y, n, mean[:p], float(mean[p]), s[:p, :p], s[:p, p], float(s[p, p]))
+
+
+def rescaled(g: Gram, center: dict, scale: dict, suffix: str = "") -> Gram:
+    """The Gram of (x - center) / scale: an affine change needs no further pass over the rows."""
+    c, s = (np.array([d[x] for x in g.xs]) for d in (center, scale))
+    return Gram([x + suffix for x in g.xs], g.y, g.n, (g.xbar - c) / s, g.ybar, g.Sxx / np.outer(s, s), g.Sxy / s, g.Syy)
+
+
+def gram_scores(fit: "LinearFit", g: Gram) -> tuple[float, float]:
+    """M10 from the scored rows' Gram: (MSE, R²) of a fit on the same features."""
+    bias = g.ybar - fit.intercept - g.xbar @ fit.coef
+    mse = (g.Syy - 2 * fit.coef @ g.Sxy + fit.coef @ g.Sxx @ fit.coef) / g.n + bias * bias
+    return float(mse), float(1 - mse * g.n / g.Syy) if g.Syy else float("nan")
+
+
+def _moments(cols) -> list:
     aggs = [F.count(F.lit(1)).alias("n")]
     aggs += [F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]
-    k = len(cols)
-    for i in range(k):
-        for j in range(i, k):
-            aggs.append(F.covar_pop(cols[i], cols[j]).alias(f"c{i}_{j}"))
-    r = d.agg(*aggs).first()
-    n = int(r["n"])
-    if n == 0:
-        raise ValueError("no complete rows")
+    return aggs + [F.covar_pop(cols[i], cols[j]).alias(f"c{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))]
+
+
+def _gram_of(r, xs: list, y: str | None) -> Gram:
+    n, k = int(r["n"]), len(xs) + (y is not None)
     means = np.array([float(r[f"m{i}"]) for i in range(k)])
     C = np.zeros((k, k))
     for i in range(k):

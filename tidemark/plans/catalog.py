@@ -115,6 +115,7 @@ from . import q_study  # noqa: E402,F401  (registers its queries)
 from . import q_facts  # noqa: E402,F401
 from . import q_sources  # noqa: E402,F401
 from . import q_groups  # noqa: E402,F401
+from . import q_more  # noqa: E402,F401
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

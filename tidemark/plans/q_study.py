@@ -7,6 +7,7 @@ where quantiles are needed.  Fact-level queries live in ``q_facts``.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import align as AL
@@ -372,56 +373,51 @@ GRID_FEATS = Q.RATE_NAMES + ["Gasoline"]
 
 
 def grid_inputs(spark, sf_dir):
-    """Complete item rows with the price clipped to its IQR fences, split 80/20.
+    """(train Gram, test Gram, standard scaling, robust scaling) of the items' complete rows
+    with the price clipped to its IQR fences.
 
-    The complete rows feed several aggregations (quartiles, scalers, two Grams, the
-    score pass), so they are checkpointed into the shared checkpoint folder once.
+    Both scalings are affine, so ONE raw moment aggregation grouped by the split flag gives
+    every fit and every test score; the standard scaling comes from the same moments.
     """
     from ..session import cut_lineage
     from .q_facts import merged_all
     d = M.complete_rows(merged_all(spark, sf_dir), GRID_FEATS + ["price"]).select(
         "l_orderkey", "l_linenumber", *GRID_FEATS, F.col("price").cast("double").alias("price"))
-    # read by the quartile, scaler, split and fit passes below; the split key is hashed
-    # once, here
+    # read by the quartile, split and moment passes below; the split key is hashed once, here
     d = cut_lineage(M.with_split_hash(d, ["l_orderkey", "l_linenumber"], 42))
-    # one exact-quartile pass for the price fences and the robust scaler's features
+    # one exact-quartile pass for the price fences and the robust scaling
     q = {r["variable"]: r for r in
          ST.quantiles(d, GRID_FEATS + ["price"], [0.25, 0.5, 0.75]).collect()}
     q1, q3 = q["price"]["q25"], q["price"]["q75"]
     d = ST.clip(d, "price", q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
-    std = SC.fit_standard(d, GRID_FEATS)
     rob = SC.fit_robust(d, GRID_FEATS, quartiles=q)
-    d = rob.apply(std.apply(d, "_std"), "_rob")
-    # the split flag is a column predicate over the checkpointed rows: no second
-    # checkpoint; the row count comes from the quartile pass
+    # the split flag is a column predicate over the checkpointed rows
     d = M.train_test_split(d, ["l_orderkey", "l_linenumber"], 0.2, 42, n_rows=int(q["price"]["n"]))
-    return d, std, rob
+    g = M.gram_by(d, GRID_FEATS, "price", "is_test")
+    every = M.pooled(list(g.values()))
+    sd = np.sqrt(np.diag(every.Sxx) / every.n)
+    std = SC.Scaling("standard", dict(zip(GRID_FEATS, every.xbar.tolist())),
+                     dict(zip(GRID_FEATS, np.where(sd > 0, sd, 1.0).tolist())))
+    return g[False], g[True], std, rob
 
 
 def grid_fits(spark, sf_dir):
-    d, std, rob = grid_inputs(spark, sf_dir)
-    train = d.where(~F.col("is_test"))
-    fits = []
-    for suffix in ("_std", "_rob"):
-        # one Gram per scaling: two 4-feature aggregations generate compact code, where a
-        # single 8-feature one (45 covariances) is several times slower
-        xs = [c + suffix for c in GRID_FEATS]
-        g = M.gram(train, xs, "price")
-        fits += [M.ols(train, xs, "price", g), M.ridge(train, xs, "price", 1.0, g),
-                 M.lasso(train, xs, "price", 0.1, g)]
-    return d, std, rob, fits
+    """[(label, scaling, fit, (test MSE, test R²))] of the six models."""
+    train, test, std, rob = grid_inputs(spark, sf_dir)
+    out = []
+    for label, sc in (("standard", std), ("robust", rob)):
+        g, t = (M.rescaled(x, sc.center, sc.scale) for x in (train, test))
+        for fit in (M.ols(None, g.xs, "price", g), M.ridge(None, g.xs, "price", 1.0, g), M.lasso(None, g.xs, "price", 0.1, g)):
+            out.append((f"{fit.model}_{label}", sc, fit, M.gram_scores(fit, t)))
+    return out
 
 
 @query("m14_model_grid_scores")
 def m14_model_grid_scores(spark, sf_dir):
     """Six models (OLS, ridge α=1, lasso α=0.1 × standard/robust scaling) scored on the
-    test rows in one pass."""
-    d, _, _, fits = grid_fits(spark, sf_dir)
-    sc = M.scores(d, fits, "price", where=F.col("is_test"))
-    names = {i: f"{f.model}{'_standard' if f.xs[0].endswith('_std') else '_robust'}"
-             for i, f in enumerate(fits)}
-    label = F.create_map(*[x for i, n in names.items() for x in (F.lit(i), F.lit(n))])
-    return sc.withColumn("model", label[F.col("model_no")])
+    test rows."""
+    rows = [(i, label, *score) for i, (label, _, _, score) in enumerate(grid_fits(spark, sf_dir))]
+    return spark.createDataFrame(rows, "model_no int, model string, mse double, r2 double")
 
 
 @query("o5_best_model")
@@ -432,14 +428,9 @@ def o5_best_model(spark, sf_dir):
 @query("m13_raw_unit_coefficients")
 def m13_raw_unit_coefficients(spark, sf_dir):
     """Each grid model's coefficients expressed back in the features' raw units."""
-    d, std, rob, fits = grid_fits(spark, sf_dir)
     rows = []
-    for i, f in enumerate(fits):
-        sc = std if f.xs[0].endswith("_std") else rob
-        suffix = "_std" if sc is std else "_rob"
-        center = {c + suffix: sc.center[c] for c in GRID_FEATS}
-        scale = {c + suffix: sc.scale[c] for c in GRID_FEATS}
-        b0, coef = M.raw_units(f, center, scale)
+    for i, (_, sc, f, _) in enumerate(grid_fits(spark, sf_dir)):
+        b0, coef = M.raw_units(f, sc.center, sc.scale)
         rows.append((i, "const", float(b0)))
         rows += [(i, c, float(v)) for c, v in zip(GRID_FEATS, coef)]
     return spark.createDataFrame(rows, "model_no int, feature string, coef double")
