@@ -27,6 +27,8 @@ _WORD_END_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Byte-level names: a visible Latin-1 byte is its own name, the others follow from 256 on.
 _VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_NAMES = dict(zip((b for b in range(256) if b not in _VISIBLE), range(256, 512)))
+#: Marks that are neither letters, digits nor blanks, and begin no contraction.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _BLANK = chr(_BYTE_NAMES[32])
 #: Characters below this (Latin blocks) are split here; others by the library.
 _LATIN_END = "\u0250"
@@ -67,9 +69,22 @@ class WordEncoder:
         self.drops_space = self.tok.normalizer is not None
         self.pattern = regex.compile(_WORD_END_SPLIT if self.drops_space else _BYTE_LEVEL_SPLIT)
         self.first = _Table(self._chunk)
-        self.after_blank = _Table(lambda w: self._chunk(" " + w))
+        self.after_blank = _Table(self._word)
         self.pieces = _Table(self._piece)
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a word that a blank goes before."""
+        if not word:
+            return self._piece(" ")
+        if max(word) < _LATIN_END:
+            # letters are one piece, and so are the marks after them
+            stem = word.rstrip(_MARKS)
+            if stem.isalpha():
+                if len(stem) == len(word):
+                    return self._piece(" " + word)
+                return self.after_blank[stem] + self.pieces[word[len(stem):]]
+        return self._chunk(" " + word)
+
     def _piece(self, piece: str) -> bytes:
         if piece.isascii() and piece.isprintable():
             name = piece.replace(" ", _BLANK)
@@ -78,8 +93,11 @@ class WordEncoder:
         return array("I", [t.id for t in self.model.tokenize(name)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        if chunk[1:].isalpha() and chunk[0] == " " and max(chunk) < _LATIN_END:
-            return self.pieces[chunk]
+        if self.drops_space:
+            low = chunk.lower()
+            stem = low.rstrip(_MARKS)
+            if stem.isalpha() and max(low) < _LATIN_END:
+                return self.pieces[stem] + (self.pieces[low[len(stem):]] if len(stem) < len(low) else b"")
         if max(chunk) < _LATIN_END:
             # letters, digits and their lower case are the same here in any Unicode version
             if self.drops_space:
