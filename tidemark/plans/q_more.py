@@ -10,8 +10,8 @@ from ..functions import text as TX
 from ..operators import align as AL
 from ..operators import models as M
 from ..operators import stats as ST
-from ..session import scratch_path
-from ..sources import delimited, surveys
+from ..session import materialize_if_derived, scratch_path
+from ..sources import delimited, html, surveys
 from . import sqlkit as Q
 from . import tables as TB
 from .catalog import panel, query, rnd
@@ -252,3 +252,54 @@ def a18_tally_with_errors(spark, sf_dir):
     files = rows.groupBy("year", "month").agg(F.count(F.lit(1)).alias("parts"))
     return surveys.ingest_tally(files.withColumn("year", F.when(F.col("month") % 4 != 0, F.col("year"))))
 
+
+
+# ---------------------------------------------------------------------------
+# schedule pages
+
+_PAGES_SQL = """WITH b AS (
+    SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS blk, (l_orderkey + l_linenumber) % 5 <> 0 AS dated,
+           CASE WHEN (l_orderkey * 3 + l_linenumber) % 29 <> 0 THEN month(l_shipdate) END AS mi,
+           CASE WHEN (l_orderkey + l_linenumber) % 5 = 0 THEN 0 WHEN l_orderkey % 23 = 0 AND l_linenumber = 2 THEN NULL
+                ELSE (l_orderkey * 7 + l_linenumber) % 9 - 1 END AS wk,
+           (l_orderkey + 2 * l_linenumber) % 31 = 0 AS nameless, l_orderkey % 19 <> 0 AS keyed,
+           'part ' || l_partkey AS name, CAST(l_quantity AS BIGINT) AS q, l_linenumber % 3 = 0 AS again FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey,
+           min(l_quantity) AS l_quantity, min(l_shipdate) AS l_shipdate FROM lineitem GROUP BY 1, 2)),
+g AS (SELECT *, nameless OR (dated AND mi IS NULL) OR wk IS NULL OR wk NOT BETWEEN -3 AND 6 AS fails FROM b),
+f AS (SELECT page, min(blk) FILTER (WHERE fails) AS f FROM g GROUP BY page),
+c AS (SELECT g.*, f.f FROM g JOIN f ON f.page = g.page WHERE f.f IS NULL OR blk <= f.f),
+m AS (SELECT *, last_value(CASE WHEN dated THEN mi END IGNORE NULLS) OVER (ORDER BY page, blk ROWS UNBOUNDED PRECEDING) AS mon FROM c),
+pm AS (SELECT page, arg_max(mon, blk) AS month FROM m GROUP BY page)
+SELECT m.page AS page_id, CAST(m.page AS VARCHAR) AS ym, CAST(((wk - 2) % 5 + 5) % 5 + 1 AS INTEGER) AS slot, CAST(pm.month AS INTEGER) AS month,
+       CAST(blk AS INTEGER) AS block_no, 0 AS item_no, name, CAST(q AS VARCHAR) AS price, 'c' AS category, again AS is_resell
+FROM m JOIN pm ON pm.page = m.page WHERE f IS NULL AND pm.month IS NOT NULL AND keyed
+QUALIFY blk = max(blk) OVER (PARTITION BY m.page, ((wk - 2) % 5 + 5) % 5)"""
+
+
+def _schedule_pages(spark, sf_dir):
+    """One schedule page per order (one item per line number, seven at most), some broken in each
+    way a page can be."""
+    li = TB.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+        *[F.min(c).alias(c) for c in ("l_partkey", "l_quantity", "l_shipdate")])
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    span = lambda x: F.concat(F.lit('<span class="pg-schedule__month--date">'), x, F.lit("</span>"))
+    month = F.when((k * 3 + n) % 29 != 0, F.month("l_shipdate").cast("string")).otherwise(F.lit("x"))
+    week = F.when((k % 23 == 0) & (n == 2), F.lit("")).otherwise(span(((k * 7 + n) % 9 - 1).cast("string")))
+    dates = F.when((k + n) % 5 != 0, F.concat(span(month), week)).otherwise(F.lit(""))
+    name = F.when((k + 2 * n) % 31 != 0, F.concat(F.lit('<p class="c-card__name">part '), F.col("l_partkey").cast("string"), F.lit("</p>"))) \
+        .otherwise(F.lit(""))
+    again = F.when(n % 3 == 0, F.lit(f'<span class="c-card__resale--txt">{TX.RESTOCK_TEXT}</span>')).otherwise(F.lit(""))
+    block = F.concat(F.lit('<div class="week">'), dates, F.lit('<div class="c-card__list">'), name,
+                     F.lit('<span class="c-card__price--main">'), F.col("l_quantity").cast("long").cast("string"),
+                     F.lit('</span><i class="c-card__category">c</i>'), again, F.lit("</div></div>"))
+    pages = li.select(k.alias("page_id"), F.struct(n.alias("n"), block.alias("b")).alias("s")) \
+        .groupBy("page_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["b"]), "").alias("html"))
+    url = F.when(F.col("page_id") % 19 != 0, F.concat(F.lit("u?ym="), F.col("page_id").cast("string"))).otherwise(F.lit("u"))
+    return pages.withColumn("url", url)
+
+
+@query("s11w5w6_schedule_pages", _PAGES_SQL)
+def s11w5w6_schedule_pages(spark, sf_dir):
+    """Schedule pages to items: blocks and items from the page, week slots, month carry, lost pages."""
+    blocks = html.extract_blocks(_schedule_pages(spark, sf_dir), "html", ["page_id", "url"], html.SCHEDULE_SPEC)
+    return html.schedule_items(materialize_if_derived(blocks), "page_id")

@@ -183,13 +183,16 @@ def _horner_sql(coefs, x: str) -> str:
 
 
 def norm_ppf_sql(p: str) -> str:
-    """Inverse standard-normal CDF with the same rational approximation as the Spark side."""
-    from ..operators.models import _ACK_A, _ACK_B, _ACK_C, _ACK_D
-    ql = f"sqrt(-2 * ln({p}))"
-    lo = f"({_horner_sql(_ACK_C, ql)} / ({_horner_sql(_ACK_D, ql)} * {ql} + 1))"
-    q = f"({p} - 0.5)"
-    r = f"({q} * {q})"
-    mid = f"({_horner_sql(_ACK_A, r)} * {q} / ({_horner_sql(_ACK_B, r)} * {r} + 1))"
-    qh = f"sqrt(-2 * ln(1 - {p}))"
-    hi = f"(-({_horner_sql(_ACK_C, qh)} / ({_horner_sql(_ACK_D, qh)} * {qh} + 1)))"
-    return f"CASE WHEN {p} < 0.02425 THEN {lo} WHEN {p} > 1 - 0.02425 THEN {hi} ELSE {mid} END"
+    """Inverse standard-normal CDF by an approximation of its own (Abramowitz and Stegun 26.2.23),
+    sharpened twice by Newton steps on the CDF's series, so that the Spark side is checked against
+    other constants."""
+    tail = f"least({p}, 1 - {p})"
+    t = f"sqrt(-2 * ln({tail}))"
+    z = f"({t} - (2.515517 + 0.802853 * {t} + 0.010328 * {t} * {t}) / (1 + 1.432788 * {t} + 0.189269 * {t} * {t} + 0.001308 * {t} * {t} * {t}))"
+    # upper tail of z = 1/2 - pdf(z) * (z + z^3/3 + z^5/15 + ...): summed until terms vanish
+    series = "list_sum(list_transform(range(0, 120), lambda k: exp((2 * k + 1) * ln(z) - list_sum(list_transform(range(0, k + 1), lambda j: ln(2 * j + 1))))))"
+    out = z
+    for _ in range(2):
+        pdf = "(exp(-z * z / 2) / sqrt(2 * pi()))"
+        out = f"(SELECT z + ((0.5 - {pdf} * {series}) - tail) / {pdf} FROM (SELECT greatest({out}, 1e-9) AS z, {tail} AS tail))"
+    return f"CASE WHEN {p} = 0.5 THEN 0.0 ELSE sign({p} - 0.5) * {out} END"

@@ -168,32 +168,35 @@ def extract_blocks(df: DataFrame, html_col: str, keys: Sequence[str], spec: Bloc
 
 
 def schedule_items(blocks: DataFrame, page_order: str, url_col: str = "url") -> DataFrame:
-    """W5/W6 over ``extract_blocks(..., SCHEDULE_SPEC)`` output.
+    """W5/W6 over ``extract_blocks(..., SCHEDULE_SPEC)`` output, pages in ``page_order``.
 
-    * a block without date spans has week 0 and reuses the month last seen — in this
+    * a block without date spans has week 0 and reuses the month last seen, in this
       page or an earlier one (the reference keeps ``month`` global);
-    * slot = (week − 2) mod 5 + 1 (week 2 → 1 … 6 → 5, 1 → 5, 0 → 4); a week ≥ 7 (or
-      below 0) fails the whole page, which is dropped;
+    * slot = (week − 2) mod 5 + 1, for weeks −3 to 6;
+    * a block fails its page where a date span is missing or no number, the week lies
+      outside those, or an item lacks name, price or category.  Blocks after it are never
+      read, so they set no month; the failing block still sets one if its month was read;
+    * a page is also lost when no month was ever seen before its end, or its URL has no "=";
     * within a (page, slot) the last block wins;
     * every output row carries the page's month as it stands after its last block
       (that is what the reference writes into each slot file) and the key after "="
       in the page URL.
     """
-    b = blocks.withColumns({
-        "month_i": ustrip("month").try_cast("int"),
-        "week_i": F.coalesce(ustrip("week").try_cast("int"), F.lit(0)),
-    })
-    per_block = b.select(page_order, "block_no", "month_i").distinct()
+    dated = F.col("month").isNotNull()
+    month, week = ustrip("month").try_cast("int"), F.when(dated, ustrip("week").try_cast("int")).otherwise(F.lit(0))
+    part_missing = F.col("item_no").isNotNull() & (F.col("name").isNull() | F.col("price").isNull() | F.col("category").isNull())
+    b = blocks.withColumns({"month_i": month, "week_i": week}).withColumn(
+        "fails", part_missing | (dated & F.col("month_i").isNull()) | F.coalesce(~F.col("week_i").between(-3, 6), F.lit(True)))
+    failed = b.groupBy(page_order).agg(F.min(F.when(F.col("fails"), F.col("block_no"))).alias("_failed"))
+    read = b.join(failed, page_order).where(F.col("_failed").isNull() | (F.col("block_no") <= F.col("_failed")))
+    per_block = read.select(page_order, "block_no", "month_i").distinct()
     filled = fill_forward(per_block, [page_order, "block_no"], ["month_i"])
-    end_month = (filled.groupBy(page_order)
-                 .agg(F.max_by("month_i", "block_no").alias("page_month")))
-    bad = b.where((F.col("week_i") >= 7) | (F.col("week_i") < 0)).select(page_order).distinct()
-    ok = b.join(bad, page_order, "left_anti")
-    ok = ok.withColumn("slot", F.pmod(F.col("week_i") - 2, F.lit(5)) + 1)
+    end_month = filled.groupBy(page_order).agg(F.max_by("month_i", "block_no").alias("page_month"))
+    ok = (read.where(F.col("_failed").isNull()).withColumn("slot", F.pmod(F.col("week_i") - 2, F.lit(5)) + 1)
+          .withColumn("ym", after_equals(url_col)).where(F.col("ym").isNotNull()))
     last = ok.groupBy(page_order, "slot").agg(F.max("block_no").alias("_last"))
-    ok = ok.join(last, [page_order, "slot"]).where(F.col("block_no") == F.col("_last"))
-    ok = ok.where(F.col("item_no").isNotNull())
-    return ok.join(end_month, page_order).select(
-        page_order, after_equals(url_col).alias("ym"), "slot", F.col("page_month").alias("month"),
+    ok = ok.join(last, [page_order, "slot"]).where((F.col("block_no") == F.col("_last")) & F.col("item_no").isNotNull())
+    return ok.join(end_month.where(F.col("page_month").isNotNull()), page_order).select(
+        page_order, "ym", "slot", F.col("page_month").alias("month"),
         "block_no", "item_no", "name", "price", "category",
         F.coalesce(F.col("resale") == F.lit(RESTOCK_TEXT), F.lit(False)).alias("is_resell"))
