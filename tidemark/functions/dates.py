@@ -60,14 +60,6 @@ def week_to_date(yy, month, week, rule: str = "first_monday", legacy_before: int
     raise ValueError(rule)
 
 
-def week_day(yy, month, week, legacy_before: int = 18) -> Column:
-    """F3 alone: the day number of the 'block' rule."""
-    y, m, w = _c(yy).cast("int"), _c(month).cast("int"), _c(week).cast("int")
-    legacy = (y < legacy_before) & (m < 7)
-    return (F.when(legacy, F.when(w == 1, 5).when(w == 2, 15).otherwise(25))
-            .when(w.isNull(), F.lit(1))
-            .otherwise(F.least((w - 1) * 7 + 1, F.lit(28))))
-
 
 def days_since_epoch(d) -> Column:
     """``(date - 1970-01-01).days``."""

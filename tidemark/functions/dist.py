@@ -9,7 +9,6 @@ Arrow-batched pandas UDF when a grouped fit returns one row per group.
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -113,15 +112,6 @@ def chi2_sf_2dof(x):
     return np.exp(-np.asarray(x, float) / 2.0)
 
 
-def norm_sf(z):
-    z = np.asarray(z, float)
-    return 0.5 * np.vectorize(math.erfc, otypes=[float])(z / math.sqrt(2.0))
-
-
-def norm_ppf(p: float) -> float:
-    return NormalDist().inv_cdf(p)
-
-
 @F.pandas_udf(T.DoubleType())
 def _t_sf_udf(t: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series(t_sf(t.to_numpy(float), dof.to_numpy(float)))

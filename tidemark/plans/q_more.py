@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import clean as CL
 from ..functions import text as TX
 from ..operators import align as AL
 from ..operators import models as M
@@ -217,6 +218,13 @@ def p13_lookup_default_zero(spark, sf_dir):
     return AL.first_match(d, side, ["year", "month"], ["Gasoline"], order="file", default=0.0).select("Date", "Gasoline")
 
 
+@query("p8_rates_filled_with_zero",
+       Q.cte(rates=Q.RATES) + "SELECT Date, " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in X3) + " FROM rates")
+def p8_rates_filled_with_zero(spark, sf_dir):
+    """Days without a value of a series hold 0."""
+    return CL.fill_zero(TB.rates_wide_one_scan(spark, sf_dir), X3)
+
+
 @query("s3_projected_scan",
        "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority FROM orders")
 def s3_projected_scan(spark, sf_dir):

@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions.clean import drop_nulls
 from ..operators import align as AL
 from ..operators import models as M
 from ..operators import scale as SC
@@ -26,7 +27,7 @@ def pct_panel(spark, sf_dir):
     """MRAnalyze: percentage change ×100 in date order, first row dropped."""
     from ..session import cut_lineage
     p = AL.pct_change(panel(spark, sf_dir), "Date", COLS4, buckets=1)  # one row per day
-    return cut_lineage(p.dropna(subset=COLS4))
+    return cut_lineage(drop_nulls(p, COLS4))
 
 
 def mm_panel(spark, sf_dir):

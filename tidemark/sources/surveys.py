@@ -106,9 +106,3 @@ def _survey_files(spark: SparkSession, path, name_col: str | None, width: int) -
 def ingest_tally(files: DataFrame) -> DataFrame:
     """Success / error counts of a folder job, from ``survey_files`` in one pass."""
     return files.groupBy(F.when(readable(), "ok").otherwise("error").alias("status")).agg(F.count(F.lit(1)).alias("files"))
-
-
-def monthly_series(rows: DataFrame) -> DataFrame:
-    """(year, month, price) sorted by year*100+month; two files of one month stay two rows (Q20)."""
-    return rows.select("year", "month", F.col("price_mean").alias("price"), "file") \
-        .orderBy(F.col("year") * 100 + F.col("month"), "file")
