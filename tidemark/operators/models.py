@@ -65,7 +65,7 @@ def global_rank(df: DataFrame, order: str, by=(), buckets: int | None = None,
     else:
         out = ranked.withColumns({"_tm_off": F.lit(0), "_rank": F.col("_tm_rn").cast("long"),
                                   "_n": F.count(F.lit(1)).over(Window.partitionBy(*by, _B))})
-    return out.drop("_tm_off", "_tm_rn", _B, *(["_tm_num"] if numeric is not None else []))
+    return out.select(*df.columns, "_rank", "_n")
 
 
 SPLIT_HASH = "_split_hash"
