@@ -465,12 +465,12 @@ def _qq_sql():
               "avg(price) OVER () AS m, stddev_pop(price) OVER () AS s FROM pct")
     p = "(CAST(i AS DOUBLE) / (n + 1))"
     return (_PCT_SQL.rstrip() + f",\nrk AS ({ranked})\n"
-            f"SELECT Date, i, round({Q.norm_ppf_sql(p)}, 6) AS theoretical, "
-            f"round((price - m) / s, 5) AS sample FROM rk")
+            f"SELECT Date, i, round({Q.norm_ppf_sql(p)}, 5) AS theoretical, "
+            f"round((price - m) / s, 6) AS sample FROM rk")
 
 
 @query("w7_qq_pct_price", _qq_sql())
 def w7_qq_pct_price(spark, sf_dir):
     from .q_study import pct_panel
     q = M.qq_pairs(pct_panel(spark, sf_dir), "price", "Date", buckets=1)  # one row per day
-    return rnd(q.withColumn("i", F.col("i").cast("long")), {"theoretical": 6, "sample": 5})
+    return rnd(q.withColumn("i", F.col("i").cast("long")), {"theoretical": 5, "sample": 6})

@@ -18,7 +18,7 @@ from . import tables as TB
 from .catalog import panel, query, rnd
 from .q_facts import _M21_SQL, _SIDE2_SQL, _SIDE_FIRST_SQL, side_two_files
 from .q_sources import _SURVEY_SQL, _survey_rows
-from .q_study import COLS4, GRID_FEATS, X3, grid_fits, mm_split, pct_panel, std_panel
+from .q_study import COLS4, GRID_FEATS, X3, grid_fits, mm_panel, mm_split, pct_panel, std_panel
 
 # ---------------------------------------------------------------------------
 # the linear models of the grid, solved in SQL by elimination
@@ -171,6 +171,24 @@ def a15_histogram_residuals(spark, sf_dir):
     return ST.histogram(_residuals(spark, sf_dir), "e").select("bin", "n_bins", "count")
 
 
+@query("m17_band_shape",
+       Q.cte(**Q.panel_ctes(), mm=Q.minmax_sql("panel", COLS4),
+             st="SELECT regr_count(price, CNY_JPY) AS n, regr_avgx(price, CNY_JPY) AS mx, regr_sxx(price, CNY_JPY) AS sxx, "
+                "regr_slope(price, CNY_JPY) AS b, regr_intercept(price, CNY_JPY) AS a, min(CNY_JPY) AS lo, max(CNY_JPY) AS hi FROM mm",
+             gr="SELECT st.*, CAST(i AS INTEGER) AS i, lo + i * ((hi - lo) / 99) AS x FROM st, range(100) t(i)")
+       + "SELECT i, round(x, 6) AS x, round(a + b * x, 6) AS y_hat, "
+       "round(sqrt(1.0 / n + (x - mx) ^ 2 / sxx) / sqrt(1.0 / n + (lo - mx) ^ 2 / sxx), 6) AS width FROM gr")
+def m17_band_shape(spark, sf_dir):
+    """The fitted line, and the band's half width relative to its first point (the t quantile, which
+    SQL has no built-in for, cancels)."""
+    band = M.reg_band(mm_panel(spark, sf_dir), "CNY_JPY", "price")
+    first = band.orderBy("x").first()
+    width = (F.col("hi") - F.col("lo")) / F.lit(first["hi"] - first["lo"])
+    # one row per grid point
+    i = (F.row_number().over(Window.orderBy("x")) - 1).cast("int")
+    return rnd(band.select(i.alias("i"), "x", "y_hat", width.alias("width")), {"x": 6, "y_hat": 6, "width": 6})
+
+
 # ---------------------------------------------------------------------------
 # shared axes and small operators
 
