@@ -96,11 +96,11 @@ def near_copies(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed, rounds, block", [(1, 4, 128), (2, 0, 3), (3, 1, 2)])
-def test_groups_equal_brute_force(spark, seed, rounds, block):
+@pytest.mark.parametrize("seed, settings_", [(1, {}), (2, {"block": 3, "short_list": 1}), (3, {"block": 4, "short_list": 5, "shared": 2})])
+def test_groups_equal_brute_force(spark, seed, settings_):
     rows = near_copies(seed)
     docs = spark.createDataFrame([(d, t, "T", 1, 2) for d, t in rows], "doc_id long, text string, TEXT string, n long, node long")
-    got = J.similarity_groups(docs, rounds=rounds, block=block).collect()
+    got = J.similarity_groups(docs, **settings_).collect()
     want = brute_groups(rows, 4, 85)
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
 

@@ -79,6 +79,15 @@ def replace(b: pa.RecordBatch, at: int, values: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
 
+#: Rows of a side (of a few numbers each) that may be broadcast; a larger one is joined by a shuffle.
+SMALL_ROWS = 1 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Marked for broadcast where a count shows that it is small; otherwise as it is."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     cols = list(zip(*rows)) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema)], schema=schema)

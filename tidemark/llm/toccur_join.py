@@ -5,20 +5,23 @@ Documents link when the Jaccard similarity of their shingle sets reaches a thres
 1. Each whole text becomes a set of 64-bit shingle hashes.  Equal sets are one node, so
    copies cost nothing further.
 2. A fixed-size count sketch over all shingles orders them, rare ones first.  Two sets
-   that link share one of the first n - ceil(t n) + 1 shingles of both, so nodes meet in
-   the lists of those prefix shingles; lists with the same nodes are one list.
-3. In rounds, each list names one node (the one that meets most others) as query, and the
-   list's other nodes are searched for it: nodes of a size that can't link are left out, the
-   rest form an inverted index, and the search asks for those that occur at least T times in
-   the query's lists.  It heap-merges the short lists, skipping ahead where too few agree,
-   and binary-probes the long ones (DivideSkip); the exact overlap decides.
+   that link share at least ``SHARED`` of the first n - ceil(t n) + SHARED shingles of both (all
+   they share, if they are that small), so nodes meet in the lists of those prefix shingles.
+   Lists of up to ``SHORT_LIST`` nodes give their pairs, and a pair that meets often enough is
+   searched; a pair that meets in a longer list is searched with that list.
+3. Each longer list names one node (the one that meets most others) as query, and the list's other
+   nodes are searched for it: nodes of a size that can't link are left out, the rest form
+   an inverted index, and the search asks for those that occur at least T times in the
+   query's lists.  It heap-merges the short lists, skipping ahead where too few agree, and
+   binary-probes the long ones (DivideSkip); the exact overlap decides.
 4. The query leaves its list: it has met all the others.  A list whose other nodes are in one
-   component is done, since no link in it can change the result.  After ``rounds`` rounds the
-   pairs of different components that are left are searched in one go.
+   component is done, since no link in it can change the result.  In the lists that are left,
+   every node outside the largest component is searched for among the nodes of other
+   components.
 
-So a group of near copies, however large, is joined by few searches instead of all its pairs,
-and no link between different components is lost.  Searches of a query with many partners are cut
-into blocks of ``BLOCK`` nodes.
+So a group of near copies, however large, is joined by the searches of its few outliers
+instead of all its pairs, and no link between different components is lost.  Searches of many
+nodes are cut into blocks of ``BLOCK``, and blocks of queries meet blocks of the index.
 
 Defined cases: null and empty texts have no shingles and link with nothing; fewer words than
 ``width`` are one shingle of their own length; equal similarities all count; repeated rows
@@ -38,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, pick, to_batch
+from .common import map_rows, pick, small, to_batch
 from .graph import components
 from .lm_score import WordHashes, mix
 from ..session import cut_lineage, scratch_path, ship_package
@@ -46,18 +49,30 @@ from ..session import cut_lineage, scratch_path, ship_package
 WIDTH = 4
 #: Jaccard threshold in hundredths.
 PERCENT = 85
-ROUNDS = 4
+#: Prefix shingles that two nodes must share where all their shared lists are short.
+SHARED = 4
 #: Nodes of one search block.
-BLOCK = 128
+BLOCK = 256
 #: The sketch has 2**SKETCH_BITS counters: its size doesn't depend on the data.
 SKETCH_BITS = 21
 _CHUNK_BITS = 15
 #: Weight of a long list's probe in DivideSkip's rule for how many lists are long.
 _MU = 0.01
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64())])
+#: Nodes of a list whose pairs are counted; longer lists are searched as lists.
+SHORT_LIST = 64
+#: Prefix shingles that a task packs at once, and nodes it remembers so as not to pack copies twice.
+_GATHER = 1 << 20
+_SEEN = 1 << 20
+#: Text bytes that one part of the hash space stands for.
+_PART_BYTES = 16 << 20
+
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
+_SETS_SQL = "doc_id long, n long, node long, chunk int, counts binary"
+_BLOCKS = pa.schema([("part", pa.int64()), ("tokens", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary())])
+_MEETINGS = pa.schema([(c, pa.int64()) for c in ("list", "node", "n", "other", "w")])
+_MEETINGS_SQL = "list long, node long, n long, other long, w long"
 _SKETCH = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())])
-_PREFIX = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
 _NODE_SET = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("items", pa.binary())])
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -83,35 +98,35 @@ def node_of(items: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(items.tobytes(), seed=len(items)) - (1 << 63)
 
 
-def sets_of(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (set size), node (the set's name; null for an empty set) of every document."""
-    def make():
-        hashes = WordHashes()
+def first_pass(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, n (set size), node (the set's name; null for an empty set) of every document, and
+    each task's part of the count sketch (chunk, counts) in rows of their own."""
+    ship_package(docs.sparkSession)
+    size, per = 1 << SKETCH_BITS, 1 << _CHUNK_BITS
 
-        def run(cols):
-            for doc, text in zip(*cols):
-                s = shingles(hashes, text, width)
-                yield doc, len(s), node_of(s) if len(s) else None
-        return run
-    return map_rows(docs, make, _SETS, "doc_id long, n long, node long")
+    def run(batches):
+        hashes, total = WordHashes(), np.zeros(size, np.uint32)
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                got = [shingles(hashes, t, width) for t in part.column(1).to_pylist()]
+                classes = (np.concatenate(got) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+                total += np.bincount(classes, minlength=size).astype(np.uint32)
+                yield to_batch([(doc, len(s), node_of(s) if len(s) else None, None, None)
+                                for doc, s in zip(part.column(0).to_pylist(), got)], _SETS)
+        if total.any():
+            kind = "<u2" if total.max() < 1 << 16 else "<u4"
+            yield to_batch([(None, None, None, k, total[k * per:(k + 1) * per].astype(kind).tobytes()) for k in range(size // per)], _SETS)
+
+    return docs.select("doc_id", "text").mapInArrow(run, _SETS_SQL)
 
 
 # -- the order of shingles ------------------------------------------------------
 
 
-def sketch(docs: DataFrame, width: int) -> np.ndarray:
+def order_of(first_pass: DataFrame) -> np.ndarray:
     """For each of 2**SKETCH_BITS hash classes, the bit length of its shingles' document count."""
-    size, per = 1 << SKETCH_BITS, 1 << _CHUNK_BITS
-
-    def count(batches):
-        hashes, n = WordHashes(), np.zeros(size, np.uint32)
-        for b in batches:
-            got = [shingles(hashes, t, width) for t in b.column(0).to_pylist()]
-            if got:
-                n += np.bincount((np.concatenate(got) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size).astype(np.uint32)
-        if n.any():
-            kind = "<u2" if n.max() < 1 << 16 else "<u4"
-            yield to_batch([(k, n[k * per:(k + 1) * per].astype(kind).tobytes()) for k in range(size // per)], _SKETCH)
+    per = 1 << _CHUNK_BITS
 
     def total(table: pa.Table) -> pa.Table:
         n = np.zeros(per, np.uint64)
@@ -120,42 +135,100 @@ def sketch(docs: DataFrame, width: int) -> np.ndarray:
         code = np.frexp(n.astype(np.float64))[1].astype(np.uint8)
         return pa.Table.from_batches([to_batch([(table["chunk"][0].as_py(), code.tobytes())], _SKETCH)])
 
-    rows = docs.select("text").mapInArrow(count, "chunk int, counts binary") \
+    rows = first_pass.where("chunk is not null").select("chunk", "counts") \
         .groupBy("chunk").applyInArrow(total, "chunk int, counts binary").collect()
-    out = np.zeros(size, np.uint8)
+    out = np.zeros(1 << SKETCH_BITS, np.uint8)
     for r in rows:
         out[r.chunk * per:(r.chunk + 1) * per] = np.frombuffer(r.counts, np.uint8)
     return out
 
 
-def prefixes(docs: DataFrame, order, width: int, percent: int) -> DataFrame:
-    """token, node, n: the prefix shingles of every set, rare classes first."""
-    def make():
+def meetings(docs: DataFrame, order, width: int, percent: int, n_parts: int, short_list: int, shared: int) -> DataFrame:
+    """How nodes meet in prefix lists.
+
+    A list of up to ``SHORT_LIST`` nodes gives its pairs of fitting sizes: rows (list 0, node, n of
+    the larger, other, w lists).  A longer one gives its nodes: rows (list, node, n, 0, 0); lists
+    with the same nodes are one.
+
+    Tasks pack the (shingle, node, size) triples of their prefixes into one block for each part
+    of the hash space; a part's task sorts its blocks and keeps the shingles of several nodes.
+    """
+    ship_package(docs.sparkSession)
+
+    def emit(batches):
         hashes, code = WordHashes(), order.value
+        tokens: list[np.ndarray] = []
+        nodes: list[tuple[int, int, int]] = []
+        seen: set[int] = set()
+        held = 0
+
+        def blocks():
+            t = np.concatenate(tokens)
+            node, n, many = (np.array(x) for x in zip(*nodes))
+            node, n = np.repeat(node, many), np.repeat(n, many)
+            part = (t % np.uint64(n_parts)).astype(np.int64)
+            o = np.argsort(part, kind="stable")
+            edge = np.searchsorted(part[o], np.arange(n_parts + 1))
+            return to_batch([(p, t[x].astype("<u8").tobytes(), node[x].astype("<i8").tobytes(), n[x].astype("<u4").tobytes())
+                             for p in range(n_parts) if edge[p] < edge[p + 1] for x in (o[edge[p]:edge[p + 1]],)], _BLOCKS)
 
-        def run(cols):
-            for (text,) in zip(*cols):
+        for b in batches:
+            for text in b.column(0).to_pylist():
                 s = shingles(hashes, text, width)
-                n = len(s)
-                if n < 2:
+                if len(s) < 2:
                     continue                        # links only with its own copies
-                first = n - -(-percent * n // 100) + 1
-                rank = code[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 node = node_of(s)
-                for t in s[np.argsort(rank, kind="stable")[:first]].astype(np.int64).tolist():
-                    yield t, node, n
-        return run
-    return map_rows(docs, make, _PREFIX, "token long, node long, n long", weigh=lambda r: 1)
-
-
-def shared_lists(prefix: DataFrame) -> DataFrame:
-    """list, node, n: the prefix lists of two or more nodes, lists with the same nodes once."""
-    w = Window.partitionBy("token")
-    many = prefix.distinct().withColumns({
-        "m": F.count("*").over(w),
-        "x": F.bit_xor(F.xxhash64("node")).over(w),
-        "y": F.bit_xor(F.xxhash64("node", F.lit(1))).over(w)}).where("m > 1")
-    return many.dropDuplicates(["m", "x", "y", "node"]).select(F.xxhash64("m", "x", "y").alias("list"), "node", "n")
+                if node in seen:
+                    continue
+                if len(seen) < _SEEN:
+                    seen.add(node)
+                first = min(len(s), len(s) - -(-percent * len(s) // 100) + shared)
+                rank = code[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                tokens.append(s[np.argsort(rank, kind="stable")[:first]])
+                nodes.append((node, len(s), first))
+                held += first
+                if held >= _GATHER:
+                    yield blocks()
+                    tokens, nodes, held = [], [], 0
+        if nodes:
+            yield blocks()
+
+    def meet(table: pa.Table) -> pa.Table:
+        t, node, n = (np.concatenate([np.frombuffer(x, kind) for x in table[c].to_pylist()])
+                      for c, kind in (("tokens", "<u8"), ("nodes", "<i8"), ("sizes", "<u4")))
+        o = np.lexsort((node, t))
+        t, node, n = t[o], node[o], n[o]
+        once = np.concatenate([[True], (t[1:] != t[:-1]) | (node[1:] != node[:-1])])
+        t, node, n = t[once], node[once], n[once]
+        first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        many = np.diff(np.append(first, len(t)))
+        keep = np.repeat(many > 1, many)
+        t, node, n, many = t[keep], node[keep], n[keep], many[many > 1]
+        if not len(t):
+            return pa.Table.from_batches([to_batch([], _MEETINGS)])
+        first = np.cumsum(many) - many
+        # a list's name: a hash of its nodes, in order; lists of one name are one, with a weight
+        place = np.arange(len(t), dtype=np.uint64) - np.repeat(first, many).astype(np.uint64)
+        name = mix(np.bitwise_xor.reduceat(mix(node.astype(np.uint64) + place * np.uint64(0x9E3779B97F4A7C15)), first) + many.astype(np.uint64))
+        name, one, weight = np.unique(name, return_index=True, return_counts=True)
+        first, many = first[one], many[one]
+        out = []
+        for m in np.unique(many[many <= short_list]).tolist():
+            own = many == m
+            at = first[own][:, None] + np.arange(m)
+            i, j = np.triu_indices(m, 1)
+            a, b, w = at[:, i].ravel(), at[:, j].ravel(), np.repeat(weight[own], len(i))
+            fit = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+            a, b, w = a[fit], b[fit], w[fit]
+            out.append((np.zeros(len(a), np.int64), node[a], np.maximum(n[a], n[b]), node[b], w))
+        for k in np.flatnonzero(many > short_list).tolist():
+            x = slice(first[k], first[k] + many[k])
+            out.append((np.full(many[k], name[k].astype(np.int64)), node[x], n[x], np.zeros(many[k], np.int64), np.zeros(many[k], np.int64)))
+        cols = [np.concatenate(c).astype(np.int64) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 5
+        return pa.table(dict(zip(_MEETINGS.names, cols)), schema=_MEETINGS)
+
+    return docs.select("text").mapInArrow(emit, "part long, tokens binary, nodes binary, sizes binary") \
+        .groupBy("part").applyInArrow(meet, _MEETINGS_SQL)
 
 
 # -- search ---------------------------------------------------------------------
@@ -218,58 +291,73 @@ def merge_skip(lists: list[list[int]], need: int) -> dict[int, int]:
     return out
 
 
+class Inverted:
+    """Inverted lists over some sets: shingle -> rows of the sets that hold it, ascending."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets])
+        items = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        order = np.argsort(items, kind="stable")
+        self.rows = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.tokens, self.start = np.unique(items[order], return_index=True)
+        self.end = np.append(self.start[1:], len(items))
+
+    def search(self, query: np.ndarray, percent: int, allowed: np.ndarray | None = None) -> list[int]:
+        """Rows (of the allowed ones) whose sets link with ``query``, by T-occurrence."""
+        n = len(query)
+        ok = 100 * np.minimum(self.sizes, n) >= percent * np.maximum(self.sizes, n)
+        if allowed is not None:
+            ok &= allowed
+        if not ok.any():
+            return []
+        need = -(-percent * (n + self.sizes) // (100 + percent))
+        at = np.minimum(np.searchsorted(self.tokens, query), len(self.tokens) - 1)
+        at = at[self.tokens[at] == query]
+        lists = [self.rows[a:b] for a, b in zip(self.start[at], self.end[at])]
+        if not ok.all():
+            lists = [x[ok[x]] for x in lists]
+        return [k for k, m in divide_skip(lists, int(need[ok].min())).items() if m >= need[k]]
+
+
 def search(query: np.ndarray, nodes: list[np.ndarray], percent: int) -> list[int]:
-    """Rows of ``nodes`` whose sets link with ``query``, by T-occurrence over their inverted lists."""
-    need = lambda n: -(-percent * (len(query) + n) // (100 + percent))
-    rows = [k for k, s in enumerate(nodes) if 100 * min(len(s), len(query)) >= percent * max(len(s), len(query))]
-    if not rows:
-        return []
-    items = np.concatenate([nodes[k] for k in rows])
-    owner = np.repeat(np.array(rows), [len(nodes[k]) for k in rows])
-    at = np.minimum(np.searchsorted(query, items), len(query) - 1)
-    own = query[at] == items                          # other shingles' lists are never asked for
-    at, owner = at[own], owner[own]
-    order = np.lexsort((owner, at))
-    at, owner = at[order], owner[order]
-    cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
-    found = divide_skip(np.split(owner, cut[1:]) if len(at) else [], min(need(len(nodes[k])) for k in rows))
-    return [k for k, n in found.items() if n >= need(len(nodes[k]))]
-
-
-def search_pairs(pairs: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links (a, b) among pairs (q, c) of nodes: each query's candidates, in blocks, are one search."""
-    ship_package(pairs.sparkSession)
-    degree = pairs.groupBy("q").agg(F.count("*").alias("deg"))
-    blocked = pairs.join(degree, "q").withColumn(
-        "part", F.pmod(F.xxhash64("c"), F.ceil(F.col("deg") / block))).select("q", "c", "part")
-    cand = blocked.join(sets, blocked.c == sets.node).select("q", "part", F.lit(1).alias("kind"), "node", "items")
-    asked = blocked.select("q", "part").distinct()
-    query = asked.join(sets, asked.q == sets.node).select("q", "part", F.lit(0).alias("kind"), "node", "items")
+    """Rows of ``nodes`` whose sets link with ``query``."""
+    return Inverted(nodes).search(query, percent)
+
+
+def search_blocks(asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of searches.
+
+    ``asked``: rows (list, qb, ib, node, comp, query, member).  Rows of one (list, qb, ib) are one
+    task's work: an index over the members' sets, searched for every query among the members
+    of other components.
+    """
+    ship_package(asked.sparkSession)
+    asked = cut_lineage(asked)
+    rows = sets.join(small(asked), "node").select("list", "qb", "ib", "node", "comp", "query", "member", "items")
 
     def run(batches):
-        key, q, nodes, items = None, None, [], []
+        key, held = None, []
 
         def links():
-            return [(key[0], nodes[k]) for k in search(q, items, percent)] if q is not None else []
+            members = [(node, comp, s) for node, comp, _, member, s in held if member]
+            queries = [(node, comp, s) for node, comp, query, _, s in held if query]
+            if not members or not queries:
+                return []
+            index, comps = Inverted([s for *_, s in members]), np.array([c for _, c, _ in members])
+            return [(node, members[k][0]) for node, comp, s in queries for k in index.search(s, percent, comps != comp)]
 
         for b in batches:
             out = []
-            for at, part, kind, node, data in zip(*(c.to_pylist() for c in b.columns)):
-                if (at, part) != key:
-                    if items:
-                        out += links()
-                    key, q, nodes, items = (at, part), None, [], []
-                if kind == 0:
-                    q = np.frombuffer(data, "<u8")
-                else:
-                    nodes.append(node)
-                    items.append(np.frombuffer(data, "<u8"))
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[:3] != key:
+                    out += links()
+                    key, held = row[:3], []
+                held.append((*row[3:7], np.frombuffer(row[7], "<u8")))
             yield to_batch(out, _LINK)
-        if items:
-            yield to_batch(links(), _LINK)
+        yield to_batch(links(), _LINK)
 
-    return query.union(cand).repartition("q", "part").sortWithinPartitions("q", "part", "kind") \
-        .mapInArrow(run, "a long, b long")
+    return rows.repartition("list", "qb", "ib").sortWithinPartitions("list", "qb", "ib") \
+        .mapInArrow(run, "a long, b long").where("a is not null")
 
 
 # -- rounds -----------------------------------------------------------------------
@@ -285,68 +373,74 @@ def node_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 s = shingles(hashes, text, width)
                 yield node_of(s), len(s), s.astype("<u8").tobytes()
         return run
-    texts = docs.join(wanted, "doc_id", "left_semi").select("text")
-    return map_rows(texts, make, _NODE_SET, "node long, n long, items binary", weigh=lambda r: len(r[2])) \
-        .dropDuplicates(["node"])
+    texts = docs.join(small(wanted), "doc_id", "left_semi").select("text")
+    return map_rows(texts, make, _NODE_SET, "node long, n long, items binary", weigh=lambda r: len(r[2]))
 
 
-def link_nodes(docs: DataFrame, meta: DataFrame, width: int, percent: int, rounds: int, block: int) -> DataFrame:
-    """(node, comp) of all nodes that link with another."""
+def link_nodes(docs: DataFrame, scanned: DataFrame, width: int, percent: int, block: int, short_list: int,
+               shared: int) -> DataFrame:
+    """(node, comp) of all nodes that link with another (scanned: what ``first_pass`` returns)."""
     spark = docs.sparkSession
-    order = spark.sparkContext.broadcast(sketch(docs, width))
-    path = scratch_path(spark, "lists")
-    shared_lists(prefixes(docs.select("text"), order, width, percent)).write.parquet(path)
-    lists = spark.read.parquet(path)
+    order = spark.sparkContext.broadcast(order_of(scanned))
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    path = scratch_path(spark, "meetings")
+    meetings(docs, order, width, percent, max(8, -(-size // _PART_BYTES)), short_list, shared).write.parquet(path)
+    met = spark.read.schema(_MEETINGS_SQL).parquet(path)
+    lists = cut_lineage(met.where("list <> 0").dropDuplicates(["list", "node"]).select("list", "node", "n"))
+    # T-occurrence on prefixes: a pair that meets in short lists only must meet in enough of them
+    few = cut_lineage(met.where("list = 0").groupBy("node", "other").agg(F.sum("w").alias("w"), F.max("n").alias("n"))
+                      .where(f"w >= least({shared}, ceil({percent} * n / 100))").select(F.col("node").alias("q"), F.col("other").alias("node")))
+    meta = scanned.where("node is not null")
     one = meta.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = one.join(lists.select("node").distinct(), "node", "left_semi").select("doc_id")
+    nodes = lists.select("node").union(few.select("node")).union(few.select(F.col("q").alias("node"))).distinct()
+    wanted = cut_lineage(one.join(nodes, "node", "left_semi").select("doc_id"))
     path = scratch_path(spark, "sets")
     node_sets(docs.where("doc_id is not null"), wanted, width).write.parquet(path)
     sets = spark.read.schema("node long, n long, items binary").parquet(path)
     # how many meetings a node has: the middle of a group of copies has most
     meets = lists.join(lists.groupBy("list").agg(F.count("*").alias("m")), "list").groupBy("node").agg(F.sum("m").alias("meets"))
-    left = lists.join(meets, "node").withColumn("comp", F.col("node"))
-    links = spark.createDataFrame([], "a long, b long")
-    fits = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
-    for k in range(rounds + 1):
-        left = cut_lineage(left)
-        by_list = Window.partitionBy("list")
-        if k < rounds:
-            # the query of each list; later ones come from outside the list's largest component
-            first = left.groupBy("list", "comp").agg(F.count("*").alias("size"), F.max(F.struct("meets", "node", "n")).alias("best")) \
-                .groupBy("list").agg((F.max_by("best", F.struct("size", "best")) if k == 0 else F.min_by("best", F.struct("size", "best"))).alias("best")) \
-                .select("list", F.col("best.node").alias("q"), F.col("best.n").alias("n2"))
-            met = left.join(first, "list").where("node <> q")
-            pairs = met.where(fits).select("q", F.col("node").alias("c"), "comp")
-            rest = met.drop("q", "n2")
-        else:
-            largest = left.groupBy("list", "comp").agg(F.count("*").alias("size")) \
-                .groupBy("list").agg(F.max_by("comp", F.struct("size", "comp")).alias("big"))
-            few = left.join(largest, "list").where("comp <> big") \
-                .select("list", F.col("node").alias("q"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-            pairs = left.join(few, "list").where(f"comp <> comp2 and {fits}").select("q", F.col("node").alias("c"), "comp")
-            rest = None
-        found = search_pairs(pairs.select("q", "c").distinct(), sets, percent, block)
-        links = cut_lineage(links.union(found))
-        if rest is None:
-            break
-        names = components(links)
-        now = rest.drop("comp").join(names, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        left = now.withColumns({"lo": F.min("comp").over(by_list), "hi": F.max("comp").over(by_list)}).where("lo <> hi").drop("lo", "hi")
-        left = cut_lineage(left)
-        if left.isEmpty():
-            return names
-    return components(links)
-
-
-def similarity_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, rounds: int = ROUNDS,
-                      block: int = BLOCK) -> DataFrame:
+    left = cut_lineage(lists.join(meets, "node").withColumn("comp", F.col("node")))
+    # round 1: of each list the node that meets most others is searched for among its other nodes;
+    # lists with one such node are searched together
+    best = left.groupBy("list").agg(F.max(F.struct("meets", "node")).alias("best")).select("list", F.col("best.node").alias("q"))
+    met = left.join(best, "list")
+    pairs = cut_lineage(met.where("node <> q").select("q", "node").union(few).distinct())
+    blocks = pairs.groupBy("q").agg(F.ceil(F.count("*") / block).alias("k"))
+    star = pairs.join(blocks, "q").select(F.col("q").alias("list"), F.lit(0).alias("qb"), F.pmod(F.xxhash64("node"), F.col("k")).alias("ib"),
+                                          "node", F.col("node").alias("comp"), F.lit(False).alias("query"), F.lit(True).alias("member"))
+    asks = blocks.select(F.col("q").alias("list"), F.lit(0).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("ib"),
+                         F.col("q").alias("node"), F.col("q").alias("comp"), F.lit(True).alias("query"), F.lit(False).alias("member"))
+    links = cut_lineage(search_blocks(star.union(asks), sets, percent))
+    names = components(links)
+    # round 2: what is left of each list, unless it is one component; nodes outside its largest
+    # component are searched for among all of it
+    left = met.where("node <> q").select("list", "node").join(names, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    size = left.groupBy("list", "comp").agg(F.count("*").alias("size"))
+    largest = size.groupBy("list").agg(F.max_by("comp", F.struct("size", "comp")).alias("big"), F.sum("size").alias("all"),
+                                       F.max("size").alias("most")).where("most < all")
+    left = left.join(largest, "list").withColumns({
+        "qk": F.ceil((F.col("all") - F.col("most")) / block), "ik": F.ceil(F.col("all") / block),
+        "query": F.col("comp") != F.col("big")})
+    # a node is a member in one index block, met by every query block, and a query in one block, met by every index block
+    qb, ib = F.pmod(F.xxhash64("node"), F.col("qk")), F.pmod(F.xxhash64("node", F.lit(1)), F.col("ik"))
+    members = left.select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qk") - 1)).alias("qb"), ib.alias("ib"), "node", "comp",
+                          F.lit(False).alias("query"), F.lit(True).alias("member"))
+    queries = left.where("query").select("list", qb.alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ik") - 1)).alias("ib"),
+                                         "node", "comp", F.lit(True).alias("query"), F.lit(False).alias("member"))
+    more = cut_lineage(search_blocks(members.union(queries), sets, percent))
+    return components(links.union(more)) if not more.isEmpty() else names
+
+
+def similarity_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK,
+                      short_list: int = SHORT_LIST, shared: int = SHARED) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every document."""
     spark = docs.sparkSession
     own = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     path = scratch_path(spark, "shingle-sets")
-    sets_of(own, width).write.parquet(path)
-    meta = spark.read.schema("doc_id long, n long, node long").parquet(path)
-    names = link_nodes(own, meta.where("node is not null"), width, percent, rounds, block)
+    first_pass(own, width).write.parquet(path)
+    scanned = spark.read.schema(_SETS_SQL).parquet(path)
+    meta = scanned.where("chunk is null").select("doc_id", "n", "node")
+    names = link_nodes(own, scanned, width, percent, block, short_list, shared)
     low = meta.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low")) \
         .join(names, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = low.groupBy("comp").agg(F.min("low").alias("component_id"))
@@ -368,7 +462,7 @@ def keep_one_of_each_group(docs: DataFrame, **settings) -> DataFrame:
     again = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1").select("doc_id")
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     key, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
-    kept = plain.join(gone, plain[key] == gone.doc_id, "left_anti")
+    kept = plain.join(small(gone), plain[key] == gone.doc_id, "left_anti")
     if not again.isEmpty():
         kept = kept.join(again, kept[key] == again.doc_id, "left_anti").union(
             kept.join(again, kept[key] == again.doc_id, "left_semi").dropDuplicates([key, text]))
