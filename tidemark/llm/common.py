@@ -46,12 +46,13 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list], Iterator[tuple]]
         rows: list[tuple] = []
         size = 0
         for b in batches:
-            for row in fn([c.to_pylist() for c in b.columns]):
-                rows.append(row)
-                size += weigh(row) if weigh else 64
-                if size >= FLUSH_BYTES or len(rows) >= 4096:
-                    yield to_batch(rows, schema)
-                    rows, size = [], 0
+            for at in range(0, b.num_rows, 1000):
+                for row in fn([c.to_pylist() for c in b.slice(at, 1000).columns]):
+                    rows.append(row)
+                    size += weigh(row) if weigh else 64
+                    if size >= FLUSH_BYTES or len(rows) >= 4096:
+                        yield to_batch(rows, schema)
+                        rows, size = [], 0
         if rows:
             yield to_batch(rows, schema)
     return df.mapInArrow(run, spark_schema)
