@@ -265,6 +265,32 @@ def test_pipeline_equals_stages_by_hand(spark, tmp_path):
     assert collections.Counter((d, tuple(i for _, p in sorted(x) for i in p)) for d, x in parts.items()) == want
 
 
+FOREIGN = [
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem "
+    "i powinni postępować wobec innych w duchu braterstwa.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, "
+    "ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı "
+    "kardeşlik zihniyeti ile hareket etmelidirler.",
+    "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza e "
+    "devono agire gli uni verso gli altri in spirito di fratellanza.",
+]
+
+
+def test_pipeline_drops_foreign_texts_in_latin_script(spark):
+    """Texts in no learned language go, though their letters are those of the learned ones; short known texts stay."""
+    import corpus_pipeline
+    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    short = base.where("lang = 'en'").orderBy("doc_id").limit(3).collect()
+    extra = [(10**6 + i, t, None, "x", len(t)) for i, t in enumerate(FOREIGN)]
+    extra += [(2 * 10**6 + i, r.text[:40], None, "x", 40) for i, r in enumerate(short)]
+    docs = base.union(spark.createDataFrame(extra, base.schema))
+    ids = {r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, docs, SF).select("doc_id").collect()}
+    assert not {10**6 + i for i in range(len(FOREIGN))} & ids
+    assert {2 * 10**6 + i for i in range(len(short))} <= ids
+    assert len(ids) >= 0.999 * base.count()
+
+
 def test_stages_keep_the_columns(spark):
     import corpus_pipeline
     docs = spark.read.parquet(f"{SF}/documents.parquet")

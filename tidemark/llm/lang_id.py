@@ -135,9 +135,13 @@ class Ranker:
 
     def identify(self, text: str | None) -> tuple[str, float, float]:
         """Language, score (1: the profile itself, 0: nothing in common), lead over the next language."""
+        return self.measure(text)[:3]
+
+    def measure(self, text: str | None) -> tuple[str, float, float, int]:
+        """What ``identify`` returns, and the text's length class: the bits of its number of ranked n-grams."""
         codes, n = np.unique(gram_codes(text), return_counts=True)
         if not len(codes) or not self.langs:
-            return UNKNOWN, 0.0, 0.0
+            return UNKNOWN, 0.0, 0.0, 0
         top = codes[np.argsort(-n, kind="stable")[:self.size]]
         at = np.searchsorted(self.codes, top)
         at[self.codes[np.minimum(at, len(self.codes) - 1)] != top] = len(self.codes)
@@ -146,7 +150,7 @@ class Ranker:
         best = int(np.argmin(away))
         worst = self.size * len(top)
         lead = np.delete(away, best).min() - away[best] if len(away) > 1 else worst
-        return self.langs[best], float(1 - away[best] / worst), float(lead / worst)
+        return self.langs[best], float(1 - away[best] / worst), float(lead / worst), len(top).bit_length()
 
 
 def identify_languages(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE_SIZE) -> DataFrame:
@@ -159,26 +163,61 @@ def identify_languages(docs: DataFrame, profiles: dict[str, list[int]], size: in
     return map_rows(rows, make, _PRED, "doc_id long, lang_pred string, score double, margin double")
 
 
-#: Below this score a text resembles none of the learned languages (their texts score 0.4 and more).
+#: Below this score a text resembles none of the learned languages, whatever their own texts score.
 LEAST_SCORE = 0.2
+#: Words in the first so many characters of a training text teach what short texts score.
+BEGINNINGS = (8, 32, 128)
+#: Training scores from which a cut is learned, their low quantile, and the margin below it as a
+#: share of the way from there to the median.
+LEAST_SCORES = 10
+LOW = 0.001
+MARGIN = 0.25
+
+_SCORES = pa.schema([("lang", pa.string()), ("length", pa.int64()), ("score", pa.float64())])
+
+
+def learn_cuts(labelled: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE_SIZE) -> dict[tuple[str, int], float]:
+    """{(language, length class): least score of its texts}, from the scores of the training texts and of their
+    beginnings; short texts score more unevenly, so their cuts are lower."""
+    def make():
+        ranker = Ranker(profiles, size)
+
+        def run(cols):
+            for (text,) in zip(*cols):
+                for part in (text, *(" ".join(text[:n].split()[:-1]) for n in BEGINNINGS if n < len(text))):
+                    lang, score, _, length = ranker.measure(part)
+                    if length:
+                        yield lang, length, score
+        return run
+
+    rows = pick(labelled, "text", "lang").where("text is not null and lang is not null").select("text")
+    found = map_rows(rows, make, _SCORES, "lang string, length long, score double").groupBy("lang", "length") \
+        .agg(F.count("*").alias("n"), F.percentile_approx("score", [LOW, 0.5]).alias("q")).where(F.col("n") >= LEAST_SCORES)
+    return {(r.lang, r.length): r.q[0] - MARGIN * (r.q[1] - r.q[0]) for r in found.collect()}
+
+
+def cut_of(cuts: dict[tuple[str, int], float], lang: str, length: int, least: float = LEAST_SCORE) -> float:
+    """The cut of a length class, or of the next shorter one that has one; never below ``least``."""
+    return max(least, next((cuts[lang, k] for k in range(length, 0, -1) if (lang, k) in cuts), least))
 
 
 def keep_known_languages(docs: DataFrame, least: float = LEAST_SCORE, size: int = PROFILE_SIZE) -> DataFrame:
     """The rows whose text is in a learned language, columns as they are; a null lang is filled in.
 
-    Profiles are learned from the rows that have text and lang.  Rows without a letter, or
-    that resemble no learned language, go.
+    Profiles, and the least score of each language's texts, are learned from the rows that have
+    text and lang.  Rows without a letter, or that resemble no learned language, go.
     """
     profiles = learn_profiles(docs, size)
+    cuts = learn_cuts(docs, profiles, size)
     text_at, lang_at = docs.columns.index("text"), docs.columns.index("lang")
 
     def make():
         ranker = Ranker(profiles, size)
 
         def run(b):
-            found = [ranker.identify(t) for t in b.column(text_at).to_pylist()]
+            found = [ranker.measure(t) for t in b.column(text_at).to_pylist()]
             lang = [old if old is not None else new for old, (new, *_) in zip(b.column(lang_at).to_pylist(), found)]
-            keep = [name != UNKNOWN and score >= least for name, score, _ in found]
+            keep = [name != UNKNOWN and score >= cut_of(cuts, name, length, least) for name, score, _, length in found]
             return replace(b, lang_at, lang).filter(pa.array(keep))
         return run
 
