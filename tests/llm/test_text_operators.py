@@ -378,6 +378,30 @@ def test_licences(text, want):
     assert [m[0] for m in license_rules.scan(text)[2]] == want
 
 
+@pytest.mark.parametrize("text, want", [
+    ("Released under the MIT License and under the GNU General Public License, version 3.", ["MIT", "GPL-3"]),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", ["mit or apache-2.0"]),
+    ("// SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause\nint x;", ["(mit or apache-2.0) and bsd-3-clause"]),
+    ("/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) */", ["gpl-2.0-only with linux-syscall-note"]),
+    ("# SPDX-License-Identifier: MIT and see the file LICENSE\nx", ["mit"]),
+    ("Released under the MIT License\nLicensed under CC BY-NC 4.0", ["MIT", "CC-BY-NC-4.0"]),
+    ("GNU General Public License, version 2 and GNU Lesser General Public License, version 2.1 or any later version",
+     ["GPL-2", "LGPL-2.1-or-later"]),
+    ("# Copyright (c) Somebody\n# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of it", ["MIT"]),
+    ("some words\nMIT License\nmore words", ["MIT"]),
+    ("the MIT License of words", ["MIT"]), ("some MIT License of words", []),
+    ("This is free and unencumbered software released into the public domain.", ["Unlicense"]),
+])
+def test_a_sentence_may_name_many_licences(text, want):
+    assert [m[0] for m in license_rules.scan(text)[2]] == want
+
+
+def test_many_licences_in_one_sentence_take_linear_time():
+    for t in ("gnu general public license ", "neither the name of\n", "the mit license\n", "SPDX-License-Identifier: MIT ",
+              "this software is provided by the\n"):
+        license_rules.scan(t * 10_000)
+
+
 def test_rules_need_their_order():
     parts = [p for p in MIT.split("\n\n")]
     backwards = "\n\n".join(reversed(parts[2:]))

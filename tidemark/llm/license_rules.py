@@ -2,10 +2,11 @@
 
 A text is cut into sentences (comment leaders go, a line end is a blank, an empty line ends a
 sentence) and each is normalised: lower case, quotes and marks dropped, blanks folded.
-Sentence patterns map a normalised sentence to the identifier of a known licence sentence;
-licence rules are ordered sequences of identifiers and name a licence when all of a
+Sentence patterns map a normalised sentence to the identifiers of the licences it names, in
+order; one that lies inside another's words is part of it.  Patterns for the start of a sentence
+also hold at the start of a line; an SPDX expression is taken whole, to its line's end at most.  Licence rules are ordered sequences of identifiers and name a licence when all of a
 rule's sentences follow one another (at most ``MAX_GAP`` unknown sentences between two of
-them).  Rules are tried from the longest, and a sentence serves one match only.
+them).  Rules are tried from the longest, and an identifier found serves one match only.
 
 The tables are this module's own: common notices and the defining sentences of common licences.
 
@@ -17,6 +18,7 @@ gives no row; null ids are kept.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right, insort
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,12 +29,17 @@ from .common import map_rows, pick
 #: Unknown sentences that may stand between two sentences of a rule.
 MAX_GAP = 3
 
-#: Fixed values: (identifier, pattern over a normalised sentence).
+#: Words up to the next licence's name.
+_WITHIN = (r"(?:(?!\bgnu (?:general|lesser|library|affero) |\bapache licen|\bmozilla public|\beclipse public|"
+           r"\b(?:mit|bsd|isc) licen|\bcreative commons\b).)")
+
+#: Fixed values: (identifier, pattern over a normalised sentence; spdx: over a line in its own case).
 SENTENCES = [
-    ("spdx", r"\bspdx[- ]license[- ]identifier:? ?(?P<name>[a-z0-9.+-]+)"),
-    ("lgpl", r"\bgnu (lesser|library) general public licen[sc]e(,? (version|v) ?(?P<version>[\d.]+))?(?P<later>.*\bany later version\b)?"),
-    ("agpl", r"\bgnu affero general public licen[sc]e(,? (version|v) ?(?P<version>[\d.]+))?(?P<later>.*\bany later version\b)?"),
-    ("gpl", r"\bgnu general public licen[sc]e(,? (version|v) ?(?P<version>[\d.]+))?(?P<later>.*\bany later version\b)?"),
+    ("spdx", r"(?i:\bspdx[- ]license[- ]identifier:? ?)"
+             r"(?P<name>_( (OR|AND|WITH) _)+|_( (?i:or|and|with) _)+(?=[ .!?;:,/-]*$)|_)".replace("_", r"\({0,9}[A-Za-z0-9.+:-]+\){0,9}")),
+    ("lgpl", r"\bgnu (lesser|library) general public licen[sc]e(,? (version|v) ?(?P<version>[\d.]+))?(?P<later>_*\bany later version\b)?".replace("_", _WITHIN)),
+    ("agpl", r"\bgnu affero general public licen[sc]e(,? (version|v) ?(?P<version>[\d.]+))?(?P<later>_*\bany later version\b)?".replace("_", _WITHIN)),
+    ("gpl", r"\bgnu general public licen[sc]e(,? (version|v) ?(?P<version>[\d.]+))?(?P<later>_*\bany later version\b)?".replace("_", _WITHIN)),
     ("later", r"\bany later version\b"),
     ("apache", r"\bapache licen[sc]e(,? (version|v) ?(?P<version>[\d.]+))?"),
     ("mpl", r"\bmozilla public licen[sc]e(,? (version|v)[. ]?(?P<version>[\d.]+))?"),
@@ -55,8 +62,8 @@ SENTENCES = [
     ("bsd_source", r"^(\d\.? )?redistributions of source code must retain\b"),
     ("bsd_binary", r"^(\d\.? )?redistributions in binary form must reproduce\b"),
     ("bsd_ads", r"^(\d\.? )?all advertising materials mentioning features\b"),
-    ("bsd_names", r"^(\d\.? )?neither the names? of\b.*\bmay be used to endorse or promote products\b"),
-    ("bsd_as_is", r"^this software is provided by the .* as is and any express or implied warranties\b"),
+    ("bsd_names", r"^(\d\.? )?neither the names? of\b(?:(?!\bneither the name).)*\bmay be used to endorse or promote products\b"),
+    ("bsd_as_is", r"^this software is provided by the (?:(?!\bthis software is).)* as is and any express or implied warranties\b"),
     ("zlib_as_is", r"^this software is provided as-?is,? without any express or implied warranty\b"),
     ("zlib_grant", r"^permission is granted to anyone to use this software for any purpose\b"),
     ("zlib_origin", r"^(\d\.? )?the origin of this software must not be misrepresented\b"),
@@ -99,12 +106,18 @@ RULES = [
 TRIGGERS = re.compile(r"licen[sc]e|public domain|permission|redistribution|provided|later version|copyright|"
                       r"advertising|neither|misrepresented|creative commons|rights reserved|under (?:a |the )?cc")
 
-_PATTERNS = [(name, re.compile(p)) for name, p in SENTENCES]
+_SPDX = re.compile(SENTENCES[0][1])
+#: Patterns that hold anywhere, and those for a line's start (with its end, where they ask for it).
+_ANYWHERE = [(name, re.compile(p.split("|^")[0])) for name, p in SENTENCES[1:] if p[0] != "^"]
+_AT_START = [(name, re.compile(re.sub(r"\$$", r"[ .!?;:,/-]*$", x)), x[-1] == "$")
+             for name, p in SENTENCES[1:] for x in ("|" + p).split("|^")[1:]]
 _ORDERED = sorted(RULES, key=lambda r: -len(r[1]))
 _BREAK = re.compile(r"[.!?][\"')\]]*(?=\s|$)|\n[^\S\n]*[/#*;%>-]*[^\S\n]*(?=\n)|:[^\S\n]*\n")
 _LEADER = re.compile(r"\n[^\S\n]*(?://+|#+|\*+/?|;+|%+|--|>+|/\*+)?")
 _DROP = re.compile(r"[\"'“”‘’`()\[\]*]")
+_DROP_IN_SPDX = re.compile(r"[\"'“”‘’`\[\]*]")
 _SPACE = re.compile(r"\s+")
+_WORD = re.compile(r"[^ .!?;:,/-]|$")
 
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_sentences", pa.int64()), ("n_known", pa.int64()),
                     ("matches", pa.list_(pa.struct([("license", pa.string()), ("start", pa.int64()),
@@ -125,18 +138,55 @@ def sentences_of(text: str):
         at = end
 
 
-def normalise(sentence: str) -> str:
-    s = _LEADER.sub(" ", "\n" + sentence.lower())
-    return _SPACE.sub(" ", _DROP.sub("", s)).strip(" .!?;:,-/")
-
-
-def identify(sentence: str):
-    """(identifier, named groups) of a normalised sentence, or None: the first pattern that fits."""
-    for name, p in _PATTERNS:
-        m = p.search(sentence)
-        if m:
-            return name, {k: v.rstrip(".") if v else "" for k, v in m.groupdict().items()}
-    return None
+def _fold(line: str, drop: re.Pattern) -> str:
+    return _SPACE.sub(" ", drop.sub("", _LEADER.sub(" ", "\n" + line))).strip()
+
+
+def identify(sentence: str) -> list[tuple[str, dict[str, str]]]:
+    """(identifier, named groups) of all that a sentence names, in order."""
+    found, parts, lines, at = [], [], [], 0          # found: (start, -end, number, identifier, groups)
+    for line in sentence.split("\n"):
+        low = _fold(line.lower(), _DROP)
+        if not low:
+            continue
+        parts.append(low)
+        lines.append((at + _WORD.search(low).start(), at + len(low)))
+        if "spdx" in low:
+            for m in _SPDX.finditer(_fold(line, _DROP_IN_SPDX)):
+                start = at + max(low.find("spdx"), 0) + m.start()
+                found.append((start, -start - 1, len(found), "spdx", {"name": _expression(m["name"])}))
+        at += len(low) + 1
+    text = " ".join(parts)
+    if not TRIGGERS.search(text):
+        return []
+    hits = [(name, m) for name, p in _ANYWHERE for m in p.finditer(text)]
+    for name, p, whole_line in _AT_START:
+        hits += [(name, m) for start, end in lines if (m := p.match(text, start, end if whole_line else len(text)))]
+    for name, m in hits:
+        found.append((m.start(), -m.end(), len(found), name, {k: v.rstrip(".") if v else "" for k, v in m.groupdict().items()}))
+    out, reach = [], -1
+    for _, end, _, name, groups in sorted(found, key=lambda x: x[:3]):
+        if -end > reach:
+            out.append((name, groups))
+            reach = -end
+    return out
+
+
+def _expression(name: str) -> str:
+    """An SPDX expression in lower case, without brackets that don't pair or that hold all of it."""
+    name = name.lower().rstrip(".:")
+    while True:
+        depth, low, closed = 0, 0, []
+        for k, c in enumerate(name):
+            depth += (c == "(") - (c == ")")
+            low = min(low, depth)
+            if c == ")" and depth == 0:
+                closed.append(k)
+        if depth or low < 0:
+            return name.replace("(", "").replace(")", "")
+        if name[:1] != "(" or closed[0] != len(name) - 1:
+            return name
+        name = name[1:-1]
 
 
 def _title(rule: str, groups: dict[str, str]) -> str:
@@ -153,31 +203,33 @@ def scan(text: str | None):
     spans = list(sentences_of(text))
     if not TRIGGERS.search(text.lower()):
         return len(spans), 0, []
-    known = []
-    for k, (a, b) in enumerate(spans):
-        found = identify(normalise(text[a:b]))
-        if found:
-            known.append((k, a, b, *found))
-    used, out = [False] * len(known), []
+    known = [(k, a, b, *found) for k, (a, b) in enumerate(spans) for found in identify(text[a:b])]
+    places: dict[str, list[int]] = {}
+    for i, item in enumerate(known):
+        places.setdefault(item[3], []).append(i)
+    used, out = [], []                               # used: sorted places in known
     for title, wanted in _ORDERED:
-        for first in range(len(known)):
-            got, groups = [], {}
-            for i in range(first, len(known)):
-                if used[i] or got and known[i][0] - known[got[-1]][0] > MAX_GAP + 1:
+        for first in places.get(wanted[0], ()):
+            at = bisect_left(used, first)
+            if used[at:at + 1] == [first]:
+                continue
+            got = [first]
+            for name in wanted[1:]:
+                own, at = places.get(name, ()), bisect_left(used, got[-1])
+                k = bisect_right(own, got[-1])
+                if k == len(own):
                     break
-                if known[i][3] != wanted[len(got)]:
-                    if not got:
-                        break
-                    continue
-                got.append(i)
-                groups = {**known[i][4], **groups}
-                if len(got) == len(wanted):
+                i = own[k]
+                if known[i][0] - known[got[-1]][0] > MAX_GAP + 1 or used[at:at + 1] and used[at] <= i:
                     break
+                got.append(i)
             if len(got) == len(wanted):
+                groups: dict[str, str] = {}
                 for i in got:
-                    used[i] = True
-                out.append((_title(title, groups), known[got[0]][1], known[got[-1]][2], " ".join(wanted)))
-    return len(spans), len(known), sorted(out, key=lambda m: (m[1], m[2], m[0]))
+                    insort(used, i)
+                    groups = {**known[i][4], **groups}
+                out.append((got[0], (_title(title, groups), known[got[0]][1], known[got[-1]][2], " ".join(wanted))))
+    return len(spans), len({k for k, *_ in known}), [m for _, m in sorted(out)]
 
 
 def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
