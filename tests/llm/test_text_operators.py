@@ -420,6 +420,46 @@ def test_every_pattern_has_a_trigger():
         assert TRIGGERS.search(words.lower()) or re.search("licen", pattern), name
 
 
+#: A sentence for each pattern.
+SAMPLES = {
+    "spdx": "spdx license identifier MIT", "lgpl": "GNU Lesser General Public License", "agpl": "GNU Affero General Public License",
+    "gpl": "GNU General Public License", "later": "any later version", "apache": "Apache License", "mpl": "Mozilla Public License",
+    "epl": "Eclipse Public License", "boost": "Boost Software License", "mit": "released under the MIT License",
+    "bsd": "under the 3 clause BSD License", "isc": "under the ISC License", "cc": "available under CC BY 4.0",
+    "ccname": "Creative Commons Attribution", "unlicense": "This is free and unencumbered software released into the public domain",
+    "wtfpl": "do what the fuck you want to public license", "public_domain": "placed in the public domain",
+    "mit_grant": "Permission is hereby granted, free of charge, to any person obtaining a copy",
+    "mit_notice": "The above copyright notice and this permission notice shall be included",
+    "as_is_mit": "The software is provided as is, without warranty of any kind",
+    "isc_grant": "Permission to use, copy, modify, and/or distribute this software for any purpose",
+    "isc_as_is": "The software is provided as is and the author disclaims all warranties",
+    "bsd_intro": "Redistribution and use in source and binary forms", "bsd_source": "Redistributions of source code must retain",
+    "bsd_binary": "Redistributions in binary form must reproduce", "bsd_ads": "All advertising materials mentioning features",
+    "bsd_names": "Neither the name of us may be used to endorse or promote products",
+    "bsd_as_is": "This software is provided by the authors as is and any express or implied warranties",
+    "zlib_as_is": "This software is provided as-is, without any express or implied warranty",
+    "zlib_grant": "Permission is granted to anyone to use this software for any purpose",
+    "zlib_origin": "The origin of this software must not be misrepresented", "rights": "all rights reserved",
+}
+
+
+@pytest.mark.parametrize("name", [n for n, _ in license_rules.SENTENCES])
+def test_every_pattern_is_found_in_wrapped_and_commented_text(name):
+    t = SAMPLES[name]
+    wrapped = [t, t.replace(" ", "\n"), *(t[:i] + "\n" + t[i + 1:] for i, c in enumerate(t) if c == " ")]
+    for w in wrapped:
+        for lead in ("", "# ", " * ", "// ", "> "):
+            text = lead + w.replace("\n", "\n" + lead)
+            assert [x for x, _ in license_rules.identify(text)] == [name], text
+            assert license_rules.scan(text)[1] == 1, text
+
+
+def test_wrapped_notices():
+    found = {"placed in the public\ndomain": "public-domain", "# released into the public\n# domain": "public-domain",
+             "All rights\nreserved.": "all-rights-reserved", "Available under\nCC BY 4.0.": "CC-BY-4.0"}
+    assert {t: license_rules.scan(t)[2][0][0] for t in found} == found
+
+
 def test_licences_equal_plain_search(documents, messy):
     known = {"Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
              "Licensed under the Apache License, Version 2.0.": "Apache-2.0",

@@ -102,9 +102,9 @@ RULES = [
     ("all-rights-reserved", ("rights",)),
 ]
 
-#: Every sentence pattern needs one of these in the lower-cased text.
-TRIGGERS = re.compile(r"licen[sc]e|public domain|permission|redistribution|provided|later version|copyright|"
-                      r"advertising|neither|misrepresented|creative commons|rights reserved|under (?:a |the )?cc")
+#: Every sentence pattern needs one of these words (single ones: a line may end after any of them).
+TRIGGERS = re.compile(r"licen[sc]e|public|permission|redistribution|provided|later|copyright|"
+                      r"advertising|neither|misrepresented|creative|reserved|\bcc\b")
 
 _SPDX = re.compile(SENTENCES[0][1])
 #: Patterns that hold anywhere, and those for a line's start (with its end, where they ask for it).
@@ -159,6 +159,8 @@ def identify(sentence: str) -> list[tuple[str, dict[str, str]]]:
     text = " ".join(parts)
     if not TRIGGERS.search(text):
         return []
+    if not found and "spdx" in text:                 # wrapped: the first name only, as no line end closes an expression
+        found = [(m.start(), -m.end(), k, "spdx", {"name": _expression(m["name"].split(" ")[0])}) for k, m in enumerate(_SPDX.finditer(text))]
     hits = [(name, m) for name, p in _ANYWHERE for m in p.finditer(text)]
     for name, p, whole_line in _AT_START:
         hits += [(name, m) for start, end in lines if (m := p.match(text, start, end if whole_line else len(text)))]
@@ -201,7 +203,7 @@ def scan(text: str | None):
     if not text:
         return 0, 0, []
     spans = list(sentences_of(text))
-    if not TRIGGERS.search(text.lower()):
+    if not TRIGGERS.search(_DROP.sub("", text.lower())):
         return len(spans), 0, []
     known = [(k, a, b, *found) for k, (a, b) in enumerate(spans) for found in identify(text[a:b])]
     places: dict[str, list[int]] = {}
