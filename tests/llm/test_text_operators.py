@@ -63,6 +63,29 @@ def test_word_encoder_equals_library(text):
         assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.tok.encode(text, add_special_tokens=False).ids
 
 
+SPECIAL = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "|>", " ", "  ", "\n", "end", "of é", "日本", "\u00a0"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(SPECIAL), max_size=8))
+def test_word_encoder_equals_a_fresh_library(parts):
+    from tokenizers import Tokenizer
+    for path in (BYTE, WORD):
+        if path not in _FRESH:
+            _FRESH[path] = Tokenizer.from_file(path)
+        text = "".join(parts)
+        want = _FRESH[path].encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(token_cache.encoder(path).encode(text), "<u4").tolist() == want
+
+
+_FRESH = {}
+
+
+def test_added_tokens_have_their_ids():
+    for path, want in ((BYTE, [437, 220, 50256, 286]), (WORD, [806, 49407, 539])):
+        assert np.frombuffer(token_cache.encoder(path).encode("end <|endoftext|> of"), "<u4").tolist() == want
+
+
 def test_word_encoder_with_small_table(monkeypatch, documents):
     monkeypatch.setattr(token_cache, "GENERATION", 50)
     enc = token_cache.WordEncoder(BYTE)

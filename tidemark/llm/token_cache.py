@@ -3,14 +3,16 @@
 Byte-level and word-end BPE split a text at white space before merging, so the ids of a
 text are those of its words one after another.  Words repeat far more often than texts,
 so each task keeps the ids of the words it has met (a bounded table in two
-generations) and asks the library's model only for new ones.  A text with white space other
-than blank, tab and line ends goes to the library whole.
+generations) and asks the library's model only for new ones.  A text that holds an added token's
+string, or white space other than blank, tab and line ends, goes to the library whole.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
+from itertools import takewhile
+from os.path import commonprefix
 
 import numpy as np
 import regex
@@ -57,13 +59,16 @@ class _Table(dict):
 class WordEncoder:
     """Ids as little-endian unsigned 32-bit integers in one bytes object per text.
 
-    Special tokens' strings in a text are ordinary text, and none is added.
+    They are those of the library's ``encode(text, add_special_tokens=False)``.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        # the strings of added tokens, in any case (a normaliser may fold it), and how all of them begin
+        added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE)
+        self.added_start = "".join(takewhile(lambda c: c in _MARKS, commonprefix(added)))
         self.model, self.splitter = self.tok.model, self.tok.pre_tokenizer
         # with a normaliser that folds white space, blanks belong to no word
         self.drops_space = self.tok.normalizer is not None
@@ -111,7 +116,7 @@ class WordEncoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _OTHER_SPACE.search(text):
+        if _OTHER_SPACE.search(text) or self.added_start in text and self.added.search(text):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if self.drops_space:
             return b"".join(map(self.first.__getitem__, text.split()))
