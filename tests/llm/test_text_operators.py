@@ -159,6 +159,15 @@ def test_piece_round_trip(messy):
     assert piece_bpe.piece_round_trip(messy.limit(0), PIECE).collect() == []
 
 
+def test_a_difference_in_any_text_raises():
+    m = piece_bpe.PieceModel(PIECE)
+    texts = ["The quick brown fox"] * 3 + ["of another word"]
+    assert len(list(piece_bpe.checked(m, [1, 2, 3, 4], texts))) == 4
+    m.after_blank["another"] = m.after_blank["other"]
+    with pytest.raises(ValueError, match="document 4"):
+        list(piece_bpe.checked(m, [1, 2, 3, 4], texts))
+
+
 # -- languages ------------------------------------------------------------------
 
 

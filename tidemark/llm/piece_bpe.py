@@ -9,7 +9,7 @@ No piece of such a vocabulary holds a word mark after another character, so no j
 crosses the start of a word: a text's ids are its words' ids in order, and each task keeps
 those of the words it has met.  Both facts are read off the file when it is opened.
 
-Of every Arrow batch, each ``check_every``-th text is also encoded and decoded by the
+Every text (of a slice of rows, each ``check_every``-th) is also encoded and decoded by the
 sentencepiece library, and a difference raises.
 
 Null text is empty (begin and end ids only); null doc ids and repeated rows are encoded like
@@ -123,22 +123,24 @@ def model(path: str) -> PieceModel:
     return _OPEN[path]
 
 
-def piece_round_trip(docs: DataFrame, model_path: str, check_every: int = 64,
+def checked(m: PieceModel, docs: list, texts: list, check_every: int = 1):
+    """(doc, ids, decoded) of each text; raises where the library's differ."""
+    for k, (doc, text) in enumerate(zip(docs, texts)):
+        ids = m.encode(text)
+        decoded = m.decode(ids)
+        if k % check_every == 0:
+            theirs = m.library.encode(text or "", add_bos=True, add_eos=True)
+            if np.frombuffer(ids, "<u4").tolist() != theirs or decoded != m.library.decode(theirs):
+                raise ValueError(f"document {doc}: ids differ from the sentencepiece library's")
+        yield doc, ids, decoded
+
+
+def piece_round_trip(docs: DataFrame, model_path: str, check_every: int = 1,
                      id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: its ids and the text decoded from them."""
     def make():
         m = model(model_path)
-
-        def run(cols):
-            for k, (doc, text) in enumerate(zip(*cols)):
-                ids = m.encode(text)
-                decoded = m.decode(ids)
-                if k % check_every == 0:
-                    theirs = m.library.encode(text or "", add_bos=True, add_eos=True)
-                    if np.frombuffer(ids, "<u4").tolist() != theirs or decoded != m.library.decode(theirs):
-                        raise ValueError(f"document {doc}: ids differ from the sentencepiece library's")
-                yield doc, ids, decoded
-        return run
+        return lambda cols: checked(m, *cols, check_every)
 
     rows = pick(docs, id_column, text_column).selectExpr(f"cast({id_column} as long) {id_column}", text_column)
     return map_rows(rows, make, _ARROW, SCHEMA, weigh=lambda r: 64 + len(r[1]) + len(r[2]))
