@@ -148,3 +148,11 @@ def op3_skip_chain_personal_data(spark, sf_dir):
     many = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *many, F.sha2(joined("base"), 256).alias("base_sha256"),
                         joined("concat(base, added)").alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
+@query
+def op11_suffix_array_repeats(spark, sf_dir):
+    from .repeats import remove_repeats
+    found = remove_repeats(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), "n_spans",
+                        F.sha2(F.col("kept"), 256).alias("kept_sha256"))
