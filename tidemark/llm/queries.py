@@ -156,3 +156,35 @@ def op11_suffix_array_repeats(spark, sf_dir):
     found = remove_repeats(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), "n_spans",
                         F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+@query
+def op12_fill_in_middle(spark, sf_dir):
+    from .fill_middle import fill_in_middle, restored
+    rows = fill_in_middle(read_table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+                       digest(restored(F.col("form"), F.col("output"))).alias("restored_sha256"))
+
+
+SQL["op12_fill_in_middle"] = """
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS d FROM documents),
+    h AS (SELECT doc_id, text, length(text) AS n,
+                 CAST('0x' || substr(d, 1, 8) AS BIGINT) % (length(text) + 1) AS a,
+                 CAST('0x' || substr(d, 9, 8) AS BIGINT) % (length(text) + 1) AS b,
+                 CAST('0x' || substr(d, 17, 8) AS BIGINT) % 100 AS c,
+                 CAST('0x' || substr(d, 25, 8) AS BIGINT) % 100 AS e
+          FROM t),
+    f AS (SELECT doc_id, text, n, least(a, b) AS a, greatest(a, b) AS b,
+                 CASE WHEN n = 0 OR c >= 90 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain'
+                      WHEN e < 20 THEN 'spm' ELSE 'psm' END AS form
+          FROM h)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+           sha256(CASE form
+               WHEN 'psm' THEN '<P>' || substr(text, 1, a) || '<S>' || substr(text, b + 1) || '<M>' || substr(text, a + 1, b - a)
+               WHEN 'spm' THEN '<S>' || substr(text, b + 1) || '<P>' || substr(text, 1, a) || '<M>' || substr(text, a + 1, b - a)
+               ELSE text END) AS output_sha256,
+           sha256(text) AS restored_sha256
+    FROM f
+"""
