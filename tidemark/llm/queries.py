@@ -188,3 +188,57 @@ SQL["op12_fill_in_middle"] = """
            sha256(text) AS restored_sha256
     FROM f
 """
+
+
+@query
+def op13_periodic_runs(spark, sf_dir):
+    from .periodic_runs import periodic_runs
+    rows = periodic_runs(read_table(spark, sf_dir, "documents"), plant=True)
+    # the greatest exact length / period first, compared crosswise; then the smallest start and period
+    best = F.expr("""get(array_sort(runs, (a, b) -> case
+        when a.length * b.period <> b.length * a.period then if(a.length * b.period > b.length * a.period, -1, 1)
+        when a.start <> b.start then if(a.start < b.start, -1, 1)
+        else cast(a.period - b.period as int) end), 0)""")
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')), '')")
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("r"), F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", "r.start", "r.length", "r.period", F.expr("1000 * r.length div r.period").alias("exponent_milli"),
+        "runs_sha256", "collapsed_sha256")
+
+
+SQL["op13_periodic_runs"] = r"""
+    WITH d AS (
+        SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS o,
+               -- crc32: each character of the id, then eight shifts
+               xor(list_reduce(list_concat([4294967295], flatten(list_transform(
+                       string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))),
+                   lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END),
+                   4294967295) AS h
+        FROM documents),
+    g AS (SELECT doc_id, o, len(o) AS n, h % 10 = 0 AND len(o) > 0 AS changed, (h // 10) % greatest(len(o), 1) AS a, (h // 10) % 8 AS e
+          FROM d),
+    p AS (SELECT *, 1 + (n - a) // (3 + e) AS p FROM g),
+    w AS (SELECT doc_id, n, CASE WHEN changed
+                 THEN list_transform(range(0, n), lambda i: o[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END])
+                 ELSE o END AS words
+          FROM p),
+    u AS (SELECT doc_id, n, unnest(words) AS word, unnest(range(0, n)) AS i FROM w),
+    eq AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM u x JOIN u y
+           ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+    s AS (SELECT doc_id, q, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k, i FROM eq),
+    t AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM s GROUP BY doc_id, q, k
+          HAVING count(*) + q >= greatest(6, 4 * q)),
+    runs AS (SELECT doc_id, start, length, min(q) AS period FROM t GROUP BY doc_id, start, length),
+    best AS (SELECT doc_id, count(*) AS n_runs, first(start ORDER BY length / period DESC, start, period) AS start,
+                    first(length ORDER BY length / period DESC, start, period) AS length,
+                    first(period ORDER BY length / period DESC, start, period) AS period,
+                    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed
+             FROM runs GROUP BY doc_id),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+    c AS (SELECT u.doc_id, string_agg(word, ' ' ORDER BY u.i) AS kept FROM u ANTI JOIN gone ON u.doc_id = gone.doc_id AND u.i = gone.i
+          GROUP BY u.doc_id)
+    SELECT w.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+           sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+    FROM w LEFT JOIN best ON best.doc_id = w.doc_id LEFT JOIN c ON c.doc_id = w.doc_id
+"""
