@@ -133,28 +133,29 @@ def _induce_buckets(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, size: i
 
 def _induce_scan(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, size: int) -> np.ndarray:
     ends = np.cumsum(np.bincount(s, minlength=size))
-    text, is_small = s.tolist(), small.tolist()
-    sa = [-1] * len(text)
+    sa = [-1] * len(s)
     tail = ends.tolist()
-    for i in reversed(seeds.tolist()):
-        c = text[i]
-        tail[c] -= 1
-        sa[tail[c]] = i
+    for i, c in zip(seeds[::-1].tolist(), s[seeds[::-1]].tolist()):
+        tail[c] = at = tail[c] - 1
+        sa[at] = i
+    # the character before each position if its suffix is to be put there, else -1; the last entry is an empty place's
+    before = np.full(len(s) + 1, -1, np.int64)
+    before[1:-1] = np.where(small[:-1], -1, s[:-1])
+    at_large = before.tolist()
+    before[1:-1] = np.where(small[:-1], s[:-1], -1)
+    at_small = before.tolist()
     head = np.append(0, ends[:-1]).tolist()
-    for at in range(len(sa)):
-        i = sa[at] - 1
-        if i >= 0 and not is_small[i]:
-            c = text[i]
-            sa[head[c]] = i
-            head[c] += 1
+    for i in sa:
+        if (c := at_large[i]) >= 0:
+            at = head[c]
+            sa[at] = i - 1
+            head[c] = at + 1
     tail = ends.tolist()
-    for at in range(len(sa) - 1, -1, -1):
-        i = sa[at] - 1
-        if i >= 0 and is_small[i]:
-            c = text[i]
-            tail[c] -= 1
-            sa[tail[c]] = i
-    sa[0] = len(text) - 1
+    for i in reversed(sa):
+        if (c := at_small[i]) >= 0:
+            tail[c] = at = tail[c] - 1
+            sa[at] = i - 1
+    sa[0] = len(s) - 1
     return np.array(sa, np.int64)
 
 
