@@ -342,9 +342,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
     ranges = spark.read.schema(_RANGES_SQL).parquet(path)
 
     gone = known.select("text_a", "text_b", "start", "seg_a", "seg_b").join(ranges, ["seg_a", "seg_b"]) \
-        .select("text_a", "text_b", F.struct((F.col("start") + F.col("first")).alias("a"),
-                                             (F.col("start") + F.col("last") + length).alias("b")).alias("cut")) \
+        .select("text_a", "text_b", F.struct((F.col("start") + F.col("first")).cast("int").alias("a"),
+                                             (F.col("start") + F.col("last") + length).cast("int").alias("b")).alias("cut")) \
         .groupBy("text_a", "text_b").agg(F.collect_set("cut").alias("cuts"))
+    # stored, so that the join below deals both sides itself and a text that many rows hold can be split
+    path = scratch_path(spark, "repeats-cuts")
+    gone.write.parquet(path)
+    gone = spark.read.schema("text_a long, text_b long, cuts array<struct<a: int, b: int>>").parquet(path)
 
     def pack(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
