@@ -35,7 +35,8 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 def map_rows(df: DataFrame, make: Callable[[], Callable[[list], Iterator[tuple]]], schema: pa.Schema,
              spark_schema: str, weigh: Callable[[tuple], int] | None = None) -> DataFrame:
     """``mapInArrow`` over rows: ``make()`` runs once per task and returns a function from a
-    list of input columns (Python lists) to output tuples.
+    list of input columns (Python lists) to output tuples.  What the function keeps of other
+    rows goes when the task ends, if it has a ``clear``.
 
     Output is handed back in pieces of about ``FLUSH_BYTES`` (by ``weigh``) or 4096 rows,
     so a task never holds its whole result.
@@ -45,16 +46,19 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list], Iterator[tuple]]
         fn = make()
         rows: list[tuple] = []
         size = 0
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                for row in fn([c.to_pylist() for c in b.slice(at, 1000).columns]):
-                    rows.append(row)
-                    size += weigh(row) if weigh else 64
-                    if size >= FLUSH_BYTES or len(rows) >= 4096:
-                        yield to_batch(rows, schema)
-                        rows, size = [], 0
-        if rows:
-            yield to_batch(rows, schema)
+        try:
+            for b in batches:
+                for at in range(0, b.num_rows, 1000):
+                    for row in fn([c.to_pylist() for c in b.slice(at, 1000).columns]):
+                        rows.append(row)
+                        size += weigh(row) if weigh else 64
+                        if size >= FLUSH_BYTES or len(rows) >= 4096:
+                            yield to_batch(rows, schema)
+                            rows, size = [], 0
+            if rows:
+                yield to_batch(rows, schema)
+        finally:
+            getattr(fn, "clear", lambda: None)()
     return df.mapInArrow(run, spark_schema)
 
 
@@ -63,6 +67,7 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
     function from a record batch to one of the same columns.  Columns are told by place, so their
     names may clash with anything."""
     ship_package(df.sparkSession)
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
     def run(batches):
         fn = make()
@@ -70,7 +75,7 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
             for first in range(0, b.num_rows, 2000):
                 yield fn(b.slice(first, 2000))
 
-    return df.mapInArrow(run, df.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
 
 
 def replace(b: pa.RecordBatch, at: int, values: list) -> pa.RecordBatch:
