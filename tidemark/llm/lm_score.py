@@ -48,7 +48,9 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _END = np.uint64(0x9E3779B97F4A7C15)      # the end token: no word hashes are compared with it by text
 _BEGIN = np.uint64(0xD1B54A32D192ED03)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_HELD = 400_000
+#: Bytes of the words (with ``_ENTRY`` for an entry itself) that a task keeps the hashes of; a longer word is not kept.
+_HELD = 32 << 20
+_ENTRY, _LONGEST = 170, 64
 
 _BLOCK = pa.schema([("shard", pa.int32()), ("pair_keys", pa.binary()), ("pair_counts", pa.binary()),
                     ("word_keys", pa.binary()), ("word_counts", pa.binary())])
@@ -72,10 +74,16 @@ def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Word -> 64-bit hash, kept for the words a task has met."""
 
+    held = 0
+
     def __missing__(self, w: bytes) -> int:
-        if len(self) >= _HELD:
-            self.clear()
-        h = self[w] = xxhash.xxh3_64_intdigest(w)
+        h = xxhash.xxh3_64_intdigest(w)
+        if len(w) <= _LONGEST:
+            if self.held >= _HELD:
+                self.clear()
+                self.held = 0
+            self.held += _ENTRY + len(w)
+            self[w] = h
         return h
 
     def of(self, text: str | None) -> np.ndarray:

@@ -2,8 +2,8 @@
 
 Byte-level and word-end BPE split a text at white space before merging, so the ids of a
 text are those of its words one after another.  Words repeat far more often than texts,
-so each task keeps the ids of the words it has met (a bounded table in two
-generations) and asks the library's model only for new ones.  A text that holds an added token's
+so each task keeps the ids of the words it has met (a table of bounded bytes, in two
+generations, emptied when the task ends) and asks the library's model only for new ones.  A text that holds an added token's
 string, or white space other than blank, tab and line ends, goes to the library whole.
 """
 
@@ -20,8 +20,10 @@ import regex
 #: White space beyond the four kinds at which texts are cut here.
 _OTHER_SPACE = re.compile(r"[^\S \t\n\r]")
 _CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-#: Entries a generation of the table may hold.
-GENERATION = 400_000
+#: Bytes that a generation of a table may hold, with ``_ENTRY`` for an entry itself; a longer word is not kept.
+GENERATION = 32 << 20
+_ENTRY = 190
+LONGEST = 64
 
 #: How the two kinds of file split a text into pieces before merging.
 _BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -43,17 +45,27 @@ class _Table(dict):
 
     def __init__(self, compute):
         super().__init__()
-        self.compute, self.older = compute, {}
+        self.compute, self.older, self.held = compute, {}, 0
 
     def __missing__(self, word):
         ids = self.older.get(word)
         if ids is None:
             ids = self.compute(word)
-        if len(self) >= GENERATION:
+        if len(word) <= LONGEST:
+            self.keep(word, ids)
+        return ids
+
+    def keep(self, word, ids):
+        if self.held >= GENERATION:
             self.older = dict(self)
-            self.clear()
+            super().clear()
+            self.held = 0
+        self.held += _ENTRY + len(word) + len(ids)
         self[word] = ids
-        return ids
+
+    def clear(self):
+        super().clear()
+        self.older, self.held = {}, 0
 
 
 class WordEncoder:
@@ -77,6 +89,10 @@ class WordEncoder:
         self.after_blank = _Table(self._word)
         self.pieces = _Table(self._piece)
 
+    def clear(self):
+        for table in (self.first, self.after_blank, self.pieces):
+            table.clear()
+
     def _word(self, word: str) -> bytes:
         """Ids of a word that a blank goes before."""
         if not word:
