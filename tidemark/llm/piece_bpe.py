@@ -9,8 +9,9 @@ No piece of such a vocabulary holds a word mark after another character, so no j
 crosses the start of a word: a text's ids are its words' ids in order, and each task keeps
 those of the words it has met.  Both facts are read off the file when it is opened.
 
-Every text (of a slice of rows, each ``check_every``-th) is also encoded and decoded by the
-sentencepiece library, and a difference raises.
+Everything is checked against the sentencepiece library, a batch at a time: each distinct word's ids
+when it enters the table, the ids of every text that isn't split into words at single blanks, and
+every text decoded from its ids.  Where something differs the library's answer is taken and the row says so.
 
 Null text is empty (begin and end ids only); null doc ids and repeated rows are encoded like
 any others; other columns are ignored; an empty table gives no row.
@@ -27,14 +28,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import map_rows, pick
-from .token_cache import _Table
+from .token_cache import LONGEST, _Table
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _OPEN: dict[str, "PieceModel"] = {}
 
-SCHEMA = "doc_id long, ids binary, decoded string"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
+SCHEMA = "doc_id long, ids binary, decoded string, differs boolean"
+_ARROW = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string()), ("differs", pa.bool_())])
+#: Characters of texts that are checked in one batch.
+_BATCH_CHARS = 1 << 18
+
+
+def blanks_alone(text: str) -> bool:
+    """Whether the text is words with one blank between them."""
+    return bool(text) and not (text[0] == " " or text[-1] == " " or "  " in text or MARK in text)
 
 
 class PieceModel:
@@ -67,6 +75,13 @@ class PieceModel:
         self.marked = [p.piece.startswith(MARK) for p in m.pieces]
         self.words = _Table(self._word)
         self.after_blank = _Table(lambda w: self._word(MARK + w))
+        #: Words whose ids differ from the library's, which are in the table instead.
+        self.wrong: set[str] = set()
+
+    def clear(self):
+        self.words.clear()
+        self.after_blank.clear()
+        self.wrong.clear()
 
     def merge(self, word: str) -> list[str]:
         """The symbols left when no adjacent pair joins to a piece."""
@@ -103,12 +118,49 @@ class PieceModel:
         ends = array("I", [self.begin, self.end]).tobytes()
         if not text:
             return ends
-        if "  " in text or MARK in text or text[0] == " ":
-            body = map(self.words.__getitem__, _WORD.findall(MARK + text.replace(" ", MARK)))
-        else:
+        if blanks_alone(text):
             body = map(self.after_blank.__getitem__, text.split(" "))
+        else:
+            body = map(self.words.__getitem__, _WORD.findall(MARK + text.replace(" ", MARK)))
         return b"".join((ends[:4], *body, ends[4:]))
 
+    def learn(self, words) -> dict[str, bytes]:
+        """Ids of some different words that a blank goes before; new ones are compared with the library's."""
+        table, now, new = self.after_blank, {}, []
+        for w in words:
+            ids = table.get(w) or table.older.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                now[w] = ids
+                if w not in table:
+                    table.keep(w, ids)
+        for w, theirs in zip(new, self.library.encode(new, num_threads=1)):
+            ids, theirs = self._word(MARK + w), array("I", theirs).tobytes()
+            if ids != theirs:
+                self.wrong.add(w)
+            now[w] = theirs
+            if len(w) <= LONGEST:
+                table.keep(w, theirs)
+        return now
+
+    def encode_checked(self, texts: list[str]) -> list[tuple[bytes, bool]]:
+        """Ids of texts, and whether the dealt method's differ from the library's."""
+        ends = array("I", [self.begin, self.end]).tobytes()
+        split = [t.split(" ") if blanks_alone(t) else None for t in texts]
+        now = self.learn(set().union(*filter(None, split)))
+        odd = [t for t, w in zip(texts, split) if w is None]
+        theirs = iter(self.library.encode(odd, add_bos=True, add_eos=True, num_threads=1) if odd else ())
+        out = []
+        for t, words in zip(texts, split):
+            if words is not None:
+                ids = b"".join((ends[:4], *map(now.__getitem__, words), ends[4:]))
+                out.append((ids, bool(self.wrong) and not self.wrong.isdisjoint(words)))
+            else:
+                ids = array("I", next(theirs)).tobytes()
+                out.append((ids, ids != self.encode(t)))
+        return out
+
     def decode(self, ids: bytes) -> str:
         """The text of encoded ids: marks are blanks, and the blank put in front goes."""
         body = np.frombuffer(ids, "<u4").tolist()
@@ -123,24 +175,30 @@ def model(path: str) -> PieceModel:
     return _OPEN[path]
 
 
-def checked(m: PieceModel, docs: list, texts: list, check_every: int = 1):
-    """(doc, ids, decoded) of each text; raises where the library's differ."""
-    for k, (doc, text) in enumerate(zip(docs, texts)):
-        ids = m.encode(text)
-        decoded = m.decode(ids)
-        if k % check_every == 0:
-            theirs = m.library.encode(text or "", add_bos=True, add_eos=True)
-            if np.frombuffer(ids, "<u4").tolist() != theirs or decoded != m.library.decode(theirs):
-                raise ValueError(f"document {doc}: ids differ from the sentencepiece library's")
-        yield doc, ids, decoded
+def checked(m: PieceModel, docs: list, texts: list):
+    """(doc, ids, decoded, differs) of each text."""
+    first = 0
+    while first < len(texts):
+        last, chars = first, 0
+        while last < len(texts) and chars < _BATCH_CHARS:
+            chars += len(texts[last] or "")
+            last += 1
+        encoded = m.encode_checked([t or "" for t in texts[first:last]])
+        theirs = m.library.decode([np.frombuffer(ids, "<u4").tolist() for ids, _ in encoded], num_threads=1)
+        for doc, (ids, differs), decoded in zip(docs[first:last], encoded, theirs):
+            yield doc, ids, decoded, differs or decoded != m.decode(ids)
+        first = last
 
 
-def piece_round_trip(docs: DataFrame, model_path: str, check_every: int = 1,
-                     id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: its ids and the text decoded from them."""
+def piece_round_trip(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per document: its ids, the text decoded from them, and whether the library had to correct either."""
     def make():
         m = model(model_path)
-        return lambda cols: checked(m, *cols, check_every)
+
+        def run(cols):
+            return checked(m, *cols)
+        run.clear = m.clear
+        return run
 
     rows = pick(docs, id_column, text_column).selectExpr(f"cast({id_column} as long) {id_column}", text_column)
     return map_rows(rows, make, _ARROW, SCHEMA, weigh=lambda r: 64 + len(r[1]) + len(r[2]))

@@ -54,7 +54,7 @@ def op9_piece_round_trip(spark, sf_dir):
     rows = piece_round_trip(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
     return rows.select("doc_id", F.expr("length(ids) div 4").alias("n_tokens"),
                        F.sha2(F.col("ids"), 256).alias("ids_sha256"),
-                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "differs")
 
 
 @query
@@ -105,7 +105,7 @@ SQL["op7_maxscore_top10"] = """
 @query
 def op8_toccurrence_join(spark, sf_dir):
     from .toccur_join import similarity_groups
-    return similarity_groups(read_table(spark, sf_dir, "documents"))
+    return similarity_groups(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 SQL["op8_toccurrence_join"] = r"""
