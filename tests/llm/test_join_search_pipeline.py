@@ -120,6 +120,35 @@ def test_one_of_each_group_stays(spark):
     assert sum(r[1] is None for r in kept.collect()) == 3
 
 
+LONG = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(3)]
+A = LONG[0]
+NEAR_A = A.replace("w0x59", "new")          # links with A and with the next one
+BRIDGE = NEAR_A.replace("w0x0 ", "old ")
+
+
+def test_rows_without_an_id_link_others(spark):
+    """A and C link only through a text that no row with an id holds."""
+    words = [f"v{i}" for i in range(80)]
+    a, n, c = (" ".join(words[k:k + 70]) for k in (0, 3, 6))
+    for rows in ([(1, a), (None, n), (2, c)], [(1, a), (5, n), (2, c)]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r.doc_id: r.component_id for r in J.similarity_groups(docs).collect()}
+        assert set(got.values()) == {1}
+    alone = spark.createDataFrame([(1, a), (2, c)], "doc_id long, text string")
+    assert {r.component_id for r in J.similarity_groups(alone).collect()} == {1, 2}
+
+
+def test_an_id_of_several_texts_loses_its_copies_only(spark):
+    rows = [(1, A), (2, NEAR_A), (2, LONG[1]), (3, LONG[2]), (3, LONG[2]), (4, None), (4, ""), (5, LONG[1]), (6, BRIDGE), (None, A),
+            (7, "short text"), (7, "another one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in J.keep_one_of_each_group(docs, width=5, percent=80).collect()]
+    want = [(1, A), (2, LONG[1]), (3, LONG[2]), (4, None), (4, ""), (None, A), (7, "short text"), (7, "another one")]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+    several = spark.createDataFrame([(1, A), (1, NEAR_A), (1, LONG[1])], "doc_id long, text string")
+    assert {r.text for r in J.keep_one_of_each_group(several, width=5, percent=80).collect()} in ({A, LONG[1]}, {NEAR_A, LONG[1]})
+
+
 @pytest.mark.parametrize("links", [[], [(i, i + 1) for i in range(40)], [(7, i) for i in range(40)],
                                    [(3, 9), (9, 4), (20, 21), (21, 21), (5, 6), (6, 5)]])
 def test_components(spark, links):
@@ -247,8 +276,10 @@ def test_pipeline_equals_stages_by_hand(spark, tmp_path):
     got = corpus_pipeline.run(spark, folder).collect()
 
     rows = first + extra
-    ranker = lang_id.Ranker(lang_id.learn_profiles(docs), lang_id.PROFILE_SIZE)
-    kept = [r for r in rows if (lambda a: a[0] != "und" and a[1] >= lang_id.LEAST_SCORE)(ranker.identify(r[1]))]
+    profiles = lang_id.learn_profiles(docs)
+    cuts = lang_id.learn_cuts(docs, profiles)
+    ranker = lang_id.Ranker(profiles, lang_id.PROFILE_SIZE)
+    kept = [r for r in rows if (lambda a: a[0] != "und" and a[1] >= lang_id.cut_of(cuts, a[0], a[3]))(ranker.measure(r[1]))]
     assert not {1000, 1001, 1002, 1003} & {r[0] for r in kept} and len(kept) == len(rows) - 4
     least = brute_groups([(r[0], r[1]) for r in kept], 5, 80)
     roots = {d for d, _, c in least if d == c}

@@ -153,19 +153,48 @@ def test_pieces_equal_library(text):
 
 def test_piece_round_trip(messy):
     m = piece_bpe.model(PIECE)
-    got = piece_bpe.piece_round_trip(messy, PIECE, check_every=1).collect()
+    got = piece_bpe.piece_round_trip(messy, PIECE).collect()
     want = [(d, np.array(m.library.encode(t or "", add_bos=True, add_eos=True), "<u4").tobytes()) for d, t, _ in ROWS]
     assert sorted(((r.doc_id, bytes(r.ids)) for r in got), key=key) == sorted(want, key=key)
+    assert not any(r.differs for r in got)
     assert piece_bpe.piece_round_trip(messy.limit(0), PIECE).collect() == []
 
 
-def test_a_difference_in_any_text_raises():
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.one_of(st.none(), ALPHABET), max_size=6))
+def test_checked_texts_equal_library(texts):
+    m = piece_bpe.model(PIECE)
+    for (_, ids, decoded, differs), t in zip(piece_bpe.checked(m, texts, texts), texts, strict=True):
+        theirs = m.library.encode(t or "", add_bos=True, add_eos=True)
+        assert np.frombuffer(ids, "<u4").tolist() == theirs and decoded == m.library.decode(theirs) and not differs
+
+
+def test_where_the_library_differs_its_answer_is_taken(monkeypatch):
     m = piece_bpe.PieceModel(PIECE)
-    texts = ["The quick brown fox"] * 3 + ["of another word"]
-    assert len(list(piece_bpe.checked(m, [1, 2, 3, 4], texts))) == 4
-    m.after_blank["another"] = m.after_blank["other"]
-    with pytest.raises(ValueError, match="document 4"):
-        list(piece_bpe.checked(m, [1, 2, 3, 4], texts))
+    texts = ["The quick brown fox"] * 3 + ["of another word", "of another  word", "one another"]
+    own = m._word
+    monkeypatch.setattr(m, "_word", lambda w: own("▁other" if w == "▁another" else w))
+    m.words.compute = m._word
+    rows = list(piece_bpe.checked(m, texts, texts))
+    assert [r[3] for r in rows] == [False] * 3 + [True, True, True]
+    assert [np.frombuffer(r[1], "<u4").tolist() for r in rows] == m.library.encode(texts, add_bos=True, add_eos=True)
+
+
+def test_word_tables_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(token_cache, "GENERATION", 20_000)
+    monkeypatch.setattr(lm_score, "_HELD", 20_000)
+    enc, m, hashes = token_cache.WordEncoder(BYTE), piece_bpe.PieceModel(PIECE), lm_score.WordHashes()
+    words = [f"w{i}é" for i in range(2000)] + ["z" * 65, "é" * 5000]
+    text = " ".join(words)
+    assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.tok.encode(text, add_special_tokens=False).ids
+    list(piece_bpe.checked(m, [1], [text]))
+    hashes.of(text)
+    for table in (enc.first, enc.after_blank, enc.pieces, m.after_blank):
+        assert len(table) < 120 and len(table.older) < 120 and max(map(len, table), default=0) <= token_cache.LONGEST
+    assert len(hashes) < 120 and max(map(len, hashes)) <= 64
+    enc.clear()
+    m.clear()
+    assert not (enc.first or enc.after_blank or enc.after_blank.older or m.after_blank or m.after_blank.older)
 
 
 # -- languages ------------------------------------------------------------------

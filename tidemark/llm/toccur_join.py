@@ -25,8 +25,9 @@ nodes are cut into blocks of ``BLOCK``, and blocks of queries meet blocks of the
 
 Defined cases: null and empty texts have no shingles and link with nothing; fewer words than
 ``width`` are one shingle of their own length; equal similarities all count; repeated rows
-share a node; a null doc_id joins as a copy but names no component; other columns are
-ignored; an empty table gives no row.
+share a node; rows of one doc_id with different texts are different nodes; a row without a doc_id links
+like any other but names no component (one of such rows only has none); other columns are ignored; an
+empty table gives no row.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_rows, pick, small, to_batch
 from .graph import components
@@ -363,8 +365,9 @@ def search_blocks(asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 # -- rounds -----------------------------------------------------------------------
 
 
-def node_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """node, n, items of the wanted nodes, each from one document (wanted: doc_id)."""
+def node_sets(docs: DataFrame, wanted: DataFrame, nameless: DataFrame, width: int) -> DataFrame:
+    """node, n, items of the wanted nodes, each from one document (wanted: doc_id); nodes that only
+    rows without an id hold (nameless: node) from those rows."""
     def make():
         hashes = WordHashes()
 
@@ -373,8 +376,11 @@ def node_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 s = shingles(hashes, text, width)
                 yield node_of(s), len(s), s.astype("<u8").tobytes()
         return run
-    texts = docs.join(small(wanted), "doc_id", "left_semi").select("text")
-    return map_rows(texts, make, _NODE_SET, "node long, n long, items binary", weigh=lambda r: len(r[2]))
+    sets = lambda texts: map_rows(texts.select("text"), make, _NODE_SET, "node long, n long, items binary", weigh=lambda r: len(r[2]))
+    named = sets(docs.join(small(wanted), "doc_id", "left_semi"))
+    if nameless.isEmpty():
+        return named
+    return named.union(sets(docs.where("doc_id is null")).join(small(nameless), "node", "left_semi").dropDuplicates(["node"]))
 
 
 def link_nodes(docs: DataFrame, scanned: DataFrame, width: int, percent: int, block: int, short_list: int,
@@ -394,8 +400,9 @@ def link_nodes(docs: DataFrame, scanned: DataFrame, width: int, percent: int, bl
     one = meta.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     nodes = lists.select("node").union(few.select("node")).union(few.select(F.col("q").alias("node"))).distinct()
     wanted = cut_lineage(one.join(nodes, "node", "left_semi").select("doc_id"))
+    nameless = cut_lineage(meta.where("doc_id is null").select("node").distinct().join(one, "node", "left_anti").join(nodes, "node", "left_semi"))
     path = scratch_path(spark, "sets")
-    node_sets(docs.where("doc_id is not null"), wanted, width).write.parquet(path)
+    node_sets(docs, wanted, nameless, width).write.parquet(path)
     sets = spark.read.schema("node long, n long, items binary").parquet(path)
     # how many meetings a node has: the middle of a group of copies has most
     meets = lists.join(lists.groupBy("list").agg(F.count("*").alias("m")), "list").groupBy("node").agg(F.sum("m").alias("meets"))
@@ -433,7 +440,8 @@ def link_nodes(docs: DataFrame, scanned: DataFrame, width: int, percent: int, bl
 
 def similarity_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK,
                       short_list: int = SHORT_LIST, shared: int = SHARED) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every document."""
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), and node and comp (the names
+    of the text's set and of its component's smallest set; null without shingles) of every document."""
     spark = docs.sparkSession
     own = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     path = scratch_path(spark, "shingle-sets")
@@ -444,26 +452,51 @@ def similarity_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     low = meta.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low")) \
         .join(names, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = low.groupBy("comp").agg(F.min("low").alias("component_id"))
-    of_node = low.join(least, "comp").select("node", "component_id")
+    of_node = low.join(least, "comp").select("node", "component_id", "comp")
     return meta.join(of_node, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "node", "comp")
 
 
-def keep_one_of_each_group(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of the smallest doc_id of every group; repeated rows once, rows without an id as they are.
+def with_nodes(docs: DataFrame, text: str, width: int) -> DataFrame:
+    """The rows and their nodes."""
+    ship_package(docs.sparkSession)
+    at = docs.columns.index(text)
+
+    def run(batches):
+        hashes = WordHashes()
+        for b in batches:
+            for first in range(0, b.num_rows, 1000):
+                part = b.slice(first, 1000)
+                got = [shingles(hashes, t, width) for t in part.column(at).to_pylist()]
+                nodes = pa.array([node_of(x) if len(x) else None for x in got], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns, nodes], names=[*part.schema.names, "node"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("node", T.LongType())]))
+
+
+def keep_one_of_each_group(docs: DataFrame, width: int = WIDTH, **settings) -> DataFrame:
+    """One row of every group, of its smallest doc_id; rows without an id as they are.
 
-    Only the ids that go (those of near copies) meet the texts.
+    Of several rows of that id in the group the smallest node's stays, once.  Only the
+    ids that go (those of near copies), and those that several rows have, meet the texts.
     """
-    groups = similarity_groups(docs, **settings)
+    groups = similarity_groups(docs, width=width, **settings)
     path = scratch_path(docs.sparkSession, "groups")
     groups.write.parquet(path)
-    groups = docs.sparkSession.read.parquet(path)
+    groups = docs.sparkSession.read.schema("doc_id long, n_shingles long, component_id long, node long, comp long").parquet(path).where("doc_id is not null")
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    again = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1").select("doc_id")
+    again = groups.groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1").select("doc_id")
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     key, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
-    kept = plain.join(small(gone), plain[key] == gone.doc_id, "left_anti")
-    if not again.isEmpty():
-        kept = kept.join(again, kept[key] == again.doc_id, "left_anti").union(
-            kept.join(again, kept[key] == again.doc_id, "left_semi").dropDuplicates([key, text]))
-    return kept.toDF(*docs.columns)
+    if again.isEmpty():
+        return plain.join(small(gone), plain[key] == gone.doc_id, "left_anti").toDF(*docs.columns)
+    again = small(again)
+    single = plain.join(again, plain[key] == again.doc_id, "left_anti")
+    single = single.join(small(gone), single[key] == gone.doc_id, "left_anti")
+    # an id of several texts: each is judged by its own node
+    stay = groups.where("doc_id = component_id and node is not null").groupBy("comp", "doc_id").agg(F.min("node").alias("one"))
+    several = with_nodes(plain.join(again, plain[key] == again.doc_id, "left_semi"), text, width)
+    first = several.where("node is not null").join(stay, (F.col(key) == stay.doc_id) & (F.col("node") == stay.one), "left_semi") \
+        .dropDuplicates([key, "node"])
+    bare = several.where("node is null").dropDuplicates([key, text])
+    return single.union(first.drop("node")).union(bare.drop("node")).toDF(*docs.columns)
