@@ -151,6 +151,14 @@ def test_pieces_equal_library(text):
     assert np.frombuffer(ids, "<u4").tolist() == theirs and m.decode(ids) == m.library.decode(theirs)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(ALPHABET, st.text(alphabet="abertinosthe", min_size=1, max_size=90)), min_size=1, max_size=12))
+def test_agendas_side_by_side_equal_single_ones(words):
+    m = piece_bpe.model(PIECE)
+    words = ["▁" + w for w in words]
+    assert m.words_at_once(words) == [m._word(w) for w in words]
+
+
 def test_piece_round_trip(messy):
     m = piece_bpe.model(PIECE)
     got = piece_bpe.piece_round_trip(messy, PIECE).collect()
@@ -172,9 +180,10 @@ def test_checked_texts_equal_library(texts):
 def test_where_the_library_differs_its_answer_is_taken(monkeypatch):
     m = piece_bpe.PieceModel(PIECE)
     texts = ["The quick brown fox"] * 3 + ["of another word", "of another  word", "one another"]
-    own = m._word
-    monkeypatch.setattr(m, "_word", lambda w: own("▁other" if w == "▁another" else w))
-    m.words.compute = m._word
+    own, at_once = m._word, m.words_at_once
+    swap = lambda w: "▁other" if w == "▁another" else w
+    m.words.compute = lambda w: own(swap(w))
+    monkeypatch.setattr(m, "words_at_once", lambda words: at_once(list(map(swap, words))))
     rows = list(piece_bpe.checked(m, texts, texts))
     assert [r[3] for r in rows] == [False] * 3 + [True, True, True]
     assert [np.frombuffer(r[1], "<u4").tolist() for r in rows] == m.library.encode(texts, add_bos=True, add_eos=True)
@@ -187,10 +196,14 @@ def test_word_tables_are_bounded_by_bytes(monkeypatch):
     words = [f"w{i}é" for i in range(2000)] + ["z" * 65, "é" * 5000]
     text = " ".join(words)
     assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.tok.encode(text, add_special_tokens=False).ids
-    list(piece_bpe.checked(m, [1], [text]))
+    monkeypatch.setattr(piece_bpe, "_BATCH_CHARS", 100)
+    parts = [" ".join(words[k:k + 20]) for k in range(0, len(words), 20)]
+    for part, row in zip(parts, piece_bpe.checked(m, parts, parts)):
+        assert np.frombuffer(row[1], "<u4").tolist() == m.library.encode(part, add_bos=True, add_eos=True) and not row[3]
     hashes.of(text)
     for table in (enc.first, enc.after_blank, enc.pieces, m.after_blank):
-        assert len(table) < 120 and len(table.older) < 120 and max(map(len, table), default=0) <= token_cache.LONGEST
+        # a batch may come on top
+        assert len(table) < 150 and len(table.older) < 150 and max(map(len, table), default=0) <= token_cache.LONGEST
     assert len(hashes) < 120 and max(map(len, hashes)) <= 64
     enc.clear()
     m.clear()

@@ -56,12 +56,20 @@ class _Table(dict):
         return ids
 
     def keep(self, word, ids):
+        self.make_room()
+        self.held += _ENTRY + len(word) + len(ids)
+        self[word] = ids
+
+    def make_room(self):
         if self.held >= GENERATION:
             self.older = dict(self)
             super().clear()
             self.held = 0
-        self.held += _ENTRY + len(word) + len(ids)
-        self[word] = ids
+
+    def keep_all(self, words, ids):
+        """Many words at once; the table may grow beyond its bytes until ``make_room``."""
+        self.update(zip(words, ids))
+        self.held += _ENTRY * len(words) + sum(map(len, words)) + sum(map(len, ids))
 
     def clear(self):
         super().clear()
