@@ -2,18 +2,19 @@
 
 * ``read_csv_strings``   S1 (+S3 projection, S4 rename): header CSV, every column a string
 * ``read_with_preamble`` S2: files whose first N lines are a preamble (Spark's CSV
-  reader cannot skip lines); each file is read whole, its records (a quoted field may
-  hold line ends) are numbered with ``posexplode`` and parsed with ``from_csv``.  Files
-  are the unit of work: many small files are packed into few tasks by Spark's file
-  splitting.
-* ``read_keyed_files``   S5: keys taken from the file name by a regex on ``_metadata``
+  reader cannot skip lines); records (a quoted field may hold line ends) come numbered from
+  ``records`` and are parsed with ``from_csv``
+* ``read_keyed_files``   S5: keys taken from the file name by a regex
 * ``read_whitespace_text`` S9: whitespace-separated text, Unicode-aware split
 * ``field_count_check``  A17: files whose rows do not all have the same field count
 * ``extract_urls``       S10: every URL in one column of Shift_JIS CSV files
+
+Large files are read by splits in all of them.
 """
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import ustrip
 from ..functions.text import find_urls, whitespace_fields
-from ..session import ship_package
+from .records import has_quoted_line_ends, records_of
 
 
 def read_csv_strings(spark: SparkSession, path, names: Sequence[str] | None = None,
@@ -30,11 +31,17 @@ def read_csv_strings(spark: SparkSession, path, names: Sequence[str] | None = No
     """``read_csv(path)`` with every value kept as text (casts come later, leniently).
 
     ``columns`` selects by name or position (``usecols``); ``names`` renames by position.
-    Quoted fields may hold line ends, as in pandas, so a file is one task's work; with
-    ``multi_line=False`` the caller states that none does and large files are split.
+    Quoted fields may hold line ends and doubled quotes, as in pandas.  One scan looks for them: without any, Spark's reader
+    parses line by line, and otherwise the records are put together first (``records``); large files are split
+    either way.  With ``multi_line=False`` the caller states that there are none and the scan is saved.
+    Only UTF-16 and UTF-32, where a quote's byte is part of other characters, are read file by file.
     """
-    df = (spark.read.option("header", True).option("inferSchema", False).option("sep", sep)
-          .option("encoding", encoding).option("mode", "PERMISSIVE").option("multiLine", multi_line).csv(path))
+    wide = encoding.upper().startswith(("UTF-16", "UTF-32"))
+    if multi_line and not wide and has_quoted_line_ends(spark, path):
+        df = _parsed_records(spark, path, sep, encoding)
+    else:
+        df = (spark.read.option("header", True).option("inferSchema", False).option("sep", sep)
+              .option("encoding", encoding).option("mode", "PERMISSIVE").option("escape", '"').option("multiLine", wide).csv(path))
     if columns is not None:
         cols = [df.columns[c] if isinstance(c, int) else c for c in columns]
         df = df.select(*cols)
@@ -43,23 +50,20 @@ def read_csv_strings(spark: SparkSession, path, names: Sequence[str] | None = No
     return df
 
 
-#: A record: anything up to a line end outside double quotes.
-_RECORD = r'((?:[^"\n]++|"[^"]*+"?)*+)(?:\n|$)'
-
-
-def records(text) -> Column:
-    """The records of a whole delimited text, without their line ends."""
-    return F.transform(F.regexp_extract_all(text, F.lit(_RECORD), F.lit(1)), lambda r: F.regexp_replace(r, r"\r$", ""))
+def _parsed_records(spark: SparkSession, path, sep: str, encoding: str) -> DataFrame:
+    """Header CSV files from their records; columns are named by the first file's header."""
+    found = records_of(spark, path, encoding=None if encoding.upper() in ("UTF-8", "US-ASCII") else encoding)
+    head = found.where("pos = 0").orderBy("path").first()
+    names = next(csv.reader([head.line], delimiter=sep))
+    seen = [n.lower() for n in names]
+    names = [f"_c{i}" if not n else f"{n}{i}" if seen.count(n.lower()) > 1 else n for i, n in enumerate(names)]
+    rows = found.where((F.col("pos") > 0) & (F.length(F.trim("line")) > 0))
+    return rows.select(_cells(F.col("line"), len(names), sep).alias("_r")).select("_r.*").toDF(*names)
 
 
-def _lines(spark: SparkSession, path, name_col: str | None = None) -> DataFrame:
-    """(file, path, pos, line) for every record of every file under ``path`` (files read
-    whole).  ``file`` is the logical name (the file name, or a partition folder value
-    with ``name_col``); ``path`` identifies the physical file."""
-    raw = spark.read.text(path, wholetext=True)
-    name = F.col(name_col) if name_col else F.col("_metadata.file_name")
-    files = raw.select(name.alias("file"), F.col("_metadata.file_path").alias("path"), "value")
-    return files.select("file", "path", F.posexplode(records(F.col("value"))).alias("pos", "line"))
+def _cells(line: Column, width: int, sep: str = ",") -> Column:
+    """The first ``width`` fields c0, c1, … of a record; a quote inside a quoted field is doubled."""
+    return F.from_csv(line, _csv_schema(width), {"sep": sep, "mode": "PERMISSIVE", "escape": '"'})
 
 
 def _csv_schema(width: int) -> str:
@@ -75,10 +79,10 @@ def read_with_preamble(spark: SparkSession, path, skip: int, names: Sequence[str
     Q9), data rows follow it.  Blank lines are dropped like pandas does.  Output:
     ``file, line_no`` plus the named string columns.
     """
-    ln = _lines(spark, path, name_col)
+    ln = records_of(spark, path, name_col)
     first = skip + 1 if header else skip
     data = ln.where((F.col("pos") >= first) & (F.length(F.trim("line")) > 0))
-    parsed = F.from_csv(F.col("line"), _csv_schema(len(names)), {"sep": sep, "mode": "PERMISSIVE", "multiLine": "true"})
+    parsed = _cells(F.col("line"), len(names), sep)
     return data.select("file", F.col("pos").alias("line_no"), parsed.alias("_r")).select(
         "file", "line_no", *[F.col(f"_r.c{i}").alias(n) for i, n in enumerate(names)])
 
@@ -125,22 +129,14 @@ def extract_urls(spark: SparkSession, path, column_index: int, encoding: str = "
                  key_index: int | None = None) -> DataFrame:
     """URLs found in column ``column_index`` of every row of CSV files.
 
-    Files are read as bytes and decoded in Python (Spark's own ``decode`` takes Shift_JIS
-    only under a session switch, and the session is the caller's); bad bytes become
-    U+FFFD; rows too short to have the column are skipped; every match of the URL
-    pattern is kept, in order.
+    Lines are decoded in Python (Spark's own ``decode`` takes Shift_JIS only under a session
+    switch, and the session is the caller's); bad bytes become U+FFFD; rows too short to have the
+    column are skipped; every match of the URL pattern is kept, in order.
     """
-    ship_package(spark)
-
-    def decoded(batches):
-        for b in batches:
-            yield b.assign(content=[bytes(c).decode(encoding, "replace") for c in b["content"]])
-
-    b = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decoded, "path string, content string")
-    lines = b.select(F.col("path"), F.posexplode(records(F.col("content"))).alias("row_no", "line"))
+    lines = records_of(spark, path, encoding=encoding).select("path", F.col("pos").alias("row_no"), "line")
     lines = lines.where(F.length("line") > 0)
     width = max(column_index, key_index if key_index is not None else 0) + 1
-    parsed = F.from_csv(F.col("line"), _csv_schema(width), {"mode": "PERMISSIVE", "multiLine": "true"})
+    parsed = _cells(F.col("line"), width)
     key = [parsed.getField(f"c{key_index}").alias("key")] if key_index is not None else []
     cell = lines.select("path", "row_no", *key, parsed.getField(f"c{column_index}").alias("cell"))
     keep = ["path", "row_no"] + (["key"] if key else [])

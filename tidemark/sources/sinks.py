@@ -27,8 +27,8 @@ def _flatten_arrays(df: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", header: bool = True,
               mode: str = "overwrite", partition_by: Sequence[str] = ()) -> str:
-    """K1/K2/K3: header CSV without index; ``partition_by`` gives one folder per key."""
-    w = df.write.mode(mode).option("header", header).option("sep", sep)
+    """K1/K2/K3: header CSV without index (quotes in values are doubled); ``partition_by`` gives one folder per key."""
+    w = df.write.mode(mode).option("header", header).option("sep", sep).option("escape", '"')
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.csv(path)

@@ -3,7 +3,7 @@
 A folder holds survey files of three layouts, told apart by the file name.  Each
 layout says how many preamble lines to skip, which column holds the price and which
 cell (row, column) holds the survey month, written three different ways.  The whole
-folder is one scan: files are read whole, lines numbered, the layout chosen per file
+folder is one scan: records are numbered (``records``), the layout chosen per file
 with ``when``, the price and date cells picked with column arithmetic, and one
 ``groupBy(file)`` gives the per-file mean.  Files that cannot be read into a
 (year, month) are reported in an errors table instead of stopping the job.
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import to_number
 from ..functions.dates import fixed_year_month, heisei_year_month, split_year_month
-from .delimited import _csv_schema, _lines
+from .delimited import _cells
+from .records import records_of
 
 
 @dataclass(frozen=True)
@@ -82,10 +83,10 @@ def readable() -> Column:
 
 
 def _survey_files(spark: SparkSession, path, name_col: str | None, width: int) -> DataFrame:
-    ln = _lines(spark, path, name_col)
+    ln = records_of(spark, path, name_col)
     ln = ln.withColumn("layout", layout_of(F.col("file"))).where(F.col("layout").isNotNull())
     ln = ln.withColumns({a: _by_layout(a) for a in ("skip", "price_col", "date_row", "date_col")})
-    fields = F.from_csv(F.col("line"), _csv_schema(width), {"mode": "PERMISSIVE"})
+    fields = _cells(F.col("line"), width)
     arr = F.array(*[fields.getField(f"c{i}") for i in range(width)])
     ln = ln.withColumn("_cells", arr)
     cell = lambda idx: F.element_at(F.col("_cells"), idx + F.lit(1))
