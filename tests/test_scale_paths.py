@@ -1,6 +1,6 @@
-"""The scale paths (many range buckets, rank-based quantiles, chunked fixture files)
+"""The scale paths (many range buckets, chunked fixture files)
 give the same answers as DuckDB on real tables; small data would otherwise always take
-the single-bucket / selection paths."""
+the single-bucket paths."""
 
 import pytest
 
@@ -21,9 +21,8 @@ def con():
 @pytest.mark.parametrize("name", NAMES)
 def test_forced_scale_paths(spark, con, monkeypatch, name):
     import __spark_entry__ as E
-    from tidemark.operators import align, stats
+    from tidemark.operators import align
     monkeypatch.setattr(align, "ROWS_PER_BUCKET", 40)
-    monkeypatch.setattr(stats, "SELECT_MAX_GROUPS", 0)
     df = E.queries()[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
     cur = con.execute(E.oracle_sql()[name])

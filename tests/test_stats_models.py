@@ -235,8 +235,7 @@ def test_kth_smallest_radix_select(spark):
         assert M.kth_smallest_hex(df, "h", k, step=1, fetch_max=4) == srt[k - 1]
 
 
-def test_quantiles_select_skewed_and_duplicates(spark, monkeypatch):
-    monkeypatch.setattr(ST, "_SELECT_FETCH", 8)     # force several narrowing passes
+def test_quantiles_select_skewed_and_duplicates(spark):
     rng = np.random.default_rng(11)
     vals = np.concatenate([rng.lognormal(0, 3, 3000), np.full(500, 7.0), [1e12, -1e9]])
     df = spark.createDataFrame([(float(v), "g" + str(i % 2)) for i, v in enumerate(vals)], "x double, g string")

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Python's str.strip()/split() treat these as spaces (U+3000 ideographic space
 # included); Java's \s and Spark's default trim() do not.  Fixed value: the characters
@@ -34,6 +35,19 @@ def ustrip(c) -> Column:
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?|\.[0-9]+([eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
 
 
+def missing(df: DataFrame, col: str) -> Column:
+    """Null, or NaN in a float column: the one rule of what is missing, as in pandas."""
+    c = F.col(col)
+    return (c.isNull() | F.isnan(c)) if isinstance(df.schema[col].dataType, (T.DoubleType, T.FloatType)) else c.isNull()
+
+
+def nan_to_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """The frame with null for the missing values of some columns, which every aggregate then leaves out."""
+    kinds = {c: df.schema[c].dataType for c in dict.fromkeys(cols)}
+    return df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast(t)) for c, t in kinds.items()
+                           if isinstance(t, (T.DoubleType, T.FloatType))})
+
+
 def to_number(c, strip_commas: bool = False) -> Column:
     """Lenient number (``to_numeric(errors="coerce")``); bad text → null.
 
@@ -87,19 +101,20 @@ def drop_nulls(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
 
 def fill_zero(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``fillna(0)`` on the given numeric columns."""
+    df = nan_to_null(df, cols)
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(df.schema[c].dataType))
                            for c in cols})
 
 
 def clip_col(c, lower, upper) -> Column:
-    """``clip(lower, upper)``; ``greatest``/``least`` skip nulls, so null is guarded."""
+    """``clip(lower, upper)``; ``greatest``/``least`` skip nulls and put NaN last, so both are guarded."""
     x = _c(c)
     out = x
     if upper is not None:
         out = F.least(F.lit(upper), out)
     if lower is not None:
         out = F.greatest(F.lit(lower), out)
-    return F.when(x.isNotNull(), out)
+    return F.when(x.eqNullSafe(F.lit(float("nan"))), x).when(x.isNotNull(), out)
 
 
 def backup_columns(df: DataFrame, cols: Sequence[str], suffix: str = "_original") -> DataFrame:

@@ -29,6 +29,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from ..functions.clean import nan_to_null
 from pyspark.sql import types as T
 
 _B = "_tm_bucket"
@@ -141,6 +143,7 @@ def _fill(df: DataFrame, order: Sequence[str], cols: Sequence[str], by: Sequence
     order = _as_list(order)
     by = _as_list(by)
     cols = list(cols)
+    df = nan_to_null(df, cols)
     b, nb = range_buckets(df, by, order, buckets)
     okey = F.struct(*[F.col(o) for o in order])
     w = Window.partitionBy(*by, _B).orderBy(*order)
@@ -218,6 +221,7 @@ def pct_change(df: DataFrame, order, cols=None, by=(), scale: float = 100.0,
     order = _as_list(order)
     by = _as_list(by)
     cols = _value_cols(df, order, by, cols)
+    df = nan_to_null(df, cols)
     b, nb = range_buckets(df, by, order, buckets)
     okey = F.struct(*[F.col(o) for o in order])
     w = Window.partitionBy(*by, _B).orderBy(*order)

@@ -19,6 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.clean import missing, nan_to_null
 from ..functions.dist import chi2_sf_2dof, f_sf, t_ppf, t_sf
 from .align import _B, _as_list, null_safe_join, range_buckets
 
@@ -164,11 +165,10 @@ class Gram:
 
 
 def complete_rows(df: DataFrame, cols) -> DataFrame:
-    cond = None
+    """The rows without a missing value (null or NaN) in some columns."""
     for c in cols:
-        x = F.col(c).isNotNull()
-        cond = x if cond is None else (cond & x)
-    return df.where(cond) if cond is not None else df
+        df = df.where(~missing(df, c))
+    return df
 
 
 def gram(df: DataFrame, xs, y: str | None = None) -> Gram:
@@ -224,6 +224,8 @@ def _moments(cols) -> list:
 def _gram_of(r, xs: list, y: str | None) -> Gram:
     n, k = int(r["n"]), len(xs) + (y is not None)
     means = np.array([float(r[f"m{i}"]) for i in range(k)])
+    if not np.isfinite(means).all():
+        raise ValueError("infinite values can't be fitted")
     C = np.zeros((k, k))
     for i in range(k):
         for j in range(i, k):
@@ -564,7 +566,7 @@ def qq_pairs(df: DataFrame, col: str, key: str, buckets: int | None = None) -> D
     Sample values are standardised with the mean and population std; the i-th
     smallest (i = 1..n) is paired with Φ⁻¹(i/(n+1)).  Ties are broken by ``key``.
     """
-    x = df.select(key, F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    x = nan_to_null(df.select(key, F.col(col).cast("double").alias("_x")), ["_x"]).where(F.col("_x").isNotNull())
     st = x.agg(F.avg("_x").alias("m"), F.stddev_pop("_x").alias("s")).first()
     m, s = float(st["m"]), float(st["s"]) or 1.0
     ordered = x.withColumn("_o", F.struct("_x", key))
@@ -586,7 +588,7 @@ def surface_grid(df: DataFrame, fit: LinearFit, fx: str, fy: str, k: int = 20) -
     is needed; the ranges and means are one aggregation.
     """
     others = [c for c in fit.xs if c not in (fx, fy)]
-    st = df.agg(F.min(fx).alias("lx"), F.max(fx).alias("hx"), F.min(fy).alias("ly"),
+    st = nan_to_null(df, fit.xs).agg(F.min(fx).alias("lx"), F.max(fx).alias("hx"), F.min(fy).alias("ly"),
                 F.max(fy).alias("hy"), *[F.avg(c).alias(f"m_{c}") for c in others]).first()
     lx, hx, ly, hy = (float(st[c]) for c in ("lx", "hx", "ly", "hy"))
     spark = df.sparkSession
@@ -610,7 +612,7 @@ def reg_band(df: DataFrame, x: str, y: str, points: int = 100, level: float = 0.
     sse = g.Syy - float(fit.coef[0]) * float(g.Sxy[0])
     s = math.sqrt(sse / (n - 2)) if n > 2 else float("nan")
     tq = t_ppf(0.5 + level / 2, n - 2) if n > 2 else float("nan")
-    st = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
+    st = nan_to_null(df, [x]).agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
     lo, hi = float(st["lo"]), float(st["hi"])
     spark = df.sparkSession
     step = (hi - lo) / (points - 1) if points > 1 else 0.0
@@ -628,7 +630,7 @@ def pair_bins(df: DataFrame, cols, bins: int = 10) -> DataFrame:
     pairs (p² per row, p small) and counted per cell.
     """
     cols = _as_list(cols)
-    st = df.agg(*[F.min(c).alias(f"lo_{i}") for i, c in enumerate(cols)],
+    st = nan_to_null(df, cols).agg(*[F.min(c).alias(f"lo_{i}") for i, c in enumerate(cols)],
                 *[F.max(c).alias(f"hi_{i}") for i, c in enumerate(cols)]).first()
 
     def cell(c, i):

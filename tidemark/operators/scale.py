@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.clean import nan_to_null
 from .align import _as_list
 from .stats import quantiles
 
@@ -39,7 +40,7 @@ class Scaling:
 def fit_standard(df: DataFrame, cols) -> Scaling:
     """M1: (x - mean) / std_pop; a zero std divides by 1."""
     cols = _as_list(cols)
-    r = df.agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)],
+    r = nan_to_null(df, cols).agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)],
                *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(cols)]).first()
     # an all-null column has no mean: centre 0, scale 1 (it stays null)
     center = {c: float(r[f"m_{i}"]) if r[f"m_{i}"] is not None else 0.0 for i, c in enumerate(cols)}
@@ -50,7 +51,7 @@ def fit_standard(df: DataFrame, cols) -> Scaling:
 def fit_minmax(df: DataFrame, cols) -> Scaling:
     """M2: (x - min) / (max - min); a zero range divides by 1 (so constants map to 0)."""
     cols = _as_list(cols)
-    r = df.agg(*[F.min(c).alias(f"lo_{i}") for i, c in enumerate(cols)],
+    r = nan_to_null(df, cols).agg(*[F.min(c).alias(f"lo_{i}") for i, c in enumerate(cols)],
                *[F.max(c).alias(f"hi_{i}") for i, c in enumerate(cols)]).first()
     center, scale = {}, {}
     for i, c in enumerate(cols):

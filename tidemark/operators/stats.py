@@ -4,13 +4,12 @@ Every function is one or a few aggregations; what returns to the driver is bound
 (a feature-by-feature matrix, a few quantile bounds).  Exact quantiles have these
 strategies:
 
-* ``method="select"`` (``auto`` with at most ``SELECT_MAX_GROUPS`` groups) — histogram
-  narrowing: each pass is an aggregation that counts the values of every open range
-  in equal-width bins; values are never shuffled or sorted.
-* ``method="rank"`` (``auto`` with more groups) — values are bucketed by range, ranked
-  inside each bucket, given global ranks from per-bucket counts, and only the two
-  order statistics around each requested position are kept.  No group's values are
-  ever gathered in one place.
+* ``method="select"`` (what ``auto`` takes, for any values and any number of groups) — radix
+  selection (``select``): each of at most four passes is an aggregation; values are never
+  shuffled or sorted.
+* ``method="rank"`` — values are bucketed by range, ranked inside each bucket, given global
+  ranks from per-bucket counts, and only the two order statistics around each requested
+  position are kept.  No group's values are ever gathered in one place.
 * ``method="percentile"`` — Spark's exact ``percentile`` aggregate.  It keeps a
   value→count map per group, so it is meant for tables whose size is bounded by
   construction (a daily panel: one row per day).
@@ -20,15 +19,14 @@ strategies:
 from __future__ import annotations
 
 import math
-import os
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.clean import clip_col, nan_to_null
 from .align import _B, _as_list, null_safe_join, range_buckets
+from .select import between, select_quantiles
 
 # ---------------------------------------------------------------------------
 # A1-A6 grouped and global means
@@ -37,7 +35,7 @@ from .align import _B, _as_list, null_safe_join, range_buckets
 def mean_by(df: DataFrame, keys, cols, drop_null_keys: bool = True) -> DataFrame:
     """A1/A2: mean of ``cols`` per key (pandas drops null group keys)."""
     keys = _as_list(keys)
-    src = df
+    src = nan_to_null(df, _as_list(cols))
     if drop_null_keys:
         for k in keys:
             src = src.where(F.col(k).isNotNull())
@@ -46,13 +44,13 @@ def mean_by(df: DataFrame, keys, cols, drop_null_keys: bool = True) -> DataFrame
 
 def mean_count_by(df: DataFrame, key, col: str) -> DataFrame:
     """A3: mean and non-null count of ``col`` per key."""
-    return (df.where(F.col(key).isNotNull()).groupBy(key)
+    return (nan_to_null(df, [col]).where(F.col(key).isNotNull()).groupBy(key)
             .agg(F.avg(col).alias("mean"), F.count(col).alias("count")))
 
 
 def global_summary(df: DataFrame, col: str) -> DataFrame:
     """A4: min, max, mean and row count of one column."""
-    return df.agg(F.min(col).alias("min"), F.max(col).alias("max"),
+    return nan_to_null(df, [col]).agg(F.min(col).alias("min"), F.max(col).alias("max"),
                   F.avg(col).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
@@ -61,7 +59,7 @@ def min_across(frames: Sequence[DataFrame], col: str) -> DataFrame:
     u = frames[0].select(col)
     for f in frames[1:]:
         u = u.unionByName(f.select(col))
-    return u.agg(F.min(col).alias("min"))
+    return nan_to_null(u, [col]).agg(F.min(col).alias("min"))
 
 
 # ---------------------------------------------------------------------------
@@ -89,112 +87,13 @@ def _pname(p: float) -> str:
     return f"q{s}"
 
 
-SELECT_MAX_GROUPS = int(os.environ.get("TIDEMARK_SELECT_MAX_GROUPS", "64"))
-_SELECT_BINS = 1024
-_SELECT_FETCH = 4096
-
-
-def _select_quantiles(long: DataFrame, keys: list, probs: list, names: list,
-                      groups: list) -> DataFrame:
-    """Exact order statistics by histogram narrowing (no sort, no shuffle of the values).
-
-    ``groups``: the collected (keys..., n, lo, hi) rows.  Every wanted rank (floor and
-    ceil of (n−1)p) starts with the group's [min, max]; each pass counts the values of
-    every open range in ``_SELECT_BINS`` equal-width bins (with each bin's own min and
-    max) through a broadcast join with the small range table, and the bin holding
-    the rank becomes the new range.  A range whose values are all equal, or that holds
-    at most ``_SELECT_FETCH`` values, is resolved on the driver.  Each pass shrinks a
-    range about a thousandfold, so a handful of passes suffice at any size.
-    """
-    spark = long.sparkSession
-    targets = {}                       # (gi, rank) -> state
-    for gi, g in enumerate(groups):
-        n = int(g["n"])
-        for p in probs:
-            h = (n - 1) * p
-            for r in {math.floor(h), math.ceil(h)}:
-                targets[(gi, r)] = {"lo": g["lo"], "hi": g["hi"], "below": 0, "value": None}
-    key_types = {k: long.schema[k].dataType.simpleString() for k in keys}
-    while True:
-        open_t = {t: st for t, st in targets.items() if st["value"] is None}
-        if not open_t:
-            break
-        ranges = {}
-        for (gi, r), st in open_t.items():
-            if st["lo"] == st["hi"]:
-                st["value"] = st["lo"]
-                continue
-            ranges.setdefault((gi, st["lo"], st["hi"]), len(ranges))
-        if not ranges:
-            continue
-        rows = [tuple(groups[gi][k] for k in keys) + (rid, float(lo), float(hi))
-                for (gi, lo, hi), rid in ranges.items()]
-        schema = ", ".join([f"`{k}` {t}" for k, t in key_types.items()]
-                           + ["_rid int", "_lo double", "_hi double"])
-        rt = F.broadcast(spark.createDataFrame(rows, schema))  # one row per open range
-        m = null_safe_join(long, rt, keys, "inner").where((F.col("value") >= F.col("_lo")) & (F.col("value") <= F.col("_hi")))
-        width = (F.col("_hi") - F.col("_lo")) / F.lit(_SELECT_BINS)
-        b = F.least(F.lit(_SELECT_BINS - 1), F.floor((F.col("value") - F.col("_lo")) / width)).cast("int")
-        hist = m.groupBy("_rid", b.alias("_b")).agg(
-            F.count(F.lit(1)).alias("c"), F.min("value").alias("mn"), F.max("value").alias("mx")).collect()
-        per_range = {}
-        for h in hist:
-            per_range.setdefault(h["_rid"], []).append((h["_b"], h["c"], h["mn"], h["mx"]))
-        fetch = {}
-        for (gi, r), st in open_t.items():
-            if st["value"] is not None:
-                continue
-            rid = ranges[(gi, st["lo"], st["hi"])]
-            want = r - st["below"]     # 0-based rank inside the range
-            seen = 0
-            for _, c, mn, mx in sorted(per_range[rid]):
-                if seen + c > want:
-                    st["lo"], st["hi"], st["below"] = mn, mx, st["below"] + seen
-                    if mn == mx:
-                        st["value"] = mn
-                    elif c <= _SELECT_FETCH:
-                        fetch[(gi, r)] = st
-                    break
-                seen += c
-        if fetch:
-            franges = {}
-            for (gi, r), st in fetch.items():
-                franges.setdefault((gi, st["lo"], st["hi"]), len(franges))
-            rows = [tuple(groups[gi][k] for k in keys) + (rid, float(lo), float(hi))
-                    for (gi, lo, hi), rid in franges.items()]
-            rt = F.broadcast(spark.createDataFrame(rows, schema))
-            vals = {}
-            for v in (null_safe_join(long, rt, keys, "inner").where((F.col("value") >= F.col("_lo"))
-                                                & (F.col("value") <= F.col("_hi")))
-                      .select("_rid", "value").collect()):
-                vals.setdefault(v["_rid"], []).append(v["value"])
-            for (gi, r), st in fetch.items():
-                vs = sorted(vals[franges[(gi, st["lo"], st["hi"])]])
-                st["value"] = vs[r - st["below"]]
-    out = []
-    for gi, g in enumerate(groups):
-        n = int(g["n"])
-        row = [g[k] for k in keys] + [n]
-        for p in probs:
-            h = (n - 1) * p
-            lo_v = targets[(gi, math.floor(h))]["value"]
-            hi_v = targets[(gi, math.ceil(h))]["value"]
-            row.append(float(lo_v + (hi_v - lo_v) * (h - math.floor(h))))
-        out.append(tuple(row))
-    schema = ", ".join([f"`{k}` {t}" for k, t in key_types.items()] + ["n long"]
-                       + [f"{nm} double" for nm in names])
-    # at most SELECT_MAX_GROUPS rows: safe to broadcast wherever it is joined back
-    return F.broadcast(spark.createDataFrame(out, schema))
-
-
 def quantiles(df: DataFrame, cols, probs: Sequence[float], by=(), method: str = "auto",
               buckets: int | None = None, accuracy: int = 10000) -> DataFrame:
     """Quantiles with linear interpolation (pandas/NumPy default, DuckDB quantile_cont).
 
     Returns one row per (by..., variable) with columns ``q25``, ``q50`` … named by
-    ``_pname``; ``n`` is the non-null count.  ``method="auto"`` selects by histogram
-    narrowing when there are at most ``SELECT_MAX_GROUPS`` groups (a few aggregation
-    passes, values never shuffled) and ranks in range buckets otherwise.
+    ``_pname``; ``n`` is the non-null count.  ``method="auto"`` is radix selection (a few
+    aggregation passes for any number of groups, values never shuffled).
     """
     by = _as_list(by)
     cols = _as_list(cols)
@@ -208,16 +107,7 @@ def quantiles(df: DataFrame, cols, probs: Sequence[float], by=(), method: str =
         from ..session import materialize_if_derived
         long = materialize_if_derived(long)
     if method in ("auto", "select"):
-        groups = (long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"),
-                                          F.max("value").alias("hi"))
-                  .limit(SELECT_MAX_GROUPS + 1).collect())
-        if len(groups) <= SELECT_MAX_GROUPS:
-            if not groups:
-                return long.sparkSession.createDataFrame(
-                    [], ", ".join([f"`{k}` {long.schema[k].dataType.simpleString()}" for k in keys]
-                                  + ["n long"] + [f"{nm} double" for nm in names]))
-            return _select_quantiles(long, keys, probs, names, groups)
-        method = "rank"
+        return select_quantiles(long, keys, probs, names)
     if method in ("percentile", "approx"):
         if method == "percentile":
             q = F.percentile(F.col("value"), F.array(*[F.lit(p) for p in probs]))
@@ -260,7 +150,7 @@ def quantiles(df: DataFrame, cols, probs: Sequence[float], by=(), method: str =
         lo = F.max(F.when(holds(F.floor(h)), F.col("value")))
         hi = F.max(F.when(holds(F.ceil(h)), F.col("value")))
         frac = F.max(h - F.floor(h))
-        aggs.append((lo + (hi - lo) * frac).alias(nm))
+        aggs.append(between(lo, hi, frac).alias(nm))
     return picked.groupBy(*keys, "n").agg(*aggs).select(*keys, "n", *names)
 
 
@@ -300,7 +190,7 @@ def iqr_bounds(df: DataFrame, col: str, k: float = 1.5, method: str = "auto") ->
     iqr = q3 - q1
     lower, upper = q1 - k * iqr, q3 + k * iqr
     x = F.col(col).cast("double")
-    return df.agg(F.count_if((x < lower) | (x > upper)).alias("n_outliers"),
+    return nan_to_null(df, [col]).agg(F.count_if((x < lower) | (x > upper)).alias("n_outliers"),
                   F.count(F.lit(1)).alias("n")).select(
         F.lit(q1).alias("q1"), F.lit(q3).alias("q3"), F.lit(iqr).alias("iqr"),
         F.lit(lower).alias("lower"), F.lit(upper).alias("upper"), "n_outliers", "n",
@@ -308,10 +198,8 @@ def iqr_bounds(df: DataFrame, col: str, k: float = 1.5, method: str = "auto") ->
 
 
 def clip(df: DataFrame, col: str, lower: float, upper: float) -> DataFrame:
-    """Clip into [lower, upper]; null stays null (``greatest``/``least`` skip nulls)."""
-    c = F.col(col)
-    return df.withColumn(col, F.when(c.isNotNull(),
-                                     F.greatest(F.lit(lower), F.least(F.lit(upper), c))))
+    """Clip into [lower, upper]; null stays null and NaN NaN."""
+    return df.withColumn(col, clip_col(col, lower, upper))
 
 
 # ---------------------------------------------------------------------------
@@ -324,8 +212,8 @@ def _pair_sums(x: str, y: str) -> list[Column]:
 
 
 def safe_corr_value(sxx: Column, syy: Column, sxy: Column) -> Column:
-    """Pearson r from centred sums; zero variance gives null instead of an error."""
-    return F.try_divide(sxy, F.sqrt(sxx * syy))
+    """Pearson r from centred sums; zero variance gives null instead of an error, and so do infinite values."""
+    return F.nanvl(F.try_divide(sxy, F.sqrt(sxx * syy)), F.lit(None).cast("double"))
 
 
 def corr_long(df: DataFrame, cols, by=(), name: str = "pearson_r") -> DataFrame:
@@ -343,7 +231,7 @@ def corr_long(df: DataFrame, cols, by=(), name: str = "pearson_r") -> DataFrame:
             if j < i:
                 continue
             aggs.append(safe_corr_value(*_pair_sums(a, b)).alias(f"_c_{i}_{j}"))
-    row = df.groupBy(*by).agg(*aggs)
+    row = nan_to_null(df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]), cols).groupBy(*by).agg(*aggs)
     cells = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
@@ -364,7 +252,7 @@ def linregress(df: DataFrame, x: str, y: str, by=()) -> DataFrame:
 
     by = _as_list(by)
     X, Y = F.col(x), F.col(y)
-    agg = df.groupBy(*by).agg(
+    agg = nan_to_null(df, [x, y]).groupBy(*by).agg(
         F.regr_count(Y, X).alias("n"), F.regr_sxx(Y, X).alias("sxx"),
         F.regr_syy(Y, X).alias("syy"), F.regr_sxy(Y, X).alias("sxy"),
         F.regr_avgx(Y, X).alias("mx"), F.regr_avgy(Y, X).alias("my"),
@@ -395,7 +283,7 @@ def polyfit_per_feature(df: DataFrame, xs, y: str) -> DataFrame:
     Rows are unpivoted to (feature, x, y) and fitted in one grouped aggregation.
     """
     xs = _as_list(xs)
-    long = df.unpivot([y], [F.col(c).cast("double").alias(c) for c in xs], "feature", "x")
+    long = nan_to_null(df.unpivot([y], [F.col(c).cast("double").alias(c) for c in xs], "feature", "x"), ["x", y])
     return (long.groupBy("feature").agg(
         F.regr_slope(F.col(y), F.col("x")).alias("slope"),
         F.regr_intercept(F.col(y), F.col("x")).alias("intercept"),
@@ -410,6 +298,12 @@ def distinct_first_seen(df: DataFrame, col: str, order) -> DataFrame:
             .select(col, "_first"))
 
 
+def _present(df: DataFrame, col: str, by=()) -> DataFrame:
+    """(by..., _x): a column's values that aren't missing, as doubles."""
+    x = df.select(*by, F.col(col).cast("double").alias("_x"))
+    return nan_to_null(x, ["_x"]).where(F.col("_x").isNotNull())
+
+
 def box_stats(df: DataFrame, col: str, by=(), whis: float = 1.5, method: str = "auto") -> DataFrame:
     """Box-plot numbers per group: quartiles, whisker ends, outlier count.
 
@@ -422,7 +316,7 @@ def box_stats(df: DataFrame, col: str, by=(), whis: float = 1.5, method: str = "
     df = materialize_if_derived(df.select(*by, col))
     q = quantiles(df, [col], [0.25, 0.5, 0.75], by=by, method=method).select(
         *by, "n", F.col("q25").alias("q1"), F.col("q50").alias("median"), F.col("q75").alias("q3"))
-    x = df.select(*by, F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    x = _present(df, col, by)
     if by:
         j = null_safe_join(x, q, by, "inner")
     else:
@@ -448,7 +342,7 @@ def box_stats(df: DataFrame, col: str, by=(), whis: float = 1.5, method: str = "
 
 def auto_bins(n: int, lo: float, hi: float, q1: float, q3: float) -> int:
     """NumPy's ``bins='auto'``: the narrower of the Sturges and Freedman–Diaconis widths."""
-    if n == 0 or hi is None or lo is None:
+    if n == 0 or hi is None or lo is None or math.isinf(hi) or math.isinf(lo):
         return 1
     rng = hi - lo
     if rng <= 0:
@@ -469,8 +363,7 @@ def histogram(df: DataFrame, col: str, bins: int | None = None, method: str = "a
     right, as in NumPy.
     """
     from ..session import materialize_if_derived
-    x = df.select(F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    x = materialize_if_derived(x)   # read by the quantile passes and the counting pass
+    x = materialize_if_derived(_present(df, col))   # read by the quantile passes and the counting pass
     if bins is None:
         # one quantile call gives the count, the extremes (q0, q100) and the quartiles
         qr = quantiles(x, ["_x"], [0.0, 0.25, 0.75, 1.0], method=method).first()
@@ -484,6 +377,8 @@ def histogram(df: DataFrame, col: str, bins: int | None = None, method: str = "a
     if n == 0:
         return spark.createDataFrame([], "bin long, n_bins long, lo double, hi double, count long")
     lo_v, hi_v = float(lo), float(hi)
+    if math.isinf(lo_v) or math.isinf(hi_v):
+        raise ValueError("infinite values have no bins")
     if hi_v == lo_v:
         lo_v, hi_v = lo_v - 0.5, hi_v + 0.5
     idx = F.least(F.lit(bins - 1).cast("long"), F.floor((F.col("_x") - F.lit(lo_v)) * F.lit(bins)
@@ -495,44 +390,62 @@ def histogram(df: DataFrame, col: str, bins: int | None = None, method: str = "a
                          (F.lit(lo_v) + (F.col("bin") + 1) * F.lit(width)).alias("hi"), "count")
 
 
+#: Moments of a box, and how many bandwidths away its values are still added.
+_KDE_TERMS, _KDE_REACH = 14, 9.0
+
+
 def kde_grid(df: DataFrame, col: str, grid_size: int = 200, cut: float = 0.0,
              bw: float | None = None) -> DataFrame:
     """Gaussian kernel density on an even grid (Scott's bandwidth by default).
 
-    bandwidth = std(ddof 1) · n^(-1/5) (SciPy's 'scott' factor).  Equal values are counted
-    first; each task then sums the weighted kernel over its own values for every grid
-    point with NumPy (``mapInPandas``) and emits ``grid_size`` partial sums; one grouped
-    sum adds the partials.  No row is replicated across the grid and no pair of rows
-    meets.
+    bandwidth = std(ddof 1) · n^(-1/5) (SciPy's 'scott' factor).  A fast Gauss transform: values
+    are cut into boxes half a bandwidth wide, one aggregation keeps each box's first ``_KDE_TERMS`` moments
+    about its centre, and a box adds a Hermite series to the grid points within ``_KDE_REACH`` bandwidths.
+    A value's kernel is then off by less than 1e-13 of its height (0.25ⁿ/√n! summed from the first term left out)
+    and by less than 3e-18 where it isn't added, whatever the number of rows.
     """
-    from ..session import materialize_if_derived, ship_package
-    ship_package(df.sparkSession)
-    x = materialize_if_derived(df.select(F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull()))
+    from ..session import materialize_if_derived
+    x = materialize_if_derived(_present(df, col))
     st = x.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("_x").alias("sd"),
                F.min("_x").alias("lo"), F.max("_x").alias("hi")).first()
     n = st["n"]
     spark = df.sparkSession
     if not n or st["sd"] is None or st["sd"] == 0:
         return spark.createDataFrame([], "i int, x double, density double")
+    if math.isinf(st["lo"]) or math.isinf(st["hi"]):
+        raise ValueError("infinite values have no density")
     h = float(bw) if bw else float(st["sd"]) * n ** (-1.0 / 5.0)
-    lo = float(st["lo"]) - cut * h
-    hi = float(st["hi"]) + cut * h
-    grid = np.linspace(lo, hi, grid_size)
-
-    def partial(batches):
-        acc = np.zeros(grid_size)
-        for pdf in batches:
-            v, many = pdf["_x"].to_numpy(dtype=float), pdf["count"].to_numpy(dtype=float)
-            for start in range(0, len(v), 4096):
-                z = (grid[:, None] - v[None, start:start + 4096]) / h
-                acc += np.exp(-0.5 * z * z) @ many[start:start + 4096]
-        yield pd.DataFrame({"i": np.arange(grid_size, dtype=np.int32), "s": acc})
-
-    sums = x.groupBy("_x").count().mapInPandas(partial, "i int, s double").groupBy("i").agg(F.sum("s").alias("s"))
-    norm = 1.0 / (n * h * math.sqrt(2 * math.pi))
+    lo, hi = float(st["lo"]) - cut * h, float(st["hi"]) + cut * h
     step = (hi - lo) / (grid_size - 1) if grid_size > 1 else 0.0
-    return sums.select("i", (F.lit(lo) + F.col("i") * F.lit(step)).alias("x"),
-                       (F.col("s") * F.lit(norm)).alias("density"))
+    unit, width, base = math.sqrt(2.0) * h, h / 2.0, float(st["lo"])
+    centre = F.lit(base) + (F.col("_box") + 0.5) * F.lit(width)
+    v = x.withColumn("_box", F.floor((F.col("_x") - F.lit(base)) / F.lit(width))) \
+        .select("_box", ((F.col("_x") - centre) / F.lit(unit)).alias("_v"))
+    power, moments = F.lit(1.0), []
+    for k in range(_KDE_TERMS):
+        moments.append(F.sum(power) / float(math.factorial(k)))
+        power = power * F.col("_v")
+    boxes = v.groupBy("_box").agg(F.array(*moments).alias("_m")).withColumn("_c", centre)
+    if step > 0:
+        reach = F.lit(_KDE_REACH * h)
+        first = F.greatest(F.lit(0), F.ceil((F.col("_c") - reach - F.lit(lo)) / F.lit(step)).cast("int"))
+        last = F.least(F.lit(grid_size - 1), F.floor((F.col("_c") + reach - F.lit(lo)) / F.lit(step)).cast("int"))
+    else:
+        first = last = F.lit(0)
+    near = boxes.withColumns({"_a": first, "_b": last}).where("_a <= _b") \
+        .select("_m", "_c", F.explode(F.sequence("_a", "_b")).alias("i"))
+    near = near.withColumn("_u", (F.lit(lo) + F.col("i") * F.lit(step) - F.col("_c")) / F.lit(unit))
+    # Hermite functions by their recurrence: h₀ = exp(-u²), hₙ₊₁ = 2u hₙ - 2n hₙ₋₁
+    series = F.aggregate(
+        "_m", F.struct(F.lit(0.0).alias("before"), F.exp(-F.col("_u") * F.col("_u")).alias("now"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("k")),
+        lambda t, m: F.struct(t["now"].alias("before"), (2.0 * F.col("_u") * t["now"] - 2.0 * t["k"] * t["before"]).alias("now"),
+                              (t["sum"] + m * t["now"]).alias("sum"), (t["k"] + 1.0).alias("k")),
+        lambda t: t["sum"])
+    sums = near.groupBy("i").agg(F.sum(series).alias("s"))
+    norm = 1.0 / (n * h * math.sqrt(2 * math.pi))
+    grid = spark.range(grid_size).select(F.col("id").cast("int").alias("i"))
+    return grid.join(sums, "i", "left").select(
+        "i", (F.lit(lo) + F.col("i") * F.lit(step)).alias("x"), (F.coalesce("s", F.lit(0.0)) * F.lit(norm)).alias("density"))
 
 
 # ---------------------------------------------------------------------------

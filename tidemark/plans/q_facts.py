@@ -128,7 +128,7 @@ _ITEMS = Q.cte(it=Q.ITEMS)
        + " FROM it GROUP BY category")
 def a8_quantiles_by_category(spark, sf_dir):
     it = TB.item_facts(spark, sf_dir)
-    q = ST.quantiles(it, ["price"], [0.05, 0.25, 0.5, 0.75, 0.95], by=["category"], method="rank")
+    q = ST.quantiles(it, ["price"], [0.05, 0.25, 0.5, 0.75, 0.95], by=["category"])
     return rnd(q, {c: 4 for c in ("q5", "q25", "q50", "q75", "q95")})
 
 
