@@ -235,21 +235,41 @@ def test_recall_on_a_whole_shard():
     assert (h.search(np.concatenate([q, np.zeros((100, 1))], 1), 50)[0] == g.search(np.concatenate([q, np.zeros((100, 1))], 1), 50)[0]).all()
 
 
-def test_postings_with_any_threshold():
+@pytest.mark.parametrize("scale", [50, 1 << 24, 1 << 30])
+def test_postings_with_any_threshold(scale):
+    """The largest scale is beyond what doubles hold exactly."""
     rng = np.random.default_rng(2)
-    for n in (1, 5, 200):
-        x = rng.integers(-50, 50, (n, 6))
-        ends, where, sizes = [], [], []
-        for d in range(6):
-            for sign in (1, -1):
-                own = np.flatnonzero(x[:, d] * sign > 0)
-                where.append(own), sizes.append(x[own, d] * sign), ends.append(len(own))
-        p = maxscore.Postings(n, np.cumsum(ends), np.concatenate(where), np.concatenate(sizes), np.arange(n))
-        for _ in range(20):
-            q = rng.integers(-50, 50, 6) * rng.integers(0, 2, 6)
-            rows, score = p.top(q, 10)
-            want = np.lexsort((np.arange(n), -(x @ q)))[:10]
-            assert (rows == want).all() and (score == (x @ q)[want]).all()
+    for n in (1, 5, 200, 900):
+        x = rng.integers(-scale, scale, (n, 6)) * rng.integers(0, 2, (n, 6))
+        blocks = maxscore.like_blocks(x.astype(float), 16)
+        order = np.concatenate(blocks)
+        assert sorted(order.tolist()) == list(range(n)) and max(map(len, blocks)) <= 16
+        p = maxscore.Postings(np.ascontiguousarray(x[order].T).astype(float), np.cumsum([len(b) for b in blocks]), order)
+        q = rng.integers(-scale, scale, (20, 6)) * rng.integers(0, 2, (20, 6))
+        score = q.astype(object) @ x.T.astype(object)
+        want = [sorted(range(n), key=lambda r: (-s[r], r))[:10] for s in score]
+        for low in (-np.inf, None):
+            least = np.array([float(s[w[-1]]) * (1 - 1e-12) if low is None and s[w[-1]] > 0 else -np.inf for s, w in zip(score, want)])
+            for (rows, got), s, w in zip(p.top(q.astype(float), 10, least), score, want):
+                found = sorted(zip((-got).tolist(), order[rows].tolist()))
+                assert [i for _, i in found][:10] == w and [-v for v, _ in found][:10] == [s[i] for i in w]
+
+
+def test_scores_beyond_doubles_are_exact_or_raise(spark):
+    table = spark.createDataFrame([(0, [3e9, 1.0]), (1, [100.0, 5.0]), (2, [101.0, 2.0 ** -10])], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.score for r in maxscore.top_inner_products(table, F.col("vec_id") == 0, k=2).collect()}
+    assert got == {i: int(3e9 * 1024) * int(1024 * x) + 1024 * int(1024 * y) for i, x, y in ((1, 100.0, 5.0), (2, 101.0, 2.0 ** -10))}
+    huge = spark.createDataFrame([(0, [3e15]), (1, [3e15])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="doesn't fit into a long"):
+        maxscore.top_inner_products(huge, F.col("vec_id") == 0, k=2).collect()
+
+
+def test_thresholds_go_to_all_shards(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=8).round(3).tolist()) for i in range(400)] + [(1000 + i, [1.0] * 8) for i in range(30)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = answers(maxscore.top_inner_products(table, F.col("vec_id") % 20 == 0, k=10, shard_rows=50, block_rows=5, like_rows=8).collect())
+    assert got == brute_nearest(rows, 20, 10, lambda x: int(np.floor(1024 * x)), True)
 
 
 def test_copies_keep_their_smallest_ids(spark):
