@@ -1,123 +1,168 @@
 """Distribution tails used by the inference summaries (no SciPy in the image).
 
-Student t, F and chi-square tails come from the regularised incomplete beta and
-gamma functions (continued fractions, Numerical-Recipes style), vectorised over
-NumPy arrays.  They are evaluated on the driver for p×p-sized results, or inside an
-Arrow-batched pandas UDF when a grouped fit returns one row per group.
+Student t and F tails are regularised incomplete beta functions.  Each comes twice: in plain Python
+for the few numbers of a summary on the driver, and as Column expressions, so that a grouped fit's
+p-values stay in the JVM.  Both take the complement of x as well (a tail knows both without
+cancellation) and hold for any degrees of freedom: the logarithm of the beta function is formed from a ratio of
+gamma functions, not from their difference, and the continued fraction needs far fewer than ``_STEPS``
+steps where it is used.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..session import ship_package
-
-_EPS = 1e-15
+_STEPS = 120
 _TINY = 1e-300
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-
-
-def _beta_fraction(a, b, x, most: int = 300):
-    """The continued fraction of DLMF 8.17.22, 1/(1+ d₁/(1+ d₂/(1+ ...))), by the modified Lentz
-    method: numerators and denominators of successive convergents enter as ratios only."""
-    a, b, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(b, float), np.asarray(x, float))
-    away = lambda v: np.where(np.abs(v) < _TINY, _TINY, v)
-    value, above, below = np.ones_like(x), np.ones_like(x), np.zeros_like(x)
-    for j in range(1, most + 1):
-        m = j // 2
-        if j % 2:
-            d = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        else:
-            d = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        above, below = away(1.0 + d / above), 1.0 / away(1.0 + d * below)
-        step = above * below
-        value = value * step
-        if np.all(np.abs(step - 1.0) < _EPS):
+#: Arguments are shifted up by this before Stirling's series is used.
+_SHIFT = 10
+#: B₂ₖ / (2k (2k - 1)), the coefficients of Stirling's series.
+_STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360, 1 / 156)
+
+
+def _stirling_rest(z):
+    """ln Γ(z) less its leading terms, for z of at least ``_SHIFT``."""
+    inverse = 1.0 / (z * z)
+    out = _STIRLING[-1]
+    for c in _STIRLING[-2::-1]:
+        out = out * inverse + c
+    return out / z
+
+
+def _log_beta(a, b, log, log1p):
+    """ln B(a, b) = ln Γ(b) - (ln Γ(a + b) - ln Γ(a)), for numbers or Columns."""
+    top, low = a + _SHIFT, b + _SHIFT
+    log_gamma_b = (low - 0.5) * log(low) - low + 0.5 * math.log(2 * math.pi) + _stirling_rest(low)
+    rise = (top - 0.5) * log1p(b / top) + b * log(top + b) - b + _stirling_rest(top + b) - _stirling_rest(top)
+    for i in range(_SHIFT):
+        log_gamma_b = log_gamma_b - log(b + i)
+        rise = rise - log1p(b / (a + i))
+    return log_gamma_b - rise
+
+
+def _link(a, b, x, y, m):
+    """Numerator and denominator m of the even part of the fraction 1/(1 + d₁/(1 + d₂/(1 + …))) (DLMF 8.17.22).
+
+    1 + d₂ₘ₊₁ is formed from y = 1 - x, so it keeps its digits where d₂ₘ₊₁ is almost -1 (many degrees of freedom).
+    """
+    even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+    odd_before = -(a + m - 1) * (a + b + m - 1) * x / ((a + 2 * m - 2) * (a + 2 * m - 1))
+    one_and_odd = (a * (2 * m + 1 - b) + m * (3 * m + 2 - b) + (a + m) * (a + b + m) * y) / ((a + 2 * m) * (a + 2 * m + 1))
+    return -odd_before * even, one_and_odd + even
+
+
+def _first(a, b, y):
+    return (1 - b + (a + b) * y) / (a + 1)
+
+
+def _fraction(a: float, b: float, x: float, y: float) -> float:
+    """Ratios of successive numerators and denominators are multiplied up until they settle."""
+    value = above = _first(a, b, y) or _TINY
+    below = 0.0
+    for m in range(1, _STEPS + 1):
+        c, d = _link(a, b, x, y, m)
+        above, below = (d + c / above) or _TINY, 1.0 / ((d + c * below) or _TINY)
+        value *= above * below
+        if above * below == 1.0:
             break
     return 1.0 / value
 
 
-def betainc(a, b, x):
-    """Regularised incomplete beta I_x(a, b), vectorised."""
-    a, b, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(b, float), np.asarray(x, float))
-    out = np.full(x.shape, np.nan)
-    ok = np.isfinite(a) & np.isfinite(b) & np.isfinite(x) & (a > 0) & (b > 0)
-    out[ok & (x <= 0)] = 0.0
-    out[ok & (x >= 1)] = 1.0
-    mid = ok & (x > 0) & (x < 1)
-    if np.any(mid):
-        am, bm, xm = a[mid], b[mid], x[mid]
-        lbt = (_lgamma(am + bm) - _lgamma(am) - _lgamma(bm)
-               + am * np.log(xm) + bm * np.log1p(-xm))
-        bt = np.exp(lbt)
-        direct = xm < (am + 1.0) / (am + bm + 2.0)
-        res = np.empty_like(xm)
-        if np.any(direct):
-            res[direct] = bt[direct] * _beta_fraction(am[direct], bm[direct], xm[direct]) / am[direct]
-        if np.any(~direct):
-            nd = ~direct
-            res[nd] = 1.0 - bt[nd] * _beta_fraction(bm[nd], am[nd], 1.0 - xm[nd]) / bm[nd]
-        out[mid] = res
-    return out
-
-
-def t_sf(t, dof):
+def betainc(a: float, b: float, x: float, y: float | None = None) -> float:
+    """Regularised incomplete beta I_x(a, b); ``y`` is 1 - x, where the caller has it exactly."""
+    y = 1.0 - x if y is None else y
+    if not (a > 0 and b > 0) or math.isnan(x):
+        return math.nan
+    if x <= 0 or y <= 0:
+        return 0.0 if x <= 0 else 1.0
+    # the front factor xᵃ yᵇ / B(a, b) is the same seen from either end
+    log_x, log_y = (math.log1p(-v) if v < 0.5 else math.log(1.0 - v if w is None else w) for v, w in ((y, x), (x, y)))
+    front = math.exp(a * log_x + b * log_y - _log_beta(max(a, b), min(a, b), math.log, math.log1p))
+    if x * (a + b + 2.0) < a + 1.0:
+        return front * _fraction(a, b, x, y) / a
+    return 1.0 - front * _fraction(b, a, y, x) / b
+
+
+def t_sf(t: float, dof: float) -> float:
     """P(T > t) for Student t with ``dof`` degrees of freedom."""
-    t = np.asarray(t, float)
-    dof = np.asarray(dof, float)
-    x = dof / (dof + t * t)
-    half = 0.5 * betainc(dof / 2.0, 0.5, x)
-    return np.where(t >= 0, half, 1.0 - half)
+    if math.isinf(t):
+        return 0.0 if t > 0 else 1.0
+    square = t * t
+    half = 0.5 * betainc(dof / 2.0, 0.5, dof / (dof + square), square / (dof + square))
+    return half if t >= 0 else 1.0 - half
 
 
 def t_ppf(q: float, dof: float) -> float:
     """Quantile of Student t (bisection on the tail; used for 95 % intervals)."""
     if not (0 < q < 1) or not dof or dof <= 0:
-        return float("nan")
-    if q == 0.5:
+        return math.nan
+    if q < 0.5:
+        return -t_ppf(1.0 - q, dof)
+    high = 1.0
+    while t_sf(high, dof) > 1.0 - q and high < 1e300:
+        high *= 2.0
+    low = 0.0
+    while True:
+        middle = 0.5 * (low + high)
+        if middle in (low, high):
+            return middle
+        low, high = (middle, high) if t_sf(middle, dof) > 1.0 - q else (low, middle)
+
+
+def f_sf(f: float, d1: float, d2: float) -> float:
+    """P(F > f) for the F distribution."""
+    if math.isinf(f):
         return 0.0
-    upper = q > 0.5
-    target = 1.0 - q if upper else q
-    lo, hi = 0.0, 1.0
-    while float(t_sf(hi, dof)) > target:
-        hi *= 2.0
-        if hi > 1e12:
-            break
-    for _ in range(200):
-        mid = 0.5 * (lo + hi)
-        if float(t_sf(mid, dof)) > target:
-            lo = mid
-        else:
-            hi = mid
-    v = 0.5 * (lo + hi)
-    return v if upper else -v
+    whole = d2 + d1 * f
+    return betainc(d2 / 2.0, d1 / 2.0, d2 / whole, d1 * f / whole)
 
 
-def f_sf(f, d1, d2):
-    """P(F > f) for the F distribution."""
-    f = np.asarray(f, float)
-    d1 = np.asarray(d1, float)
-    d2 = np.asarray(d2, float)
-    return betainc(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f))
+def chi2_sf_2dof(x: float) -> float:
+    """P(X > x) for chi-square with 2 degrees of freedom (Omnibus and JB tests)."""
+    return math.exp(-x / 2.0)
 
 
-def chi2_sf_2dof(x):
-    """P(X > x) for chi-square with 2 degrees of freedom (Omnibus and JB tests)."""
-    return np.exp(-np.asarray(x, float) / 2.0)
+# ---------------------------------------------------------------------------
+# Column forms
+
+
+def _fraction_col(a: Column, b: Column, x: Column, y: Column) -> Column:
+    away = lambda v: F.when(F.abs(v) < _TINY, F.lit(_TINY)).otherwise(v)
+    first = away(_first(a, b, y))
+    start = F.struct(first.alias("above"), F.lit(0.0).alias("below"), first.alias("value"))
+
+    def step(s, m):
+        c, d = _link(a, b, x, y, m.cast("double"))
+        above, below = away(d + c / s["above"]), 1.0 / away(d + c * s["below"])
+        return F.struct(above.alias("above"), below.alias("below"), (s["value"] * above * below).alias("value"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(_STEPS)), start, step, lambda s: 1.0 / s["value"])
 
 
-@F.pandas_udf(T.DoubleType())
-def _t_sf_udf(t: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series(t_sf(t.to_numpy(float), dof.to_numpy(float)))
+def betainc_col(a: Column, b: Column, x: Column, y: Column) -> Column:
+    """I_x(a, b) with y = 1 - x; null where an argument is missing or not positive."""
+    log_x = F.when(y < 0.5, F.log1p(-y)).otherwise(F.log(x))
+    log_y = F.when(x < 0.5, F.log1p(-x)).otherwise(F.log(y))
+    front = F.exp(a * log_x + b * log_y - _log_beta(F.greatest(a, b), F.least(a, b), F.log, F.log1p))
+    direct = x * (a + b + 2.0) < a + 1.0
+    own = F.when(direct, front * _fraction_col(a, b, x, y) / a).otherwise(1.0 - front * _fraction_col(b, a, y, x) / b)
+    return F.when((a > 0) & (b > 0), F.when(x <= 0, F.lit(0.0)).when(y <= 0, F.lit(1.0)).otherwise(own))
 
 
 def t_sf_col(t: Column, dof: Column) -> Column:
-    """Column form of ``t_sf`` (Arrow-batched; used on per-group fit rows only)."""
-    ship_package(SparkSession.active())
-    return _t_sf_udf(t.cast("double"), dof.cast("double"))
+    """P(T > t) of a row's t and degrees of freedom."""
+    t, dof = t.cast("double"), dof.cast("double")
+    square = t * t
+    half = 0.5 * betainc_col(dof / 2.0, F.lit(0.5), dof / (dof + square), square / (dof + square))
+    finite = F.when(t >= 0, half).otherwise(1.0 - half)
+    return F.when(t == float("inf"), F.lit(0.0)).when(t == float("-inf"), F.lit(1.0)).when(dof > 0, finite)
+
+
+def f_sf_col(f: Column, d1: Column, d2: Column) -> Column:
+    """P(F > f) of a row's F and degrees of freedom."""
+    f, d1, d2 = f.cast("double"), d1.cast("double"), d2.cast("double")
+    whole = d2 + d1 * f
+    return F.when(f == float("inf"), F.lit(0.0)).otherwise(betainc_col(d2 / 2.0, d1 / 2.0, d2 / whole, d1 * f / whole))

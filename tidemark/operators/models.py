@@ -388,7 +388,7 @@ def omnibus(skew: float, kurt: float, n: int) -> tuple[float, float]:
     if n < 8:
         return float("nan"), float("nan")
     k2 = _z_of_skewness(skew, n) ** 2 + _z_of_kurtosis(kurt, n) ** 2
-    return k2, float(chi2_sf_2dof(k2))
+    return k2, chi2_sf_2dof(k2)
 
 
 @dataclass
@@ -460,7 +460,7 @@ def ols_summary(df: DataFrame, xs, y: str, order=None, fit: LinearFit | None = N
     stats = {"n": n, "df_model": p, "df_resid": dof, "r2": r2, "adj_r2": adj, "f_stat": fstat,
              "f_pvalue": fp, "log_likelihood": llf, "aic": aic, "bic": bic, "omnibus": omni,
              "omnibus_p": omni_p, "skew": skew, "kurtosis": kurt, "durbin_watson": dw,
-             "jarque_bera": jb, "jb_p": float(chi2_sf_2dof(jb)), "cond_no": cond}
+             "jarque_bera": jb, "jb_p": chi2_sf_2dof(jb), "cond_no": cond}
     return OLSSummary(fit, stats, table)
 
 

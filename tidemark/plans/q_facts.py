@@ -14,6 +14,7 @@ from ..operators import align as AL
 from ..operators import models as M
 from ..operators import stats as ST
 from . import sqlkit as Q
+from . import sqlstudy as QS
 from . import tables as TB
 from .catalog import query, rnd
 
@@ -290,10 +291,32 @@ def a11_linregress_daily_trend(spark, sf_dir):
     return rnd(lr, _LR_ROUND)
 
 
-@query("a11_linregress_full")
+def _p_value_sql(src: str, group: str = "") -> str:
+    """The two-sided p-value of each group's slope, to nine digits."""
+    key = f"{group}, " if group else ""
+    return (f"SELECT {key}round(CASE WHEN abs(r) < 1 THEN {QS.two_sided('r * sqrt(v / (1 - r * r))', 'v')} ELSE 0 END, 9) AS pvalue FROM ("
+            f"SELECT {key}regr_sxy(y, x) / sqrt(regr_sxx(y, x) * regr_syy(y, x)) AS r, regr_count(y, x) - 2.0 AS v FROM {src}"
+            + (f" GROUP BY {group}" if group else "") + ")")
+
+
+@query("a11_linregress_full",
+       _TREND_SQL + f"SELECT l.*, p.pvalue FROM ({_linregress_sql('x')}) l, ({_p_value_sql('x')}) p")
 def a11_linregress_full(spark, sf_dir):
-    """With the two-sided p-value (t tail; no SQL built-in, so rows-only)."""
-    return ST.linregress(_daily_trend(spark, sf_dir), "x", "y")
+    """With the two-sided p-value (the t tail is a column expression)."""
+    return rnd(ST.linregress(_daily_trend(spark, sf_dir), "x", "y"), {**_LR_ROUND, "pvalue": 9})
+
+
+_DISCOUNTS = ("WITH x AS (SELECT l_partkey % 50 AS g, CAST(l_discount AS DOUBLE) AS x, "
+              f"CAST({Q.cents('l_extendedprice')} AS DOUBLE) AS y FROM lineitem WHERE l_quantity > 30)\n")
+
+
+@query("a11_p_values_by_group", _DISCOUNTS + _p_value_sql("x", "g"))
+def a11_p_values_by_group(spark, sf_dir):
+    """Fifty groups' p-values of price on discount, all in the JVM."""
+    li = TB.table(spark, sf_dir, "lineitem").where("l_quantity > 30")
+    x = li.select((F.col("l_partkey") % 50).alias("g"), F.col("l_discount").cast("double").alias("x"),
+                  TB.cents("l_extendedprice").cast("double").alias("y"))
+    return rnd(ST.linregress(x, "x", "y", by=["g"]).select("g", "pvalue"), {"pvalue": 9})
 
 
 @query("a11_linregress_by_category",

@@ -16,6 +16,7 @@ from ..operators import models as M
 from ..operators import scale as SC
 from ..operators import stats as ST
 from . import sqlkit as Q
+from . import sqlstudy as QS
 from . import tables as TB
 from .catalog import _PANEL_SQL, panel, query, rnd
 
@@ -302,16 +303,21 @@ def m8_ols_summary_core(spark, sf_dir):
     return rnd(spark.createDataFrame(rows, "stat string, value double"), {"value": 6})
 
 
-@query("m8_ols_summary_full")
+_MM_PARTS = dict(**Q.panel_ctes(), mm=Q.minmax_sql("panel", COLS4))
+_PCT_PARTS = dict(**Q.panel_ctes(), pct0=Q.pct_sql("panel", COLS4),
+                  pct=f"SELECT * FROM pct0 WHERE {' AND '.join(c + ' IS NOT NULL' for c in COLS4)}")
+
+
+@query("m8_ols_summary_full", QS.cte_text(QS.study_ctes(_MM_PARTS, "mm")) + QS.stats_select())
 def m8_ols_summary_full(spark, sf_dir):
-    """All summary numbers incl. p-values, Omnibus, condition number (no SQL oracle:
-    t/F/normal tails are not SQL built-ins)."""
-    return _mm_summary(spark, sf_dir).stats_df(spark)
+    """All summary numbers, with p-values, Omnibus and condition number."""
+    return rnd(_mm_summary(spark, sf_dir).stats_df(spark), {"value": 6})
 
 
-@query("m8_ols_coef_table")
+@query("m8_ols_coef_table", QS.cte_text(QS.study_ctes(_MM_PARTS, "mm")) + QS.coef_select())
 def m8_ols_coef_table(spark, sf_dir):
-    return _mm_summary(spark, sf_dir).coef_table_df(spark)
+    t = _mm_summary(spark, sf_dir).coef_table_df(spark)
+    return rnd(t, {c: 6 for c in ("coef", "std_err", "t", "p_value", "ci_low", "ci_high")})
 
 
 @query("m20_verdict",
@@ -517,16 +523,16 @@ def m18_pair_bins(spark, sf_dir):
 # K4 reports and small column operators
 
 
-@query("k4_minmax_study_report")
+@query("k4_minmax_study_report", QS.report_sql(_MM_PARTS, "mm", "min-max scaled daily panel"))
 def k4_minmax_study_report(spark, sf_dir):
     from .studies import study_report
-    return study_report(spark, mm_panel(spark, sf_dir), "min-max scaled daily panel")
+    return rnd(study_report(spark, mm_panel(spark, sf_dir), "min-max scaled daily panel"), {"value": 6})
 
 
-@query("k4_pct_change_study_report")
+@query("k4_pct_change_study_report", QS.report_sql(_PCT_PARTS, "pct", "percentage-change daily panel"))
 def k4_pct_change_study_report(spark, sf_dir):
     from .studies import study_report
-    return study_report(spark, pct_panel(spark, sf_dir), "percentage-change daily panel")
+    return rnd(study_report(spark, pct_panel(spark, sf_dir), "percentage-change daily panel"), {"value": 6})
 
 
 @query("p10_backup_then_scale",
