@@ -419,30 +419,6 @@ def grid_fits(spark, sf_dir):
     return out
 
 
-@query("m14_model_grid_scores")
-def m14_model_grid_scores(spark, sf_dir):
-    """Six models (OLS, ridge α=1, lasso α=0.1 × standard/robust scaling) scored on the
-    test rows."""
-    rows = [(i, label, *score) for i, (label, _, _, score) in enumerate(grid_fits(spark, sf_dir))]
-    return spark.createDataFrame(rows, "model_no int, model string, mse double, r2 double")
-
-
-@query("o5_best_model")
-def o5_best_model(spark, sf_dir):
-    return ST.best_by(m14_model_grid_scores(spark, sf_dir), "r2", "model_no")
-
-
-@query("m13_raw_unit_coefficients")
-def m13_raw_unit_coefficients(spark, sf_dir):
-    """Each grid model's coefficients expressed back in the features' raw units."""
-    rows = []
-    for i, (_, sc, f, _) in enumerate(grid_fits(spark, sf_dir)):
-        b0, coef = M.raw_units(f, sc.center, sc.scale)
-        rows.append((i, "const", float(b0)))
-        rows += [(i, c, float(v)) for c, v in zip(GRID_FEATS, coef)]
-    return spark.createDataFrame(rows, "model_no int, feature string, coef double")
-
-
 def _vif_noconst4_sql():
     from .q_facts import _M21_SQL
     feats = GRID_FEATS
