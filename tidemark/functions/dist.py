@@ -43,27 +43,35 @@ def _log_beta(a, b, log, log1p):
     return log_gamma_b - rise
 
 
-def _link(a, b, x, y, m):
-    """Numerator and denominator m of the even part of the fraction 1/(1 + d₁/(1 + d₂/(1 + …))) (DLMF 8.17.22).
+def _one_and_odd(a, b, x, y, m, choose):
+    """1 + d₂ₘ₊₁ of the fraction 1/(1 + d₁/(1 + d₂/(1 + …))) (DLMF 8.17.22), formed from the smaller one of x and y = 1 - x: so it
+    keeps its digits where d₂ₘ₊₁ is almost -1 (many degrees of freedom)."""
+    scale = (a + 2 * m) * (a + 2 * m + 1)
+    by_y = (a * (2 * m + 1 - b) + m * (3 * m + 2 - b) + (a + m) * (a + b + m) * y) / scale
+    return choose(y < 0.5, by_y, 1 - (a + m) * (a + b + m) * x / scale)
 
-    1 + d₂ₘ₊₁ is formed from y = 1 - x, so it keeps its digits where d₂ₘ₊₁ is almost -1 (many degrees of freedom).
-    """
+
+def _link(a, b, x, y, m, choose):
+    """Numerator and denominator m of the fraction's even part."""
     even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
     odd_before = -(a + m - 1) * (a + b + m - 1) * x / ((a + 2 * m - 2) * (a + 2 * m - 1))
-    one_and_odd = (a * (2 * m + 1 - b) + m * (3 * m + 2 - b) + (a + m) * (a + b + m) * y) / ((a + 2 * m) * (a + 2 * m + 1))
-    return -odd_before * even, one_and_odd + even
+    return -odd_before * even, _one_and_odd(a, b, x, y, m, choose) + even
+
+
+def _pick(condition, yes, no):
+    return yes if condition else no
 
 
-def _first(a, b, y):
-    return (1 - b + (a + b) * y) / (a + 1)
+def _pick_col(condition, yes, no) -> Column:
+    return F.when(condition, yes).otherwise(no)
 
 
 def _fraction(a: float, b: float, x: float, y: float) -> float:
     """Ratios of successive numerators and denominators are multiplied up until they settle."""
-    value = above = _first(a, b, y) or _TINY
+    value = above = _one_and_odd(a, b, x, y, 0, _pick) or _TINY
     below = 0.0
     for m in range(1, _STEPS + 1):
-        c, d = _link(a, b, x, y, m)
+        c, d = _link(a, b, x, y, m, _pick)
         above, below = (d + c / above) or _TINY, 1.0 / ((d + c * below) or _TINY)
         value *= above * below
         if above * below == 1.0:
@@ -131,11 +139,11 @@ def chi2_sf_2dof(x: float) -> float:
 
 def _fraction_col(a: Column, b: Column, x: Column, y: Column) -> Column:
     away = lambda v: F.when(F.abs(v) < _TINY, F.lit(_TINY)).otherwise(v)
-    first = away(_first(a, b, y))
+    first = away(_one_and_odd(a, b, x, y, F.lit(0.0), _pick_col))
     start = F.struct(first.alias("above"), F.lit(0.0).alias("below"), first.alias("value"))
 
     def step(s, m):
-        c, d = _link(a, b, x, y, m.cast("double"))
+        c, d = _link(a, b, x, y, m.cast("double"), _pick_col)
         above, below = away(d + c / s["above"]), 1.0 / away(d + c * s["below"])
         return F.struct(above.alias("above"), below.alias("below"), (s["value"] * above * below).alias("value"))
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import missing, nan_to_null
 from ..functions.dist import chi2_sf_2dof, f_sf, t_ppf, t_sf
+from . import wide
 from .align import _B, _as_list, null_safe_join, range_buckets
 
 # ---------------------------------------------------------------------------
@@ -172,9 +173,17 @@ def complete_rows(df: DataFrame, cols) -> DataFrame:
 
 
 def gram(df: DataFrame, xs, y: str | None = None) -> Gram:
-    """One aggregation → n, means, Sxx (p×p), Sxy (p), Syy over complete rows."""
+    """One aggregation → n, means, Sxx (p×p), Sxy (p), Syy over complete rows; by matrix products
+    (``wide``) where the columns are many."""
     xs = _as_list(xs)
     cols = xs + ([y] if y else [])
+    if len(cols) >= wide.WIDE:
+        n, mean, s = wide.moments(df, cols)
+        if not n:
+            raise ValueError("no complete rows")
+        p = len(xs)
+        return Gram(xs, y, n, mean[:p], float(mean[p]) if y else float("nan"), s[:p, :p],
+                    s[:p, p] if y else np.zeros(p), float(s[p, p]) if y else float("nan"))
     d = complete_rows(df.select(*[F.col(c).cast("double").alias(c) for c in cols]), cols)
     r = d.agg(*_moments(cols)).first()
     if not r["n"]:
@@ -299,6 +308,9 @@ def lasso(df: DataFrame, xs, y: str, alpha: float = 0.1, g: Gram | None = None,
     """
     g = g or gram(df, xs, y)
     A, c, penalty = g.Sxx / g.n, g.Sxy / g.n, float(alpha)
+    if penalty == 0:
+        fit = ols(None, g.xs, y, g)
+        return LinearFit("lasso", fit.xs, y, fit.intercept, fit.coef, g)
     w = np.zeros(g.p)
     for k in range(max_iter):
         before = w.copy()
@@ -485,9 +497,21 @@ def ols_summary(df: DataFrame, xs, y: str, order=None, fit: LinearFit | None = N
 # variance inflation
 
 
-def vif_from_corr(corr: np.ndarray) -> np.ndarray:
-    """VIF of each feature = diagonal of the inverse correlation matrix."""
-    return np.diag(np.linalg.inv(corr))
+#: Eigenvalues of a correlation matrix below this are 0: the columns they combine depend on each other.
+_DEPENDENT = 1e-12
+
+
+def inflation(corr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(diagonal of the inverse, null vectors as columns) of a correlation matrix.
+
+    A column that a null vector combines with others depends on them: infinite.  The others' residual variances
+    are those of the pseudo-inverse.
+    """
+    values, vectors = np.linalg.eigh(corr)
+    null = values <= _DEPENDENT * len(corr)
+    kept = vectors[:, ~null]
+    own = (kept * kept / values[~null]).sum(1)
+    return np.where((vectors[:, null] ** 2).sum(1) > 1e-9, np.inf, own), vectors[:, null]
 
 
 def vif(df: DataFrame, xs, constant: bool = True, g: Gram | None = None) -> list[tuple[str, float]]:
@@ -496,28 +520,23 @@ def vif(df: DataFrame, xs, constant: bool = True, g: Gram | None = None) -> list
     With the constant column (statsmodels on ``add_constant(X)``): feature j gets
     1/(1 − R²ⱼ) with a centred R² = [R⁻¹]ⱼⱼ, and the constant gets 1 + x̄ᵀS⁻¹x̄ (S the
     population covariance).  Without it, R² is uncentred: VIFⱼ = (XᵀX)ⱼⱼ[(XᵀX)⁻¹]ⱼⱼ.
-    A singular design gives inf.
+    Features that depend linearly on each other (or on the constant, as constant ones do) get inf, and the
+    constant does if such a combination makes one; all others keep their finite values.
     """
     xs = _as_list(xs)
     g = g or gram(complete_rows(df, xs), xs, None)
-    n = g.n
-    out = []
     if constant:
-        S = g.Sxx / n
-        try:
-            d, corr = to_corr(S)
-            z = g.xbar / d
-            out.append(("const", float(1.0 + z @ np.linalg.inv(corr) @ z)))
-            v = vif_from_corr(corr)
-            out += [(c, float(x)) for c, x in zip(xs, v)]
-        except np.linalg.LinAlgError:
-            out = [("const", float("inf"))] + [(c, float("inf")) for c in xs]
-        return out
-    xtx = g.Sxx + n * np.outer(g.xbar, g.xbar)
-    try:
-        return [(c, float(x)) for c, x in zip(xs, vif_from_corr(to_corr(xtx)[1]))]
-    except np.linalg.LinAlgError:
-        return [(c, float("inf")) for c in xs]
+        s = g.Sxx / g.n
+        # what rounding leaves of a constant column's variance is none
+        flat = np.diag(s) <= 1e-24 * g.xbar ** 2
+        d, corr = to_corr(np.where(flat[:, None] | flat[None, :], 0.0, s))
+        own, null = inflation(corr)
+        z = g.xbar / d
+        made = np.abs(null.T @ z).max(initial=0.0) > 1e-9 * max(np.abs(z).max(initial=0.0), 1e-300)
+        first = np.inf if made else 1.0 + z @ np.linalg.pinv(corr, rcond=_DEPENDENT, hermitian=True) @ z
+        return [("const", float(first))] + [(c, float(v)) for c, v in zip(xs, own)]
+    own, _ = inflation(to_corr(g.Sxx + g.n * np.outer(g.xbar, g.xbar))[1])
+    return [(c, float(v)) for c, v in zip(xs, own)]
 
 
 def vif_df(spark: SparkSession, rows) -> DataFrame:
@@ -621,7 +640,7 @@ def surface_grid(df: DataFrame, fit: LinearFit, fx: str, fy: str, k: int = 20) -
 def reg_band(df: DataFrame, x: str, y: str, points: int = 100, level: float = 0.95) -> DataFrame:
     """Fitted line of y on x with an analytic confidence band on a grid of x.
 
-    ŷ ± t·s·√(1/n + (x − x̄)²/Sxx); seaborn bootstraps the band, this is its closed form.
+    ŷ ± t·s·√(1/n + (x − x̄)²/Sxx): the closed form of what ``bootstrap_band`` resamples.
     """
     g = gram(df, [x], y)
     fit = ols(df, [x], y, g)
@@ -640,6 +659,74 @@ def reg_band(df: DataFrame, x: str, y: str, points: int = 100, level: float = 0.
     return gx.select("x", yhat.alias("y_hat"), (yhat - half).alias("lo"), (yhat + half).alias("hi"))
 
 
+#: Weights that one md5 gives: eight of 16 bits each.
+_PER_HASH = 8
+
+
+def poisson_cuts(bits: int = 16) -> list[int]:
+    """Numbers of ``bits`` bits from which a weight drawn from Poisson(1) is at least 1, 2, 3, …"""
+    cuts, total, k, term = [], 0.0, 0, math.exp(-1.0)
+    while True:
+        total += term
+        k += 1
+        term /= k
+        cut = round(total * (1 << bits))
+        if cut >= 1 << bits:
+            return cuts
+        cuts.append(cut)
+
+
+def bootstrap_fits(df: DataFrame, x: str, y: str, key: str, n_boot: int = 1000, seed: int = 42) -> DataFrame:
+    """(boot, slope, intercept) of ``n_boot`` resamples of the rows.
+
+    A Poisson bootstrap: row by row, each resample holds a row a Poisson(1) number of times, drawn from md5(key|seed|k), so
+    the draws are the same in any engine and partitioning and need neither a count nor a shuffle.  One grouped
+    aggregation gives all the weighted sums (``n_boot`` groups, combined before the shuffle).  Resamples without
+    spread in x are left out.
+    """
+    d = nan_to_null(df.select(F.col(key).cast("string").alias("_k"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")),
+                    ["_x", "_y"]).where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
+    mean = d.agg(F.avg("_x").alias("x"), F.avg("_y").alias("y")).first()
+    if mean["x"] is None:
+        raise ValueError("no complete rows")
+    hashes = -(-n_boot // _PER_HASH)
+    part = d.select((F.col("_x") - F.lit(mean["x"])).alias("_x"), (F.col("_y") - F.lit(mean["y"])).alias("_y"), "_k",
+                    F.explode(F.sequence(F.lit(0), F.lit(hashes - 1))).alias("_h"))
+    digest = F.md5(F.concat_ws("|", "_k", F.lit(str(seed)), F.col("_h").cast("string")).cast("binary"))
+    part = part.select("_x", "_y", "_h", digest.alias("_d")).select(
+        "_x", "_y", "_h", "_d", F.explode(F.sequence(F.lit(0), F.lit(_PER_HASH - 1))).alias("_i"))
+    drawn = F.conv(F.substring("_d", F.col("_i") * 4 + 1, F.lit(4)), 16, 10).cast("int")
+    weight = sum((F.when(drawn >= c, 1).otherwise(0) for c in poisson_cuts()), F.lit(0)).cast("double")
+    w = part.select((F.col("_h") * _PER_HASH + F.col("_i")).alias("boot"), "_x", "_y", weight.alias("_w")).where(F.col("boot") < n_boot)
+    total = lambda e: F.sum(F.col("_w") * e)
+    s = w.groupBy("boot").agg(F.sum("_w").alias("n"), total(F.col("_x")).alias("x"), total(F.col("_y")).alias("y"),
+                              total(F.col("_x") * F.col("_x")).alias("xx"), total(F.col("_x") * F.col("_y")).alias("xy"))
+    spread = F.col("xx") - F.col("x") * F.col("x") / F.col("n")
+    s = s.where((F.col("n") > 0) & (spread > 1e-12 * F.col("xx"))).withColumn("slope", (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / spread)
+    at = F.col("y") / F.col("n") - F.col("slope") * F.col("x") / F.col("n")
+    return s.select("boot", "slope", (F.lit(mean["y"]) + at - F.col("slope") * F.lit(mean["x"])).alias("intercept"))
+
+
+def bootstrap_band(df: DataFrame, x: str, y: str, key: str, points: int = 100, level: float = 0.95,
+                   n_boot: int = 1000, seed: int = 42) -> DataFrame:
+    """Fitted line of y on x with the percentile band of resampled fits on a grid of x, as the reference's plots show.
+
+    The resamples' few numbers meet the grid by ``explode``; each grid point's band is the (1 - level)/2 quantile
+    on either side of ``n_boot`` fitted values.
+    """
+    g = gram(df, [x], y)
+    fit = ols(df, [x], y, g)
+    st = complete_rows(df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), ["x", "y"]) \
+        .agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    lo, step = float(st["lo"]), (float(st["hi"]) - float(st["lo"])) / (points - 1) if points > 1 else 0.0
+    fits = bootstrap_fits(df, x, y, key, n_boot, seed)
+    grid = fits.select("slope", "intercept", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
+    grid = grid.select("i", (F.lit(lo) + F.col("i") * F.lit(step)).alias("x"), "slope", "intercept")
+    tail = (1.0 - level) / 2.0
+    band = grid.groupBy("i", "x").agg(F.percentile(F.col("intercept") + F.col("slope") * F.col("x"), F.array(F.lit(tail), F.lit(1.0 - tail))).alias("q"))
+    return band.select("i", "x", predict_col(["x"], fit.intercept, fit.coef).alias("y_hat"), F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+
+
 def pair_bins(df: DataFrame, cols, bins: int = 10) -> DataFrame:
     """Scatter-matrix data as 2-D binned counts for every ordered pair of columns.
 

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import clip_col, nan_to_null
 from .align import _B, _as_list, null_safe_join, range_buckets
+from . import wide
 from .select import between, select_quantiles
 
 # ---------------------------------------------------------------------------
@@ -221,10 +222,13 @@ def corr_long(df: DataFrame, cols, by=(), name: str = "pearson_r") -> DataFrame:
 
     One aggregation computes the centred sums of every pair (``regr_sxx`` etc. skip a
     row when either value is null, which is pandas' pairwise-complete rule); the
-    single result row is exploded into p² rows.  Constant columns give null.
+    single result row is exploded into p² rows.  Constant columns give null.  From ``wide.WIDE`` columns on,
+    without groups, the sums come from matrix products instead.
     """
     cols = _as_list(cols)
     by = _as_list(by)
+    if len(cols) >= wide.WIDE and not by:
+        return wide.corr_pairs(df, cols, name)
     aggs = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):

@@ -471,9 +471,26 @@ def m15_regression_surface(spark, sf_dir):
     return rnd(g, {c: 6 for c in ("CNY_JPY", "PHP_JPY", "VND_JPY", "y_pred")})
 
 
-@query("m17_regression_band")
+def _bootstrap_sql(points: int = 100, n_boot: int = 1000, level: float = 0.95) -> str:
+    drawn = "CAST('0x' || substr(md5(CAST(Date AS VARCHAR) || '|42|' || CAST(b // 8 AS VARCHAR)), CAST(b % 8 AS INTEGER) * 4 + 1, 4) AS INTEGER)"
+    weight = " + ".join(f"CASE WHEN u >= {c} THEN 1 ELSE 0 END" for c in M.poisson_cuts())
+    tail = (1 - level) / 2
+    return (_MM_SQL.rstrip() + ",\nd AS (SELECT Date, CNY_JPY AS x, price AS y FROM mm WHERE CNY_JPY IS NOT NULL AND price IS NOT NULL),\n"
+            "f AS (SELECT regr_slope(y, x) AS s, regr_intercept(y, x) AS c, min(x) AS lo, max(x) AS hi FROM d),\n"
+            f"u AS (SELECT b, x, y, {drawn} AS u FROM d, range({n_boot}) t(b)),\nw AS (SELECT b, x, y, {weight} AS w FROM u),\n"
+            "s AS (SELECT b, sum(w) AS n, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy FROM w GROUP BY b),\n"
+            "l AS (SELECT b, (sxy - sx * sy / n) / (sxx - sx * sx / n) AS slope, sy / n AS my, sx / n AS mx FROM s WHERE sxx - sx * sx / n > 1e-9),\n"
+            f"g AS (SELECT CAST(i AS INTEGER) AS i, lo + i * ((hi - lo) / {points - 1}) AS x, s, c FROM f, range({points}) t(i))\n"
+            "SELECT g.i, round(g.x, 6) AS x, round(c + s * g.x, 6) AS y_hat, "
+            f"round(quantile_cont(my + slope * (g.x - mx), {tail}), 6) AS lo, round(quantile_cont(my + slope * (g.x - mx), {1 - tail}), 6) AS hi "
+            "FROM g, l GROUP BY g.i, g.x, c, s")
+
+
+@query("m17_regression_band", _bootstrap_sql())
 def m17_regression_band(spark, sf_dir):
-    return M.reg_band(mm_panel(spark, sf_dir), "CNY_JPY", "price")
+    """The band of 1000 resampled fits."""
+    band = M.bootstrap_band(mm_panel(spark, sf_dir), "CNY_JPY", "price", "Date")
+    return rnd(band, {c: 6 for c in ("x", "y_hat", "lo", "hi")})
 
 
 def _pair_bins_sql(bins: int = 10):

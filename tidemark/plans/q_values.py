@@ -170,3 +170,72 @@ def m5_ols_nan_items(spark, sf_dir):
     digits = F.when(F.col("feature") == "const", F.round("coef", 3)).when(F.col("feature") == "quantity", F.round("coef", 4)) \
         .otherwise(F.round("coef", 2))
     return fit.select("feature", digits.alias("coef"))
+
+
+# ---------------------------------------------------------------------------
+# many columns, dependent columns
+
+_WIDE = [f"f{k}" for k in range(40)]
+
+
+def _wide_value(k: int) -> str:
+    """Forty columns of items, each missing in other rows; f7 is constant and f8 always missing."""
+    if k == 7:
+        return "CAST(3 AS DOUBLE)"
+    if k == 8:
+        return "CAST(NULL AS DOUBLE)"
+    value = f"CAST((l_partkey * {k % 5 + 1} + l_suppkey * {k % 7} + l_linenumber * {k}) % {61 + 2 * k} AS DOUBLE)"
+    return f"CASE WHEN (l_orderkey + {k}) % {9 + k % 4} <> 0 THEN {value} END"
+
+
+_WIDE_CTE = "WITH w AS (SELECT " + ", ".join(f"{_wide_value(k)} AS {c}" for k, c in enumerate(_WIDE)) + " FROM lineitem)\n"
+
+
+@query("a10_corr_wide_items",
+       _WIDE_CTE + ", a AS (SELECT " + ", ".join(f"corr({x}, {y}) AS {x}_{y}" for i, x in enumerate(_WIDE) for y in _WIDE[i:]) + " FROM w)\n"
+       + "SELECT var_x, var_y, CASE WHEN isnan(r) THEN NULL ELSE round(r, 9) END AS pearson_r FROM (SELECT unnest(["
+       + ", ".join(f"{{'var_x': '{x}', 'var_y': '{y}', 'r': {min(x, y, key=lambda c: int(c[1:]))}_{max(x, y, key=lambda c: int(c[1:]))}}}"
+                   for x in _WIDE for y in _WIDE) + "], recursive := true) FROM a)")
+def a10_corr_wide_items(spark, sf_dir):
+    w = TB.table(spark, sf_dir, "lineitem").select(*[F.expr(_wide_value(k)).alias(c) for k, c in enumerate(_WIDE)])
+    return rnd(ST.corr_long(w, _WIDE), {"pearson_r": 9})
+
+
+_DEP = f"""d AS (SELECT CAST(l_quantity AS DOUBLE) AS a, 2 * CAST(l_quantity AS DOUBLE) AS a2, CAST(l_discount AS DOUBLE) AS c,
+CAST(l_tax AS DOUBLE) AS t FROM lineitem)"""
+_PAIR = ["a", "c", "t"]
+
+
+def _dependent_sql(constant: bool) -> str:
+    """a and 2a are infinite; the others' values are those without 2a.  Infinite ones are shown as -1."""
+    ii = {(i, j): f"i{min(i, j)}{max(i, j)}" for i in range(3) for j in range(3)}
+    src = Q.gram3_sql("d", _PAIR, None)
+    if constant:
+        quad = " + ".join(f"m{i} * {ii[i, j]} * m{j}" for i in range(3) for j in range(3))
+        parts = [f"SELECT 'const' AS feature, round(1 + {quad}, 6) AS vif FROM inv"]
+        ctes = f"WITH {_DEP}, g AS ({src}), inv AS ({Q.inv3_sql('g')})\n"
+    else:
+        parts = []
+        u = "SELECT n, " + ", ".join(f"s{i}{j} + m{i} * m{j} AS s{i}{j}" for i in range(3) for j in range(i, 3)) + " FROM g"
+        ctes = f"WITH {_DEP}, g AS ({src}), u AS ({u}), inv AS ({Q.inv3_sql('u')})\n"
+    parts += [f"SELECT '{c}' AS feature, round(s{k}{k} * i{k}{k}, 6) AS vif FROM inv" for k, c in ((1, "c"), (2, "t"))]
+    return ctes + " UNION ALL ".join(parts + [f"SELECT '{c}', -1.0" for c in ("a", "a2")])
+
+
+def _dependent(spark, sf_dir, constant: bool):
+    d = TB.table(spark, sf_dir, "lineitem").select(
+        F.col("l_quantity").cast("double").alias("a"), (2 * F.col("l_quantity").cast("double")).alias("a2"),
+        F.col("l_discount").cast("double").alias("c"), F.col("l_tax").cast("double").alias("t"))
+    v = M.vif_df(spark, M.vif(d, ["a", "a2", "c", "t"], constant=constant))
+    return v.select("feature", F.when(F.col("vif") == float("inf"), -1.0).otherwise(F.round("vif", 6)).alias("vif"))
+
+
+@query("m11_vif_dependent_items", _dependent_sql(True))
+def m11_vif_dependent_items(spark, sf_dir):
+    """Two columns depend on each other; the constant and the other columns keep finite factors."""
+    return _dependent(spark, sf_dir, True)
+
+
+@query("m12_vif_dependent_items", _dependent_sql(False))
+def m12_vif_dependent_items(spark, sf_dir):
+    return _dependent(spark, sf_dir, False)
