@@ -11,6 +11,7 @@ steps where it is used.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,9 +19,9 @@ from pyspark.sql import functions as F
 _STEPS = 120
 _TINY = 1e-300
 #: Arguments are shifted up by this before Stirling's series is used.
-_SHIFT = 10
+_SHIFT = 30
 #: B₂ₖ / (2k (2k - 1)), the coefficients of Stirling's series.
-_STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360, 1 / 156)
+_STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680)
 
 
 def _stirling_rest(z):
@@ -32,15 +33,20 @@ def _stirling_rest(z):
     return out / z
 
 
-def _log_beta(a, b, log, log1p):
-    """ln B(a, b) = ln Γ(b) - (ln Γ(a + b) - ln Γ(a)), for numbers or Columns."""
+def _log_beta(a, b, log, log1p, add_up):
+    """ln B(a, b) = ln Γ(b) - (ln Γ(a + b) - ln Γ(a)), for numbers or Columns; ``add_up`` sums a function of 0 to ``_SHIFT`` - 1."""
     top, low = a + _SHIFT, b + _SHIFT
     log_gamma_b = (low - 0.5) * log(low) - low + 0.5 * math.log(2 * math.pi) + _stirling_rest(low)
     rise = (top - 0.5) * log1p(b / top) + b * log(top + b) - b + _stirling_rest(top + b) - _stirling_rest(top)
-    for i in range(_SHIFT):
-        log_gamma_b = log_gamma_b - log(b + i)
-        rise = rise - log1p(b / (a + i))
-    return log_gamma_b - rise
+    return log_gamma_b - rise - add_up(lambda i: log(b + i) - log1p(b / (a + i)))
+
+
+def _sum(f) -> float:
+    return sum(f(i) for i in range(_SHIFT))
+
+
+def _sum_col(f) -> Column:
+    return F.aggregate(F.sequence(F.lit(0), F.lit(_SHIFT - 1)), F.lit(0.0), lambda total, i: total + f(i))
 
 
 def _one_and_odd(a, b, x, y, m, choose):
@@ -88,7 +94,7 @@ def betainc(a: float, b: float, x: float, y: float | None = None) -> float:
         return 0.0 if x <= 0 else 1.0
     # the front factor xᵃ yᵇ / B(a, b) is the same seen from either end
     log_x, log_y = (math.log1p(-v) if v < 0.5 else math.log(1.0 - v if w is None else w) for v, w in ((y, x), (x, y)))
-    front = math.exp(a * log_x + b * log_y - _log_beta(max(a, b), min(a, b), math.log, math.log1p))
+    front = math.exp(a * log_x + b * log_y - _log_beta(max(a, b), min(a, b), math.log, math.log1p, _sum))
     if x * (a + b + 2.0) < a + 1.0:
         return front * _fraction(a, b, x, y) / a
     return 1.0 - front * _fraction(b, a, y, x) / b
@@ -137,27 +143,43 @@ def chi2_sf_2dof(x: float) -> float:
 # Column forms
 
 
+def _let(body, **values: Column) -> Column:
+    """``body`` of a struct of values, each worked out once however often the body uses it."""
+    return F.get(F.transform(F.array(F.struct(*[v.cast("double").alias(k) for k, v in values.items()])), body), F.lit(0))
+
+
 def _fraction_col(a: Column, b: Column, x: Column, y: Column) -> Column:
     away = lambda v: F.when(F.abs(v) < _TINY, F.lit(_TINY)).otherwise(v)
     first = away(_one_and_odd(a, b, x, y, F.lit(0.0), _pick_col))
-    start = F.struct(first.alias("above"), F.lit(0.0).alias("below"), first.alias("value"))
+    start = _let(lambda s: F.struct(s["f"].alias("above"), F.lit(0.0).alias("below"), s["f"].alias("value")), f=first)
 
     def step(s, m):
-        c, d = _link(a, b, x, y, m.cast("double"), _pick_col)
-        above, below = away(d + c / s["above"]), 1.0 / away(d + c * s["below"])
-        return F.struct(above.alias("above"), below.alias("below"), (s["value"] * above * below).alias("value"))
+        c, d = _link(a, b, x, y, m, _pick_col)
+        linked = _let(lambda t: F.struct(away(t["d"] + t["c"] / s["above"]).alias("above"), (1.0 / away(t["d"] + t["c"] * s["below"])).alias("below")),
+                      c=c, d=d)
+        return F.get(F.transform(F.array(linked), lambda t: F.struct(
+            t["above"].alias("above"), t["below"].alias("below"), (s["value"] * t["above"] * t["below"]).alias("value"))), F.lit(0))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(_STEPS)), start, step, lambda s: 1.0 / s["value"])
+    steps = F.transform(F.sequence(F.lit(1), F.lit(_STEPS)), lambda m: m.cast("double"))
+    return F.aggregate(steps, start, step, lambda s: 1.0 / s["value"])
 
 
 def betainc_col(a: Column, b: Column, x: Column, y: Column) -> Column:
     """I_x(a, b) with y = 1 - x; null where an argument is missing or not positive."""
-    log_x = F.when(y < 0.5, F.log1p(-y)).otherwise(F.log(x))
-    log_y = F.when(x < 0.5, F.log1p(-x)).otherwise(F.log(y))
-    front = F.exp(a * log_x + b * log_y - _log_beta(F.greatest(a, b), F.least(a, b), F.log, F.log1p))
-    direct = x * (a + b + 2.0) < a + 1.0
-    own = F.when(direct, front * _fraction_col(a, b, x, y) / a).otherwise(1.0 - front * _fraction_col(b, a, y, x) / b)
-    return F.when((a > 0) & (b > 0), F.when(x <= 0, F.lit(0.0)).when(y <= 0, F.lit(1.0)).otherwise(own))
+    def front(s):
+        log_x = F.when(s["y"] < 0.5, F.log1p(-s["y"])).otherwise(F.log(s["x"]))
+        log_y = F.when(s["x"] < 0.5, F.log1p(-s["x"])).otherwise(F.log(s["y"]))
+        return F.exp(s["a"] * log_x + s["b"] * log_y - _log_beta(s["most"], s["least"], F.log, F.log1p, _sum_col))
+
+    def own(s):
+        # seen from the end where the fraction settles
+        direct = s["x"] * (s["a"] + s["b"] + 2.0) < s["a"] + 1.0
+        turned = {k: F.when(direct, s[p]).otherwise(s[q]) for k, p, q in (("p", "a", "b"), ("q", "b", "a"), ("u", "x", "y"), ("v", "y", "x"))}
+        part = _let(lambda t: _fraction_col(t["p"], t["q"], t["u"], t["v"]) / t["p"], **turned)
+        return _let(lambda t: F.when(direct, t["part"]).otherwise(1.0 - t["part"]), part=front(s) * part)
+
+    inside = _let(own, a=a, b=b, x=x, y=y, most=F.greatest(a, b), least=F.least(a, b))
+    return F.when((a > 0) & (b > 0), F.when(x <= 0, F.lit(0.0)).when(y <= 0, F.lit(1.0)).otherwise(inside))
 
 
 def t_sf_col(t: Column, dof: Column) -> Column:
@@ -165,10 +187,16 @@ def t_sf_col(t: Column, dof: Column) -> Column:
     t, dof = t.cast("double"), dof.cast("double")
     square = t * t
     half = 0.5 * betainc_col(dof / 2.0, F.lit(0.5), dof / (dof + square), square / (dof + square))
-    finite = F.when(t >= 0, half).otherwise(1.0 - half)
+    finite = _let(lambda s: F.when(t >= 0, s["half"]).otherwise(1.0 - s["half"]), half=half)
     return F.when(t == float("inf"), F.lit(0.0)).when(t == float("-inf"), F.lit(1.0)).when(dof > 0, finite)
 
 
+@lru_cache(maxsize=16)
+def t_sf_of(t: str, dof: str) -> Column:
+    """``t_sf_col`` of two named columns; the expression is built once for each pair of names."""
+    return t_sf_col(F.col(t), F.col(dof))
+
+
 def f_sf_col(f: Column, d1: Column, d2: Column) -> Column:
     """P(F > f) of a row's F and degrees of freedom."""
     f, d1, d2 = f.cast("double"), d1.cast("double"), d2.cast("double")

@@ -4,8 +4,8 @@ Every function is one or a few aggregations; what returns to the driver is bound
 (a feature-by-feature matrix, a few quantile bounds).  Exact quantiles have these
 strategies:
 
-* ``method="select"`` (what ``auto`` takes, for any values and any number of groups) — radix
-  selection (``select``): each of at most four passes is an aggregation; values are never
+* ``method="select"`` (what ``auto`` takes, for any values and any number of groups) —
+  selection by digits (``select``): each of at most four passes is an aggregation; values are never
   shuffled or sorted.
 * ``method="rank"`` — values are bucketed by range, ranked inside each bucket, given global
   ranks from per-bucket counts, and only the two order statistics around each requested
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..functions.clean import clip_col, nan_to_null
 from .align import _B, _as_list, null_safe_join, range_buckets
 from . import wide
-from .select import between, select_quantiles
+from .select import NUMBER, between, select_quantiles
 
 # ---------------------------------------------------------------------------
 # A1-A6 grouped and global means
@@ -93,22 +93,29 @@ def quantiles(df: DataFrame, cols, probs: Sequence[float], by=(), method: str =
     """Quantiles with linear interpolation (pandas/NumPy default, DuckDB quantile_cont).
 
     Returns one row per (by..., variable) with columns ``q25``, ``q50`` … named by
-    ``_pname``; ``n`` is the non-null count.  ``method="auto"`` is radix selection (a few
+    ``_pname``; ``n`` is the non-null count.  ``method="auto"`` is selection by digits (a few
     aggregation passes for any number of groups, values never shuffled).
     """
     by = _as_list(by)
     cols = _as_list(cols)
     probs = [float(p) for p in probs]
     names = [_pname(p) for p in probs]
-    long = _long_values(df, cols, by)
     keys = by + ["variable"]
-    if method in ("auto", "select", "rank"):
+    if method in ("auto", "select"):
+        # the columns are read several times: a derived input is materialised once, as it is; columns
+        # go by number until the end, since the passes join on the key
+        from ..session import materialize_if_derived
+        df = materialize_if_derived(df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols if c not in by]))
+        names_of = F.array(*[F.lit(c) for c in cols])
+        number = F.array_position(names_of, F.col("variable")).cast("int").alias(NUMBER)
+        q = select_quantiles(_long_values(df, cols, by).select(*by, number, "value"), by + [NUMBER], probs, names)
+        return q.select(*by, F.element_at(names_of, F.col(NUMBER)).alias("variable"), "n", *names)
+    long = _long_values(df, cols, by)
+    if method == "rank":
         # these read the values several times: a derived input is materialised once
         # (keys and one value column only) instead of being recomputed per pass
         from ..session import materialize_if_derived
         long = materialize_if_derived(long)
-    if method in ("auto", "select"):
-        return select_quantiles(long, keys, probs, names)
     if method in ("percentile", "approx"):
         if method == "percentile":
             q = F.percentile(F.col("value"), F.array(*[F.lit(p) for p in probs]))
@@ -252,7 +259,7 @@ def linregress(df: DataFrame, x: str, y: str, by=()) -> DataFrame:
     the slope and of the intercept.  One aggregation; p comes from the t tail
     computed in-column (``tidemark.functions.dist``).
     """
-    from ..functions.dist import t_sf_col
+    from ..functions.dist import t_sf_of
 
     by = _as_list(by)
     X, Y = F.col(x), F.col(y)
@@ -274,10 +281,10 @@ def linregress(df: DataFrame, x: str, y: str, by=()) -> DataFrame:
         r.alias("rvalue"), stderr.alias("stderr"),
         (stderr * F.sqrt(F.try_divide(F.col("sx2"), F.col("n").cast("double")))).alias(
             "intercept_stderr"),
-        tstat.alias("_t"), dof.alias("_dof"))
+        F.abs(tstat).alias("_t"), dof.alias("_dof"))
     perfect = (F.abs("rvalue") == 1.0) & (F.col("_dof") > 0)
     return out.withColumn("pvalue", F.when(perfect, F.lit(0.0)).otherwise(
-        F.lit(2.0) * t_sf_col(F.abs(F.col("_t")), F.col("_dof")))) \
+        F.lit(2.0) * t_sf_of("_t", "_dof"))) \
         .select(*by, "n", "slope", "intercept", "rvalue", "pvalue", "stderr", "intercept_stderr")
 
 
