@@ -4,8 +4,11 @@ broken file, workbooks, preamble files and whitespace text."""
 import io
 import os
 import zipfile
+from html.parser import HTMLParser
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.sources import delimited, html, surveys, workbook
@@ -247,3 +250,103 @@ def test_shift_jis_records_by_splits(spark, tmp_dir, tiny_splits):
     u = delimited.extract_urls(spark, tmp_dir, 1, key_index=0)
     assert [(r.row_no, r.key, r.url) for r in u.orderBy("row_no").collect()] == [
         (1, "1", "https://a.example.com/x"), (2, "2", "http://b.example.org/")]
+
+
+# -- the selector automaton against a tree of the whole page ------------------------
+
+
+class _Tree(HTMLParser):
+    """Elements (tag, attributes, children) of a page; an end tag closes the nearest open one of its name."""
+
+    def __init__(self, text):
+        super().__init__(convert_charrefs=True)
+        self.root = ("#root", {}, [])
+        self.open = [self.root]
+        self.feed(text)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        node = (tag, {k: v or "" for k, v in attrs}, [])
+        self.open[-1][2].append(node)
+        if tag not in html._VOID:
+            self.open.append(node)
+
+    def handle_startendtag(self, tag, attrs):
+        self.open[-1][2].append((tag, {k: v or "" for k, v in attrs}, []))
+
+    def handle_endtag(self, tag):
+        if tag in [n[0] for n in self.open[1:]]:
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        self.open[-1][2].append(data)
+
+
+def _inside(node):
+    for c in node[2]:
+        if not isinstance(c, str):
+            yield c
+            yield from _inside(c)
+
+
+def _text(node):
+    return "".join(c if isinstance(c, str) else _text(c) for c in node[2])
+
+
+def _all(node, sel):
+    return [n for n in _inside(node) if n[0] == sel.tag and (sel.cls is None or sel.cls in n[1].get("class", "").split())]
+
+
+def _rows_of_tree(text, spec):
+    value = lambda n, sel: n[1].get(sel.attr) if sel.attr else _text(n)
+    for bno, block in enumerate(_all(_Tree(text).root, spec.block)):
+        found = {}
+        for name, (sel, k) in spec.block_fields.items():
+            hits = _all(block, sel)
+            found[name] = value(hits[k], sel) if len(hits) > k else None
+        items = _all(block, spec.item) if spec.item else []
+        for ino, item in enumerate(items) or ():
+            own = {name: next((value(n, sel) for n in _all(item, sel)), None) for name, sel in spec.item_fields.items()}
+            yield bno, ino, found, own
+        if not items:
+            yield bno, None, found, dict.fromkeys(spec.item_fields)
+
+
+_SPECS = [
+    html.BlockSpec(html.Sel("div", "b"), {"first": (html.Sel("span"), 0), "second": (html.Sel("span", "x"), 1), "link": (html.Sel("a", None, "href"), 0)},
+                   html.Sel("p", "i"), {"name": html.Sel("i"), "image": html.Sel("img", None, "src"), "bold": html.Sel("b", "x")}),
+    html.BlockSpec(html.Sel("div"), {"t": (html.Sel("i"), 0)}),
+    html.BlockSpec(html.Sel("p"), {}, html.Sel("p"), {"name": html.Sel("p")}),
+]
+_TAGS = ["<div class=b>", "<div class='b x'>", "<div>", "</div>", "<p class=i>", "<p>", "</p>", "<span>", "<span class='x y'>", "</span>", "<i>", "</i>",
+         "<b class=x>", "</b>", "<a href=u>", "<a>", "</a>", "<img src=s>", "<img/>", "<div class=b />", "<br>", "</br>", "one", " two &amp; ", "&lt;", "<!-- c -->"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(_TAGS), max_size=40), st.sampled_from(_SPECS), st.sampled_from([1 << 16, 7]))
+def test_automaton_equals_tree(parts, spec, at_once):
+    text, old = "".join(parts), html._PARSED_AT_ONCE
+    html._PARSED_AT_ONCE = at_once
+    try:
+        got = [(b, i, {n: f.get(n) for n in spec.block_fields}, {n: v.get(n) for n in spec.item_fields}) for b, i, f, v in html.page_rows(text, spec)]
+    finally:
+        html._PARSED_AT_ONCE = old
+    assert sorted(got, key=repr) == sorted(_rows_of_tree(text, spec), key=repr)
+
+
+def test_a_large_page_is_streamed():
+    """A 50 MB page of items that are closed, and 200 000 tags that never are: rows come as it goes."""
+    import tracemalloc
+    one = f"<div class='c-card__list'><p class='c-card__name'>{'n' * 200}</p></div>"
+    head = _block(3, 2, []).removesuffix("</div>")
+    page = "<ul>" + "<li>" * 200_000 + head + one * 200_000
+    assert len(page) > 50_000_000
+    tracemalloc.start()
+    rows = seen = 0
+    for bno, ino, found, item in html.page_rows(page, html.SCHEDULE_SPEC):
+        assert (bno, ino, found["month"], len(item["name"])) == (0, rows, "3", 200)
+        rows += 1
+        seen = max(seen, tracemalloc.get_traced_memory()[0])
+    tracemalloc.stop()
+    assert rows == 200_000 and seen < 30_000_000

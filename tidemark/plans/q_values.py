@@ -144,16 +144,16 @@ def a11_linregress_nan_items(spark, sf_dir):
 
 
 @query("m1m2m3_scalers_nan_items", f"WITH {_GAPPY}\n" + "\nUNION ALL\n".join(
-    f"SELECT '{c}' AS variable, round(avg({c}), 9) AS mean, round(stddev_pop({c}), 9) AS std, round(min({c}), 9) AS lo, "
-    f"round(max({c}) - min({c}), 9) AS span, round(quantile_cont({c}, 0.5), 9) AS median, "
-    f"round(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 9) AS iqr FROM it" for c in _GAP_COLS))
+    f"SELECT '{c}' AS variable, round(avg({c}), 5) AS mean, round(stddev_pop({c}), 5) AS std, round(min({c}), 5) AS lo, "
+    f"round(max({c}) - min({c}), 5) AS span, round(quantile_cont({c}, 0.5), 5) AS median, "
+    f"round(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 5) AS iqr FROM it" for c in _GAP_COLS))
 def m1m2m3_scalers_nan_items(spark, sf_dir):
     d = _gappy(spark, sf_dir)
     fits = [f(d, _GAP_COLS).to_df(spark) for f in (SC.fit_standard, SC.fit_minmax, SC.fit_robust)]
     names = [("mean", "std"), ("lo", "span"), ("median", "iqr")]
     out = None
     for f, (a, b) in zip(fits, names):
-        part = f.select("variable", F.round("center", 9).alias(a), F.round("scale", 9).alias(b))
+        part = f.select("variable", F.round("center", 5).alias(a), F.round("scale", 5).alias(b))
         out = part if out is None else out.join(part, "variable")
     return out
 

@@ -4,7 +4,7 @@ The reference walks a schedule page: blocks (one per week), two date spans per b
 (month, week), item cards inside each block with name, price, category and a
 restock marker.  Here that walk is driven by a small spec and runs inside
 ``mapInPandas`` with the standard-library ``html.parser`` (no extra dependency): each
-task parses its own pages and emits one row per (page, block, item).  The ordered
+task streams its own pages through a selector automaton and emits one row per (page, block, item).  The ordered
 parts that cross pages (the month carried from the previous block and page, the
 last-block-wins slot rule) are ordinary DataFrame windows afterwards.
 """
@@ -55,95 +55,156 @@ SCHEDULE_SPEC = BlockSpec(
 )
 
 
-class _Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+class _Block:
+    """An open block: its number, how often each field was met, what was found, items that wait for its fields."""
+    __slots__ = ("no", "met", "values", "left", "items", "waiting")
 
-    def __init__(self, tag, attrs, parent):
-        self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
+    def __init__(self, no: int, fields: int):
+        self.no, self.met, self.values, self.left, self.items, self.waiting = no, {}, {}, fields, 0, []
+
+
+class _Item:
+    __slots__ = ("block", "no", "values", "met")
+
+    def __init__(self, block: _Block, no: int):
+        self.block, self.no, self.values, self.met = block, no, {}, set()
 
-    def text(self) -> str:
-        out = []
-        stack = [self]
-        while stack:
-            n = stack.pop()
-            if isinstance(n, str):
-                out.append(n)
-            else:
-                stack.extend(reversed(n.children))
-        return "".join(out)
-
-    def find_all(self, sel: Sel):
-        found = []
-        stack = list(reversed(self.children))
-        while stack:
-            n = stack.pop()
-            if isinstance(n, str):
-                continue
-            if n.tag == sel.tag and (sel.cls is None or sel.cls in (n.attrs.get("class") or "").split()):
-                found.append(n)
-            stack.extend(reversed(n.children))
-        return found
-
-    def value(self, sel: Sel):
-        if sel.attr:
-            return self.attrs.get(sel.attr)
-        return self.text()
 
+class _Extractor(HTMLParser):
+    """Rows (block_no, item_no, block values, item values) of a page, as its tags go by.
 
-class _TreeBuilder(HTMLParser):
-    def __init__(self):
+    No tree is built.  Kept are the open tags, the blocks, items and fields open inside them, and the finished
+    items of blocks whose fields haven't all been met.  An end tag closes the nearest open tag of its name with all inside
+    it; one without such a tag is ignored; what is open at the end of the page is closed there.
+    """
+
+    def __init__(self, spec: BlockSpec):
         super().__init__(convert_charrefs=True)
-        self.root = _Node("#root", {}, None)
-        self.cur = self.root
+        self.spec, self.rows, self.blocks = spec, [], 0
+        self.tags: list[str] = []
+        self.count: dict[str, int] = {}
+        # (depth, close) of what is open, outermost first
+        self.marks: list[tuple[int, object]] = []
+        self.open_blocks: list[_Block] = []
+        self.open_items: list[_Item] = []
+        self.texts: list[list[str]] = []
 
     def handle_starttag(self, tag, attrs):
-        node = _Node(tag, {k: (v or "") for k, v in attrs}, self.cur)
-        self.cur.children.append(node)
-        if tag not in _VOID:
-            self.cur = node
+        self._start(tag, attrs)
+        if tag in _VOID:
+            self._end_last()
 
     def handle_startendtag(self, tag, attrs):
-        self.cur.children.append(_Node(tag, {k: (v or "") for k, v in attrs}, self.cur))
+        self._start(tag, attrs)
+        self._end_last()
 
     def handle_endtag(self, tag):
-        n = self.cur
-        while n is not None and n.tag != tag:
-            n = n.parent
-        if n is not None and n.parent is not None:
-            self.cur = n.parent
+        if self.count.get(tag):
+            while self._end_last() != tag:
+                pass
 
     def handle_data(self, data):
-        self.cur.children.append(data)
-
-
-def parse_html(html: str) -> _Node:
-    b = _TreeBuilder()
-    b.feed(html or "")
-    b.close()
-    return b.root
-
-
-def _extract_one(html: str, spec: BlockSpec):
-    root = parse_html(html)
-    for bno, blk in enumerate(root.find_all(spec.block)):
-        bvals = {}
-        for name, (sel, occ) in spec.block_fields.items():
-            hits = blk.find_all(sel)
-            bvals[name] = hits[occ].value(sel) if len(hits) > occ else None
-        items = blk.find_all(spec.item) if spec.item else [None]
-        if not items:
-            yield bno, None, bvals, {k: None for k in spec.item_fields}
-            continue
-        for ino, it in enumerate(items):
-            ivals = {}
+        for parts in self.texts:
+            parts.append(data)
+
+    def close(self):
+        super().close()
+        while self.tags:
+            self._end_last()
+
+    def _start(self, tag, attrs):
+        self.tags.append(tag)
+        self.count[tag] = self.count.get(tag, 0) + 1
+        given = {k: (v or "") for k, v in attrs}
+        classes = (given.get("class") or "").split()
+        fits = lambda sel: sel is not None and sel.tag == tag and (sel.cls is None or sel.cls in classes)
+        spec = self.spec
+        for item in list(self.open_items):
             for name, sel in spec.item_fields.items():
-                hits = it.find_all(sel) if it is not None else []
-                ivals[name] = hits[0].value(sel) if hits else None
-            yield bno, (ino if it is not None else None), bvals, ivals
+                if name not in item.met and fits(sel):
+                    item.met.add(name)
+                    self._take(sel, given, lambda v, item=item, name=name: item.values.__setitem__(name, v))
+        for block in list(self.open_blocks):
+            for name, (sel, occurrence) in spec.block_fields.items():
+                if fits(sel):
+                    met = block.met[name] = block.met.get(name, -1) + 1
+                    if met == occurrence:
+                        self._take(sel, given, lambda v, block=block, name=name: self._field(block, name, v))
+            if fits(spec.item):
+                item = _Item(block, block.items)
+                block.items += 1
+                self.open_items.append(item)
+                self._mark(lambda item=item: self._item_ends(item))
+        if fits(spec.block):
+            block = _Block(self.blocks, len(spec.block_fields))
+            self.blocks += 1
+            self.open_blocks.append(block)
+            self._mark(lambda: self._block_ends(block))
+
+    def _mark(self, close):
+        self.marks.append((len(self.tags), close))
+
+    def _end_last(self) -> str:
+        while self.marks and self.marks[-1][0] == len(self.tags):
+            self.marks.pop()[1]()
+        tag = self.tags.pop()
+        self.count[tag] -= 1
+        return tag
+
+    def _take(self, sel: Sel, given: dict, put):
+        """The attribute now, or the text when the tag is closed."""
+        if sel.attr:
+            put(given.get(sel.attr))
+            return
+        parts: list[str] = []
+        self.texts.append(parts)
+
+        def done():
+            self.texts = [p for p in self.texts if p is not parts]
+            put("".join(parts))
+        self._mark(done)
+
+    def _field(self, block: _Block, name: str, value):
+        block.values[name] = value
+        block.left -= 1
+        if not block.left:
+            self._hand_on(block)
+
+    def _hand_on(self, block: _Block):
+        self.rows += [(block.no, no, block.values, values) for no, values in block.waiting]
+        block.waiting = []
+
+    def _item_ends(self, item: _Item):
+        self.open_items.remove(item)
+        item.block.waiting.append((item.no, item.values))
+        if not item.block.left:
+            self._hand_on(item.block)
+
+    def _block_ends(self, block: _Block):
+        self.open_blocks.remove(block)
+        if not block.items:
+            block.waiting.append((None, {}))
+        self._hand_on(block)
+
+
+#: Characters of a page that are parsed before its rows so far are handed on.
+_PARSED_AT_ONCE = 1 << 16
+
+
+def page_rows(html: str | None, spec: BlockSpec):
+    """(block_no, item_no, block values, item values) of a page, without a value where nothing was found."""
+    page = _Extractor(spec)
+    html = html or ""
+    for at in range(0, len(html), _PARSED_AT_ONCE):
+        page.feed(html[at:at + _PARSED_AT_ONCE])
+        yield from page.rows
+        page.rows = []
+    page.close()
+    yield from page.rows
 
 
 def extract_blocks(df: DataFrame, html_col: str, keys: Sequence[str], spec: BlockSpec) -> DataFrame:
-    """One row per (page keys, block_no, item_no) with the spec's fields as strings."""
+    """One row per (page keys, block_no, item_no) with the spec's fields as strings; rows leave a task as they are found."""
     keys = list(keys)
     bnames = list(spec.block_fields)
     inames = list(spec.item_fields)
@@ -153,16 +214,18 @@ def extract_blocks(df: DataFrame, html_col: str, keys: Sequence[str], spec: Bloc
 
     ship_package(df.sparkSession)
 
+    names = keys + ["block_no", "item_no"] + bnames + inames
+
     def run(batches):
+        out = []
         for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                rec = row._asdict()
-                for bno, ino, bv, iv in _extract_one(rec[html_col], spec):
-                    out.append({**{k: rec[k] for k in keys}, "block_no": bno, "item_no": ino,
-                                **bv, **iv})
-            cols = keys + ["block_no", "item_no"] + bnames + inames
-            yield pd.DataFrame(out, columns=cols)
+            for row in zip(*(pdf[c] for c in pdf.columns)):
+                for bno, ino, found, inside in page_rows(row[-1], spec):
+                    out.append((*row[:-1], bno, ino, *map(found.get, bnames), *map(inside.get, inames)))
+                    if len(out) >= 4096:
+                        yield pd.DataFrame(out, columns=names)
+                        out = []
+        yield pd.DataFrame(out, columns=names)
 
     return df.select(*keys, html_col).mapInPandas(run, schema)
 
