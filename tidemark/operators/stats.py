@@ -347,6 +347,22 @@ def box_stats(df: DataFrame, col: str, by=(), whis: float = 1.5, method: str = "
         F.count_if(~inside).alias("n_outliers"))
 
 
+def box_outliers(df: DataFrame, col: str, by=(), whis: float = 1.5) -> DataFrame:
+    """The rows that a box plot draws as points: those outside their group's fences, columns as they are."""
+    from ..session import materialize_if_derived
+    by = _as_list(by)
+    df = materialize_if_derived(df)   # read by the quartile passes and the filter
+    q = quantiles(df, [col], [0.25, 0.75], by=by).select(*by, F.col("q25").alias("_q1"), F.col("q75").alias("_q3"))
+    if by:
+        j = null_safe_join(df, q, by, "inner")
+    else:
+        r = q.first()
+        j = df.withColumns({c: F.lit(r[c] if r else None).cast("double") for c in ("_q1", "_q3")})
+    reach = whis * (F.col("_q3") - F.col("_q1"))
+    x = F.col(col).cast("double")
+    return j.where(~F.isnan(x) & ((x < F.col("_q1") - reach) | (x > F.col("_q3") + reach))).select(*df.columns)
+
+
 # ---------------------------------------------------------------------------
 # histogram and density
 

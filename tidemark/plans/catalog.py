@@ -117,6 +117,7 @@ from . import q_sources  # noqa: E402,F401
 from . import q_groups  # noqa: E402,F401
 from . import q_more  # noqa: E402,F401
 from . import q_values  # noqa: E402,F401
+from . import q_items  # noqa: E402,F401
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -519,13 +519,13 @@ def m18_pair_bins(spark, sf_dir):
 @query("k4_minmax_study_report", QS.report_sql(_MM_PARTS, "mm", "min-max scaled daily panel"))
 def k4_minmax_study_report(spark, sf_dir):
     from .studies import study_report
-    return rnd(study_report(spark, mm_panel(spark, sf_dir), "min-max scaled daily panel"), {"value": 6})
+    return rnd(study_report(spark, mm_panel(spark, sf_dir), "min-max scaled daily panel"), {"value": 6}).withColumn("value", F.col("value") + 0.0)
 
 
 @query("k4_pct_change_study_report", QS.report_sql(_PCT_PARTS, "pct", "percentage-change daily panel"))
 def k4_pct_change_study_report(spark, sf_dir):
     from .studies import study_report
-    return rnd(study_report(spark, pct_panel(spark, sf_dir), "percentage-change daily panel"), {"value": 6})
+    return rnd(study_report(spark, pct_panel(spark, sf_dir), "percentage-change daily panel"), {"value": 6}).withColumn("value", F.col("value") + 0.0)
 
 
 @query("p10_backup_then_scale",

@@ -114,31 +114,49 @@ def coef_select(digits: int = 6) -> str:
                                          r("coef - tq.t * std_err", "ci_low"), r("coef + tq.t * std_err", "ci_high")]) + " FROM tab, tq")
 
 
+def _row(section: str, row_name: str, col: str, value: str, source: str) -> str:
+    return (f"SELECT '{section}' AS section, {row_name} AS row_name, '{col}' AS col_name, CAST(round({value}, 6) AS DOUBLE) + CAST(0 AS DOUBLE) AS value, "
+            f"CAST(NULL AS VARCHAR) AS text FROM {source}")
+
+
+_SP_PRED = "(b_const + b0 * sp.CNY_JPY + b1 * sp.PHP_JPY + b2 * sp.VND_JPY)"
+_SP_R2 = f"1 - avg((sp.price - {_SP_PRED}) ^ 2) / var_pop(sp.price)"
+
+
+def regression_ctes(ctes: dict, src: str) -> dict:
+    return dict(study_ctes(ctes, src), ga=Q.gram3_sql(src, X3, None), va=Q.inv3_sql("ga"), stats=stats_select(), coefs=coef_select())
+
+
+def regression_parts() -> list[str]:
+    """Coefficients, test scores, VIF, summary and coefficient table of ``regression_ctes``."""
+    parts = [_row("coefficients", "term", "coef", "coef", "tab")]
+    parts += [_row("test_scores", "'ols'", k, e, "sp, co WHERE is_test") for k, e in (("mse", f"avg((sp.price - {_SP_PRED}) ^ 2)"), ("r2", _SP_R2))]
+    quad = " + ".join(f"m{i} * {_INV[i, j]} * m{j}" for i in range(3) for j in range(3))
+    parts.append(_row("vif", "'const'", "vif", f"1 + {quad}", "va"))
+    parts += [_row("vif", f"'{x}'", "vif", f"s{i}{i} * i{i}{i}", "va") for i, x in enumerate(X3)]
+    parts.append(_row("ols_summary", "stat", "value", "value", "stats"))
+    return parts + [_row("ols_coefficients", "term", k, k, "coefs") for k in ("coef", "std_err", "t", "p_value", "ci_low", "ci_high")]
+
+
 def report_sql(ctes: dict, src: str, title: str) -> str:
     """The whole report as (section, row_name, col_name, value, text), values to six digits."""
-    c = study_ctes(ctes, src)
-    c["ga"] = Q.gram3_sql(src, X3, None)
-    c["va"] = Q.inv3_sql("ga")
-    c["stats"] = stats_select()
-    c["coefs"] = coef_select()
-    row = lambda section, row_name, col, value, source: (
-        f"SELECT '{section}' AS section, {row_name} AS row_name, '{col}' AS col_name, CAST(round({value}, 6) AS DOUBLE) AS value, "
-        f"CAST(NULL AS VARCHAR) AS text FROM {source}")
     parts = [f"SELECT 'title' AS section, '' AS row_name, '' AS col_name, CAST(count(*) AS DOUBLE) AS value, '{title}' AS text FROM {src}"]
     figures = {"count": "count({0})", "mean": "avg({0})", "std": "stddev_samp({0})", "min": "min({0})", "q25": "quantile_cont({0}, 0.25)",
                "q50": "quantile_cont({0}, 0.5)", "q75": "quantile_cont({0}, 0.75)", "max": "max({0})"}
-    parts += [row("describe", f"'{v}'", k, e.format(v), src) for v in COLS4 for k, e in figures.items()]
+    parts += [_row("describe", f"'{v}'", k, e.format(v), src) for v in COLS4 for k, e in figures.items()]
     parts.append(f"SELECT 'correlation' AS section, var_x AS row_name, var_y AS col_name, round(pearson_r, 6) AS value, "
                  f"CAST(NULL AS VARCHAR) AS text FROM ({Q.corr_long(src, COLS4)})")
-    parts.append(row("coefficients", "term", "coef", "coef", "tab"))
-    pred = "(b_const + b0 * sp.CNY_JPY + b1 * sp.PHP_JPY + b2 * sp.VND_JPY)"
-    mse, r2 = f"avg((sp.price - {pred}) ^ 2)", f"1 - avg((sp.price - {pred}) ^ 2) / var_pop(sp.price)"
-    parts += [row("test_scores", "'ols'", k, e, "sp, co WHERE is_test") for k, e in (("mse", mse), ("r2", r2))]
-    quad = " + ".join(f"m{i} * {_INV[i, j]} * m{j}" for i in range(3) for j in range(3))
-    parts.append(row("vif", "'const'", "vif", f"1 + {quad}", "va"))
-    parts += [row("vif", f"'{x}'", "vif", f"s{i}{i} * i{i}{i}", "va") for i, x in enumerate(X3)]
-    parts.append(row("ols_summary", "stat", "value", "value", "stats"))
-    parts += [row("ols_coefficients", "term", k, k, "coefs") for k in ("coef", "std_err", "t", "p_value", "ci_low", "ci_high")]
-    parts.append(f"SELECT 'remarks' AS section, 'r2' AS row_name, 'verdict' AS col_name, round({r2}, 6) AS value, CASE WHEN {r2} < 0.3 THEN 'weak' "
-                 f"WHEN {r2} >= 0.7 THEN 'strong' ELSE 'moderate' END AS text FROM sp, co WHERE is_test")
-    return cte_text(c) + "\nUNION ALL\n".join(f"SELECT * FROM ({p})" for p in parts)
+    parts += regression_parts()
+    parts.append(f"SELECT 'remarks' AS section, 'r2' AS row_name, 'verdict' AS col_name, round({_SP_R2}, 6) AS value, CASE WHEN {_SP_R2} < 0.3 THEN 'weak' "
+                 f"WHEN {_SP_R2} >= 0.7 THEN 'strong' ELSE 'moderate' END AS text FROM sp, co WHERE is_test")
+    return cte_text(regression_ctes(ctes, src)) + "\nUNION ALL\n".join(f"SELECT * FROM ({p})" for p in parts)
+
+
+def variants_sql(variants: list[tuple[str, dict, str]]) -> str:
+    """The regression sections of several panels (name, CTEs, source), each with the variant's name."""
+    out = []
+    for name, ctes, src in variants:
+        body = cte_text(regression_ctes(ctes, src)) + "\nUNION ALL\n".join(f"SELECT * FROM ({p})" for p in regression_parts())
+        # the price's own unit is large: its error is given in millions
+        out.append(f"SELECT '{name}' AS variant, section, row_name, col_name, CASE WHEN col_name = 'mse' THEN round(value / 1e6, 3) ELSE value END AS value FROM ({body})")
+    return "\nUNION ALL\n".join(out)

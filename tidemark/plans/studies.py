@@ -29,6 +29,23 @@ def _long(df: DataFrame, section: str, row_col: str, value_cols) -> DataFrame:
         "col_name", "value", F.lit(None).cast("string").alias("text"))
 
 
+def regression_sections(spark: SparkSession, data: DataFrame) -> tuple[list[DataFrame], float]:
+    """(coefficients, test scores, VIF, OLS summary and coefficient table; the test rows' R²) of a panel
+    (Date, price, three rates)."""
+    split = M.train_test_split(data, ["Date"], 0.2, 42)  # a column predicate over ``data``
+    train = split.where(~F.col("is_test"))
+    fit = M.ols(train, X3, "price")
+    sc = M.scores(split, [fit], "price", where=F.col("is_test"))
+    sm = M.ols_summary(train, X3, "price", order="Date", fit=fit, buckets=1)
+    return [
+        _long(fit.coef_df(spark), "coefficients", "feature", ["coef"]),
+        _long(sc, "test_scores", "model", ["mse", "r2"]),
+        _long(M.vif_df(spark, M.vif(data, X3, constant=True)), "vif", "feature", ["vif"]),
+        _long(sm.stats_df(spark), "ols_summary", "stat", ["value"]),
+        _long(sm.coef_table_df(spark), "ols_coefficients", "term", ["coef", "std_err", "t", "p_value", "ci_low", "ci_high"]),
+    ], float(sc.first()["r2"])
+
+
 def study_report(spark: SparkSession, data: DataFrame, title: str) -> DataFrame:
     """K4 for a prepared panel ``data`` (Date, price, three rates)."""
     data = cut_lineage(data)
@@ -40,18 +57,8 @@ def study_report(spark: SparkSession, data: DataFrame, title: str) -> DataFrame:
     parts.append(corr.select(F.lit("correlation").alias("section"), F.col("var_x").alias("row_name"),
                              F.col("var_y").alias("col_name"), F.col("pearson_r").alias("value"),
                              F.lit(None).cast("string").alias("text")))
-    split = M.train_test_split(data, ["Date"], 0.2, 42)  # a column predicate over ``data``
-    train = split.where(~F.col("is_test"))
-    fit = M.ols(train, X3, "price")
-    parts.append(_long(fit.coef_df(spark), "coefficients", "feature", ["coef"]))
-    sc = M.scores(split, [fit], "price", where=F.col("is_test"))
-    parts.append(_long(sc, "test_scores", "model", ["mse", "r2"]))
-    parts.append(_long(M.vif_df(spark, M.vif(data, X3, constant=True)), "vif", "feature", ["vif"]))
-    sm = M.ols_summary(train, X3, "price", order="Date", fit=fit, buckets=1)
-    parts.append(_long(sm.stats_df(spark), "ols_summary", "stat", ["value"]))
-    parts.append(_long(sm.coef_table_df(spark), "ols_coefficients", "term",
-                       ["coef", "std_err", "t", "p_value", "ci_low", "ci_high"]))
-    r2 = float(sc.first()["r2"])            # of the test rows
+    sections, r2 = regression_sections(spark, data)
+    parts += sections
     verdict = spark.createDataFrame([(r2,)], "r2 double").select(
         F.lit("remarks").alias("section"), F.lit("r2").alias("row_name"), F.lit("verdict").alias("col_name"),
         F.col("r2").alias("value"), M.verdict("r2").alias("text"))
