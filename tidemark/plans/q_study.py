@@ -7,7 +7,6 @@ where quantiles are needed.  Fact-level queries live in ``q_facts``.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.clean import drop_nulls
@@ -18,7 +17,9 @@ from ..operators import stats as ST
 from . import sqlkit as Q
 from . import sqlstudy as QS
 from . import tables as TB
+from . import items
 from .catalog import _PANEL_SQL, panel, query, rnd
+from .items import GRID_FEATS
 
 X3 = Q.RATE_NAMES
 COLS4 = Q.PANEL_COLS
@@ -376,47 +377,9 @@ def a10_corr_monthly_panel(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # The model grid of the item-level study (jukaiki.py)
 
-GRID_FEATS = Q.RATE_NAMES + ["Gasoline"]
-
-
-def grid_inputs(spark, sf_dir):
-    """(train Gram, test Gram, standard scaling, robust scaling) of the items' complete rows
-    with the price clipped to its IQR fences.
-
-    Both scalings are affine, so ONE raw moment aggregation grouped by the split flag gives
-    every fit and every test score; the standard scaling comes from the same moments.
-    """
-    from ..session import cut_lineage
-    from .q_facts import merged_all
-    d = M.complete_rows(merged_all(spark, sf_dir), GRID_FEATS + ["price"]).select(
-        "l_orderkey", "l_linenumber", *GRID_FEATS, F.col("price").cast("double").alias("price"))
-    # read by the quartile, split and moment passes below; the split key is hashed once, here
-    d = cut_lineage(M.with_split_hash(d, ["l_orderkey", "l_linenumber"], 42))
-    # one exact-quartile pass for the price fences and the robust scaling
-    q = {r["variable"]: r for r in
-         ST.quantiles(d, GRID_FEATS + ["price"], [0.25, 0.5, 0.75]).collect()}
-    q1, q3 = q["price"]["q25"], q["price"]["q75"]
-    d = ST.clip(d, "price", q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
-    rob = SC.fit_robust(d, GRID_FEATS, quartiles=q)
-    # the split flag is a column predicate over the checkpointed rows
-    d = M.train_test_split(d, ["l_orderkey", "l_linenumber"], 0.2, 42, n_rows=int(q["price"]["n"]))
-    g = M.gram_by(d, GRID_FEATS, "price", "is_test")
-    every = M.pooled(list(g.values()))
-    sd = np.sqrt(np.diag(every.Sxx) / every.n)
-    std = SC.Scaling("standard", dict(zip(GRID_FEATS, every.xbar.tolist())),
-                     dict(zip(GRID_FEATS, np.where(sd > 0, sd, 1.0).tolist())))
-    return g[False], g[True], std, rob
-
-
 def grid_fits(spark, sf_dir):
     """[(label, scaling, fit, (test MSE, test R²))] of the six models."""
-    train, test, std, rob = grid_inputs(spark, sf_dir)
-    out = []
-    for label, sc in (("standard", std), ("robust", rob)):
-        g, t = (M.rescaled(x, sc.center, sc.scale) for x in (train, test))
-        for fit in (M.ols(None, g.xs, "price", g), M.ridge(None, g.xs, "price", 1.0, g), M.lasso(None, g.xs, "price", 0.1, g)):
-            out.append((f"{fit.model}_{label}", sc, fit, M.gram_scores(fit, t)))
-    return out
+    return [(label, sc, fit, (mse, r2)) for label, sc, fit, mse, r2 in items.grid(items.prepare(spark, sf_dir))]
 
 
 def _vif_noconst4_sql():
