@@ -37,18 +37,22 @@ _WITHIN = (r"(?:(?!\bgnu (?:general|lesser|library|affero) |\bapache licen|\bmoz
 SENTENCES = [
     ("spdx", r"(?i:\bspdx[- ]license[- ]identifier:? ?)"
              r"(?P<name>_( (OR|AND|WITH) _)+|_( (?i:or|and|with) _)+(?=[ .!?;:,/-]*$)|_)".replace("_", r"\({0,9}[A-Za-z0-9.+:-]+\){0,9}")),
-    ("lgpl", r"\bgnu (lesser|library) general public licen[sc]e(,? (version|v) ?(?P<version>[\d.]+))?(?P<later>_*\bany later version\b)?".replace("_", _WITHIN)),
-    ("agpl", r"\bgnu affero general public licen[sc]e(,? (version|v) ?(?P<version>[\d.]+))?(?P<later>_*\bany later version\b)?".replace("_", _WITHIN)),
-    ("gpl", r"\bgnu general public licen[sc]e(,? (version|v) ?(?P<version>[\d.]+))?(?P<later>_*\bany later version\b)?".replace("_", _WITHIN)),
+    ("lgpl", r"\bgnu (lesser|library) general public licen[sc]e(,? (version|v) ?(?P<version>[\d.]+))?(_*\bversion (?P<stated>[\d.]+) of the licen[sc]e\b)?(?P<later>_*\bany later version\b)?".replace("_", _WITHIN)),
+    ("agpl", r"\bgnu affero general public licen[sc]e(,? (version|v) ?(?P<version>[\d.]+))?(_*\bversion (?P<stated>[\d.]+) of the licen[sc]e\b)?(?P<later>_*\bany later version\b)?".replace("_", _WITHIN)),
+    ("gpl", r"\bgnu general public licen[sc]e(,? (version|v) ?(?P<version>[\d.]+))?(_*\bversion (?P<stated>[\d.]+) of the licen[sc]e\b)?(?P<later>_*\bany later version\b)?".replace("_", _WITHIN)),
+    ("gplshort", r"\b(?P<kind>[la]?)gpl[- ]?(?:v|version )?(?P<version>[123](?:\.\d)?)\b(?P<later>\+|,? or (?:any )?later\b|-or-later\b)?"),
     ("later", r"\bany later version\b"),
     ("apache", r"\bapache licen[sc]e(,? (version|v) ?(?P<version>[\d.]+))?"),
     ("mpl", r"\bmozilla public licen[sc]e(,? (version|v)[. ]?(?P<version>[\d.]+))?"),
     ("epl", r"\beclipse public licen[sc]e( ?-? ?(version|v)? ?(?P<version>[\d.]+))?"),
     ("boost", r"\bboost software licen[sc]e\b"),
-    ("mit", r"\b(licensed|released|available|distributed|published) under (the )?(terms of the )?mit licen[sc]e\b|^the mit licen[sc]e\b|^mit licen[sc]e$"),
+    ("mit", r"\b(licensed|released|available|distributed|published) under (the )?(terms of the )?mit(/x11)?( licen[sc]e)?(?![\w/-])|^the mit licen[sc]e\b|^mit licen[sc]e$"),
+    ("mitname", r"\bmit[- ]licensed\b|\bmit/x11( licen[sc]e)?\b"),
     ("bsd", r"\bunder (the )?(terms of the )?(?P<clauses>[234])?[- ]?(clause )?bsd[- ]?(style )?licen[sc]e\b"),
+    ("bsdname", r"\bbsd[- ](?P<clauses>[234])[- ]clause\b( licen[sc]e\b)?"),
     ("isc", r"\bunder (the )?(terms of the )?isc licen[sc]e\b"),
     ("cc", r"\b(licensed|released|available|published|distributed) under (a |the )?(cc|creative commons)[- ](?P<kind>by(-nc)?(-sa|-nd)?|zero|0)[- ]?(?P<version>[\d.]+\d)?"),
+    ("cc0", r"\bcc0(?:[- ](?P<version>[\d.]+\d))?( universal\b)?(?![\w-])"),
     ("ccname", r"\bcreative commons attribution(?P<nc>[- ]noncommercial)?(?P<sa>[- ]share ?alike)?(?P<nd>[- ]no ?deriv\w*)? ?(?P<version>[\d.]+\d)?"),
     ("unlicense", r"^this is free and unencumbered software released into the public domain\b"),
     ("wtfpl", r"\bdo what the fuck you want to public licen[sc]e\b"),
@@ -88,12 +92,16 @@ RULES = [
     ("MPL-{version}", ("mpl",)),
     ("EPL-{version}", ("epl",)),
     ("BSL-1.0", ("boost",)),
+    ("{kind}GPL-{version}{later}", ("gplshort",)),
     ("MIT", ("mit",)),
+    ("MIT", ("mitname",)),
     ("MIT", ("mit_grant",)),
     ("BSD-{clauses}-Clause", ("bsd",)),
+    ("BSD-{clauses}-Clause", ("bsdname",)),
     ("ISC", ("isc",)),
     ("ISC", ("isc_grant",)),
     ("CC-{kind}-{version}", ("cc",)),
+    ("CC0-{version}", ("cc0",)),
     ("CC-BY{nc}{sa}{nd}-{version}", ("ccname",)),
     ("Unlicense", ("unlicense",)),
     ("WTFPL", ("wtfpl",)),
@@ -104,15 +112,19 @@ RULES = [
 
 #: Every sentence pattern needs one of these words (single ones: a line may end after any of them).
 TRIGGERS = re.compile(r"licen[sc]e|public|permission|redistribution|provided|later|copyright|"
-                      r"advertising|neither|misrepresented|creative|reserved|\bcc\b")
+                      r"advertising|neither|misrepresented|creative|reserved|\bcc0?\b|gpl|\bmit\b|\bbsd\b")
 
+#: A name after such words is one that does not hold.
+_NEGATED = re.compile(r"\b(?:not|never|neither|nor|no longer|isnt|arent|wasnt|cannot)(?: (?:be|been|being|yet|currently|longer|covered|governed|licensed|"
+                      r"released|available|distributed|published|subject|to|by|under|the|terms|of|an?|any))*+ ?\Z")
 _SPDX = re.compile(SENTENCES[0][1])
 #: Patterns that hold anywhere, and those for a line's start (with its end, where they ask for it).
 _ANYWHERE = [(name, re.compile(p.split("|^")[0])) for name, p in SENTENCES[1:] if p[0] != "^"]
 _AT_START = [(name, re.compile(re.sub(r"\$$", r"[ .!?;:,/-]*$", x)), x[-1] == "$")
              for name, p in SENTENCES[1:] for x in ("|" + p).split("|^")[1:]]
 _ORDERED = sorted(RULES, key=lambda r: -len(r[1]))
-_BREAK = re.compile(r"[.!?][\"')\]]*(?=\s|$)|\n[^\S\n]*[/#*;%>-]*[^\S\n]*(?=\n)|:[^\S\n]*\n")
+#: Runs are taken whole (no two of them can share a character), so a long line of blanks costs no more than its length.
+_BREAK = re.compile(r"[.!?][\"')\]]*+(?=\s|$)|\n[^\S\n]*+[/#*;%>-]*+[^\S\n]*+(?=\n)|:[^\S\n]*+\n")
 _LEADER = re.compile(r"\n[^\S\n]*(?://+|#+|\*+/?|;+|%+|--|>+|/\*+)?")
 _DROP = re.compile(r"[\"'“”‘’`()\[\]*]")
 _DROP_IN_SPDX = re.compile(r"[\"'“”‘’`\[\]*]")
@@ -154,7 +166,7 @@ def identify(sentence: str) -> list[tuple[str, dict[str, str]]]:
         if "spdx" in low:
             for m in _SPDX.finditer(_fold(line, _DROP_IN_SPDX)):
                 start = at + max(low.find("spdx"), 0) + m.start()
-                found.append((start, -start - 1, len(found), "spdx", {"name": _expression(m["name"])}))
+                found.append((start, -min(start + len(m[0]), at + len(low)), len(found), "spdx", {"name": _expression(m["name"])}))
         at += len(low) + 1
     text = " ".join(parts)
     if not TRIGGERS.search(text):
@@ -165,6 +177,8 @@ def identify(sentence: str) -> list[tuple[str, dict[str, str]]]:
     for name, p, whole_line in _AT_START:
         hits += [(name, m) for start, end in lines if (m := p.match(text, start, end if whole_line else len(text)))]
     for name, m in hits:
+        if _NEGATED.search(text, max(0, m.start() - 80), m.start()):
+            continue
         found.append((m.start(), -m.end(), len(found), name, {k: v.rstrip(".") if v else "" for k, v in m.groupdict().items()}))
     out, reach = [], -1
     for _, end, _, name, groups in sorted(found, key=lambda x: x[:3]):
@@ -194,6 +208,8 @@ def _expression(name: str) -> str:
 def _title(rule: str, groups: dict[str, str]) -> str:
     """The licence's name with the sentence's groups put in; empty groups leave no dash."""
     marks = {"later": "-or-later", "nc": "-NC", "sa": "-SA", "nd": "-ND"}
+    if groups.get("stated"):
+        groups = {**groups, "version": groups.get("version") or groups["stated"]}
     known = {k: marks.get(k, v.upper() if k == "kind" else v) if v else "" for k, v in groups.items()}
     return re.sub(r"-(?=-|$)", "", rule.format(**known))
 
