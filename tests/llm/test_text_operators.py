@@ -394,14 +394,64 @@ def test_marginals_equal_enumeration_on_a_chain():
     n = len(pii_crf.KINDS) + 1
     f = pii_crf.Field(rng.normal(size=(n, pii_crf._FEATURES)), (lambda a: a + a.T)(rng.normal(size=(n, n))), np.zeros((n, n)))
     t = "call 123456 or 7654321 or 98765432"
-    nodes, chain, skip = pii_crf.graph(t)
-    assert len(nodes) == 3 and not skip
+    nodes, chain, group = pii_crf.graph(t)
+    assert len(nodes) == 3 and group == [0, 1, 2]
     unary = [f.weights[:, pii_crf.features(t, a, b)].sum(1) for a, b, _ in nodes]
     joint = np.exp(unary[0][:, None, None] + unary[1][None, :, None] + unary[2][None, None, :]
                    + f.chain[:, :, None] + f.chain[None, :, :])
     joint /= joint.sum()
     want = [joint.sum((1, 2)), joint.sum((0, 2)), joint.sum((0, 1))]
-    assert np.allclose(f.marginals(t, nodes, chain, skip), want, atol=0.02)
+    assert np.allclose(f.marginals(t, nodes, chain, group), want, atol=0.002)
+
+
+def test_tied_mentions_have_one_group():
+    nodes, _, group = pii_crf.graph("+49 170 5557713 or 0170 5557713, call 5557713; order 123456; again 49 170 555 7713; a@b.example.org, a at b dot example dot org")
+    words = ["tel", "tel", "tel", "order", "tel", "mail", "mail"]
+    assert len(nodes) == len(words)
+    assert [[i for i, g in enumerate(group) if g == h] for h in sorted(set(group))] == [[0, 1, 2, 4], [3], [5, 6]]
+
+
+def test_marginals_equal_enumeration_on_a_star():
+    """Three mentions of one number, without a chain: a tree around the shared node, where messages are exact."""
+    rng = np.random.default_rng(3)
+    n = len(pii_crf.KINDS) + 1
+    f = pii_crf.Field(rng.normal(size=(n, pii_crf._FEATURES)), np.zeros((n, n)), (lambda a: a + a.T)(rng.normal(size=(n, n))))
+    t = "call 5557713 or 555-7713 or 555 7713"
+    nodes, chain, group = pii_crf.graph(t)
+    assert group == [0, 0, 0]
+    sent = [np.log(np.exp(f.weights[:, pii_crf.features(t, a, b)].sum(1)[:, None] + f.skip).sum(0)) for a, b, _ in nodes]
+    want = np.exp(sum(sent))
+    assert np.allclose(f.marginals(t, nodes, chain, group), want / want.sum(), atol=0.002)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_equal_mentions_get_one_label_from_any_field(seed):
+    rng = np.random.default_rng(seed)
+    n = len(pii_crf.KINDS) + 1
+    table = lambda: (lambda a: a + a.T)(rng.normal(size=(n, n)))
+    f = pii_crf.Field(rng.normal(size=(n, pii_crf._FEATURES)), table(), table())
+    words = "call order tel no fax ref id code".split()
+    t = " ".join(f"{words[k % 8]} 555-7713 {words[k * 3 % 7]}" for k in range(40)) + " +49 30 123456 and 99 88 77 66"
+    nodes, chain, group = pii_crf.graph(t)
+    p = f.marginals(t, nodes, chain, group)
+    assert np.allclose(p[:40], p[0])
+    added = [t[a:b] for a, b, _ in f.spans(t)[1]]
+    assert added.count("555-7713") in (0, 40)
+
+
+def test_repeats_no_pattern_finds_dont_teach_that_equals_differ(spark):
+    """Half of the texts repeat a phone number without its plus, half have an order number beside it."""
+    rows = []
+    for k in range(300):
+        number = f"170 555{k:04d}"
+        rows.append((k, f"Please call +49 {number} today. Tel 49 {number} is mine." if k % 2 else f"Please call +49 {number} today. Order {700000 + k} is ready."))
+    f = pii_crf.learn_field(spark.createDataFrame(rows, "doc_id long, text string"))
+    kinds = np.arange(1, len(pii_crf.KINDS) + 1)
+    # one in ten numbers without a plus passes as a card, which is the only disagreement there is to learn
+    assert (np.diag(f.skip) >= f.skip.max(1) - 1e-9).all() and f.skip[kinds[-1], kinds[-1]] > 1.5
+    found = f.spans("Please call +49 170 5559999 today. Tel 49 170 5559999 is mine.")[1]
+    other = f.spans("Please call +49 170 5559999 today. Order 700001 is ready.")[1]
+    assert len(found) >= len(other) == 0
 
 
 def test_personal_data_odd_rows(messy):
@@ -447,6 +497,13 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND.'''
     (MIT, ["MIT", "MIT"]),
     ("We permit nothing. The license of a car. Provided that it rains.", []),
     ("", []), (None, []),
+    ("This is not licensed under the MIT License.", []),
+    ("It is no longer available under the terms of the GNU General Public License.", []),
+    ("Do not remove this notice. Licensed under the MIT License.", ["MIT"]),
+    ("You may redistribute it under the terms of the GNU General Public License as published by\nthe Free Software Foundation, "
+     "either version 3 of the License, or\n(at your option) any later version.", ["GPL-3-or-later"]),
+    ("Licensed under MIT", ["MIT"]), ("The code is MIT licensed.", ["MIT"]), ("MIT/X11", ["MIT"]), ("BSD 3-Clause License", ["BSD-3-Clause"]),
+    ("GPLv2", ["GPL-2"]), ("LGPLv2.1+ code", ["LGPL-2.1-or-later"]), ("CC0 1.0 Universal", ["CC0-1.0"]),
 ])
 def test_licences(text, want):
     assert [m[0] for m in license_rules.scan(text)[2]] == want
@@ -487,7 +544,7 @@ def test_every_pattern_has_a_trigger():
     from tidemark.llm.license_rules import SENTENCES, TRIGGERS
     samples = {
         "spdx": "spdx-license-identifier: mit", "later": "any later version", "rights": "all rights reserved",
-        "cc": "licensed under cc by 4.0", "ccname": "creative commons attribution", "wtfpl": "do what the fuck you want to public license",
+        "cc": "licensed under cc by 4.0", "cc0": "cc0 1.0", "mitname": "mit/x11", "bsdname": "bsd 3-clause", "ccname": "creative commons attribution", "wtfpl": "do what the fuck you want to public license",
     }
     for name, pattern in SENTENCES:
         words = samples.get(name) or re.sub(r"\(\?P<\w+>[^()]*\)|[\\^$?()|\[\]]|\bb(?=\w)", " ", pattern)
@@ -497,7 +554,8 @@ def test_every_pattern_has_a_trigger():
 #: A sentence for each pattern.
 SAMPLES = {
     "spdx": "spdx license identifier MIT", "lgpl": "GNU Lesser General Public License", "agpl": "GNU Affero General Public License",
-    "gpl": "GNU General Public License", "later": "any later version", "apache": "Apache License", "mpl": "Mozilla Public License",
+    "gpl": "GNU General Public License", "gplshort": "GPL v2 or later", "mitname": "MIT/X11 license", "bsdname": "BSD 3 clause license",
+    "cc0": "CC0 1.0 universal", "later": "any later version", "apache": "Apache License", "mpl": "Mozilla Public License",
     "epl": "Eclipse Public License", "boost": "Boost Software License", "mit": "released under the MIT License",
     "bsd": "under the 3 clause BSD License", "isc": "under the ISC License", "cc": "available under CC BY 4.0",
     "ccname": "Creative Commons Attribution", "unlicense": "This is free and unencumbered software released into the public domain",
@@ -528,6 +586,14 @@ def test_every_pattern_is_found_in_wrapped_and_commented_text(name):
             assert license_rules.scan(text)[1] == 1, text
 
 
+def test_long_lines_of_one_kind_are_scanned_in_linear_time():
+    import time
+    begun = time.perf_counter()
+    for t in ("\n" + " " * 1_000_000 + "x\nlicense", "license " + " " * 1_000_000, "license\n" + "-" * 1_000_000 + "\n", "license " + ")" * 1_000_000):
+        license_rules.scan(t)
+    assert time.perf_counter() - begun < 10
+
+
 def test_wrapped_notices():
     found = {"placed in the public\ndomain": "public-domain", "# released into the public\n# domain": "public-domain",
              "All rights\nreserved.": "all-rights-reserved", "Available under\nCC BY 4.0.": "CC-BY-4.0"}

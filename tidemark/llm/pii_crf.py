@@ -5,17 +5,17 @@ mention that looks like one of them (a run of 6 to 19 digits with the usual sepa
 around an ``@``, a spelled-out address) is a node without a label yet.  All nodes of a
 document form one graph:
 
-* unary potentials: a log-linear model over a mention's shape and its neighbouring words, fitted
-  to the base labels of a bounded sample (``SAMPLE`` documents with mentions, by hash of the id);
+* unary potentials: a log-linear model over a mention's shape and its neighbouring words;
 * chain potentials between neighbouring mentions;
 * skip potentials between mentions, however far apart, that repeat the same digits, end in the
-  same seven digits, or spell the same address.
+  same seven digits, or spell the same address: all of them are tied to one shared node, so evidence
+  at one reaches every other in two steps and many repeats cost no more than their number.
 
-Base spans are observed.  Loopy belief propagation (damped, a fixed number of rounds) gives the
-other nodes' marginals, so labels agree across a document; a node becomes a span when one
-kind's marginal passes ``THRESHOLD``.  Base spans always stay, and added ones never
-overlap them.  Mentions with the same key are linked one to the next, so a document with very
-many repeats costs no more than their number.
+All three are fitted together to the base labels of a bounded sample (``SAMPLE`` documents with mentions, by hash of
+the text, and their first ``_MENTIONS`` mentions).  Base spans are observed.  Loopy belief propagation (damped, until the messages settle) gives the
+marginals; mentions that are tied go by their shared node's, so their labels agree across the document, and an open one
+becomes a span when one kind's marginal passes ``THRESHOLD``.  Base spans always stay, and added ones
+never overlap them.
 
 Defined cases: null and empty texts have no spans; texts are read whole, in time linear in
 their length; ties between kinds go to the one listed first; repeated rows are answered
@@ -40,7 +40,11 @@ KINDS = ("email", "ip", "card", "phone")
 #: Documents whose mentions are fitted; widest gap at which mentions are chain neighbours.
 SAMPLE = 4000
 THRESHOLD = 0.9
-ROUNDS = 10
+#: Messages are passed until none moves by more than SETTLED, at most ROUNDS times (a field that doesn't settle by then is damped
+#: enough to be read).
+ROUNDS, SETTLED = 200, 1e-4
+#: What equal mentions' agreement is worth before anything is learned.
+AGREEMENT = 2.0
 _FEATURES = 1 << 12
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -154,24 +158,33 @@ def skip_keys(s: str) -> list[str]:
 
 
 def graph(text: str):
-    """(spans, label numbers with -1 for open, chain edges, skip edges) of a text's mentions."""
+    """(spans, label numbers with -1 for open, chain edges, groups) of a text's mentions.
+
+    ``groups`` numbers the mentions so that those that share a key, directly or through others, have one number: they are
+    tied to one shared node.
+    """
     base = base_spans(text)
     nodes = [(a, b, KINDS.index(k) + 1) for a, b, k in base]
     nodes += [(a, b, -1) for a, b in open_mentions(text, base)]
     nodes.sort()
     chain = [(i, i + 1) for i in range(len(nodes) - 1)]
-    last: dict[str, int] = {}
-    skip = set()
+    group = list(range(len(nodes)))
+
+    def root(i):
+        while group[i] != i:
+            group[i] = i = group[group[i]]
+        return i
+
+    first: dict[str, int] = {}
     for i, (a, b, _) in enumerate(nodes):
         for key in skip_keys(text[a:b]):
-            if key in last:
-                skip.add((last[key], i))
-            last[key] = i
-    return nodes, chain, sorted(skip)
+            j = root(first.setdefault(key, i))
+            group[max(root(i), j)] = min(root(i), j)
+    return nodes, chain, [root(i) for i in range(len(nodes))]
 
 
 class Field:
-    """Potentials of the random field: unary weights, and log affinities of label pairs."""
+    """Potentials of the random field: unary weights, and log affinities of label pairs along chain and skip edges."""
 
     def __init__(self, weights: np.ndarray, chain: np.ndarray, skip: np.ndarray):
         self.weights, self.chain, self.skip = weights, chain, skip
@@ -180,37 +193,50 @@ class Field:
         """(base spans, added spans) of a text."""
         if not text:
             return [], []
-        nodes, chain, skip = graph(text)
+        nodes, chain, group = graph(text)
         base = sorted(((a, b, KINDS[k - 1]) for a, b, k in nodes if k > 0), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
         if all(k > 0 for *_, k in nodes):
             return base, []                      # nothing left to decide
-        marginal = self.marginals(text, nodes, chain, skip)
+        # a mention goes by its shared node: equal mentions get one label
+        marginal = self.marginals(text, nodes, chain, group)
         added = [(a, b, KINDS[best]) for (a, b, k), p in zip(nodes, marginal)
                  if k < 0 and p[1 + (best := int(np.argmax(p[1:])))] >= THRESHOLD]
         return base, added
 
-    def marginals(self, text, nodes, chain, skip) -> np.ndarray:
-        unary = np.array([self.weights[:, features(text, a, b)].sum(1) if k < 0 else np.where(np.arange(len(KINDS) + 1) == k, 0.0, -30.0)
+    def marginals(self, text, nodes, chain, group) -> np.ndarray:
+        """Of each mention's shared node (its own where nothing is shared), by loopy message passing until it settles."""
+        n_labels = len(KINDS) + 1
+        unary = np.array([self.weights[:, features(text, a, b)].sum(1) if k < 0 else np.where(np.arange(n_labels) == k, 0.0, -30.0)
                           for a, b, k in nodes])
-        if not chain and not skip:
-            return _softmax(unary)
-        edges = np.array([*chain, *skip], np.int64).reshape(-1, 2)
+        shared, at, many = np.unique(np.array(group), return_inverse=True, return_counts=True)
+        # a shared node for every group of several; mentions that share nothing speak for themselves
+        hub = np.where(many > 1, len(nodes) + np.cumsum(many > 1) - 1, shared)[at]
+        tied = np.flatnonzero(hub >= len(nodes))
+        unary = np.concatenate([unary, np.zeros((int((many > 1).sum()), n_labels))])
+        skip = np.stack([tied, hub[tied]], 1)
+        if not chain and not len(skip):
+            return _softmax(unary)[hub]
+        edges = np.concatenate([np.array(chain, np.int64).reshape(-1, 2), skip])
         table = np.concatenate([np.repeat(self.chain[None], len(chain), 0), np.repeat(self.skip[None], len(skip), 0)])
         # messages run both ways along every edge: the second half are the reversed ones
         src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
         pot = np.concatenate([table, table.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-        msg = np.zeros((len(src), unary.shape[1]))
+        msg = np.zeros((len(src), n_labels))
         for _ in range(ROUNDS):
             belief = unary.copy()
             np.add.at(belief, dst, msg)
             out = (belief[src] - msg[back])[:, :, None] + pot
             top = out.max(1, keepdims=True)
             new = top[:, 0] + np.log(np.exp(out - top).sum(1))
-            msg = 0.5 * msg + 0.5 * (new - new.max(1, keepdims=True))
+            new -= new.max(1, keepdims=True)
+            moved = np.abs(new - msg).max()
+            msg = 0.5 * msg + 0.5 * new
+            if moved < SETTLED:
+                break
         belief = unary.copy()
         np.add.at(belief, dst, msg)
-        return _softmax(belief)
+        return _softmax(belief)[hub]
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -220,35 +246,55 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 def fit_field(sample: list[tuple[list[list[int]], list[int], list[list[int]], list[list[int]]]], steps: int = 300, rate: float = 0.5,
               decay: float = 1e-3) -> Field:
-    """Fit on (features of each mention, labels with 0 for open, chain edges, skip edges) of some documents."""
+    """Unary, chain and skip weights, fitted together to (features of each mention, labels with 0 for open, chain edges, skip
+    edges) of some documents.
+
+    The pseudo-likelihood of each mention's label given its neighbours' is raised.  What an open mention is isn't known, so it
+    counts for the unary weights only (as none) and never for a pair's: repeats that no pattern finds don't teach
+    that equal mentions differ.  Skip weights are drawn towards agreement, and no label's pair is
+    observed with "none", which gets what the others have on average.
+    """
     n_labels = len(KINDS) + 1
     rows = [f for feats, *_ in sample for f in feats]
     labels = np.array([y for _, ys, *_ in sample for y in ys], np.int64)
     w = np.zeros((n_labels, _FEATURES))
+    agree = AGREEMENT * np.eye(n_labels)
     if not rows:
         w[0, _bucket("bias")] = 10.0           # nothing to learn from: all open mentions stay open
-        return Field(w, np.zeros((n_labels, n_labels)), np.zeros((n_labels, n_labels)))
+        return Field(w, np.zeros((n_labels, n_labels)), agree)
     x = np.array(rows, np.int64)
     truth = np.eye(n_labels)[labels]
+    starts = np.cumsum([0, *(len(ys) for _, ys, *_ in sample)])
+    pairs = []
+    for which in (0, 1):
+        found = np.array([(i + s, j + s) for s, (_, _, *edges) in zip(starts, sample) for i, j in edges[which]], np.int64).reshape(-1, 2)
+        found = found[(labels[found] > 0).all(1)]
+        pairs.append(np.concatenate([found, found[:, ::-1]]))
+    prior = (np.zeros((n_labels, n_labels)), agree)
+    tables = [p.copy() for p in prior]
     for _ in range(steps):
-        p = _softmax(w[:, x].sum(2).T)
+        logits = w[:, x].sum(2).T
+        for table, both in zip(tables, pairs):
+            np.add.at(logits, both[:, 0], table[:, labels[both[:, 1]]].T)
+        miss = _softmax(logits) - truth
         grad = np.zeros_like(w)
         for k in range(n_labels):
-            grad[k] = np.bincount(x.ravel(), np.repeat(p[:, k] - truth[:, k], x.shape[1]), _FEATURES) / len(x)
+            grad[k] = np.bincount(x.ravel(), np.repeat(miss[:, k], x.shape[1]), _FEATURES) / len(x)
         w -= rate * (grad + decay * w)
-    pair = [_affinity([(ys[i], ys[j]) for _, ys, *edges in sample for i, j in edges[which]], n_labels) for which in (0, 1)]
-    return Field(w, pair[0], pair[1] + 2.0 * np.eye(n_labels))
-
-
-def _affinity(pairs: list[tuple[int, int]], n: int) -> np.ndarray:
-    """Symmetric log ratio of joint to independent label frequencies, smoothed towards none."""
-    joint = np.full((n, n), 1.0)
-    for i, j in pairs:
-        joint[i, j] += 1
-        joint[j, i] += 1
-    joint /= joint.sum()
-    alone = joint.sum(1)
-    return np.clip(np.log(joint / alone[:, None] / alone[None, :]), -3, 3)
+        for t, (table, both) in enumerate(zip(tables, pairs)):
+            if len(both):
+                step = np.zeros((n_labels, n_labels))
+                np.add.at(step.T, labels[both[:, 1]], miss[both[:, 0]])
+                table -= rate * ((step + step.T) / 2 / len(x) + decay * (table - prior[t]))
+    for table in tables:
+        kinds = np.arange(1, n_labels)
+        same = table[kinds, kinds].mean()
+        other = (table[1:, 1:].sum() - table[kinds, kinds].sum()) / max(len(kinds) * (len(kinds) - 1), 1)
+        table[0, :] = table[:, 0] = other
+        table[0, 0] = same
+    # a shared node never speaks for another label than its mentions'
+    skip = tables[1] - np.minimum(0.0, np.diag(tables[1]) - tables[1].max(1))[:, None] * np.eye(n_labels)
+    return Field(w, tables[0], skip)
 
 
 _TRAIN = pa.schema([("h", pa.int64()), ("features", pa.list_(pa.list_(pa.int32()))), ("labels", pa.list_(pa.int32())),
@@ -263,10 +309,14 @@ def learn_field(docs: DataFrame, sample: int = SAMPLE) -> Field:
     def make():
         def run(cols):
             for (text,) in zip(*cols):
-                nodes, chain, skip = graph(text) if text else ([], [], [])
+                nodes, chain, group = graph(text) if text else ([], [], [])
                 if nodes:
                     few = nodes[:_MENTIONS]
                     inside = lambda edges: [[i, j] for i, j in edges if j < len(few)]
+                    # two kinds' spans of one number are no two mentions of it
+                    last: dict[int, int] = {}
+                    skip = [(j, i) for i, g in enumerate(group) if nodes[j := last.setdefault(g, i)][1] <= nodes[i][0]]
+                    chain = [(i, j) for i, j in chain if nodes[i][1] <= nodes[j][0]]
                     yield (xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1,
                            [features(text, a, b) for a, b, _ in few], [max(k, 0) for *_, k in few], inside(chain), inside(skip))
         return run
