@@ -143,20 +143,17 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
             return to_batch([(part, seq, len(ids), len(data) // 4, keys[0], keys[-1],
                               docs_ + lengths + known, dac_encode(np.frombuffer(data, "<u4")))], _SEGMENT)
 
-        try:
-            for b in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    x = enc.encode(text) + end
-                    if ids and size + len(x) > 4 * SEGMENT_TOKENS:
-                        yield close()
-                        ids, keys, size, seq = [], [], 0, seq + 1
-                    ids.append(x)
-                    keys.append(doc)
-                    size += len(x)
-            if ids:
-                yield close()
-        finally:
-            enc.clear()
+        for b in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x = enc.encode(text) + end
+                if ids and size + len(x) > 4 * SEGMENT_TOKENS:
+                    yield close()
+                    ids, keys, size, seq = [], [], 0, seq + 1
+                ids.append(x)
+                keys.append(doc)
+                size += len(x)
+        if ids:
+            yield close()
 
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = [partitions] if partitions else []

@@ -56,7 +56,6 @@ def pack_power_of_two(docs: DataFrame, tokenizer_path: str, seq_len: int = 4096,
                     seen[k] += 1
                     yield doc, start, size, ids[4 * start:4 * (start + size)], n, seq, 0
                     start += size
-        run.clear = enc.clear
         return run
 
     rows = pick(docs, id_column, text_column).selectExpr(f"cast({id_column} as long) {id_column}", text_column)

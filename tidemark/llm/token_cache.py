@@ -2,8 +2,8 @@
 
 Byte-level and word-end BPE split a text at white space before merging, so the ids of a
 text are those of its words one after another.  Words repeat far more often than texts,
-so each task keeps the ids of the words it has met (a table of bounded bytes, in two
-generations, emptied when the task ends) and asks the library's model only for new ones.  A text that holds an added token's
+so a worker keeps the ids of the words it has met (a table of bounded bytes, in two
+generations, of the tokenizer used last) and asks the library's model only for new ones.  A text that holds an added token's
 string, or white space other than blank, tab and line ends, goes to the library whole.
 """
 
@@ -21,7 +21,7 @@ import regex
 _OTHER_SPACE = re.compile(r"[^\S \t\n\r]")
 _CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 #: Bytes that a generation of a table may hold, with ``_ENTRY`` for an entry itself; a longer word is not kept.
-GENERATION = 32 << 20
+GENERATION = 80 << 20
 _ENTRY = 190
 LONGEST = 64
 
@@ -151,7 +151,10 @@ class WordEncoder:
 
 
 def encoder(path: str) -> WordEncoder:
-    """One encoder for each file and Python worker."""
+    """The worker's encoder for a file; the words of another file's go."""
+    for other, held in _OPEN.items():
+        if other != path:
+            held.clear()
     if path not in _OPEN:
         _OPEN[path] = WordEncoder(path)
     return _OPEN[path]
