@@ -140,3 +140,31 @@ def test_bucket_of_matches_bisect(spark):
     df = spark.createDataFrame([(x,) for x in xs], "x double")
     got = [r[0] for r in df.select(AL.bucket_of(F.col("x"), bounds)).collect()]
     assert got == [bisect.bisect_right(bounds, x) if x is not None else 0 for x in xs]
+
+
+def test_a_hot_key_is_split_over_buckets(spark):
+    """Half of the left rows share one key: its buckets get about equal parts, and every row its nearest."""
+    left = spark.range(4000).select("id", F.when(F.col("id") % 2 == 0, F.lit(500.0)).otherwise(F.col("id").cast("double") / 4).alias("k"))
+    right = spark.createDataFrame([(float(x), f"r{x}") for x in (-5, 100, 100.25, 499, 500, 501, 990)], "k double, m string")
+    u = left.select(F.col("k").alias(AL._K), F.lit(1).alias(AL._SIDE), F.struct("id").alias("_tm_row"))
+    b, n = AL._merge_buckets(u, F.xxhash64(F.to_json("_tm_row")), 16)
+    sizes = {r[AL._B]: r["count"] for r in b.groupBy(AL._B).count().collect()}
+    assert n == 16 and max(sizes.values()) < 500
+    keys = [x for x in (-5, 100, 100.25, 499, 500, 501, 990)]
+    want = {i: f"r{min(keys, key=lambda x: (abs(x - k), x))}" for i, k in ((r.id, r.k) for r in left.collect())}
+    for buckets in (1, 16):
+        got = {r.id: r.m for r in AL.asof_nearest(left, right, "k", buckets=buckets).collect()}
+        assert got == want
+    # without the shared key's own right row its neighbours on both sides are carried over all of its buckets
+    got = {r.id: r.m for r in AL.asof_nearest(left, right.where("k <> 500"), "k", buckets=16).collect()}
+    assert {got[i] for i in range(0, 4000, 2)} == {"r499"}
+
+
+def test_backward_fill_of_a_large_bucket_is_linear(spark):
+    """Only the last row has a value: a frame that is gone through again for every row would take minutes."""
+    import time
+    n = 300_000
+    d = spark.range(n).select(F.col("id").alias("k"), F.when(F.col("id") == n - 1, F.lit(7.0)).alias("v"))
+    begun = time.perf_counter()
+    assert AL.fill_backward(d, "k", ["v"], buckets=1).where("v = 7").count() == n
+    assert time.perf_counter() - begun < 30

@@ -137,6 +137,21 @@ def _join_back(df: DataFrame, carry: DataFrame, by: Sequence[str]) -> DataFrame:
     return null_safe_join(df, carry, list(by) + [_B])
 
 
+def _running(by: Sequence[str], order: Sequence[str], backward: bool = False):
+    """All rows of the bucket up to the current one, from its first (or, backward, from its last) row.
+
+    What follows a row is read in descending order, because a frame that ends at the bucket's last row is gone
+    through again for every row.
+    """
+    keys = [F.desc(o) if backward else F.asc(o) for o in order]
+    return Window.partitionBy(*by, _B).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _earlier(by: Sequence[str], backward: bool = False):
+    """All buckets before (or, backward, after) the current one, of a table with one row per bucket."""
+    return Window.partitionBy(*by).orderBy(F.desc(_B) if backward else F.asc(_B)).rowsBetween(Window.unboundedPreceding, -1)
+
+
 def _fill(df: DataFrame, order: Sequence[str], cols: Sequence[str], by: Sequence[str],
           forward: bool, backward: bool, buckets: int | None) -> DataFrame:
     """Bucketed fill; with both directions the result is coalesce(forward, backward)."""
@@ -146,25 +161,19 @@ def _fill(df: DataFrame, order: Sequence[str], cols: Sequence[str], by: Sequence
     df = nan_to_null(df, cols)
     b, nb = range_buckets(df, by, order, buckets)
     okey = F.struct(*[F.col(o) for o in order])
-    w = Window.partitionBy(*by, _B).orderBy(*order)
-    ws = Window.partitionBy(*by).orderBy(_B)
     inner, edge, carry_expr = {}, [], []
     if forward:
-        wf = w.rowsBetween(Window.unboundedPreceding, 0)
+        wf = _running(by, order)
         inner.update({f"_tm_ff_{c}": F.last(c, ignorenulls=True).over(wf) for c in cols})
         edge += [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), okey)).alias(f"_tm_l_{c}")
                  for c in cols]
-        carry_expr += [F.last(f"_tm_l_{c}", ignorenulls=True)
-                       .over(ws.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_tm_cf_{c}")
-                       for c in cols]
+        carry_expr += [F.last(f"_tm_l_{c}", ignorenulls=True).over(_earlier(by)).alias(f"_tm_cf_{c}") for c in cols]
     if backward:
-        wb = w.rowsBetween(0, Window.unboundedFollowing)
-        inner.update({f"_tm_bf_{c}": F.first(c, ignorenulls=True).over(wb) for c in cols})
+        wb = _running(by, order, backward=True)
+        inner.update({f"_tm_bf_{c}": F.last(c, ignorenulls=True).over(wb) for c in cols})
         edge += [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), okey)).alias(f"_tm_f_{c}")
                  for c in cols]
-        carry_expr += [F.first(f"_tm_f_{c}", ignorenulls=True)
-                       .over(ws.rowsBetween(1, Window.unboundedFollowing)).alias(f"_tm_cb_{c}")
-                       for c in cols]
+        carry_expr += [F.last(f"_tm_f_{c}", ignorenulls=True).over(_earlier(by, backward=True)).alias(f"_tm_cb_{c}") for c in cols]
     out = b.withColumns(inner)
     if nb > 1:
         summary = b.groupBy(*by, _B).agg(*edge)
@@ -328,21 +337,15 @@ def nearest_key_map(left_keys: DataFrame, right_keys: DataFrame, by: Sequence[st
          .unionByName(right_keys.withColumn(_SIDE, F.lit(0))))
     b, nb = range_buckets(u, by, [_K, _SIDE], buckets)
     rkey = F.when(F.col(_SIDE) == 0, F.col(_K))
-    w = Window.partitionBy(*by, _B).orderBy(_K, _SIDE)
-    prev_in = F.last(rkey, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    next_in = F.first(rkey, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    prev_in = F.last(rkey, ignorenulls=True).over(_running(by, [_K, _SIDE]))
+    next_in = F.last(rkey, ignorenulls=True).over(_running(by, [_K, _SIDE], backward=True))
     cand = b.select(*by, _B, _K, _SIDE, prev_in.alias("_tm_pi"), next_in.alias("_tm_ni"))
     cand = cand.where(F.col(_SIDE) == 1)
     if nb > 1:
         summary = b.groupBy(*by, _B).agg(F.max(rkey).alias("_tm_last"), F.min(rkey).alias("_tm_first"))
-        ws = Window.partitionBy(*by).orderBy(_B)
         carry = summary.select(
-            *by, _B,
-            F.last("_tm_last", ignorenulls=True).over(ws.rowsBetween(Window.unboundedPreceding, -1))
-            .alias("_tm_cprev"),
-            F.first("_tm_first", ignorenulls=True).over(ws.rowsBetween(1, Window.unboundedFollowing))
-            .alias("_tm_cnext"),
-        )
+            *by, _B, F.last("_tm_last", ignorenulls=True).over(_earlier(by)).alias("_tm_cprev"),
+            F.last("_tm_first", ignorenulls=True).over(_earlier(by, backward=True)).alias("_tm_cnext"))
         cand = _join_back(cand, carry, by)
         prev = F.coalesce(F.col("_tm_pi"), F.col("_tm_cprev"))
         nxt = F.coalesce(F.col("_tm_ni"), F.col("_tm_cnext"))
@@ -356,6 +359,59 @@ def nearest_key_map(left_keys: DataFrame, right_keys: DataFrame, by: Sequence[st
     return cand.select(*by, _K, choose.alias("_tm_rkey"))
 
 
+def _merge_buckets(u: DataFrame, salt: Column, buckets: int | None) -> tuple[DataFrame, int]:
+    """Range buckets of ``_K`` for a merge: a key that many left rows share gets as many buckets as its share of the rows.
+
+    Bounds are quantiles of the key; one that comes m times is a key of m buckets' rows.  Its right row (of which there
+    is one) goes to the first of these, its left rows to any of them: what they need from the bucket before is carried.
+    """
+    n = buckets or -(-u.count() // ROWS_PER_BUCKET)
+    if n <= 1:
+        return u.withColumn(_B, F.lit(0)), 1
+    key = F.col(_K).cast("double")
+    found = u.agg(F.percentile_approx(key, F.array(*[F.lit(i / n) for i in range(1, n)]), 4 * n).alias("b")).first()["b"]
+    bounds = sorted(float(b) for b in found or [] if b is not None)
+    if not bounds:
+        return u.withColumn(_B, F.lit(0)), 1
+    bucket = bucket_of(key, bounds)
+    hot = {b: bounds.count(b) for b in set(bounds) if bounds.count(b) > 1}
+    if hot:
+        many = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in hot.items() for x in kv]), key), F.lit(1))
+        bucket = bucket - many + 1 + F.when(F.col(_SIDE) == 1, F.pmod(salt, many)).otherwise(0)
+    return u.withColumn(_B, bucket.cast("int")), len(bounds) + 1
+
+
+def _merge_nearest(left: DataFrame, right: DataFrame, by: Sequence[str], buckets: int | None) -> DataFrame:
+    """The left rows (with ``_K``) and the columns of the right row (``_tm_rkey``: its key; one row per key) nearest to each.
+
+    Both sides are put into range buckets together.  Inside a bucket the right row before and after each left row comes
+    from two running windows; across bucket edges both come from a table with one row per bucket.  Rows
+    move once and no key is looked up again.
+    """
+    by = list(by)
+    own, theirs = [c for c in left.columns if c not in by], [c for c in right.columns if c not in by]
+    row, hit = F.struct(*own), F.struct(F.col("_tm_rkey").alias("_tm_rkey"), *[c for c in theirs if c != "_tm_rkey"])
+    l_type, r_type = left.select(row.alias("r")).schema["r"].dataType, right.select(hit.alias("r")).schema["r"].dataType
+    u = left.select(*by, F.col(_K), F.lit(1).alias(_SIDE), row.alias("_tm_row"), F.lit(None).cast(r_type).alias("_tm_hit")).unionByName(
+        right.where(F.col("_tm_rkey").isNotNull()).select(
+            *by, F.col("_tm_rkey").alias(_K), F.lit(0).alias(_SIDE), F.lit(None).cast(l_type).alias("_tm_row"), hit.alias("_tm_hit")))
+    # a struct's map can't be hashed; a key and the row's text tell rows apart well enough
+    b, nb = _merge_buckets(u, F.xxhash64(F.to_json("_tm_row")), buckets)
+    there = F.when(F.col(_SIDE) == 0, F.col("_tm_hit"))
+    before = F.last(there, ignorenulls=True).over(_running(by, [_K, _SIDE]))
+    after = F.last(there, ignorenulls=True).over(_running(by, [_K, _SIDE], backward=True))
+    m = b.select(*by, _B, _K, _SIDE, "_tm_row", before.alias("_tm_p"), after.alias("_tm_n")).where(F.col(_SIDE) == 1)
+    if nb > 1:
+        place = F.when(F.col(_SIDE) == 0, F.col(_K))
+        edges = b.groupBy(*by, _B).agg(F.max_by("_tm_hit", place).alias("_tm_last"), F.min_by("_tm_hit", place).alias("_tm_first"))
+        carry = edges.select(*by, _B, F.last("_tm_last", ignorenulls=True).over(_earlier(by)).alias("_tm_cp"),
+                             F.last("_tm_first", ignorenulls=True).over(_earlier(by, backward=True)).alias("_tm_cn"))
+        m = _join_back(m, carry, by).withColumns({"_tm_p": F.coalesce("_tm_p", "_tm_cp"), "_tm_n": F.coalesce("_tm_n", "_tm_cn")})
+    k, p, n = F.col(_K), F.col("_tm_p._tm_rkey"), F.col("_tm_n._tm_rkey")
+    nearest = F.when(k.isNull(), F.lit(None).cast(r_type)).when(n.isNull() | (k - p <= n - k), F.col("_tm_p")).otherwise(F.col("_tm_n"))
+    return m.withColumn("_tm_best", nearest).select(*by, "_tm_row.*", *[F.col(f"_tm_best.{c}").alias(c) for c in theirs])
+
+
 def asof_nearest(left: DataFrame, right: DataFrame, on: str, right_on: str | None = None,
                  by=(), payload: Sequence[str] | None = None, right_order=None,
                  matched_as: str | None = None, buckets: int | None = None,
@@ -370,9 +426,8 @@ def asof_nearest(left: DataFrame, right: DataFrame, on: str, right_on: str | Non
 
     Only keys enter the ordered step.  With date keys (and no ``by``), the mapping is
     built for every day of the right side's range (at most ``max_calendar_days`` rows,
-    checked) and broadcast; the facts are scanned once.  Otherwise the distinct left
-    keys are resolved, and the fact rows meet the result through equi-joins whose
-    small side AQE broadcasts when its measured size allows.
+    checked) and broadcast; the facts are scanned once.  Otherwise both sides are merged in range
+    buckets of the key (``_merge_nearest``): one shuffle of the rows, one join with a table of bucket edges.
     """
     by = _as_list(by)
     rkey_name = right_on or on
@@ -412,9 +467,7 @@ def asof_nearest(left: DataFrame, right: DataFrame, on: str, right_on: str | Non
         # range, so it is broadcast as well
         out = lo.join(mapping, ["_tm_kc"], "left").join(F.broadcast(rr), ["_tm_rkey"], "left")
     else:
-        lk = left.select(*by, numeric_key(left, on).alias(_K)).where(F.col(_K).isNotNull()).distinct()
-        mapping = nearest_key_map(lk, rk, by, buckets)
-        out = null_safe_join(null_safe_join(lo, mapping, by + [_K]), rr.where(F.col("_tm_rkey").isNotNull()), by + ["_tm_rkey"])
+        out = _merge_nearest(lo, rr, by, buckets)
     keep = list(left.columns) + payload + ([matched_as] if matched_as else [])
     return out.select(*keep)
 

@@ -134,3 +134,40 @@ def p3_unpadded_dates(spark, sf_dir):
     d = F.col("o_orderdate")
     text = F.concat_ws("-", F.year(d).cast("string"), F.month(d).cast("string"), F.dayofmonth(d).cast("string"))
     return TB.table(spark, sf_dir, "orders").groupBy(CL.to_date_lenient(text).alias("Date")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------------------
+# events: keys as fine as the rows, and one that a third of the rows share
+
+_HOT = "TIMESTAMP '2024-01-15 12:00:00'"
+_EVENTS = (f"WITH l AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN {_HOT} ELSE ts END AS ts, event_type FROM events WHERE event_type <> 'purchase'),\n"
+           "p AS (SELECT ts, min(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY ts),\n"
+           "u AS (SELECT event_id, ts AS k, event_type, CAST(NULL AS TIMESTAMP) AS r FROM l UNION ALL SELECT NULL, ts, NULL, ts FROM p),\n"
+           "n AS (SELECT *, max(r) OVER (ORDER BY k RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS b, "
+           "min(r) OVER (ORDER BY k RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM u),\n"
+           "m AS (SELECT event_id, event_type, CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a WHEN k - b <= a - k THEN b ELSE a END AS r "
+           "FROM n WHERE event_id IS NOT NULL)\n")
+
+
+def _hot_events(spark, sf_dir):
+    e = TB.table(spark, sf_dir, "events")
+    left = e.where("event_type <> 'purchase'").select(
+        "event_id", F.when(F.col("event_id") % 3 == 0, F.lit("2024-01-15 12:00:00").cast(e.schema["ts"].dataType)).otherwise(F.col("ts")).alias("ts"), "event_type")
+    return left, e.where("event_type = 'purchase'").select("ts", "value")
+
+
+@query("j2_nearest_events_hot_key", _EVENTS + "SELECT m.event_id, m.event_type, p.value FROM m JOIN p ON p.ts = m.r")
+def j2_nearest_events_hot_key(spark, sf_dir):
+    """Every other event's nearest purchase; a third of the events share one instant, which is split over buckets."""
+    left, right = _hot_events(spark, sf_dir)
+    out = AL.asof_nearest(left, right, "ts", payload=["value"], right_order=["value"], buckets=3 * BUCKETS)
+    return out.select("event_id", "event_type", "value")
+
+
+@query("w2_fill_backward_events",
+       "SELECT event_id, first_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (ORDER BY ts, event_id "
+       "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS value FROM events")
+def w2_fill_backward_events(spark, sf_dir):
+    """The next purchase's value at every event, in one pass over each bucket."""
+    e = TB.table(spark, sf_dir, "events").select("ts", "event_id", F.when(F.col("event_type") == "purchase", F.col("value")).alias("value"))
+    return AL.fill_backward(e, ["ts", "event_id"], ["value"], buckets=BUCKETS).select("event_id", "value")
