@@ -165,8 +165,9 @@ class PieceModel:
         self.begin, self.end = self.library.bos_id(), self.library.eos_id()
         self.marked = [p.piece.startswith(MARK) for p in m.pieces]
         self.agendas = Agendas(self.cost, self.id, len(m.pieces))
-        self.words = _Table(self._word)
-        self.after_blank = _Table(lambda w: self._word(MARK + w))
+        group: list[_Table] = []
+        self.words = _Table(self._word, group)
+        self.after_blank = _Table(lambda w: self._word(MARK + w), group)
         #: Words whose ids differ from the library's, which are in the table instead.
         self.wrong: set[str] = set()
 

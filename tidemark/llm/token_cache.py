@@ -20,8 +20,8 @@ import regex
 #: White space beyond the four kinds at which texts are cut here.
 _OTHER_SPACE = re.compile(r"[^\S \t\n\r]")
 _CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-#: Bytes that a generation of a table may hold, with ``_ENTRY`` for an entry itself; a longer word is not kept.
-GENERATION = 80 << 20
+#: Bytes that a generation of an encoder's tables may hold together, with ``_ENTRY`` for an entry itself; a longer word is not kept.
+GENERATION = 160 << 20
 _ENTRY = 190
 LONGEST = 64
 
@@ -41,30 +41,30 @@ _OPEN: dict[str, "WordEncoder"] = {}
 
 
 class _Table(dict):
-    """Word -> ids; computes what is missing, and drops the older half when full."""
+    """Word -> ids; computes what is missing.  Tables of one ``group`` share its bytes, and all drop their older half when these
+    are used up."""
 
-    def __init__(self, compute):
+    def __init__(self, compute, group: list["_Table"]):
         super().__init__()
-        self.compute, self.older, self.held = compute, {}, 0
+        self.compute, self.older, self.held, self.group = compute, {}, 0, group
+        group.append(self)
 
     def __missing__(self, word):
         ids = self.older.get(word)
         if ids is None:
             ids = self.compute(word)
         if len(word) <= LONGEST:
-            self.keep(word, ids)
+            self.make_room()
+            self.held += _ENTRY + len(word) + len(ids)
+            self[word] = ids
         return ids
 
-    def keep(self, word, ids):
-        self.make_room()
-        self.held += _ENTRY + len(word) + len(ids)
-        self[word] = ids
-
     def make_room(self):
-        if self.held >= GENERATION:
-            self.older = dict(self)
-            super().clear()
-            self.held = 0
+        if sum(t.held for t in self.group) >= GENERATION:
+            for t in self.group:
+                t.older = dict(t)
+                dict.clear(t)
+                t.held = 0
 
     def keep_all(self, words, ids):
         """Many words at once; the table may grow beyond its bytes until ``make_room``."""
@@ -93,12 +93,13 @@ class WordEncoder:
         # with a normaliser that folds white space, blanks belong to no word
         self.drops_space = self.tok.normalizer is not None
         self.pattern = regex.compile(_WORD_END_SPLIT if self.drops_space else _BYTE_LEVEL_SPLIT)
-        self.first = _Table(self._chunk)
-        self.after_blank = _Table(self._word)
-        self.pieces = _Table(self._piece)
+        self.tables: list[_Table] = []
+        self.first = _Table(self._chunk, self.tables)
+        self.after_blank = _Table(self._word, self.tables)
+        self.pieces = _Table(self._piece, self.tables)
 
     def clear(self):
-        for table in (self.first, self.after_blank, self.pieces):
+        for table in self.tables:
             table.clear()
 
     def _word(self, word: str) -> bytes:
