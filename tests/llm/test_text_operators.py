@@ -637,3 +637,22 @@ def test_digest_columns(spark):
 
 def test_hash_is_stable():
     assert xxhash.xxh3_64_intdigest(b"word") == lm_score.WordHashes()[b"word"]
+
+
+def test_other_operators_free_a_workers_word_tables(spark, documents):
+    """In one worker: packing keeps its encoder's words, and a task of another operator empties them."""
+    one = documents.limit(40).coalesce(1)
+
+    def held(batches):
+        import pyarrow as pa
+        list(batches)
+        n = sum(len(t) for e in token_cache._OPEN.values() for t in e.tables)
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    before = token_cache.encoder(WORD)
+    before.encode("some words to keep")
+    assert any(before.tables)
+    from tidemark.llm import common
+    common.free_held()
+    assert not any(before.tables)
+    assert pack_pow2.pack_power_of_two(one, WORD).count() > 40 and one.mapInArrow(held, "n long").count() == 1

@@ -32,17 +32,34 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"c{at[n]}").alias(n) for n in names])
 
 
+#: What frees the tables that a Python worker keeps from task to task.
+_HELD: list[Callable[[], None]] = []
+
+
+def hold(clear: Callable[[], None]) -> None:
+    """Registers what frees a table that outlives its task."""
+    _HELD.append(clear)
+
+
+def free_held() -> None:
+    """Frees the tables that tasks of other operators left in this worker."""
+    for clear in _HELD:
+        clear()
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[list], Iterator[tuple]]], schema: pa.Schema,
-             spark_schema: str, weigh: Callable[[tuple], int] | None = None) -> DataFrame:
+             spark_schema: str, weigh: Callable[[tuple], int] | None = None, keeps: bool = False) -> DataFrame:
     """``mapInArrow`` over rows: ``make()`` runs once per task and returns a function from a
     list of input columns (Python lists) to output tuples.  What the function keeps of other
     rows goes when the task ends, if it has a ``clear``.
 
     Output is handed back in pieces of about ``FLUSH_BYTES`` (by ``weigh``) or 4096 rows,
-    so a task never holds its whole result.
+    so a task never holds its whole result.  Tables that other tasks left go first, unless this one ``keeps`` them.
     """
     ship_package(df.sparkSession)
     def run(batches):
+        if not keeps:
+            free_held()
         fn = make()
         rows: list[tuple] = []
         size = 0
@@ -70,6 +87,7 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
     def run(batches):
+        free_held()
         fn = make()
         for b in batches:
             for first in range(0, b.num_rows, 2000):

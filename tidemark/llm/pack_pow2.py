@@ -59,4 +59,4 @@ def pack_power_of_two(docs: DataFrame, tokenizer_path: str, seq_len: int = 4096,
         return run
 
     rows = pick(docs, id_column, text_column).selectExpr(f"cast({id_column} as long) {id_column}", text_column)
-    return map_rows(rows, make, _ARROW, SCHEMA, weigh=lambda r: 64 + len(r[3]))
+    return map_rows(rows, make, _ARROW, SCHEMA, weigh=lambda r: 64 + len(r[3]), keeps=True)

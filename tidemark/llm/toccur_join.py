@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows, pick, small, to_batch
+from .common import free_held, map_rows, pick, small, to_batch
 from .graph import components
 from .lm_score import WordHashes, mix
 from ..session import cut_lineage, scratch_path, ship_package
@@ -107,6 +107,7 @@ def first_pass(docs: DataFrame, width: int) -> DataFrame:
     size, per = 1 << SKETCH_BITS, 1 << _CHUNK_BITS
 
     def run(batches):
+        free_held()
         hashes, total = WordHashes(), np.zeros(size, np.uint32)
         for b in batches:
             for at in range(0, b.num_rows, 2000):
@@ -158,6 +159,7 @@ def meetings(docs: DataFrame, order, width: int, percent: int, n_parts: int, sho
     ship_package(docs.sparkSession)
 
     def emit(batches):
+        free_held()
         hashes, code = WordHashes(), order.value
         tokens: list[np.ndarray] = []
         nodes: list[tuple[int, int, int]] = []

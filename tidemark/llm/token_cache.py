@@ -17,6 +17,8 @@ from os.path import commonprefix
 import numpy as np
 import regex
 
+from .common import hold
+
 #: White space beyond the four kinds at which texts are cut here.
 _OTHER_SPACE = re.compile(r"[^\S \t\n\r]")
 _CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
@@ -158,4 +160,5 @@ def encoder(path: str) -> WordEncoder:
             held.clear()
     if path not in _OPEN:
         _OPEN[path] = WordEncoder(path)
+        hold(_OPEN[path].clear)
     return _OPEN[path]
