@@ -44,7 +44,7 @@ THRESHOLD = 0.9
 #: enough to be read).
 ROUNDS, SETTLED = 200, 1e-4
 #: What equal mentions' agreement is worth before anything is learned.
-AGREEMENT = 2.0
+AGREEMENT = 8.0
 _FEATURES = 1 << 12
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -246,13 +246,13 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 def fit_field(sample: list[tuple[list[list[int]], list[int], list[list[int]], list[list[int]]]], steps: int = 300, rate: float = 0.5,
               decay: float = 1e-3) -> Field:
-    """Unary, chain and skip weights, fitted together to (features of each mention, labels with 0 for open, chain edges, skip
-    edges) of some documents.
+    """Unary, chain and skip weights, fitted together to (features of each mention, labels, chain edges, skip edges) of some
+    documents; labels are 0 for an open mention and -1 for one that repeats a found one.
 
-    The pseudo-likelihood of each mention's label given its neighbours' is raised.  What an open mention is isn't known, so it
-    counts for the unary weights only (as none) and never for a pair's: repeats that no pattern finds don't teach
-    that equal mentions differ.  Skip weights are drawn towards agreement, and no label's pair is
-    observed with "none", which gets what the others have on average.
+    The pseudo-likelihood of each mention's label given its neighbours' is raised.  What an open mention is isn't known for
+    certain, so it never counts for a pair's weight, and one that repeats a found mention for none at all: repeats that no
+    pattern finds teach neither that equal mentions differ nor that they look like none.  Skip weights are drawn
+    towards agreement, and no label's pair is observed with "none", which gets what the others have on average.
     """
     n_labels = len(KINDS) + 1
     rows = [f for feats, *_ in sample for f in feats]
@@ -263,7 +263,7 @@ def fit_field(sample: list[tuple[list[list[int]], list[int], list[list[int]], li
         w[0, _bucket("bias")] = 10.0           # nothing to learn from: all open mentions stay open
         return Field(w, np.zeros((n_labels, n_labels)), agree)
     x = np.array(rows, np.int64)
-    truth = np.eye(n_labels)[labels]
+    truth = np.eye(n_labels)[np.maximum(labels, 0)]
     starts = np.cumsum([0, *(len(ys) for _, ys, *_ in sample)])
     pairs = []
     for which in (0, 1):
@@ -276,7 +276,7 @@ def fit_field(sample: list[tuple[list[list[int]], list[int], list[list[int]], li
         logits = w[:, x].sum(2).T
         for table, both in zip(tables, pairs):
             np.add.at(logits, both[:, 0], table[:, labels[both[:, 1]]].T)
-        miss = _softmax(logits) - truth
+        miss = np.where(labels[:, None] < 0, 0.0, _softmax(logits) - truth)
         grad = np.zeros_like(w)
         for k in range(n_labels):
             grad[k] = np.bincount(x.ravel(), np.repeat(miss[:, k], x.shape[1]), _FEATURES) / len(x)
@@ -313,12 +313,15 @@ def learn_field(docs: DataFrame, sample: int = SAMPLE) -> Field:
                 if nodes:
                     few = nodes[:_MENTIONS]
                     inside = lambda edges: [[i, j] for i, j in edges if j < len(few)]
+                    # an open mention is none, unless it repeats a found one: then it isn't known
+                    known = {g for g, (*_, k) in zip(group, nodes) if k > 0}
+                    labels = [k if k > 0 else -1 if g in known else 0 for g, (*_, k) in zip(group, nodes)]
                     # two kinds' spans of one number are no two mentions of it
                     last: dict[int, int] = {}
                     skip = [(j, i) for i, g in enumerate(group) if nodes[j := last.setdefault(g, i)][1] <= nodes[i][0]]
                     chain = [(i, j) for i, j in chain if nodes[i][1] <= nodes[j][0]]
                     yield (xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1,
-                           [features(text, a, b) for a, b, _ in few], [max(k, 0) for *_, k in few], inside(chain), inside(skip))
+                           [features(text, a, b) for a, b, _ in few], labels[:_MENTIONS], inside(chain), inside(skip))
         return run
 
     rows = map_rows(pick(docs, "text"), make, _TRAIN, _TRAIN_SQL, weigh=lambda r: 512 * len(r[2]))
