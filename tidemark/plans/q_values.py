@@ -136,7 +136,7 @@ def a10_corr_nan_items(spark, sf_dir):
 
 
 @query("a11_linregress_nan_items",
-       f"WITH {_GAPPY} SELECT flag, regr_count(price, quantity) AS n, round(regr_slope(price, quantity), 4) AS slope, "
+       f"WITH {_GAPPY} SELECT flag, CAST(regr_count(price, quantity) AS BIGINT) AS n, round(regr_slope(price, quantity), 4) AS slope, "
        "round(regr_intercept(price, quantity), 3) AS intercept, round(corr(price, quantity), 9) AS rvalue FROM it GROUP BY flag")
 def a11_linregress_nan_items(spark, sf_dir):
     r = ST.linregress(_gappy(spark, sf_dir), "quantity", "price", by=["flag"])
