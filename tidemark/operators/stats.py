@@ -309,6 +309,15 @@ def distinct_first_seen(df: DataFrame, col: str, order) -> DataFrame:
             .select(col, "_first"))
 
 
+#: Groups (a row of a few numbers each) whose table may be broadcast to the rows; more groups are joined by a shuffle.
+_FEW_GROUPS = 1 << 16
+
+
+def _at_hand(groups: DataFrame) -> DataFrame:
+    """Marked for broadcast where a count shows that the groups are few."""
+    return F.broadcast(groups) if groups.count() <= _FEW_GROUPS else groups
+
+
 def _present(df: DataFrame, col: str, by=()) -> DataFrame:
     """(by..., _x): a column's values that aren't missing, as doubles."""
     x = df.select(*by, F.col(col).cast("double").alias("_x"))
@@ -329,7 +338,7 @@ def box_stats(df: DataFrame, col: str, by=(), whis: float = 1.5, method: str = "
         *by, "n", F.col("q25").alias("q1"), F.col("q50").alias("median"), F.col("q75").alias("q3"))
     x = _present(df, col, by)
     if by:
-        j = null_safe_join(x, q, by, "inner")
+        j = null_safe_join(x, _at_hand(q), by, "inner")
     else:
         r = q.first()
         if r is None:
@@ -354,7 +363,7 @@ def box_outliers(df: DataFrame, col: str, by=(), whis: float = 1.5) -> DataFrame
     df = materialize_if_derived(df)   # read by the quartile passes and the filter
     q = quantiles(df, [col], [0.25, 0.75], by=by).select(*by, F.col("q25").alias("_q1"), F.col("q75").alias("_q3"))
     if by:
-        j = null_safe_join(df, q, by, "inner")
+        j = null_safe_join(df, _at_hand(q), by, "inner")
     else:
         r = q.first()
         j = df.withColumns({c: F.lit(r[c] if r else None).cast("double") for c in ("_q1", "_q3")})
