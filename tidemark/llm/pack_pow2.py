@@ -27,6 +27,10 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
                     ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
+#: Bytes of word tables a generation: after other stages a worker has less room than alone.
+TABLE_BYTES = 100 << 20
+
+
 def binary_lengths(n: int, most: int) -> list[int]:
     """Power-of-two lengths, longest first, that add up to n, none above ``most``."""
     full, rest = divmod(n, most)
@@ -42,7 +46,7 @@ def pack_power_of_two(docs: DataFrame, tokenizer_path: str, seq_len: int = 4096,
     end = end_id.to_bytes(4, "little")
 
     def make():
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, TABLE_BYTES)
         part = TaskContext.get().partitionId()
         seen = [0] * seq_len.bit_length()
 

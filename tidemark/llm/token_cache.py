@@ -22,7 +22,8 @@ from .common import hold
 #: White space beyond the four kinds at which texts are cut here.
 _OTHER_SPACE = re.compile(r"[^\S \t\n\r]")
 _CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-#: Bytes that a generation of an encoder's tables may hold together, with ``_ENTRY`` for an entry itself; a longer word is not kept.
+#: Bytes that a generation of an encoder's tables may hold together unless told otherwise, with ``_ENTRY`` for an entry itself;
+#: a longer word is not kept.
 GENERATION = 160 << 20
 _ENTRY = 190
 LONGEST = 64
@@ -46,6 +47,8 @@ class _Table(dict):
     """Word -> ids; computes what is missing.  Tables of one ``group`` share its bytes, and all drop their older half when these
     are used up."""
 
+    limit: int | None = None
+
     def __init__(self, compute, group: list["_Table"]):
         super().__init__()
         self.compute, self.older, self.held, self.group = compute, {}, 0, group
@@ -62,7 +65,7 @@ class _Table(dict):
         return ids
 
     def make_room(self):
-        if sum(t.held for t in self.group) >= GENERATION:
+        if sum(t.held for t in self.group) >= (self.limit or GENERATION):
             for t in self.group:
                 t.older = dict(t)
                 dict.clear(t)
@@ -153,12 +156,14 @@ class WordEncoder:
         return (self.first[head] if head else b"") + b"".join(map(self.after_blank.__getitem__, rest))
 
 
-def encoder(path: str) -> WordEncoder:
-    """The worker's encoder for a file; the words of another file's go."""
+def encoder(path: str, limit: int | None = None) -> WordEncoder:
+    """The worker's encoder for a file, its tables bounded by ``limit`` bytes a generation; the words of another file's go."""
     for other, held in _OPEN.items():
         if other != path:
             held.clear()
     if path not in _OPEN:
         _OPEN[path] = WordEncoder(path)
         hold(_OPEN[path].clear)
+    for table in _OPEN[path].tables:
+        table.limit = limit
     return _OPEN[path]
