@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, map_rows, pick, to_batch
+from .common import crc_remainder, pick, to_batch
 from ..session import scratch_path, ship_package
 
 #: Bits of the filter for each (pair, level), probes of a lookup, prior weight of p(w).

@@ -26,7 +26,6 @@ any mention to learn from, only base spans are returned.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
