@@ -9,7 +9,6 @@ from html.parser import HTMLParser
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from tidemark.sources import delimited, html, surveys, workbook
 
