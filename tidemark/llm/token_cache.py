@@ -95,6 +95,7 @@ class WordEncoder:
         self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE)
         self.added_start = "".join(takewhile(lambda c: c in _MARKS, commonprefix(added)))
         self.model, self.splitter = self.tok.model, self.tok.pre_tokenizer
+        self.tokenize = self.model.tokenize
         # with a normaliser that folds white space, blanks belong to no word
         self.drops_space = self.tok.normalizer is not None
         self.pattern = regex.compile(_WORD_END_SPLIT if self.drops_space else _BYTE_LEVEL_SPLIT)
@@ -111,7 +112,7 @@ class WordEncoder:
         """Ids of a word that a blank goes before."""
         if not word:
             return self._piece(" ")
-        if max(word) < _LATIN_END:
+        if word.isascii() or max(word) < _LATIN_END:
             # letters are one piece, and so are the marks after them
             stem = word.rstrip(_MARKS)
             if stem.isalpha():
@@ -125,15 +126,15 @@ class WordEncoder:
             name = piece.replace(" ", _BLANK)
         else:
             name = piece.encode().decode("latin-1").translate(_BYTE_NAMES)
-        return array("I", [t.id for t in self.model.tokenize(name)]).tobytes()
+        return array("I", [t.id for t in self.tokenize(name)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         if self.drops_space:
             low = chunk.lower()
             stem = low.rstrip(_MARKS)
-            if stem.isalpha() and max(low) < _LATIN_END:
+            if stem.isalpha() and (low.isascii() or max(low) < _LATIN_END):
                 return self.pieces[stem] + (self.pieces[low[len(stem):]] if len(stem) < len(low) else b"")
-        if max(chunk) < _LATIN_END:
+        if chunk.isascii() or max(chunk) < _LATIN_END:
             # letters, digits and their lower case are the same here in any Unicode version
             if self.drops_space:
                 chunk = chunk.lower()
