@@ -27,8 +27,8 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
                     ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
-#: Bytes of word tables a generation: after other stages a worker has less room than alone.
-TABLE_BYTES = 100 << 20
+#: Bytes of a worker's word tables a generation; a caller whose workers have held other things before may give less.
+TABLE_BYTES = 256 << 20
 
 
 def binary_lengths(n: int, most: int) -> list[int]:
@@ -38,7 +38,7 @@ def binary_lengths(n: int, most: int) -> list[int]:
 
 
 def pack_power_of_two(docs: DataFrame, tokenizer_path: str, seq_len: int = 4096, end_id: int = 2,
-                      id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+                      id_column: str = "doc_id", text_column: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """One row per piece: its document, place and ids (little-endian unsigned 32 bit), and
     its sequence.  ``seq_len`` must be a power of two."""
     if seq_len < 1 or seq_len & (seq_len - 1):
@@ -46,7 +46,7 @@ def pack_power_of_two(docs: DataFrame, tokenizer_path: str, seq_len: int = 4096,
     end = end_id.to_bytes(4, "little")
 
     def make():
-        enc = encoder(tokenizer_path, TABLE_BYTES)
+        enc = encoder(tokenizer_path, table_bytes)
         part = TaskContext.get().partitionId()
         seen = [0] * seq_len.bit_length()
 
