@@ -105,7 +105,7 @@ def p3_lenient_date_parse(spark, sf_dir):
        "UNION ALL SELECT 'without_brand2', count(*), CAST(sum(" + _PRICE_SQL + ") AS BIGINT) FROM w "
        "WHERE category <> 'Brand#2' OR category IS NULL")
 def p5u2_category_splits(spark, sf_dir):
-    """merge.py: one input, three outputs (all, == X, != Y keeping null categories)."""
+    """One input, three outputs (all, == X, != Y keeping null categories)."""
     w = TB.weekly_items(spark, sf_dir).withColumn("p", CL.to_long("price"))
     outs = {"merged": F.lit(True), "only_brand1": CL.eq("category", "Brand#1"),
             "without_brand2": CL.ne_keep_null("category", "Brand#2")}
@@ -164,7 +164,7 @@ def a9_iqr_outliers_items(spark, sf_dir):
        "price))), 4) AS price_clipped, count(*) FILTER (WHERE price < q1 - 1.5 * (q3 - q1) "
        "OR price > q3 + 1.5 * (q3 - q1)) AS n_outside FROM it, b GROUP BY category")
 def p6p9_clip_to_fences(spark, sf_dir):
-    """jukaiki.py: count rows outside the IQR fences (P6) and clip them."""
+    """Count rows outside the IQR fences (P6) and clip them."""
     it = TB.item_facts(spark, sf_dir)
     b = ST.iqr_bounds(it, "price").first()
     lo, hi = b["lower"], b["upper"]
@@ -255,7 +255,7 @@ def a5_min_date_across_tables(spark, sf_dir):
        "arg_min(l_linenumber, (Date, l_orderkey, l_linenumber)) AS fl FROM it "
        "WHERE category IS NOT NULL GROUP BY category)")
 def a13_categories_first_seen(spark, sf_dir):
-    """n.py: distinct categories numbered in order of first appearance."""
+    """Distinct categories numbered in order of first appearance."""
     it = TB.item_facts(spark, sf_dir)
     first = ST.distinct_first_seen(it, "category", ["Date", "l_orderkey", "l_linenumber"])
     r = M.global_rank(first, "_first", numeric=F.unix_date(F.col("_first.Date")))
@@ -441,7 +441,7 @@ def merged_all(spark, sf_dir):
                           Q.RATE_NAMES + [c + "_pct" for c in Q.RATE_NAMES]))
        + "SELECT * FROM nr")
 def j5_nearest_levels_and_changes(spark, sf_dir):
-    """cl.py: one nearest lookup returning both the levels and the changes."""
+    """One nearest lookup returning both the levels and the changes."""
     from ..session import cut_lineage
     # day-grain levels and changes, read twice by the nearest join: materialised once
     rates = AL.fill_both(TB.rates_wide_one_scan(spark, sf_dir), "Date", buckets=1)

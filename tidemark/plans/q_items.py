@@ -277,7 +277,7 @@ def _variant_sql() -> str:
 
 @query("m21_variant_summaries", _variant_sql())
 def m21_variant_summaries(spark, sf_dir):
-    """cl.py: coefficients, scores, VIF and the OLS summary of the raw price on three forms of the rates."""
+    """Coefficients, scores, VIF and the OLS summary of the raw price on three forms of the rates."""
     p = panel(spark, sf_dir)
     variants = {"original": p, "standardised": SC.fit_standard(p, X3).apply(p),
                 "pct_change": cut_lineage(AL.pct_change(p, "Date", X3, first_zero=True, buckets=1))}

@@ -33,7 +33,7 @@ def _weekly_with_resell(spark, sf_dir):
 
 @query("k1s1s4_csv_roundtrip", Q.cte(w=Q.WEEKLY_ITEMS) + _WEEKLY_RESELL)
 def k1s1s4_csv_roundtrip(spark, sf_dir):
-    """merge.py's union written as header CSV (K1), read back as strings (S1), renamed by
+    """The merged items written as header CSV (K1), read back as strings (S1), renamed by
     position (S4) and cast leniently (P1)."""
     src = _weekly_with_resell(spark, sf_dir).drop("l_orderkey", "l_linenumber")
     path = sinks.write_csv(src, scratch_path(spark, "weekly-csv"))
@@ -87,7 +87,7 @@ def _fx_lines(spark, sf_dir):
 
 @query("s2s4p4_fx_files_full_outer", Q.RATES)
 def s2s4p4_fx_files_full_outer(spark, sf_dir):
-    """mm.py's input path: three daily-bar files with a 3-line preamble (S2), renamed by
+    """Three daily-bar files with a 3-line preamble (S2), renamed by
     position (S4), dates parsed strictly (P4), closes leniently (P1), one series per
     file (P12), full outer joined on Date (J1)."""
     path = sinks.write_with_preamble(_fx_lines(spark, sf_dir), scratch_path(spark, "fx"), "name", "pos",
@@ -170,7 +170,7 @@ def _survey_rows(spark, sf_dir):
 
 @query("s6s7a6_survey_folder", _SURVEY_SQL)
 def s6s7a6_survey_folder(spark, sf_dir):
-    """merge_gasoline_data.py: one file per month in three layouts; dispatch by name (S6),
+    """One file per month in three layouts; dispatch by name (S6),
     date cell by (row, col) (S7), mean price per file (A6)."""
     rows, _ = _survey_rows(spark, sf_dir)
     # a month written as several chunk files comes back as several rows; their sums
@@ -260,7 +260,7 @@ _URL_CELL_SQL = "'参照先：' || url || ' 。予備 ' || url"
        f"regexp_extract_all({_URL_CELL_SQL}, '{TX.URL_PATTERN}') AS urls FROM pages), "
        f"unnest(urls) WITH ORDINALITY AS u(url, i)")
 def s10_url_list_shift_jis(spark, sf_dir):
-    """scraping.py's URL list: a Shift_JIS CSV whose 2nd column holds notes with URLs."""
+    """A URL list: a Shift_JIS CSV whose 2nd column holds notes with URLs."""
     # the list is written once, here and now; the switch for its charset is set back after
     switch = "spark.sql.legacy.javaCharsets"
     before = spark.conf.get(switch, None)

@@ -26,14 +26,14 @@ COLS4 = Q.PANEL_COLS
 
 
 def pct_panel(spark, sf_dir):
-    """MRAnalyze: percentage change ×100 in date order, first row dropped."""
+    """Percentage change ×100 in date order, first row dropped."""
     from ..session import cut_lineage
     p = AL.pct_change(panel(spark, sf_dir), "Date", COLS4, buckets=1)  # one row per day
     return cut_lineage(drop_nulls(p, COLS4))
 
 
 def mm_panel(spark, sf_dir):
-    """mm.py: min-max scaling of price and the three rates."""
+    """Min-max scaling of price and the three rates."""
     p = panel(spark, sf_dir)
     return SC.fit_minmax(p, COLS4).apply(p)
 
@@ -135,7 +135,7 @@ def _variants_sql():
 
 @query("m19_corr_variants", _variants_sql())
 def m19_corr_variants(spark, sf_dir):
-    """cl.py: the rates' correlation raw, standardised, min-max and as changes."""
+    """The rates' correlation raw, standardised, min-max and as changes."""
     from ..session import cut_lineage
     # one row per day, read by four variants: filled once and materialised
     rates = cut_lineage(AL.fill_both(TB.rates_wide_one_scan(spark, sf_dir), "Date", buckets=1))
@@ -375,7 +375,7 @@ def a10_corr_monthly_panel(spark, sf_dir):
 
 
 # ---------------------------------------------------------------------------
-# The model grid of the item-level study (jukaiki.py)
+# The model grid of the item-level study
 
 def grid_fits(spark, sf_dir):
     """[(label, scaling, fit, (test MSE, test R²))] of the six models."""
@@ -411,7 +411,7 @@ def m12_vif_no_const_items(spark, sf_dir):
 
 
 # ---------------------------------------------------------------------------
-# M15, M17, M18 (v.py / pairplots)
+# M15, M17, M18
 
 
 def _surface_sql(k: int = 20):
@@ -496,7 +496,7 @@ def k4_pct_change_study_report(spark, sf_dir):
        + "SELECT mm.*, " + ", ".join(f"panel.{c} AS {c}_original" for c in COLS4)
        + " FROM mm JOIN panel ON mm.Date = panel.Date")
 def p10_backup_then_scale(spark, sf_dir):
-    """mm.py: keep each column's raw value as ``<col>_original`` before scaling it."""
+    """Keep each column's raw value as ``<col>_original`` before scaling it."""
     from ..functions.clean import backup_columns
     p = backup_columns(panel(spark, sf_dir), COLS4)
     return SC.fit_minmax(p, COLS4).apply(p)
@@ -505,7 +505,7 @@ def p10_backup_then_scale(spark, sf_dir):
 @query("p11p12_drop_by_position",
        Q.cte(rates=Q.RATES) + "SELECT PHP_JPY AS php FROM rates")
 def p11p12_drop_by_position(spark, sf_dir):
-    """heatmap.py-style: drop columns 0, 1 and 3 by position, then rename what is left."""
+    """Drop columns 0, 1 and 3 by position, then rename what is left."""
     from ..functions.clean import drop_by_position, project_rename
     r = drop_by_position(TB.rates_wide(spark, sf_dir), [0, 1, 3])
     return project_rename(r, {"PHP_JPY": "php"})
@@ -515,7 +515,7 @@ def p11p12_drop_by_position(spark, sf_dir):
        Q.cte(daily=Q.DAILY) + "SELECT CASE WHEN price BETWEEN 6000000 AND 1e12 THEN 'high' "
        "WHEN price BETWEEN 0 AND 2500000 THEN 'low' END AS band, count(*) AS n FROM daily GROUP BY 1")
 def p14_price_bands(spark, sf_dir):
-    """hakohige.py's broken axis: label each daily mean with the band that shows it."""
+    """A broken axis: label each daily mean with the band that shows it."""
     from ..functions.clean import value_band
     d = TB.daily_price(spark, sf_dir)
     b = d.select(value_band("price", {"high": (6_000_000, 1e12), "low": (0, 2_500_000)}).alias("band"))
