@@ -248,6 +248,20 @@ def test_quantiles_select_skewed_and_duplicates(spark):
         assert abs(byg.loc[g, "q50"] - np.percentile(sub, 50)) <= 1e-12 * abs(np.percentile(sub, 50))
 
 
+def test_selection_moves_no_values_by_digit(spark, monkeypatch):
+    """The open ranges are broadcast: a shuffle by digit brings all values of a wanted one to one task."""
+    from tidemark.operators import select
+    plans, real = [], select.cut_lineage
+    monkeypatch.setattr(select, "cut_lineage", lambda d: plans.append(d._jdf.queryExecution().executedPlan().toString()) or real(d))
+    df = spark.range(3000).selectExpr("1e6 + id / 3 AS x", "id % 3 AS g")
+    whole, groups = ST.quantiles(df, ["x"], [0.25]).collect(), ST.quantiles(df, ["x"], [0.25], by=["g"]).collect()
+    assert any("Join" in p for p in plans) and not any("SortMergeJoin" in p for p in plans)
+    assert abs(whole[0].q25 - (1e6 + 2999 * 0.25 / 3)) < 1e-6
+    monkeypatch.setattr(select, "SMALL", 0)
+    assert ST.quantiles(df, ["x"], [0.25]).collect() == whole
+    assert sorted(ST.quantiles(df, ["x"], [0.25], by=["g"]).collect()) == sorted(groups)
+
+
 def test_scalers_all_null_column(spark):
     df = spark.createDataFrame([(1.0, None), (3.0, None)], "x double, z double")
     for fit in (SC.fit_minmax, SC.fit_standard):

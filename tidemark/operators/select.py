@@ -8,8 +8,8 @@ goes on the same way, until a rank's cell holds one distinct value.
 
 All digits are monotone in the value, so ranks are exact.  The first digit leaves fewer than 2**45 different doubles
 to a range and each pass divides it by ``CELLS``, so there are at most four passes whatever the values, their number or the
-number of groups.  Values are never sorted, moved or collected: each pass is one aggregation behind a join with
-the open ranges (at most one for each rank and group).
+number of groups.  Values are never collected, and neither sorted nor moved while the open ranges (at most one for each rank
+and group) are ``SMALL`` or fewer: each pass is then one aggregation behind a broadcast join with the ranges.
 """
 
 from __future__ import annotations
@@ -26,6 +26,10 @@ CELLS = 1 << 22
 #: The column by which quantiles of several columns go: a number below 2**10, so that it fits into one long with a digit.
 NUMBER, _NUMBER_BITS = "_number", 10
 
+#: Open ranges that are broadcast (a few numbers each).  Not left to Spark: it joins few keys by a shuffle, and then
+#: all values of a wanted digit meet in one task.
+SMALL = 1 << 18
+
 _INF = float("inf")
 _TOP = 1 << 20
 
@@ -91,8 +95,10 @@ def order_statistics(long: DataFrame, keys: Sequence[str], probs: Sequence[float
 
     found = hit(h, wanted)
     done = []
-    while not (open_ := found.where("lo < hi")).isEmpty():
+    while n_open := (open_ := found.where("lo < hi")).count():
         done.append(found.where("lo = hi"))
+        if n_open <= SMALL:
+            open_ = F.broadcast(open_)
         inside = _meet(values, open_, keys)
         ranges = [*keys, "_first", "lo", "hi"]
         h = inside.groupBy(*ranges, _cell(F.col("value"), F.col("lo"), F.col("hi")).alias("_digit")).agg(*_counts())
