@@ -10,6 +10,7 @@ from tidemark.functions import dist
 from tidemark.operators import models as M
 from tidemark.operators import scale as SC
 from tidemark.operators import stats as ST
+from tidemark.operators import wide
 
 
 @pytest.fixture(scope="module")
@@ -267,3 +268,29 @@ def test_scalers_all_null_column(spark):
     for fit in (SC.fit_minmax, SC.fit_standard):
         out = fit(df, ["x", "z"]).apply(df).toPandas()
         assert out.z.isna().all() and out.x.notna().all()
+
+
+def test_wide_correlations_read_rows_once(spark):
+    """One pass, with the sums of very unequal parts, and a projection that isn't one long method."""
+    rng = np.random.default_rng(5)
+    vals = rng.normal(size=(400, 26)) + rng.normal(0, 1e6, 26)
+    vals[rng.random(vals.shape) < 0.2] = np.nan
+    vals[:, 3] = np.where(np.isnan(vals[:, 3]), np.nan, 0.1)
+    vals[:, 4] = np.nan
+    vals[0, 5] = np.inf
+    read = spark.sparkContext.accumulator(0)
+    names = [f"c{k}" for k in range(26)]
+
+    def count(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    df = spark.createDataFrame([(*map(float, r),) for r in vals], ", ".join(f"{c} double" for c in names)).repartition(5)
+    got = {(r.var_x, r.var_y): r.pearson_r for r in ST.corr_long(df.mapInPandas(count, df.schema), names).collect()}
+    assert read.value == 400
+    exp = pd.DataFrame(vals, columns=names).corr()
+    for (a, b), r in got.items():
+        assert r is None if {a, b} & {"c3", "c4", "c5"} else abs(r - exp.loc[a, b]) < 1e-9
+    with pytest.raises(ValueError):
+        wide.moments(df.fillna(0.0), names)
