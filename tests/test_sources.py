@@ -349,3 +349,28 @@ def test_a_large_page_is_streamed():
         seen = max(seen, tracemalloc.get_traced_memory()[0])
     tracemalloc.stop()
     assert rows == 200_000 and seen < 30_000_000
+
+
+def test_plain_pages_are_read_without_the_parser(monkeypatch):
+    """Pages of plain markup give what html.parser gives; all others, and long ones, go to it."""
+    import random
+
+    spec = html.SCHEDULE_SPEC
+    plain = ['<div class="week">', '<span class="pg-schedule__month--date">', "</span>", '<div class="c-card__list">',
+             '<p class="c-card__name">', "</p>", '<i class="c-card__category x">', "</i>", "</div>", "<br>", "text", " a > b", "<b>", "</b>"]
+    odd = ["&amp;", "<", "<!-- c -->", "<script>a<b</script>", "<DIV CLASS=week>", "<br/>", "<title>x<b>", '<p class="a>b">', "</b >"]
+    fed, feed = [], html._Extractor.feed
+    monkeypatch.setattr(html._Extractor, "feed", lambda self, data: fed.append(data) or feed(self, data))
+
+    def rows(text):
+        return [(b, i, {n: f.get(n) for n in spec.block_fields}, {n: v.get(n) for n in spec.item_fields}) for b, i, f, v in html.page_rows(text, spec)]
+
+    rng = random.Random(7)
+    for k in range(400):
+        text = "".join(rng.choice(odd if k % 2 and rng.random() < 0.1 else plain) for _ in range(rng.randint(0, 25)))
+        fed.clear()
+        got = rows(text)
+        assert k % 2 or not fed
+        # an entity makes the page one for the parser, and is in no field
+        fed.clear()
+        assert got == rows("&amp;" + text) and fed

@@ -11,7 +11,7 @@ from ..functions import text as TX
 from ..operators import align as AL
 from ..operators import models as M
 from ..operators import stats as ST
-from ..session import materialize_if_derived, scratch_path
+from ..session import scratch_path
 from ..sources import delimited, html, surveys
 from . import sqlkit as Q
 from . import tables as TB
@@ -390,8 +390,11 @@ QUALIFY blk = max(blk) OVER (PARTITION BY m.page, ((wk - 2) % 5 + 5) % 5)"""
 def _schedule_pages(spark, sf_dir):
     """One schedule page per order (one item per line number, seven at most), some broken in each
     way a page can be."""
-    li = TB.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
-        *[F.min(c).alias(c) for c in ("l_partkey", "l_quantity", "l_shipdate")])
+    # dealt by page before there is any text, in a number of parts that doesn't go by the bytes of these few numbers
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = ["l_partkey", "l_quantity", "l_shipdate"]
+    li = TB.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *own).repartition(parts, "l_orderkey") \
+        .groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in own])
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
     span = lambda x: F.concat(F.lit('<span class="pg-schedule__month--date">'), x, F.lit("</span>"))
     month = F.when((k * 3 + n) % 29 != 0, F.month("l_shipdate").cast("string")).otherwise(F.lit("x"))
@@ -413,4 +416,4 @@ def _schedule_pages(spark, sf_dir):
 def s11w5w6_schedule_pages(spark, sf_dir):
     """Schedule pages to items: blocks and items from the page, week slots, month carry, lost pages."""
     blocks = html.extract_blocks(_schedule_pages(spark, sf_dir), "html", ["page_id", "url"], html.SCHEDULE_SPEC)
-    return html.schedule_items(materialize_if_derived(blocks), "page_id")
+    return html.schedule_items(blocks, "page_id")
