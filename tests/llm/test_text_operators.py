@@ -657,3 +657,28 @@ def test_other_operators_free_a_workers_word_tables(spark, documents):
     common.free_held()
     assert not any(before.tables)
     assert pack_pow2.pack_power_of_two(one, WORD).count() > 40 and one.mapInArrow(held, "n long").count() == 1
+
+
+def test_other_white_space_is_found_by_its_characters():
+    """What looking for each character finds is what a pattern finds."""
+    import re
+    other = re.compile(r"[^\S \t\n\r]")
+    for c in map(chr, range(0x11000)):
+        assert token_cache._has_other_space(f"a{c}b") == token_cache._has_other_space(f"é{c}\U0001F600") == bool(other.search(c))
+
+
+def test_shards_take_one_row_at_a_time():
+    """The rows of a model are not kept beside what is made of them."""
+    import tracemalloc
+    tracemalloc.start()
+    s = lm_score.Shards(((k, bytes(1 << 20), b"", b"") for k in range(40)), 40)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(s.bits) == 40 << 20 and peak < 1.6 * len(s.bits)
+
+
+def test_a_model_is_the_same_however_much_is_counted_at_once(documents, monkeypatch):
+    one = sorted(tuple(r) for r in lm_score.build_shards(documents, 3).collect())
+    monkeypatch.setattr(lm_score, "GATHER", 1000)
+    monkeypatch.setattr(lm_score, "_PAIRS_AT_ONCE", 100)
+    assert one == sorted(tuple(r) for r in lm_score.build_shards(documents, 3).collect())
