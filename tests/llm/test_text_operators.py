@@ -211,6 +211,20 @@ def test_word_tables_are_bounded_by_bytes(monkeypatch):
     assert not (enc.first or enc.after_blank or enc.after_blank.older or m.after_blank or m.after_blank.older)
 
 
+def test_line_ends_make_no_words():
+    """Words around a line end are kept as words of their own, with the library's ids."""
+    texts = ["one two.\nThree four***\nfive é.\nsix", "a\n b\n", "\na b", "a b\n\nc", "a\t\nb c", "a\r\nb", "a\n\tb", "a\nb\tc",
+             "it's\n's İx", "\n", "a b\n\n"]
+    for path in (BYTE, WORD):
+        enc = token_cache.WordEncoder(path)
+        for text in texts:
+            assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.tok.encode(text, add_special_tokens=False).ids
+    enc = token_cache.WordEncoder(BYTE)
+    enc.encode(texts[0])
+    assert {"two.", "four***", "é."} <= set(enc.after_blank) and {"Three", "five", "six"} <= set(enc.first)
+    assert not any("\n" in w for w in (*enc.after_blank, *enc.first))
+
+
 # -- languages ------------------------------------------------------------------
 
 

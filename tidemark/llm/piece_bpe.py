@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import map_rows, pick
-from .token_cache import LONGEST, _Table
+from .token_cache import LONGEST, _Group, _Table
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -165,7 +165,7 @@ class PieceModel:
         self.begin, self.end = self.library.bos_id(), self.library.eos_id()
         self.marked = [p.piece.startswith(MARK) for p in m.pieces]
         self.agendas = Agendas(self.cost, self.id, len(m.pieces))
-        group: list[_Table] = []
+        group = _Group()
         self.words = _Table(self._word, group)
         self.after_blank = _Table(lambda w: self._word(MARK + w), group)
         #: Words whose ids differ from the library's, which are in the table instead.
@@ -276,7 +276,7 @@ class PieceModel:
                 ids = array("I", next(theirs)).tobytes()
                 out.append((ids, ids != self.encode(t)))
         for w in long:
-            self.after_blank.held -= len(w) + len(self.after_blank.pop(w))
+            self.after_blank.group.held -= len(w) + len(self.after_blank.pop(w))
         return out
 
     def decode(self, ids: bytes) -> str:

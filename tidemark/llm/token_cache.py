@@ -35,15 +35,26 @@ _WORD_END_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Byte-level names: a visible Latin-1 byte is its own name, the others follow from 256 on.
 _VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_NAMES = dict(zip((b for b in range(256) if b not in _VISIBLE), range(256, 512)))
+#: Characters below these (Latin blocks) are split here; others by the library.
+_BEYOND_LATIN = re.compile("[\u0250-\U0010ffff]").search
 #: Marks that are neither letters, digits nor blanks, and begin no contraction.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _BLANK = chr(_BYTE_NAMES[32])
-#: Characters below this (Latin blocks) are split here; others by the library.
-_LATIN_END = "\u0250"
 
 _OPEN: dict[str, "WordEncoder"] = {}
 
 
+class _Names(dict):
+    """Character -> names of its UTF-8 bytes; those of the Latin blocks are kept."""
+
+    def __missing__(self, c):
+        return c.encode().decode("latin-1").translate(_BYTE_NAMES)
+
+
+_NAMES = _Names()
+_NAMES.update((c, _NAMES[c]) for c in map(chr, range(0x250)))
+
+
 def _has_other_space(text: str) -> bool:
     """Whether a text holds any of these; looking for each is faster than a pattern that looks at every character."""
     for c in _OTHER_SPACE_ASCII if text.isascii() else _OTHER_SPACE:
@@ -52,15 +63,21 @@ def _has_other_space(text: str) -> bool:
     return False
 
 
+class _Group(list):
+    """Tables that share their bytes."""
+
+    held = 0
+
+
 class _Table(dict):
     """Word -> ids; computes what is missing.  Tables of one ``group`` share its bytes, and all drop their older half when these
     are used up."""
 
     limit: int | None = None
 
-    def __init__(self, compute, group: list["_Table"]):
+    def __init__(self, compute, group: _Group):
         super().__init__()
-        self.compute, self.older, self.held, self.group = compute, {}, 0, group
+        self.compute, self.older, self.group = compute, {}, group
         group.append(self)
 
     def __missing__(self, word):
@@ -68,26 +85,29 @@ class _Table(dict):
         if ids is None:
             ids = self.compute(word)
         if len(word) <= LONGEST:
-            self.make_room()
-            self.held += _ENTRY + len(word) + len(ids)
+            group = self.group
+            if group.held >= (self.limit or GENERATION):
+                self.make_room()
+            group.held += _ENTRY + len(word) + len(ids)
             self[word] = ids
         return ids
 
     def make_room(self):
-        if sum(t.held for t in self.group) >= (self.limit or GENERATION):
+        if self.group.held >= (self.limit or GENERATION):
             for t in self.group:
                 t.older = dict(t)
                 dict.clear(t)
-                t.held = 0
+            self.group.held = 0
 
     def keep_all(self, words, ids):
         """Many words at once; the table may grow beyond its bytes until ``make_room``."""
         self.update(zip(words, ids))
-        self.held += _ENTRY * len(words) + sum(map(len, words)) + sum(map(len, ids))
+        self.group.held += _ENTRY * len(words) + sum(map(len, words)) + sum(map(len, ids))
 
     def clear(self):
+        """Empties this table; a group is emptied as a whole."""
         super().clear()
-        self.older, self.held = {}, 0
+        self.older, self.group.held = {}, 0
 
 
 class WordEncoder:
@@ -108,7 +128,7 @@ class WordEncoder:
         # with a normaliser that folds white space, blanks belong to no word
         self.drops_space = self.tok.normalizer is not None
         self.pattern = regex.compile(_WORD_END_SPLIT if self.drops_space else _BYTE_LEVEL_SPLIT)
-        self.tables: list[_Table] = []
+        self.tables = _Group()
         self.first = _Table(self._chunk, self.tables)
         self.after_blank = _Table(self._word, self.tables)
         self.pieces = _Table(self._piece, self.tables)
@@ -121,12 +141,12 @@ class WordEncoder:
         """Ids of a word that a blank goes before."""
         if not word:
             return self._piece(" ")
-        if word.isascii() or max(word) < _LATIN_END:
+        if word.isascii() or not _BEYOND_LATIN(word):
             # letters are one piece, and so are the marks after them
+            if word.isalpha():
+                return self._piece(" " + word)
             stem = word.rstrip(_MARKS)
             if stem.isalpha():
-                if len(stem) == len(word):
-                    return self._piece(" " + word)
                 return self.after_blank[stem] + self.pieces[word[len(stem):]]
         return self._chunk(" " + word)
 
@@ -134,16 +154,18 @@ class WordEncoder:
         if piece.isascii() and piece.isprintable():
             name = piece.replace(" ", _BLANK)
         else:
-            name = piece.encode().decode("latin-1").translate(_BYTE_NAMES)
+            name = "".join(map(_NAMES.__getitem__, piece))
         return array("I", [t.id for t in self.tokenize(name)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         if self.drops_space:
             low = chunk.lower()
             stem = low.rstrip(_MARKS)
-            if stem.isalpha() and (low.isascii() or max(low) < _LATIN_END):
-                return self.pieces[stem] + (self.pieces[low[len(stem):]] if len(stem) < len(low) else b"")
-        if chunk.isascii() or max(chunk) < _LATIN_END:
+            if stem.isalpha() and (low.isascii() or not _BEYOND_LATIN(low)):
+                # a word's forms share the ids of its letters in lower case
+                ids = self._piece(stem) if stem == chunk else self.first[stem]
+                return ids + self.pieces[low[len(stem):]] if len(stem) < len(low) else ids
+        if chunk.isascii() or not _BEYOND_LATIN(chunk):
             # letters, digits and their lower case are the same here in any Unicode version
             if self.drops_space:
                 chunk = chunk.lower()
@@ -162,7 +184,13 @@ class WordEncoder:
             return b"".join(map(self.first.__getitem__, text.split()))
         if "  " in text or " \n" in text or " \t" in text or " \r" in text or text[-1] == " ":
             return b"".join(map(self.first.__getitem__, _CHUNK.findall(text)))
-        head, *rest = text.split(" ")
+        if "\n\n" in text or "\n\t" in text or "\t\n" in text or "\r" in text:
+            return self._line(text)
+        # a line end that no other white space but a blank follows is a piece of its own
+        return self.pieces["\n"].join(map(self._line, text.split("\n")))
+
+    def _line(self, line: str) -> bytes:
+        head, *rest = line.split(" ")
         return (self.first[head] if head else b"") + b"".join(map(self.after_blank.__getitem__, rest))
 
 
