@@ -36,7 +36,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # the executors have grown in the stages before: the word tables get less room than alone
-    return pack_power_of_two(docs, tokenizer_file("word_bpe_49k.json"), seq_len=4096, end_id=2, table_bytes=100 << 20)
+    return pack_power_of_two(docs, tokenizer_file("word_bpe_49k.json"), seq_len=4096, end_id=2, table_bytes=32 << 20)
 
 
 STAGES = [

@@ -225,6 +225,25 @@ def test_line_ends_make_no_words():
     assert not any("\n" in w for w in (*enc.after_blank, *enc.first))
 
 
+def test_forms_of_a_word_share_its_ids():
+    """Packing's encoder keeps a word's letters once, whatever their case and the marks after them."""
+    enc = token_cache.WordEncoder(WORD)
+    words = [f"{a}{b}" for a in ("en", "thé", "ing") for b in ("st", "der", "ßla")]
+    text = " ".join([*words, *(w.capitalize() for w in words), *(w + "***" for w in words)])
+    assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.tok.encode(text, add_special_tokens=False).ids
+    assert set(words) <= set(enc.first) and set(enc.pieces) == {"***"}
+    assert sum(map(len, enc.tables)) == 3 * len(words) + 1
+
+
+def test_a_pipelines_packing_keeps_few_words(monkeypatch):
+    """Its workers hold what the stages before left: a generation of their tables stays below 32 MB."""
+    import corpus_pipeline
+    given = {}
+    monkeypatch.setattr(corpus_pipeline, "pack_power_of_two", lambda docs, path, **named: given.update(named))
+    corpus_pipeline.packing(None, None, SF)
+    assert given["table_bytes"] <= 32 << 20 and (given["seq_len"], given["end_id"]) == (4096, 2)
+
+
 # -- languages ------------------------------------------------------------------
 
 
