@@ -715,3 +715,50 @@ def test_a_model_is_the_same_however_much_is_counted_at_once(documents, monkeypa
     monkeypatch.setattr(lm_score, "GATHER", 1000)
     monkeypatch.setattr(lm_score, "_PAIRS_AT_ONCE", 100)
     assert one == sorted(tuple(r) for r in lm_score.build_shards(documents, 3).collect())
+
+
+@pytest.mark.parametrize("kind", ["map_rows", "map_slices"])
+def test_a_task_gives_freed_memory_back(kind, monkeypatch):
+    """What a task has freed doesn't stay with the worker, even where a small rest lies behind it."""
+    import ctypes
+    import pyarrow as pa
+    from tidemark.llm import common
+    rest = []
+
+    def make():
+        def run(given):
+            many = [np.ones(1 << 16, np.uint8) for _ in range(3000)]
+            rest.append(many[-1])
+            return [(1,)] if kind == "map_rows" else given
+        return run
+
+    class Frame:
+        sparkSession, columns, schema = None, ["n"], None
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+        def toDF(self, *names):
+            return self
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    monkeypatch.setattr(common, "ship_package", lambda spark: None)
+    batch = pa.RecordBatch.from_pydict({"n": pa.array([1], pa.int64())})
+    frame = common.map_rows(Frame(), make, batch.schema, "n long") if kind == "map_rows" else common.map_slices(Frame(), make)
+    ctypes.CDLL(None).malloc_trim(0)         # so that the task can't fill what others have freed
+    first = resident()
+    assert [b.num_rows for b in frame.run(iter([batch]))] == [1] and len(rest) == 1
+    assert resident() - first < 60 << 20
+
+
+def test_a_groups_function_may_be_tidy():
+    """Spark takes a function of one argument, whether it yields or returns."""
+    from inspect import getfullargspec
+    from tidemark.llm import common
+    one, several = common.tidy(lambda table: table + 1), common.tidy(lambda batches: (yield from batches))
+    assert one(1) == 2 and list(several([1, 2])) == [1, 2]
+    assert [len(getfullargspec(f).args) for f in (one, several)] == [1, 1]

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_held, map_rows, pick, small, to_batch
+from .common import free_held, map_rows, pick, small, tidy, to_batch
 from .graph import components
 from .lm_score import WordHashes, mix
 from ..session import cut_lineage, scratch_path, ship_package
@@ -106,6 +106,7 @@ def first_pass(docs: DataFrame, width: int) -> DataFrame:
     ship_package(docs.sparkSession)
     size, per = 1 << SKETCH_BITS, 1 << _CHUNK_BITS
 
+    @tidy
     def run(batches):
         free_held()
         hashes, total = WordHashes(), np.zeros(size, np.uint32)
@@ -131,6 +132,7 @@ def order_of(first_pass: DataFrame) -> np.ndarray:
     """For each of 2**SKETCH_BITS hash classes, the bit length of its shingles' document count."""
     per = 1 << _CHUNK_BITS
 
+    @tidy
     def total(table: pa.Table) -> pa.Table:
         n = np.zeros(per, np.uint64)
         for x in table["counts"].to_pylist():
@@ -158,6 +160,7 @@ def meetings(docs: DataFrame, order, width: int, percent: int, n_parts: int, sho
     """
     ship_package(docs.sparkSession)
 
+    @tidy
     def emit(batches):
         free_held()
         hashes, code = WordHashes(), order.value
@@ -197,6 +200,7 @@ def meetings(docs: DataFrame, order, width: int, percent: int, n_parts: int, sho
         if nodes:
             yield blocks()
 
+    @tidy
     def meet(table: pa.Table) -> pa.Table:
         t, node, n = (np.concatenate([np.frombuffer(x, kind) for x in table[c].to_pylist()])
                       for c, kind in (("tokens", "<u8"), ("nodes", "<i8"), ("sizes", "<u4")))
@@ -339,6 +343,7 @@ def search_blocks(asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     asked = cut_lineage(asked)
     rows = sets.join(small(asked), "node").select("list", "qb", "ib", "node", "comp", "query", "member", "items")
 
+    @tidy
     def run(batches):
         key, held = None, []
 
@@ -464,6 +469,7 @@ def with_nodes(docs: DataFrame, text: str, width: int) -> DataFrame:
     ship_package(docs.sparkSession)
     at = docs.columns.index(text)
 
+    @tidy
     def run(batches):
         hashes = WordHashes()
         for b in batches:
