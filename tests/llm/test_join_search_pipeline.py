@@ -105,6 +105,27 @@ def test_groups_equal_brute_force(spark, seed, settings_):
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
 
 
+def test_rare_shingles_come_first_where_every_class_is_full():
+    """Of texts so many that each class of shingles holds 800, words still tell rare shingles from frequent ones."""
+    hashes, size = J.WordHashes(), 1 << J.SKETCH_BITS
+    text = "the of and to the of and in gluon braid the of"
+    words = hashes.of(text)[:-1]
+    n_words, n_shingles = np.full(size, 100), np.full(size, 800) + np.arange(size) % 29
+    n_words[J.class_of(hashes.of("the of and to in")[:-1])] = 10_000_000
+    every = J.all_shingles(words, 4)
+    hot = J.class_of(every[6:7])                    # "and in gluon braid": a passage that many repeat
+    order = J.Order(J._codes(n_shingles), J._codes(n_words))
+    items, rank = order.rank(words, 4)
+    assert items.tolist() == np.unique(every).tolist()
+    by = dict(zip(items.tolist(), rank.tolist()))
+    plain, rare = [by[k] for k in every[:5].tolist()], [by[k] for k in every[5:].tolist()]
+    assert max(rare) < min(plain)
+    n_shingles[hot] = 500_000
+    items, rank = J.Order(J._codes(n_shingles), J._codes(n_words)).rank(words, 4)
+    by = dict(zip(items.tolist(), rank.tolist()))
+    assert by[every[6].item()] > max(by[k] for k in every[5:].tolist() if k != every[6])
+
+
 def test_groups_of_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert J.similarity_groups(docs).collect() == []

@@ -4,9 +4,12 @@ Documents link when the Jaccard similarity of their shingle sets reaches a thres
 
 1. Each whole text becomes a set of 64-bit shingle hashes.  Equal sets are one node, so
    copies cost nothing further.
-2. A fixed-size count sketch over all shingles orders them, rare ones first.  Two sets
-   that link share at least ``SHARED`` of the first n - ceil(t n) + SHARED shingles of both (all
-   they share, if they are that small), so nodes meet in the lists of those prefix shingles.
+2. Two count sketches of fixed size order the shingles, rare ones first: a shingle is as frequent
+   as its words' counts let expect, or as its own class of shingles shows, if that stands out.
+   (Shingles alone fill any fixed number of classes as texts grow, and then tell rare from
+   frequent no more; words do not.)  Of two sets that link, of n shingles and more, both have at
+   least s(n) = SHARED + n / ``SHARE`` of what they share (all, if it is less) among their first
+   m - ceil(t m) + s(m) of m shingles, so nodes meet in the lists of those prefix shingles.
    Lists of up to ``SHORT_LIST`` nodes give their pairs, and a pair that meets often enough is
    searched; a pair that meets in a longer list is searched with that list.
 3. Each longer list names one node (the one that meets most others) as query, and the list's other
@@ -35,6 +38,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from heapq import heapify, heappop
 from math import log2
+from zlib import compress, decompress
 
 import numpy as np
 import pyarrow as pa
@@ -51,13 +55,17 @@ from ..session import cut_lineage, scratch_path, ship_package
 WIDTH = 4
 #: Jaccard threshold in hundredths.
 PERCENT = 85
-#: Prefix shingles that two nodes must share where all their shared lists are short.
+#: Prefix shingles that two nodes must share where all their shared lists are short, and
+#: shingles of the smaller node for which it is one more.
 SHARED = 4
+SHARE = 32
 #: Nodes of one search block.
 BLOCK = 256
-#: The sketch has 2**SKETCH_BITS counters: its size doesn't depend on the data.
+#: Each sketch has 2**SKETCH_BITS counters: its size doesn't depend on the data.
 SKETCH_BITS = 21
 _CHUNK_BITS = 15
+#: Codes count octaves in so many steps.
+_OCTAVE = 8
 #: Weight of a long list's probe in DivideSkip's rule for how many lists are long.
 _MU = 0.01
 
@@ -72,8 +80,8 @@ _PART_BYTES = 16 << 20
 _SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
 _SETS_SQL = "doc_id long, n long, node long, chunk int, counts binary"
 _BLOCKS = pa.schema([("part", pa.int64()), ("tokens", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary())])
-_MEETINGS = pa.schema([(c, pa.int64()) for c in ("list", "node", "n", "other", "w")])
-_MEETINGS_SQL = "list long, node long, n long, other long, w long"
+_MEETINGS = pa.schema([(c, pa.int64()) for c in ("list", "node", "other", "need", "w")])
+_MEETINGS_SQL = "list long, node long, other long, need long, w long"
 _SKETCH = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())])
 _NODE_SET = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("items", pa.binary())])
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -82,9 +90,8 @@ _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 # -- shingles -----------------------------------------------------------------
 
 
-def shingles(hashes: WordHashes, text: str | None, width: int) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text."""
-    words = hashes.of(text)[:-1]
+def all_shingles(words: np.ndarray, width: int) -> np.ndarray:
+    """The shingle hashes of a text's words, in the text's order."""
     n = len(words)
     size = min(n, width)
     if not n:
@@ -92,7 +99,17 @@ def shingles(hashes: WordHashes, text: str | None, width: int) -> np.ndarray:
     out = np.full(n - size + 1, size, np.uint64)
     for k in range(size):
         out = mix(out * np.uint64(31) + words[k:n - size + 1 + k])
-    return np.unique(out)
+    return out
+
+
+def shingles(hashes: WordHashes, text: str | None, width: int) -> np.ndarray:
+    """The sorted distinct shingle hashes of a text."""
+    return np.unique(all_shingles(hashes.of(text)[:-1], width))
+
+
+def class_of(hashes: np.ndarray) -> np.ndarray:
+    """A hash's counter in a sketch."""
+    return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
 def node_of(items: np.ndarray) -> int:
@@ -102,25 +119,26 @@ def node_of(items: np.ndarray) -> int:
 
 def first_pass(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n (set size), node (the set's name; null for an empty set) of every document, and
-    each task's part of the count sketch (chunk, counts) in rows of their own."""
+    each task's part of the count sketches (chunk, counts) in rows of their own: first the chunks
+    of the shingles' sketch, then those of the words'."""
     ship_package(docs.sparkSession)
     size, per = 1 << SKETCH_BITS, 1 << _CHUNK_BITS
 
     @tidy
     def run(batches):
         free_held()
-        hashes, total = WordHashes(), np.zeros(size, np.uint32)
+        hashes, total = WordHashes(), np.zeros((2, size), np.uint32)
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
-                got = [shingles(hashes, t, width) for t in part.column(1).to_pylist()]
-                classes = (np.concatenate(got) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-                total += np.bincount(classes, minlength=size).astype(np.uint32)
+                words = [hashes.of(t)[:-1] for t in part.column(1).to_pylist()]
+                got = [np.unique(all_shingles(w, width)) for w in words]
+                for sketch, found in zip(total, (got, words)):
+                    sketch += np.bincount(class_of(np.concatenate(found)), minlength=size).astype(np.uint32)
                 yield to_batch([(doc, len(s), node_of(s) if len(s) else None, None, None)
                                 for doc, s in zip(part.column(0).to_pylist(), got)], _SETS)
         if total.any():
-            kind = "<u2" if total.max() < 1 << 16 else "<u4"
-            yield to_batch([(None, None, None, k, total[k * per:(k + 1) * per].astype(kind).tobytes()) for k in range(size // per)], _SETS)
+            yield to_batch([(None, None, None, k, compress(x.astype("<u4").tobytes(), 1)) for k, x in enumerate(total.reshape(-1, per))], _SETS)
 
     return docs.select("doc_id", "text").mapInArrow(run, _SETS_SQL)
 
@@ -128,31 +146,70 @@ def first_pass(docs: DataFrame, width: int) -> DataFrame:
 # -- the order of shingles ------------------------------------------------------
 
 
-def order_of(first_pass: DataFrame) -> np.ndarray:
-    """For each of 2**SKETCH_BITS hash classes, the bit length of its shingles' document count."""
+class Order:
+    """How frequent shingles are, as far as sketches tell, in steps of 1 / _OCTAVE octave.
+
+    ``words`` has the code of each word class's count, ``shingles`` that of what a shingle class
+    counts above a usual one (0 where that could be chance).
+    """
+
+    def __init__(self, shingles: np.ndarray, words: np.ndarray):
+        self.words = words
+        self.all = round(_OCTAVE * np.log2(max(1, _counts(words).sum())))
+        n = _counts(shingles)
+        usual = np.median(n)
+        over = n - usual
+        self.shingles = np.where(over > usual / _OCTAVE + 6 * np.sqrt(usual) + 2, _codes(np.maximum(over, 0)), 0).astype(np.uint8)
+
+    def rank(self, words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted distinct shingle hashes of a text's words, and how frequent each is."""
+        items, at = np.unique(all_shingles(words, width), return_index=True)
+        size = min(len(words), width)
+        code = self.words[class_of(words)].astype(np.int32)
+        expected = np.full(len(items), -(size - 1) * self.all, np.int32)
+        for k in range(size):
+            expected += code[at + k]
+        seen = self.shingles[class_of(items)].astype(np.int32)
+        return items, np.where(seen > 0, np.maximum(seen, expected), expected)
+
+
+def _codes(n: np.ndarray) -> np.ndarray:
+    return np.minimum(np.round(_OCTAVE * np.log2(n + 1)), 255).astype(np.uint8)
+
+
+def _counts(code: np.ndarray) -> np.ndarray:
+    return np.exp2(code / _OCTAVE) - 1
+
+
+def order_of(first_pass: DataFrame) -> Order:
+    """The order of shingles by the sketches of all tasks."""
     per = 1 << _CHUNK_BITS
 
     @tidy
     def total(table: pa.Table) -> pa.Table:
         n = np.zeros(per, np.uint64)
         for x in table["counts"].to_pylist():
-            n += np.frombuffer(x, "<u2" if len(x) == 2 * per else "<u4")
-        code = np.frexp(n.astype(np.float64))[1].astype(np.uint8)
-        return pa.Table.from_batches([to_batch([(table["chunk"][0].as_py(), code.tobytes())], _SKETCH)])
+            n += np.frombuffer(decompress(x), "<u4")
+        return pa.Table.from_batches([to_batch([(table["chunk"][0].as_py(), _codes(n.astype(np.float64)).tobytes())], _SKETCH)])
 
     rows = first_pass.where("chunk is not null").select("chunk", "counts") \
         .groupBy("chunk").applyInArrow(total, "chunk int, counts binary").collect()
-    out = np.zeros(1 << SKETCH_BITS, np.uint8)
+    out = np.zeros((2 << SKETCH_BITS) // per * per, np.uint8).reshape(-1, per)
     for r in rows:
-        out[r.chunk * per:(r.chunk + 1) * per] = np.frombuffer(r.counts, np.uint8)
-    return out
+        out[r.chunk] = np.frombuffer(r.counts, np.uint8)
+    return Order(*out.reshape(2, -1))
+
+
+def least_shared(n, shared: int):
+    """Prefix shingles that a set of n shares with a linked one of its size or larger, if they share that many."""
+    return shared + n // SHARE
 
 
 def meetings(docs: DataFrame, order, width: int, percent: int, n_parts: int, short_list: int, shared: int) -> DataFrame:
     """How nodes meet in prefix lists.
 
-    A list of up to ``SHORT_LIST`` nodes gives its pairs of fitting sizes: rows (list 0, node, n of
-    the larger, other, w lists).  A longer one gives its nodes: rows (list, node, n, 0, 0); lists
+    A list of up to ``SHORT_LIST`` nodes gives its pairs of fitting sizes: rows (list 0, node, other,
+    lists they need, w lists).  A longer one gives its nodes: rows (list, node, 0, 0, 0); lists
     with the same nodes are one.
 
     Tasks pack the (shingle, node, size) triples of their prefixes into one block for each part
@@ -163,7 +220,7 @@ def meetings(docs: DataFrame, order, width: int, percent: int, n_parts: int, sho
     @tidy
     def emit(batches):
         free_held()
-        hashes, code = WordHashes(), order.value
+        hashes, by = WordHashes(), order.value
         tokens: list[np.ndarray] = []
         nodes: list[tuple[int, int, int]] = []
         seen: set[int] = set()
@@ -181,7 +238,7 @@ def meetings(docs: DataFrame, order, width: int, percent: int, n_parts: int, sho
 
         for b in batches:
             for text in b.column(0).to_pylist():
-                s = shingles(hashes, text, width)
+                s, rank = by.rank(hashes.of(text)[:-1], width)
                 if len(s) < 2:
                     continue                        # links only with its own copies
                 node = node_of(s)
@@ -189,8 +246,7 @@ def meetings(docs: DataFrame, order, width: int, percent: int, n_parts: int, sho
                     continue
                 if len(seen) < _SEEN:
                     seen.add(node)
-                first = min(len(s), len(s) - -(-percent * len(s) // 100) + shared)
-                rank = code[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                first = min(len(s), len(s) - -(-percent * len(s) // 100) + least_shared(len(s), shared))
                 tokens.append(s[np.argsort(rank, kind="stable")[:first]])
                 nodes.append((node, len(s), first))
                 held += first
@@ -226,12 +282,13 @@ def meetings(docs: DataFrame, order, width: int, percent: int, n_parts: int, sho
             at = first[own][:, None] + np.arange(m)
             i, j = np.triu_indices(m, 1)
             a, b, w = at[:, i].ravel(), at[:, j].ravel(), np.repeat(weight[own], len(i))
-            fit = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
-            a, b, w = a[fit], b[fit], w[fit]
-            out.append((np.zeros(len(a), np.int64), node[a], np.maximum(n[a], n[b]), node[b], w))
+            less, more = np.minimum(n[a], n[b]).astype(np.int64), np.maximum(n[a], n[b]).astype(np.int64)
+            need = np.minimum(least_shared(less, shared), -(-percent * more // 100))
+            fit = 100 * less >= percent * more
+            out.append((np.zeros(fit.sum(), np.int64), node[a[fit]], node[b[fit]], need[fit], w[fit]))
         for k in np.flatnonzero(many > short_list).tolist():
             x = slice(first[k], first[k] + many[k])
-            out.append((np.full(many[k], name[k].astype(np.int64)), node[x], n[x], np.zeros(many[k], np.int64), np.zeros(many[k], np.int64)))
+            out.append((np.full(many[k], name[k].astype(np.int64)), node[x], *np.zeros((3, many[k]), np.int64)))
         cols = [np.concatenate(c).astype(np.int64) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 5
         return pa.table(dict(zip(_MEETINGS.names, cols)), schema=_MEETINGS)
 
@@ -399,10 +456,10 @@ def link_nodes(docs: DataFrame, scanned: DataFrame, width: int, percent: int, bl
     path = scratch_path(spark, "meetings")
     meetings(docs, order, width, percent, max(8, -(-size // _PART_BYTES)), short_list, shared).write.parquet(path)
     met = spark.read.schema(_MEETINGS_SQL).parquet(path)
-    lists = cut_lineage(met.where("list <> 0").dropDuplicates(["list", "node"]).select("list", "node", "n"))
+    lists = cut_lineage(met.where("list <> 0").dropDuplicates(["list", "node"]).select("list", "node"))
     # T-occurrence on prefixes: a pair that meets in short lists only must meet in enough of them
-    few = cut_lineage(met.where("list = 0").groupBy("node", "other").agg(F.sum("w").alias("w"), F.max("n").alias("n"))
-                      .where(f"w >= least({shared}, ceil({percent} * n / 100))").select(F.col("node").alias("q"), F.col("other").alias("node")))
+    few = cut_lineage(met.where("list = 0").groupBy("node", "other").agg(F.sum("w").alias("w"), F.max("need").alias("need"))
+                      .where("w >= need").select(F.col("node").alias("q"), F.col("other").alias("node")))
     meta = scanned.where("node is not null")
     one = meta.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     nodes = lists.select("node").union(few.select("node")).union(few.select(F.col("q").alias("node"))).distinct()
