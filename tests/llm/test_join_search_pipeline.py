@@ -43,6 +43,29 @@ def test_search_equals_jaccard(sets, percent):
     assert sorted(J.search(arrays[0], arrays[1:], percent)) == want
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.sets(st.integers(0, 60), min_size=1, max_size=50), st.integers(0, 2), st.booleans(), st.booleans()),
+                min_size=1, max_size=12), st.sampled_from([30, 80, 85, 100]), st.booleans())
+def test_prints_keep_all_that_link(rows, percent, wide):
+    sets = [np.sort(J.mix(np.array(sorted(s), np.uint64))) if wide else np.array(sorted(s), np.uint64) for s, *_ in rows]
+    held = [(comp, query, member, len(s), J.parity_of(s)) for (_, comp, query, member), s in zip(rows, sets)]
+    may = J.may_link(held, percent)
+    for (a, comp, query, _), m in zip(rows, may):
+        for k, (b, other, _, member) in enumerate(rows):
+            if query and member and comp != other and 100 * len(a & b) >= percent * len(a | b):
+                assert m and may[k]
+    assert not any(m for m, (_, _, query, member) in zip(may, rows) if not query and not member)
+
+
+def test_prints_leave_out_pairs_that_share_a_part():
+    """Texts with 60 of 100 shingles in common meet in lists, but their sets needn't be made."""
+    items = J.mix(np.arange(1400, dtype=np.uint64))
+    a, b, c = (np.sort(items[k:k + 800]) for k in (0, 200, 30))
+    row = lambda s, query: (s[0].item() % 1000, query, not query, len(s), J.parity_of(s))
+    assert J.may_link([row(a, True), row(b, False), row(c, False)], 85).tolist() == [True, False, True]
+    assert J.may_link([row(a, True), row(b, False)], 85).tolist() == [False, False]
+
+
 def words(t):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 

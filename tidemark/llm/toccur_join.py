@@ -22,6 +22,9 @@ Documents link when the Jaccard similarity of their shingle sets reaches a thres
    every node outside the largest component is searched for among the nodes of other
    components.
 
+Before the sets of a search's nodes are made and moved, their parity prints (2 to 4 bits a shingle) are:
+prints that differ in more bits than linked sets differ in shingles tell a pair that can't link.
+
 So a group of near copies, however large, is joined by the searches of its few outliers
 instead of all its pairs, and no link between different components is lost.  Searches of many
 nodes are cut into blocks of ``BLOCK``, and blocks of queries meet blocks of the index.
@@ -77,8 +80,12 @@ _SEEN = 1 << 20
 #: Text bytes that one part of the hash space stands for.
 _PART_BYTES = 16 << 20
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
-_SETS_SQL = "doc_id long, n long, node long, chunk int, counts binary"
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("parity", pa.binary()), ("chunk", pa.int32()),
+                   ("counts", pa.binary())])
+_SETS_SQL = "doc_id long, n long, node long, parity binary, chunk int, counts binary"
+_ASKED = pa.schema([("list", pa.int64()), ("qb", pa.int64()), ("ib", pa.int64()), ("node", pa.int64()), ("comp", pa.int64()),
+                    ("query", pa.bool_()), ("member", pa.bool_())])
+_ASKED_SQL = "list long, qb long, ib long, node long, comp long, query boolean, member boolean"
 _BLOCKS = pa.schema([("part", pa.int64()), ("tokens", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary())])
 _MEETINGS = pa.schema([(c, pa.int64()) for c in ("list", "node", "other", "need", "w")])
 _MEETINGS_SQL = "list long, node long, other long, need long, w long"
@@ -117,8 +124,23 @@ def node_of(items: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(items.tobytes(), seed=len(items)) - (1 << 63)
 
 
+def parity_of(items: np.ndarray) -> bytes:
+    """For each of 2 to 4 times as many classes as a set has shingles, whether it has an odd number of the class."""
+    n = max(64, 1 << (2 * len(items) - 1).bit_length())
+    odd = np.bincount((items & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def fold(prints: np.ndarray, width: int) -> np.ndarray:
+    """Prints (rows of 64-bit words) of only ``width`` words."""
+    while prints.shape[1] > width:
+        half = prints.shape[1] // 2
+        prints = prints[:, :half] ^ prints[:, half:]
+    return prints
+
+
 def first_pass(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (set size), node (the set's name; null for an empty set) of every document, and
+    """doc_id, n (set size), node (the set's name) and parity print (both null for an empty set) of every document, and
     each task's part of the count sketches (chunk, counts) in rows of their own: first the chunks
     of the shingles' sketch, then those of the words'."""
     ship_package(docs.sparkSession)
@@ -135,10 +157,10 @@ def first_pass(docs: DataFrame, width: int) -> DataFrame:
                 got = [np.unique(all_shingles(w, width)) for w in words]
                 for sketch, found in zip(total, (got, words)):
                     sketch += np.bincount(class_of(np.concatenate(found)), minlength=size).astype(np.uint32)
-                yield to_batch([(doc, len(s), node_of(s) if len(s) else None, None, None)
+                yield to_batch([(doc, len(s), *((node_of(s), parity_of(s)) if len(s) else (None, None)), None, None)
                                 for doc, s in zip(part.column(0).to_pylist(), got)], _SETS)
         if total.any():
-            yield to_batch([(None, None, None, k, compress(x.astype("<u4").tobytes(), 1)) for k, x in enumerate(total.reshape(-1, per))], _SETS)
+            yield to_batch([(None, None, None, None, k, compress(x.astype("<u4").tobytes(), 1)) for k, x in enumerate(total.reshape(-1, per))], _SETS)
 
     return docs.select("doc_id", "text").mapInArrow(run, _SETS_SQL)
 
@@ -389,6 +411,62 @@ def search(query: np.ndarray, nodes: list[np.ndarray], percent: int) -> list[int
     return Inverted(nodes).search(query, percent)
 
 
+def by_block(rows: DataFrame, columns: str, make, schema: pa.Schema, sql: str) -> DataFrame:
+    """``make`` of the rows (tuples of the given columns) of each (list, qb, ib), in tasks of their own."""
+    @tidy
+    def run(batches):
+        key, held = None, []
+        for b in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[:3] != key:
+                    out += make(key, held) if held else []
+                    key, held = row[:3], []
+                held.append(row[3:])
+            yield to_batch(out, schema)
+        yield to_batch(make(key, held) if held else [], schema)
+
+    return rows.select("list", "qb", "ib", *columns.split()).repartition("list", "qb", "ib").sortWithinPartitions("list", "qb", "ib") \
+        .mapInArrow(run, sql)
+
+
+def may_link(held: list[tuple], percent: int) -> np.ndarray:
+    """Which rows (comp, query, member, n, parity print) of a block can have a link in it: members with a
+    query of another component that their print lets link, and such queries."""
+    comp, query, member, n = (np.array(c) for c in list(zip(*held))[:4])
+    prints = [np.frombuffer(row[4], "<u8") for row in held]
+    wide = np.array([len(x) for x in prints])
+    at = {w: np.flatnonzero(member & (wide == w)) for w in np.unique(wide[member]).tolist()}
+    of = {(w, w): np.array([prints[k] for k in rows]) for w, rows in at.items()}
+    out = np.zeros(len(held), bool)
+    for q in np.flatnonzero(query).tolist():
+        for w, rows in at.items():
+            fit = (comp[rows] != comp[q]) & (100 * np.minimum(n[rows], n[q]) >= percent * np.maximum(n[rows], n[q]))
+            if not fit.any():
+                continue
+            least = min(w, wide[q].item())
+            if (w, least) not in of:
+                of[w, least] = fold(of[w, w], least)
+            rows, both = rows[fit], n[rows[fit]] + n[q]
+            differ = np.bitwise_count(of[w, least][fit] ^ fold(prints[q][None], least)).sum(1, dtype=np.int64)
+            rows = rows[differ <= both - 2 * -(-percent * both // (100 + percent))]
+            out[rows] = True
+            out[q] |= len(rows) > 0
+    return out
+
+
+def sieve(asked: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
+    """The rows of searches that can have a link in their block (see ``search_blocks``), by the nodes' prints."""
+    ship_package(asked.sparkSession)
+    asked = cut_lineage(asked)
+
+    def make(key, held):
+        return [(*key, *row[:4]) for row, may in zip(held, may_link([row[1:] for row in held], percent)) if may]
+
+    rows = prints.join(small(asked), "node")
+    return cut_lineage(by_block(rows, "node comp query member n parity", make, _ASKED, _ASKED_SQL))
+
+
 def search_blocks(asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of searches.
 
@@ -397,33 +475,17 @@ def search_blocks(asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     of other components.
     """
     ship_package(asked.sparkSession)
-    asked = cut_lineage(asked)
-    rows = sets.join(small(asked), "node").select("list", "qb", "ib", "node", "comp", "query", "member", "items")
-
-    @tidy
-    def run(batches):
-        key, held = None, []
 
-        def links():
-            members = [(node, comp, s) for node, comp, _, member, s in held if member]
-            queries = [(node, comp, s) for node, comp, query, _, s in held if query]
-            if not members or not queries:
-                return []
-            index, comps = Inverted([s for *_, s in members]), np.array([c for _, c, _ in members])
-            return [(node, members[k][0]) for node, comp, s in queries for k in index.search(s, percent, comps != comp)]
-
-        for b in batches:
-            out = []
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if row[:3] != key:
-                    out += links()
-                    key, held = row[:3], []
-                held.append((*row[3:7], np.frombuffer(row[7], "<u8")))
-            yield to_batch(out, _LINK)
-        yield to_batch(links(), _LINK)
+    def make(key, held):
+        held = [(node, comp, query, member, np.frombuffer(items, "<u8")) for node, comp, query, member, items in held]
+        members = [(node, comp, s) for node, comp, _, member, s in held if member]
+        queries = [(node, comp, s) for node, comp, query, _, s in held if query]
+        if not members or not queries:
+            return []
+        index, comps = Inverted([s for *_, s in members]), np.array([c for _, c, _ in members])
+        return [(node, members[k][0]) for node, comp, s in queries for k in index.search(s, percent, comps != comp)]
 
-    return rows.repartition("list", "qb", "ib").sortWithinPartitions("list", "qb", "ib") \
-        .mapInArrow(run, "a long, b long").where("a is not null")
+    return by_block(sets.join(small(asked), "node"), "node comp query member items", make, _LINK, "a long, b long")
 
 
 # -- rounds -----------------------------------------------------------------------
@@ -463,11 +525,16 @@ def link_nodes(docs: DataFrame, scanned: DataFrame, width: int, percent: int, bl
     meta = scanned.where("node is not null")
     one = meta.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     nodes = lists.select("node").union(few.select("node")).union(few.select(F.col("q").alias("node"))).distinct()
-    wanted = cut_lineage(one.join(nodes, "node", "left_semi").select("doc_id"))
-    nameless = cut_lineage(meta.where("doc_id is null").select("node").distinct().join(one, "node", "left_anti").join(nodes, "node", "left_semi"))
-    path = scratch_path(spark, "sets")
-    node_sets(docs, wanted, nameless, width).write.parquet(path)
-    sets = spark.read.schema("node long, n long, items binary").parquet(path)
+    prints = cut_lineage(meta.select("node", "n", "parity").join(small(nodes), "node", "left_semi").dropDuplicates(["node"]))
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        nodes = cut_lineage(nodes)
+        wanted = cut_lineage(one.join(small(nodes), "node", "left_semi").select("doc_id"))
+        nameless = cut_lineage(meta.where("doc_id is null").select("node").distinct().join(one, "node", "left_anti").join(nodes, "node", "left_semi"))
+        path = scratch_path(spark, "sets")
+        node_sets(docs, wanted, nameless, width).write.parquet(path)
+        return spark.read.schema("node long, n long, items binary").parquet(path)
+
     # how many meetings a node has: the middle of a group of copies has most
     meets = lists.join(lists.groupBy("list").agg(F.count("*").alias("m")), "list").groupBy("node").agg(F.sum("m").alias("meets"))
     left = cut_lineage(lists.join(meets, "node").withColumn("comp", F.col("node")))
@@ -477,11 +544,13 @@ def link_nodes(docs: DataFrame, scanned: DataFrame, width: int, percent: int, bl
     met = left.join(best, "list")
     pairs = cut_lineage(met.where("node <> q").select("q", "node").union(few).distinct())
     blocks = pairs.groupBy("q").agg(F.ceil(F.count("*") / block).alias("k"))
-    star = pairs.join(blocks, "q").select(F.col("q").alias("list"), F.lit(0).alias("qb"), F.pmod(F.xxhash64("node"), F.col("k")).alias("ib"),
+    star = pairs.join(blocks, "q").select(F.col("q").alias("list"), F.lit(0).cast("long").alias("qb"), F.pmod(F.xxhash64("node"), F.col("k")).alias("ib"),
                                           "node", F.col("node").alias("comp"), F.lit(False).alias("query"), F.lit(True).alias("member"))
-    asks = blocks.select(F.col("q").alias("list"), F.lit(0).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("ib"),
+    asks = blocks.select(F.col("q").alias("list"), F.lit(0).cast("long").alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("ib"),
                          F.col("q").alias("node"), F.col("q").alias("comp"), F.lit(True).alias("query"), F.lit(False).alias("member"))
-    links = cut_lineage(search_blocks(star.union(asks), sets, percent))
+    asked = sieve(star.union(asks), prints, percent)
+    sets = sets_of(asked.select("node").distinct())
+    links = cut_lineage(search_blocks(asked, sets, percent))
     names = components(links)
     # round 2: what is left of each list, unless it is one component; nodes outside its largest
     # component are searched for among all of it
@@ -498,7 +567,9 @@ def link_nodes(docs: DataFrame, scanned: DataFrame, width: int, percent: int, bl
                           F.lit(False).alias("query"), F.lit(True).alias("member"))
     queries = left.where("query").select("list", qb.alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ik") - 1)).alias("ib"),
                                          "node", "comp", F.lit(True).alias("query"), F.lit(False).alias("member"))
-    more = cut_lineage(search_blocks(members.union(queries), sets, percent))
+    asked = sieve(members.union(queries), prints, percent)
+    new = asked.select("node").distinct().join(sets.select("node"), "node", "left_anti")
+    more = cut_lineage(search_blocks(asked, sets.union(sets_of(new)), percent))
     return components(links.union(more)) if not more.isEmpty() else names
 
 
